@@ -12,30 +12,33 @@ def _texts(names) -> str:
     return "array(" + ", ".join(f"'{name}'" for name in names) + ")"
 
 
+# Parameter names differ from any likely column name: an argument that is a column of
+# the parameter's own name is inlined as an alias the optimizer takes for redundant, and
+# two such calls over a union then fail to plan (seen on 4.1.2).
 SQL_FUNCTIONS = {
     "branch_suffix": r"""
-        (branch STRING) RETURNS STRING
+        (branch_arg STRING) RETURNS STRING
         RETURN coalesce(nullif(substring(regexp_replace(
-            translate(coalesce(branch, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            translate(coalesce(branch_arg, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
             '[^a-z0-9]', '_'), 1, 40), ''), 'head')""",
     "is_person_trailer": f"""
-        (field STRING) RETURNS BOOLEAN
-        RETURN array_contains({_texts(PERSON_FIELDS)}, field)""",
+        (field_arg STRING) RETURNS BOOLEAN
+        RETURN array_contains({_texts(PERSON_FIELDS)}, field_arg)""",
     "unique_text_array": r"""
-        (items ARRAY<STRING>) RETURNS ARRAY<STRING>
+        (items_arg ARRAY<STRING>) RETURNS ARRAY<STRING>
         RETURN array_distinct(filter(
-            transform(coalesce(items, array()), v -> trim(v)), v -> v <> ''))""",
+            transform(coalesce(items_arg, array()), v -> trim(v)), v -> v <> ''))""",
     "extract_urls": f"""
-        (items ARRAY<STRING>) RETURNS ARRAY<STRING>
+        (items_arg ARRAY<STRING>) RETURNS ARRAY<STRING>
         RETURN array_distinct(regexp_extract_all(
-            array_join(coalesce(items, array()), char(10)), r'{URL_PATTERN}', 1))""",
+            array_join(coalesce(items_arg, array()), char(10)), r'{URL_PATTERN}', 1))""",
     "extract_field": f"""
-        (message STRING, field STRING) RETURNS ARRAY<STRING>
+        (message_arg STRING, field_arg STRING) RETURNS ARRAY<STRING>
         RETURN CASE
-            WHEN field IS NULL THEN array()
-            WHEN array_contains({_texts(FIELD_NAMES)}, field) THEN regexp_extract_all(
-                coalesce(message, ''), concat(r'{FIELD_PREFIX}', field, r'{FIELD_VALUE}'), 1)
-            ELSE raise_error(concat('unknown trailer field: ', field)) END""",
+            WHEN field_arg IS NULL THEN array()
+            WHEN array_contains({_texts(FIELD_NAMES)}, field_arg) THEN regexp_extract_all(
+                coalesce(message_arg, ''), concat(r'{FIELD_PREFIX}', field_arg, r'{FIELD_VALUE}'), 1)
+            ELSE raise_error(concat('unknown trailer field: ', field_arg)) END""",
 }
 
 

@@ -57,7 +57,7 @@ def message_lines(message: Column | str) -> Column:
 
 def unique_text_array(values: Column | str) -> Column:
     """Space-trimmed, NULL and blank dropped, first occurrence kept."""
-    trimmed = F.transform(_texts(values), F.trim)
+    trimmed = F.transform(_texts(values), lambda value: F.trim(value))
     return F.array_distinct(F.filter(trimmed, lambda value: value != ""))
 
 

@@ -33,7 +33,7 @@ RECENT_COLUMNS = (
 
 
 def in_range(df: DataFrame, column: str, start: dt.datetime | None, end: dt.datetime | None) -> DataFrame:
-    """Inclusive range on a timestamp column; either bound may be open."""
+    """Inclusive range on a timestamp column, bounds in UTC; either may be open."""
     if start is not None:
         df = df.where(F.col(column) >= _instant(start))
     if end is not None:
@@ -57,11 +57,17 @@ def daily_panel(
     """Sum of one ``daily_activity`` measure per epoch-aligned interval and branch.
 
     The range tests the midnight of each day, so a first day cut by the range drops out.
+    It is put as a range of days, which reaches the scan as a range of author dates.
     """
-    midnight = daily.withColumn("_midnight", F.col("commit_day").cast("timestamp"))
+    if start is not None:
+        first = start.date() + dt.timedelta(days=start.time() != dt.time())
+        daily = daily.where(F.col("commit_day") >= F.lit(first))
+    if end is not None:
+        daily = daily.where(F.col("commit_day") <= F.lit(end.date()))
+    midnight = F.col("commit_day").cast("timestamp")
     return (
-        in_range(midnight, "_midnight", start, end)
-        .groupBy(F.window("_midnight", interval).alias("_bucket"), "branch")
+        daily.where(F.col("commit_day").isNotNull())
+        .groupBy(F.window(midnight, interval).alias("_bucket"), "branch")
         .agg(F.sum(metric).alias("value"))
         .select(F.col("_bucket.start").alias("time"), "value", F.col("branch").alias("metric"))
         .orderBy(*order_by("time", "metric"))

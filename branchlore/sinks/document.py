@@ -26,7 +26,7 @@ SECTIONS = {
     "commits": "commits",
 }
 # Rows a section may have to be part of the document itself.
-INLINE_ROWS = 10_000
+INLINE_ROWS = 50_000
 
 
 def metadata(facts: DataFrame, config: BuildConfig, as_of: dt.datetime) -> DataFrame:
@@ -63,7 +63,7 @@ def dashboard_document(
             parts.append(as_array(df, section_keys(df, name), root).alias(name))
     places = [F.lit(x) for name, path in external.items() for x in (name, path)]
     parts.append(F.create_map(*places).cast("map<string,string>").alias("external_sections"))
-    return spark.range(1).select(*parts)
+    return spark.range(0, 1, 1, 1).select(*parts)
 
 
 def section_keys(section: DataFrame, name: str) -> tuple[str, ...]:
@@ -84,7 +84,7 @@ def write_document(document: DataFrame, path: str) -> None:
 
 
 def manifest(spark: SparkSession, config: BuildConfig) -> DataFrame:
-    return spark.range(1).select(
+    return spark.range(0, 1, 1, 1).select(
         F.lit(config.root_branch).alias("root_branch"),
         F.lit(list(config.branches)).alias("branches"),
         F.lit(config.include_diff).alias("include_diff"),

@@ -33,4 +33,4 @@ def as_array(df: DataFrame, keys: Sequence[str], root: str) -> Column:
 def json_array(df: DataFrame, keys: Sequence[str], root: str) -> DataFrame:
     """A small dataset as one pretty JSON array in one row."""
     rows = F.to_json(as_array(df, keys, root), {**JSON_OPTIONS, "pretty": "true"})
-    return df.sparkSession.range(1).select(rows.alias("value"))
+    return df.sparkSession.range(0, 1, 1, 1).select(rows.alias("value"))

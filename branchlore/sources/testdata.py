@@ -94,3 +94,70 @@ def numstat_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_partkey") % 20).alias("removals"),
         F.concat(F.lit("f"), F.col("l_linenumber").cast("string")).alias("path"),
     )
+
+
+def commits_with_numstat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base commits plus a numstat text block (a handful of lines per commit)."""
+    line = F.concat_ws("\t", "additions", "removals", "path")
+    blocks = (
+        numstat_lines(spark, sf_dir)
+        .groupBy("commit_id")
+        .agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("numstat_block"))
+    )
+    return base_commits(spark, sf_dir).join(blocks, "commit_id", "left")
+
+
+def branch_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One branch-like name per event, some of them NULL, empty, long or real."""
+    eid, user = F.col("event_id"), F.col("user_id").cast("string")
+    name = (
+        F.when(eid % 9 == 0, F.lit(None))
+        .when(eid % 9 == 1, F.lit(""))
+        .when(eid % 9 == 2, F.concat(F.lit("REL_"), user, F.lit("_STABLE")))
+        .when(eid % 9 == 3, F.concat(F.lit("feature/X-"), user, F.lit(".REL_REL_1_STABLE_STABLE")))
+        .when(eid % 9 == 4, F.concat(F.lit("Topic/"), F.repeat(F.lit("aZ-"), 14), user))
+        .when(eid % 9 == 5, F.lit("master"))
+        .when(eid % 9 == 6, F.lit("REL_18_STABLE"))
+        .otherwise(F.concat(F.col("event_type"), F.lit(" "), user))
+    )
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(eid.alias("eid"), name.alias("branch_name"))
+
+
+def branch_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One comma list of branch names per event, with blanks and repeats."""
+    eid, user = F.col("event_id"), F.col("user_id")
+    csv = F.concat_ws(
+        ",",
+        F.concat(F.lit(" REL_"), (user % 5).cast("string"), F.lit("  ")),
+        F.when(eid % 2 == 0, F.lit("master")).otherwise(F.lit("")),
+        F.lit("   "),
+        F.concat(F.lit("REL_"), (eid % 5).cast("string")),
+        F.col("event_type"),
+    )
+    csv = F.when(eid % 50 != 0, csv)
+    return spark.read.parquet(f"{sf_dir}/events.parquet").select(eid.alias("eid"), csv.alias("branches_csv"))
+
+
+def column_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column frames per event type and month: a name, a short name and a nameless field.
+
+    The second column lacks the days with an even count, so columns have uneven lengths.
+    """
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    day = F.date_format("ts", "yyyy-MM-dd")
+    daily = events.groupBy(F.col("event_type").alias("branch"), day.alias("day")).agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    pairs = F.sort_array(F.collect_list(F.struct("day", "n")))
+    monthly = daily.groupBy("branch", F.substring("day", 1, 7).alias("month")).agg(pairs.alias("p"))
+    odd = F.filter("p", lambda x: x["n"] % 2 == 1)
+    return monthly.select(
+        "branch",
+        "month",
+        F.array(F.lit("day"), F.lit("count"), F.lit(None).cast("string")).alias("fields"),
+        F.array(
+            F.col("p.day"),
+            F.transform(odd, lambda x: x["n"].cast("string")),
+            F.slice(F.col("p.day"), 1, 3),
+        ).alias("values"),
+    )
