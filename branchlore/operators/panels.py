@@ -127,5 +127,8 @@ def recent_commits(git_log_all: DataFrame, limit: int = PANEL_ROWS) -> DataFrame
     parsed.  Also takes the stored ``commits`` table, whose parsed columns are used.
     """
     newest = git_log_all.orderBy(*order_by("-author_date", "commit_id", "branch")).limit(limit)
+    # without a node in between, the optimizer moves the parsing below the limit and then
+    # sorts all rows instead of keeping the top ones per task
+    newest = newest.coalesce(1)
     parsed = newest if "mentioned_people" in newest.columns else enrich(newest)
     return timed(parsed).select(*RECENT_COLUMNS)

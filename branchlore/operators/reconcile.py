@@ -87,22 +87,19 @@ def _split(tables: Mapping[str, DataFrame], config: BuildConfig):
 
 
 def _without_root_commits(others: DataFrame, root: DataFrame) -> DataFrame:
-    # Root ids are made distinct with a map-side combine, so copies collapse early.
-    # The second join key spreads rows without an id (they match nothing and must not
-    # meet in one task), and it gives both sides an exchange of their own, which is
-    # what lets the adaptive planner split a hot id on the wide side.
+    # Root ids are made distinct with a map-side combine, so copies collapse early.  The
+    # hash as a second join key gives both sides an exchange of their own right under the
+    # join, which is what lets the adaptive planner split the task of a hot id, or of
+    # rows without an id, on the wide side.
     root_ids = (
         root.select("commit_id")
         .where(F.col("commit_id").isNotNull())
         .distinct()
-        .withColumn("_slot", F.xxhash64("commit_id"))
-    )
-    spread = F.when(F.col("commit_id").isNotNull(), F.xxhash64("commit_id")).otherwise(
-        F.xxhash64(*others.columns)
+        .withColumn("_hash", F.xxhash64("commit_id"))
     )
     return (
-        others.withColumn("_slot", spread)
-        .join(root_ids, ["commit_id", "_slot"], "left_anti")
+        others.withColumn("_hash", F.xxhash64("commit_id"))
+        .join(root_ids, ["commit_id", "_hash"], "left_anti")
         .select(*others.columns)
     )
 
