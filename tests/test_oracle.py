@@ -1,0 +1,24 @@
+"""Every registered query against independently written DuckDB SQL, over all rows."""
+
+from __future__ import annotations
+
+import pytest
+from conftest import SF
+
+import check_oracle
+import oracle_queries
+from branchlore.plans import registry
+
+
+@pytest.fixture(scope="module")
+def connection():
+    return check_oracle.duck(SF)
+
+
+def test_every_query_has_an_oracle():
+    assert set(registry.queries()) == set(oracle_queries.oracle_sql())
+
+
+@pytest.mark.parametrize("name", registry.queries())
+def test_query_equals_oracle(spark, connection, name):
+    assert check_oracle.compare(spark, connection, SF, name, oracle_queries.oracle_sql()[name]) == ""
