@@ -17,7 +17,7 @@ from branchlore.config import BuildConfig, Filters
 from branchlore.functions.branches import configured_position
 from branchlore.functions.times import commit_day
 from branchlore.operators import rollups
-from branchlore.operators.ordering import order_by
+from branchlore.operators.ordering import newest, order_by
 
 AUTHOR_ORDER = ("-commit_count", "-last_commit_at", "first_seen")
 RECENT = 25
@@ -154,7 +154,7 @@ def headline(facts: DataFrame, filters: Filters) -> DataFrame:
 
 def recent(commits: DataFrame, count: int = RECENT) -> DataFrame:
     """Newest commits; ties by branch, then commit_id."""
-    return commits.orderBy(*order_by("-author_date", "branch", "commit_id")).limit(count)
+    return newest(commits, count, "branch", "commit_id")
 
 
 def explore(

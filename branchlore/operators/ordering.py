@@ -23,6 +23,20 @@ def order_by(*keys: str, root: str | None = None) -> list[Column]:
     return columns
 
 
+def newest(commits: DataFrame, limit: int, *ties: str) -> DataFrame:
+    """The ``limit`` newest rows by ``author_date`` (unknown dates first), then ``ties``.
+
+    Dates alone are ranked first.  The date of the last row wanted then filters the scan
+    and whatever is below the sort, so wide rows that cannot be among the newest are
+    neither read where files are clustered by date nor shuffled for reconciliation.
+    """
+    dates = commits.select("author_date").orderBy(F.desc_nulls_first("author_date")).limit(limit)
+    last = dates.agg(F.min("author_date").alias("last")).scalar()
+    date = F.col("author_date")
+    candidates = commits.where(date.isNull() | (date >= last))
+    return candidates.orderBy(*order_by("-author_date", *ties)).limit(limit)
+
+
 def rank_struct(df: DataFrame, *keys: str, root: str | None = None) -> Column:
     """The same order as one ascending struct, for sorting arrays of structs.
 

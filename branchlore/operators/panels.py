@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from branchlore.functions.times import epoch_millis
 from branchlore.operators import rollups
 from branchlore.operators.enrich import enrich
-from branchlore.operators.ordering import order_by
+from branchlore.operators.ordering import newest, order_by
 from branchlore.schema import TRAILER_COLUMNS
 
 PANEL_ROWS = 250
@@ -97,19 +97,15 @@ def recent_panel(
     end: dt.datetime | None = None,
     limit: int = PANEL_ROWS,
 ) -> DataFrame:
-    return (
-        in_range(commits, "author_date", start, end)
-        .orderBy(*order_by("-author_date", "commit_id", "branch"))
-        .limit(limit)
-        .select(
-            F.col("author_date").alias("time"),
-            "branch",
-            "author_name",
-            "summary",
-            "insertions",
-            "deletions",
-            "changed_files",
-        )
+    rows = newest(in_range(commits, "author_date", start, end), limit, "commit_id", "branch")
+    return rows.select(
+        F.col("author_date").alias("time"),
+        "branch",
+        "author_name",
+        "summary",
+        "insertions",
+        "deletions",
+        "changed_files",
     )
 
 
@@ -126,9 +122,8 @@ def recent_commits(git_log_all: DataFrame, limit: int = PANEL_ROWS) -> DataFrame
     Enrichment works row by row, so the newest rows are picked first and only they are
     parsed.  Also takes the stored ``commits`` table, whose parsed columns are used.
     """
-    newest = git_log_all.orderBy(*order_by("-author_date", "commit_id", "branch")).limit(limit)
     # without a node in between, the optimizer moves the parsing below the limit and then
     # sorts all rows instead of keeping the top ones per task
-    newest = newest.coalesce(1)
-    parsed = newest if "mentioned_people" in newest.columns else enrich(newest)
+    rows = newest(git_log_all, limit, "commit_id", "branch").coalesce(1)
+    parsed = rows if "mentioned_people" in rows.columns else enrich(rows)
     return timed(parsed).select(*RECENT_COLUMNS)

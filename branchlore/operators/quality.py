@@ -111,12 +111,12 @@ def gate(
     panels: Sequence[Panel] = PANELS,
     expected: Iterable[str] = EXPECTED_PANELS,
 ) -> DataFrame:
-    """The report over all panels; a panel's data is read once."""
+    """The report over all panels; each dataset is read once, for all panels on it."""
     missing = missing_panels(panels, expected)
     findings = [("panels_present", title, "error", "panel is missing") for title in missing]
     if not missing:
         findings.append(("panels_present", "all", "ok", f"{len(panels)} panels"))
-    coverage = []
+    covered: dict[str, list[tuple[str, str]]] = {}
     for panel in panels:
         if panel.kind not in PANEL_KINDS:
             findings.append(("panel_kind", panel.title, "error", f"unexpected kind {panel.kind!r}"))
@@ -135,15 +135,21 @@ def gate(
         if absent:
             findings.append(("columns_present", panel.title, "error", f"{name} lacks {', '.join(absent)}"))
             continue
-        coverage.append(_coverage_findings(df, panel, selectors))
+        covered.setdefault(name, []).extend((panel.title, selector) for selector in selectors)
+    coverage = [_coverage_findings(datasets[name], wanted) for name, wanted in covered.items()]
     return reduce(DataFrame.unionByName, coverage, _rows(spark, findings))
 
 
-def _coverage_findings(df: DataFrame, panel: Panel, selectors: list[str]) -> DataFrame:
+def _coverage_findings(df: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
+    coverage = column_coverage(df, list(dict.fromkeys(selector for _, selector in wanted)))
+    titles = {}
+    for title, selector in wanted:
+        titles.setdefault(selector, []).append(title)
+    by_column = F.create_map(*[F.lit(x) for selector, names in titles.items() for x in (selector, names)])
     empty, unfilled = F.col("row_count") == 0, F.col("filled_rows") == 0
-    return column_coverage(df, selectors).select(
+    return coverage.select("*", F.explode(by_column[F.col("column_name")]).alias("title")).select(
         F.lit("column_coverage").alias("check"),
-        F.concat(F.lit(panel.title + "."), F.col("column_name")).alias("target"),
+        F.concat_ws(".", "title", "column_name").alias("target"),
         F.when(empty | unfilled, "error").otherwise("ok").alias("status"),
         F.when(empty, "section is empty")
         .otherwise(F.concat_ws(" of ", F.col("filled_rows"), F.col("row_count")))

@@ -17,8 +17,8 @@ from branchlore.schema import CHURN_COLUMNS, COMMIT_SCHEMA
 from branchlore.staging import stage
 
 # Rows of (branch, commit_id) that may be sent whole to every executor: about 100 bytes
-# each in a hash table, so 200 MB at most.
-BROADCAST_KEYS = 2_000_000
+# each in a hash table, so 100 MB at most.
+BROADCAST_KEYS = 1_000_000
 
 
 def union_branches(tables: Mapping[str, DataFrame], branches: Sequence[str]) -> DataFrame:
@@ -66,8 +66,7 @@ def reconcile_keys_first(tables: Mapping[str, DataFrame], config: BuildConfig) -
         return root
     ids = others.select("branch", "commit_id").distinct()
     own = stage(_without_root_commits(ids, root), "branch-only-commits")
-    small = own.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    own = F.broadcast(own) if small else own
+    own = F.broadcast(own) if own.count() <= BROADCAST_KEYS else own
     kept = others.alias("o").join(
         own.alias("k"),
         (F.col("o.branch") == F.col("k.branch"))

@@ -7,8 +7,6 @@ up the same from both, so a build scans the commits once and rolls up the small
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -169,15 +167,6 @@ def date_bounds(facts: DataFrame) -> DataFrame:
     )
 
 
-def ordered_arrays(rows: DataFrame, keys: Sequence[str], order: Column, value: Column, name: str) -> DataFrame:
-    """Per group, the values in the given order; only for groups of bounded size."""
-    return (
-        rows.groupBy(*keys)
-        .agg(F.sort_array(F.collect_list(F.struct(order.alias("o"), value.alias("v")))).alias("_pairs"))
-        .select(*keys, F.col("_pairs.v").alias(name))
-    )
-
-
 def share_of_largest(rows: DataFrame, metric: str) -> DataFrame:
     """Adds ``relative_value``: the metric over its largest value, which is at least 1."""
     largest = rows.agg(F.greatest(F.coalesce(F.max(metric), F.lit(0)), F.lit(1)).alias("m"))

@@ -14,8 +14,9 @@ from branchlore.operators.enrich import commit_trailers, enrich
 from branchlore.operators.ordering import DATASET_ORDERS
 from branchlore.operators.reconcile import reconcile_keys_first, root_view
 from branchlore.schema import trailer_field_catalog
+from branchlore.session import size_shuffles
 from branchlore.sinks import document as doc
-from branchlore.sinks.export import write_dataset
+from branchlore.sinks.export import clear_outputs, write_dataset
 from branchlore.sinks.tables import publish_views, write_facts, write_rollup
 
 
@@ -66,6 +67,10 @@ EXPORTS = {
 }
 
 
+def section_name(section: str) -> str:
+    return f"dashboard_{section}"
+
+
 def build(
     spark: SparkSession,
     tables: Mapping[str, DataFrame],
@@ -73,12 +78,16 @@ def build(
     out: str,
     as_of: dt.datetime,
     inline_rows: int = doc.INLINE_ROWS,
+    input_bytes: int | None = None,
 ) -> Build:
     """Run everything under ``out``; refreshing is running it again.
 
     Messages are read once: for the stored ``commits``.  Trailer rollups read the stored
     ``commit_trailers``, the others the stored ``activity``, and exports read stored rollups.
+    ``input_bytes``, the size of the commit tables, lets shuffles start with enough parts.
     """
+    if input_bytes:
+        size_shuffles(spark, input_bytes)
     commits = write_facts(enrich(reconcile_keys_first(tables, config)), f"{out}/tables/commits", "author_date")
     trailers = write_facts(commit_trailers(commits), f"{out}/tables/commit_trailers", "author_date")
     facts = write_facts(rollups.activity(commits), f"{out}/tables/activity", "commit_day")
@@ -87,6 +96,8 @@ def build(
         keep = name in ("commits", "commit_trailers", "trailer_field_catalog")
         stored[name] = df if keep else write_rollup(df, f"{out}/tables/{name}")
 
+    # sections that fit into the document this time must not leave an old file beside it
+    clear_outputs(spark, f"{out}/data", [*EXPORTS, "dashboard", "branches", *map(section_name, doc.SECTIONS)])
     paths = {}
     for name, relation in EXPORTS.items():
         paths[name] = f"{out}/data/{name}"
@@ -98,7 +109,7 @@ def build(
         if doc.fits_inline(section, inline_rows):
             inline[name] = section
         else:
-            external[name] = f"{out}/data/dashboard_{name}"
+            external[name] = f"{out}/data/{section_name(name)}"
             write_dataset(section, external[name], doc.section_keys(section, name), config.root_branch)
     document = doc.dashboard_document(
         spark, doc.metadata(facts, config, as_of), inline, external, config.root_branch

@@ -153,6 +153,12 @@ def branch_list_normalized(spark, sf_dir):
     return listed.select("eid", branches.join_list(normalized).alias("branches"))
 
 
+@_register
+def branch_list_items(spark, sf_dir):
+    items = F.posexplode(branches.branch_list("branches_csv", F.lit("master"))).alias("ordinality", "branch")
+    return testdata.branch_lists(spark, sf_dir).select("eid", items)
+
+
 @_register
 def branch_labels(spark, sf_dir):
     name = F.col("branch_name")
@@ -199,6 +205,12 @@ def commit_trailer_rows(spark, sf_dir):
     return trailers_of(spark, sf_dir)
 
 
+@_register
+def trailer_url_rows(spark, sf_dir):
+    urls = F.posexplode("urls").alias("position", "url")
+    return trailers_of(spark, sf_dir).select("branch", "commit_id", "trailer_field", "trailer_value", urls)
+
+
 @_register
 def message_lines(spark, sf_dir):
     lines = F.posexplode(text.message_lines("message")).alias("line_number", "line")

@@ -21,6 +21,19 @@ def configure(spark: SparkSession) -> SparkSession:
     return spark
 
 
+PARTITION_BYTES = 128 * 1024 * 1024
+
+
+def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
+    """Start shuffles with a part per 128 MB of input; the adaptive planner merges small ones.
+
+    Returns the number set, which is never below ``spark.sql.shuffle.partitions``.
+    """
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // PARTITION_BYTES))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
+    return parts
+
+
 def new_session(app_name: str = "branchlore", master: str | None = None, **conf: str) -> SparkSession:
     """A configured session; ``conf`` keys use ``__`` for dots."""
     builder = SparkSession.builder.appName(app_name)

@@ -164,6 +164,14 @@ _NAMES = """names AS (SELECT event_id AS eid, CASE event_id % 9
   suffixed AS (SELECT *, CASE WHEN coalesce(branch_name, '') = '' THEN 'head'
     ELSE left(regexp_replace(lower(branch_name), '[^a-z0-9]', '_', 'g'), 40) END AS suffix FROM names)"""
 
+_LISTS = """listed AS (
+    SELECT event_id AS eid, CASE WHEN event_id % 50 <> 0 THEN ['REL_' || (user_id % 5),
+      CASE WHEN event_id % 2 = 0 THEN 'master' ELSE '' END, '', 'REL_' || (event_id % 5), event_type] ELSE [] END AS xs
+    FROM events),
+  items AS (SELECT eid, 'master' AS item, 0 AS n FROM listed
+    UNION ALL SELECT eid, unnest(xs), generate_subscripts(xs, 1) FROM listed),
+  firsts AS (SELECT eid, item, min(n) AS n FROM items WHERE item <> '' GROUP BY ALL)"""
+
 _NUMSTAT = """numstat AS (SELECT md5(CAST(l_orderkey AS VARCHAR)) AS commit_id, count(*) AS entries,
     CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS added, CAST(sum(l_partkey % 20) AS BIGINT) AS removed
     FROM lineitem GROUP BY 1)"""
@@ -274,14 +282,9 @@ ORACLES = {
       {FIRST}, {LAST}, CAST(0 AS BIGINT) AS total_insertions, CAST(0 AS BIGINT) AS total_deletions,
       CAST(0 AS BIGINT) AS total_changed_files FROM commits GROUP BY branch""",
     "branch_suffix": f", {_NAMES} SELECT eid, branch_name, suffix FROM suffixed",
-    "branch_list_normalized": """, listed AS (
-        SELECT event_id AS eid, CASE WHEN event_id % 50 <> 0 THEN ['REL_' || (user_id % 5),
-          CASE WHEN event_id % 2 = 0 THEN 'master' ELSE '' END, '', 'REL_' || (event_id % 5), event_type] ELSE [] END AS xs
-        FROM events),
-      items AS (SELECT eid, 'master' AS item, 0 AS n FROM listed
-        UNION ALL SELECT eid, unnest(xs), generate_subscripts(xs, 1) FROM listed)
-      SELECT eid, string_agg(item, ', ' ORDER BY n) AS branches
-      FROM (SELECT eid, item, min(n) AS n FROM items WHERE item <> '' GROUP BY ALL) GROUP BY eid""",
+    "branch_list_normalized": f", {_LISTS} SELECT eid, string_agg(item, ', ' ORDER BY n) AS branches FROM firsts GROUP BY eid",
+    "branch_list_items": f""", {_LISTS} SELECT eid, row_number() OVER (PARTITION BY eid ORDER BY n) - 1 AS ordinality,
+        item AS branch FROM firsts""",
     "branch_labels": f""", {_NAMES}
       SELECT eid, regexp_replace(regexp_replace(branch_name, 'REL_', 'R'), '_STABLE', '') AS label,
         CAST(CASE WHEN branch_name = 'master' THEN 0 ELSE 1 END AS BIGINT) AS root_rank,
@@ -296,6 +299,11 @@ ORACLES = {
     "commits_mentions": "SELECT branch, commit_id, mentioned_people, mentioned_urls FROM enriched",
     "commit_trailer_rows": "SELECT branch, commit_id, summary, trailer_field, trailer_category, trailer_value,"
     f" people, urls, author_name, strftime(author_date, {TS}) AS author_date FROM commit_trailers",
+    "trailer_url_rows": """SELECT branch, commit_id, trailer_field, value AS trailer_value,
+        row_number() OVER (PARTITION BY branch, commit_id, ordinality, n ORDER BY k) - 1 AS position, url
+      FROM (SELECT h.branch, h.commit_id, f.trailer_field, f.value, h.ordinality, h.n, h.url, min(h.k) AS k
+            FROM url_hits h JOIN found f ON f.branch = h.branch AND f.commit_id = h.commit_id
+              AND f.ordinality = h.ordinality AND f.n = h.n GROUP BY ALL)""",
     "message_lines": "SELECT branch, commit_id, n - 1 AS line_number, line FROM lines",
     "unique_message_lines": """SELECT g.branch, g.commit_id, coalesce(u.unique_lines, '') AS unique_lines
       FROM git_log_all g LEFT JOIN (
