@@ -14,9 +14,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from branchlore.config import BuildConfig, Filters
-from branchlore.functions.branches import configured_position
+from branchlore.functions.branches import configured_position, short_label
 from branchlore.functions.times import commit_day
 from branchlore.operators import rollups
+from branchlore.operators.membership import having_key
 from branchlore.operators.ordering import newest, order_by
 
 AUTHOR_ORDER = ("-commit_count", "-last_commit_at", "first_seen")
@@ -46,7 +47,7 @@ def apply_filters(facts: DataFrame, filters: Filters) -> DataFrame:
 
 def keep_authors(facts: DataFrame, authors: DataFrame) -> DataFrame:
     """Author filter from a table of ``author_email``, for sets too large to list."""
-    return facts.join(authors.select("author_email").distinct(), "author_email", "left_semi")
+    return having_key(facts, authors, "author_email")
 
 
 def author_summaries(facts: DataFrame) -> DataFrame:
@@ -166,10 +167,14 @@ def explore(
     filters = sync_authors(facts, filters)
     chosen = apply_filters(facts, filters)
     authors = author_summaries(chosen)
+    branches = branch_summaries(chosen, config)
     dense = dense_series(chosen, filters, config)
     return {
         "stats": headline(chosen, filters),
-        "branches": branch_summaries(chosen, config).orderBy("position"),
+        "branches": branches.orderBy("position"),
+        "branch_chart": rollups.share_of_largest(
+            branches.select("position", short_label("branch").alias("label"), "commit_count"), "commit_count"
+        ).orderBy("position"),
         "daily": daily_series(chosen).orderBy("commit_day", "branch"),
         "series": rollups.share_of_largest(dense, "value"),
         "authors": top_authors(authors, TABLE_AUTHORS),

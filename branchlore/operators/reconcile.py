@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchlore.config import BuildConfig
+from branchlore.operators.membership import lacking_key
 from branchlore.schema import CHURN_COLUMNS, COMMIT_SCHEMA
 from branchlore.staging import stage
 
@@ -40,7 +41,7 @@ def reconcile(tables: Mapping[str, DataFrame], config: BuildConfig) -> DataFrame
     root, others = _split(tables, config)
     if others is None:
         return root
-    return root.unionByName(_without_root_commits(others, root))
+    return root.unionByName(lacking_key(others, root, "commit_id"))
 
 
 def reconcile_table(commits: DataFrame, config: BuildConfig) -> DataFrame:
@@ -50,7 +51,7 @@ def reconcile_table(commits: DataFrame, config: BuildConfig) -> DataFrame:
     others = commits.where(branch != config.root_branch)
     if config.branches is not None:
         others = others.where(branch.isin(*config.branches))
-    return root.unionByName(_without_root_commits(others, root))
+    return root.unionByName(lacking_key(others, root, "commit_id"))
 
 
 def reconcile_keys_first(tables: Mapping[str, DataFrame], config: BuildConfig) -> DataFrame:
@@ -65,7 +66,7 @@ def reconcile_keys_first(tables: Mapping[str, DataFrame], config: BuildConfig) -
     if others is None:
         return root
     ids = others.select("branch", "commit_id").distinct()
-    own = stage(_without_root_commits(ids, root), "branch-only-commits")
+    own = stage(lacking_key(ids, root, "commit_id"), "branch-only-commits")
     own = F.broadcast(own) if own.count() <= BROADCAST_KEYS else own
     kept = others.alias("o").join(
         own.alias("k"),
@@ -85,24 +86,6 @@ def _split(tables: Mapping[str, DataFrame], config: BuildConfig):
     return root, union_branches(tables, names[1:]) if names[1:] else None
 
 
-def _without_root_commits(others: DataFrame, root: DataFrame) -> DataFrame:
-    # Root ids are made distinct with a map-side combine, so copies collapse early.  The
-    # hash as a second join key gives both sides an exchange of their own right under the
-    # join, which is what lets the adaptive planner split the task of a hot id, or of
-    # rows without an id, on the wide side.
-    root_ids = (
-        root.select("commit_id")
-        .where(F.col("commit_id").isNotNull())
-        .distinct()
-        .withColumn("_hash", F.xxhash64("commit_id"))
-    )
-    return (
-        others.withColumn("_hash", F.xxhash64("commit_id"))
-        .join(root_ids, ["commit_id", "_hash"], "left_anti")
-        .select(*others.columns)
-    )
-
-
 def drop_churn(table: DataFrame) -> DataFrame:
     """A table imported without diffs: churn is NULL, and its columns are not read."""
     return table.withColumns({c: F.lit(None).cast("long") for c in CHURN_COLUMNS})

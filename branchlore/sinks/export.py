@@ -17,9 +17,10 @@ def write_dataset(df: DataFrame, path: str, keys: Sequence[str], root: str) -> N
     """Replace a dataset by its rows in key order, as JSON lines.
 
     The sort is by ranges over the full key, so part files follow each other in order
-    and a branch or value with many rows is spread over several.
+    and a branch or value with many rows is spread over several.  The random last key
+    does the same for rows that agree in all the others, such as copies.
     """
-    ordered = df.orderBy(*order_by(*keys, root=root))
+    ordered = df.orderBy(*order_by(*keys, root=root), F.rand(0))
     ordered.write.mode("overwrite").options(**JSON_OPTIONS).json(path)
 
 

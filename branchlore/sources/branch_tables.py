@@ -7,10 +7,12 @@ from collections.abc import Mapping, Sequence
 from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from branchlore.config import BuildConfig, suffix_of
 from branchlore.operators.reconcile import drop_churn, newest_commits
 from branchlore.schema import COMMIT_SCHEMA, conform
+from branchlore.sources.log_dump import read_log_dump
 
 RELATION_PREFIX = "git_log_"
 UNIFIED_RELATIONS = ("git_log", "git_log_all")
@@ -25,7 +27,12 @@ def relation_of(branch: str) -> str:
 
 
 def read_commits(spark: SparkSession, path: str | list[str], format: str = "parquet", **options) -> DataFrame:
-    """A commit table from files; text formats are read with the base schema, never inferred."""
+    """A commit table from files; text formats are read with the base schema, never inferred.
+
+    ``format="log"`` reads exported log dumps.
+    """
+    if format == "log":
+        return read_log_dump(spark, path)
     reader = spark.read.format(format).options(**options)
     if format not in ("parquet", "orc"):
         reader = reader.schema(COMMIT_SCHEMA)
@@ -52,6 +59,12 @@ def read_branches(
     return apply_import_options(tables, config)
 
 
+def split_branches(table: DataFrame, config: BuildConfig) -> dict[str, DataFrame]:
+    """One table per configured branch from a table with a ``branch`` column."""
+    tables = {b: conform(table.where(F.col("branch") == b)) for b in config.branches}
+    return apply_import_options(tables, config)
+
+
 def list_relations(spark: SparkSession, schema: str | None = None) -> list[str]:
     """Candidate branch relations of a schema (the current one by default), by name."""
     names = {t.name for t in spark.catalog.listTables(schema, "git_log*")}

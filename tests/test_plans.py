@@ -115,3 +115,15 @@ def test_distinct_counts_spread_hot_values(stored_commits):
         assert "SortAggregate" not in text and "ObjectHashAggregate" not in text
         inner = text.split("Exchange hashpartitioning")[2]
         assert "commit_id" in inner.split(",")[-1] or "commit_id" in inner[:200] or "author_email" in inner[:200]
+
+
+def test_shuffles_are_sized_by_input(spark):
+    from branchlore.session import size_shuffles
+
+    key = "spark.sql.adaptive.coalescePartitions.initialPartitionNum"
+    try:
+        assert size_shuffles(spark, 100 * 2**40) == 819_200
+        assert spark.conf.get(key) == "819200"
+        assert size_shuffles(spark, 1) == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.unset(key)

@@ -4,7 +4,10 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
+from branchlore.config import BuildConfig
+from branchlore.operators.reconcile import reconcile
 from branchlore.sources import frames, log_dump, testdata
+from branchlore.sources.branch_tables import read_branches, split_branches
 from branchlore.sources.datasets import MANIFEST_SCHEMA, Selector, read_manifest, select_section
 
 
@@ -28,6 +31,18 @@ def test_dump_files(spark, tmp_path):
     assert (rows["c3"]["changed_files"], rows["c3"]["insertions"]) == (1, 0)
 
 
+def test_dumps_as_branch_tables(spark, tmp_path):
+    (tmp_path / "m.log").write_text(record("c1") + "\x1e" + record("c2") + "\x1e", newline="")
+    (tmp_path / "a.log").write_text(record("c2") + "\x1e" + record("c3") + "\x1e", newline="")
+    config = BuildConfig(branches="master,A")
+    tables = read_branches(spark, {"master": str(tmp_path / "m.log"), "A": str(tmp_path / "a.log")}, config, "log")
+    unified = reconcile(tables, config)
+    expected = {("master", "c1"), ("master", "c2"), ("A", "c3")}
+    assert set(map(tuple, unified.select("branch", "commit_id").collect())) == expected
+    again = split_branches(unified, config)
+    assert {b: t.count() for b, t in again.items()} == {"master": 2, "A": 1}
+
+
 def test_a_dump_is_split_between_tasks(spark, tmp_path):
     path = tmp_path / "big.log"
     path.write_text("".join(record(f"c{i}", "text " * 20) + "\x1e\n" for i in range(2000)), newline="")
