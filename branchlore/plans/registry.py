@@ -1,7 +1,8 @@
 """Named queries over the commit tables derived from a test-data folder.
 
 Results are put in an engine-neutral form: arrays as text joined by U+0001, dates and
-timestamps as text, counts as long.
+timestamps as text, counts as long.  Numbers that may be NULL are text too, since tools
+differ in what a NULL makes of a whole number.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from branchlore.operators.reconcile import (
     union_branches,
 )
 from branchlore.plans.build import document_sections, relations
-from branchlore.schema import TRAILER_COLUMNS, trailer_field_catalog
+from branchlore.schema import CHURN_COLUMNS, TRAILER_COLUMNS, trailer_field_catalog
 from branchlore.session import configure
 from branchlore.sinks import document as doc
 from branchlore.sinks.export import write_dataset
@@ -92,6 +93,10 @@ def tables_of(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return testdata.branch_tables(spark, sf_dir)
 
 
+def as_text(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("string") for c in columns})
+
+
 def log_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile(tables_of(spark, sf_dir), CONFIG)
 
@@ -109,23 +114,23 @@ def trailers_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_register
 def git_log_all(spark, sf_dir):
-    return log_of(spark, sf_dir)
+    return as_text(log_of(spark, sf_dir), *CHURN_COLUMNS)
 
 
 @_register
 def git_log_all_keys_first(spark, sf_dir):
-    return reconcile_keys_first(tables_of(spark, sf_dir), CONFIG)
+    return as_text(reconcile_keys_first(tables_of(spark, sf_dir), CONFIG), *CHURN_COLUMNS)
 
 
 @_register
 def git_log_all_one_table(spark, sf_dir):
     together = union_branches(tables_of(spark, sf_dir), CONFIG.branches)
-    return reconcile_table(together, CONFIG)
+    return as_text(reconcile_table(together, CONFIG), *CHURN_COLUMNS)
 
 
 @_register
 def git_log_root(spark, sf_dir):
-    return root_view(log_of(spark, sf_dir), CONFIG)
+    return as_text(root_view(log_of(spark, sf_dir), CONFIG), *CHURN_COLUMNS)
 
 
 @_register
@@ -166,7 +171,7 @@ def branch_labels(spark, sf_dir):
         "eid",
         branches.short_label(name).alias("label"),
         branches.root_first(name, CONFIG.root_branch).alias("root_rank"),
-        branches.configured_position(name, CONFIG.branches).alias("position"),
+        branches.configured_position(name, CONFIG.branches).cast("string").alias("position"),
         branches.suffix_of_relation(F.concat(F.lit("git_log_"), branches.branch_suffix(name))).alias("inferred"),
     )
 
@@ -273,7 +278,8 @@ def daily_activity(spark, sf_dir):
 
 @_register
 def daily_activity_dashboard(spark, sf_dir):
-    return rollups.with_day_times(rollups.daily_activity(commits_of(spark, sf_dir)))
+    daily = rollups.daily_activity(commits_of(spark, sf_dir))
+    return as_text(rollups.with_day_times(daily), "time_unix_ms")
 
 
 @_register
@@ -317,12 +323,13 @@ def branch_display(spark, sf_dir):
 
 @_register
 def recent_commits(spark, sf_dir):
-    return panels.recent_commits(log_of(spark, sf_dir))
+    return as_text(panels.recent_commits(log_of(spark, sf_dir)), "time_unix_ms")
 
 
 @_register
 def commits_timed(spark, sf_dir):
-    return panels.timed(commits_of(spark, sf_dir)).select("branch", "commit_id", "time", "time_unix_ms", "message")
+    timed = panels.timed(commits_of(spark, sf_dir))
+    return as_text(timed.select("branch", "commit_id", "time", "time_unix_ms", "message"), "time_unix_ms")
 
 
 @_register
@@ -446,7 +453,7 @@ def numstat_rollup(spark, sf_dir):
 @_register
 def log_dump_commits(spark, sf_dir):
     records = log_dump.render_log_records(testdata.commits_with_numstat(spark, sf_dir))
-    return log_dump.parse_log_records(records)
+    return as_text(log_dump.parse_log_records(records), *CHURN_COLUMNS)
 
 
 @_register

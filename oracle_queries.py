@@ -124,7 +124,7 @@ EXPLORER_BRANCHES = (
     "SELECT branch, count(*) AS commit_count, count(DISTINCT coalesce(author_email, '?')) AS author_count,"
     f" {FIRST}, {LAST}, {SUMS}, {POSITION} FROM commits WHERE {{where}} GROUP BY branch"
 )
-MILLIS = "CAST((epoch_us({c}) + 500) // 1000 AS BIGINT)"
+MILLIS = "CAST(CAST((epoch_us({c}) + 500) // 1000 AS BIGINT) AS VARCHAR)"
 
 
 def _stats(where: str, branches: int) -> str:
@@ -266,14 +266,15 @@ def _live() -> str:
     )
 
 
-_LOG = f"SELECT branch, {BASE_COLUMNS}, {CHURN} FROM git_log_all"
+_CHURN_TEXT = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in CHURN.split(", "))
+_LOG = f"SELECT branch, {BASE_COLUMNS}, {_CHURN_TEXT} FROM git_log_all"
 _BRANCHES = BRANCH_SUMMARY.format(where="")
 
 ORACLES = {
     "git_log_all": _LOG,
     "git_log_all_keys_first": _LOG,
     "git_log_all_one_table": _LOG,
-    "git_log_root": f"SELECT {BASE_COLUMNS}, {CHURN} FROM master",
+    "git_log_root": f"SELECT {BASE_COLUMNS}, {_CHURN_TEXT} FROM master",
     "max_commits": f"""SELECT branch, commit_id, strftime(commit_date, {TS}) AS commit_date FROM (
       SELECT *, row_number() OVER (PARTITION BY branch ORDER BY commit_date DESC NULLS FIRST, commit_id NULLS LAST) AS r
       FROM (SELECT 'master' AS branch, * FROM master UNION ALL SELECT 'REL_17_STABLE', * FROM rel17
@@ -288,8 +289,8 @@ ORACLES = {
     "branch_labels": f""", {_NAMES}
       SELECT eid, regexp_replace(regexp_replace(branch_name, 'REL_', 'R'), '_STABLE', '') AS label,
         CAST(CASE WHEN branch_name = 'master' THEN 0 ELSE 1 END AS BIGINT) AS root_rank,
-        CASE WHEN branch_name IS NOT NULL THEN
-          {POSITION.replace("branch", "branch_name").replace(" AS position", "")} END AS position,
+        CAST(CASE WHEN branch_name IS NOT NULL THEN
+          {POSITION.replace("branch", "branch_name").replace(" AS position", "")} END AS VARCHAR) AS position,
         suffix AS inferred FROM suffixed""",
     "branch_list": "SELECT 'master' || chr(1) || string_agg(branch, chr(1) ORDER BY branch) AS branches"
     " FROM (SELECT DISTINCT branch FROM git_log_all) WHERE branch <> 'master'",
@@ -333,7 +334,7 @@ ORACLES = {
     "daily_activity": "SELECT branch, strftime(CAST(author_date AS DATE), '%Y-%m-%d') AS commit_day,"
     f" count(*) AS commit_count, {SUMS} FROM commits GROUP BY branch, CAST(author_date AS DATE)",
     "daily_activity_dashboard": f"""SELECT branch, strftime(day, '%Y-%m-%d') AS commit_day,
-        strftime(day, '%Y-%m-%dT00:00:00Z') AS time, CAST(epoch_ms(CAST(day AS TIMESTAMP)) AS BIGINT) AS time_unix_ms,
+        strftime(day, '%Y-%m-%dT00:00:00Z') AS time, CAST(CAST(epoch_ms(CAST(day AS TIMESTAMP)) AS BIGINT) AS VARCHAR) AS time_unix_ms,
         count(*) AS commit_count, {SUMS}
       FROM (SELECT *, CAST(author_date AS DATE) AS day FROM commits) GROUP BY branch, day""",
     "branch_summary": _BRANCHES,
@@ -393,8 +394,9 @@ ORACLES = {
     "explore_from_activity": _authors(WINDOWED, limit=10),
     "numstat_rollup": f""", {_NUMSTAT} SELECT commit_id, entries AS deltas, added AS insertions, removed AS deletions,
         entries AS changed_files FROM numstat""",
-    "log_dump_commits": f""", {_NUMSTAT} SELECT {BASE_COLUMNS.replace("commit_id", "b.commit_id", 1)}, entries AS deltas,
-        added AS insertions, removed AS deletions, entries AS changed_files
+    "log_dump_commits": f""", {_NUMSTAT} SELECT {BASE_COLUMNS.replace("commit_id", "b.commit_id", 1)}, CAST(entries AS VARCHAR) AS deltas,
+        CAST(added AS VARCHAR) AS insertions, CAST(removed AS VARCHAR) AS deletions,
+        CAST(entries AS VARCHAR) AS changed_files
       FROM base b LEFT JOIN numstat s ON s.commit_id = b.commit_id""",
     "frame_to_rows": f""", {_FRAMES} SELECT r.branch, r.month, r.i AS row_index, r.day, CAST(o.n AS VARCHAR) AS count,
         CASE WHEN r.i < 3 THEN r.day END AS field_2
