@@ -128,6 +128,9 @@ def dense_series(facts: DataFrame, filters: Filters, config: BuildConfig) -> Dat
     join and no product of days and branches.
     """
     selected = [b for b in config.branches if b in filters.branches]
+    if not selected:
+        nothing = rollups.as_facts(facts).where(F.lit(False))
+        return nothing.select("commit_day", "branch", F.col(filters.metric).alias("value"))
     of_branch = [
         F.coalesce(F.sum(F.when(F.col("branch") == b, F.col(filters.metric))), F.lit(0)).alias(f"b{i}")
         for i, b in enumerate(selected)

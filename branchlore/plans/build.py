@@ -12,12 +12,13 @@ from branchlore.config import BuildConfig
 from branchlore.operators import panels, quality, rollups
 from branchlore.operators.enrich import commit_trailers, enrich
 from branchlore.operators.ordering import DATASET_ORDERS
-from branchlore.operators.reconcile import reconcile_keys_first, root_view
+from branchlore.operators.reconcile import reconcile, reconcile_keys_first, root_view
 from branchlore.schema import trailer_field_catalog
 from branchlore.session import size_shuffles
 from branchlore.sinks import document as doc
 from branchlore.sinks.export import clear_outputs, write_dataset
 from branchlore.sinks.tables import publish_views, write_facts, write_rollup
+from branchlore.sources.branch_tables import load_catalog_branches
 
 
 def relations(spark: SparkSession, commits: DataFrame, trailers: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
@@ -42,6 +43,13 @@ def views_over(spark: SparkSession, git_log_all: DataFrame, config: BuildConfig)
     return {"git_log": root_view(git_log_all, config), "git_log_all": git_log_all, **derived}
 
 
+def publish_from_catalog(spark: SparkSession, config: BuildConfig) -> BuildConfig:
+    """Session views over the catalog's branch relations; returns the configuration with its branches."""
+    tables, config = load_catalog_branches(spark, config)
+    publish_views(spark, views_over(spark, reconcile(tables, config), config))
+    return config
+
+
 @dataclass
 class Build:
     """What a build wrote: stored relations, paths of the exports and of the document sections

@@ -35,6 +35,12 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return read_dataset(spark, path, MANIFEST_SCHEMA, whole=True)
 
 
+def sections_of(document: DataFrame) -> dict[str, DataFrame]:
+    """Every array section of a document as rows."""
+    arrays = [f.name for f in document.schema.fields if isinstance(f.dataType, T.ArrayType)]
+    return {name: document.select(F.inline(name)) for name in arrays}
+
+
 class Selector(NamedTuple):
     selector: str
     text: str

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from branchlore.config import DEFAULT_BRANCHES, BuildConfig, join_branches, normalize_branches, suffix_of
 from branchlore.functions import branches
+from branchlore.plans.build import publish_from_catalog
 from branchlore.sources.branch_tables import (
     BranchError,
     list_relations,
@@ -108,6 +109,10 @@ def test_catalog_round_trip(spark, tables, config):
     assert loaded["master"].count() == 5
     assert loaded["master"].where("insertions IS NOT NULL OR deltas IS NOT NULL").isEmpty()
 
+    assert publish_from_catalog(spark, configured).branches == config.branches
+    assert spark.sql("SELECT count(*) FROM git_log").first()[0] == 5
+    assert spark.sql("SELECT count(DISTINCT branch) FROM branch_summary").first()[0] == 3
+
     _, inferred = load_catalog_branches(spark, BuildConfig(branches=None, schema="history"))
     assert inferred.branches == ("master", "rel_17_stable", "rel_18_stable")
 

@@ -7,13 +7,15 @@ import pathlib
 import pytest
 from conftest import SF
 
+import branchlore.__main__ as job
+from branchlore.operators import quality
 from branchlore.operators.ordering import DATASET_ORDERS
 from branchlore.plans.build import EXPORTS, build, views_over
 from branchlore.operators.reconcile import reconcile
 from branchlore.sinks.document import SECTIONS
 from branchlore.sinks.export import json_array
 from branchlore.sinks.tables import publish_views, save_table
-from branchlore.sources.datasets import read_dataset, read_manifest
+from branchlore.sources.datasets import read_dataset, read_manifest, sections_of
 
 AS_OF = dt.datetime(2024, 1, 31)
 
@@ -97,6 +99,31 @@ def test_gate_passes(built):
     assert built.passed and built.report.where("status <> 'ok'").isEmpty()
 
 
+def test_gate_passes_on_the_document_read_back(spark, built):
+    inferred = spark.read.json(built.paths["dashboard"], multiLine=True).schema
+    sections = sections_of(read_dataset(spark, built.paths["dashboard"], inferred, whole=True))
+    assert set(sections) == set(SECTIONS)
+    report = quality.gate(spark, sections)
+    assert quality.passed(report) and report.count() == built.report.count()
+    sections["daily_activity"] = sections["daily_activity"].limit(0)
+    assert not quality.passed(quality.gate(spark, sections))
+
+
+def test_job(spark, tables, tmp_path, monkeypatch):
+    for branch, table in tables.items():
+        table.write.parquet(str(tmp_path / branch))
+    paths = [f"{branch}={tmp_path / branch}" for branch in tables]
+    monkeypatch.setattr(job, "new_session", lambda *_: spark)
+    options = ["--branches", "master, REL_18_STABLE", "--no-diff", "--max-commits", "50", "--out", str(tmp_path / "out")]
+    # without diffs the churn columns hold zeros, which count as filled
+    assert job.main([*options, *paths]) == 0
+    rows = lines(str(tmp_path / "out" / "data" / "branch_summary"))
+    assert [r["branch"] for r in rows] == ["master", "REL_18_STABLE"]
+    assert rows[0]["commit_count"] == 50 and rows[0]["total_insertions"] == 0
+    with pytest.raises(SystemExit):
+        job.main(["--out", "x", "master"])
+
+
 def test_manifest(spark, built):
     assert tuple(read_manifest(spark, built.paths["branches"]).first()) == (
         "master",

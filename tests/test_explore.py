@@ -116,6 +116,12 @@ def test_dense_series_fills_days_active_on_any_selected_branch(log):
     }
 
 
+def test_dense_series_without_configured_branches(log):
+    filters = Filters(branches=("gone",))
+    series = explore.dense_series(explore.apply_filters(log, filters), filters, CONFIG)
+    assert series.columns == ["commit_day", "branch", "value"] and series.isEmpty()
+
+
 def test_share_of_largest_has_floor_one(spark):
     df = spark.createDataFrame([(0,), (0,)], "v long")
     assert [r["relative_value"] for r in rollups.share_of_largest(df, "v").collect()] == [0.0, 0.0]
