@@ -111,6 +111,8 @@ def newest_commits(table: DataFrame, limit: int) -> DataFrame:
         (F.shiftright(age, bits), partial(_newer, bits), partial(_in_slice, bits))
         for bits in _SLICE_BITS
     ] + [(id_part, partial(_smaller, id_part), id_part.eqNullSafe) for id_part in (prefix, commit_id)]
+    # conditions are only and-ed and or-ed, so an unknown one drops the row, and plain
+    # comparisons with dates reach the scan
     for bucket, before, same in steps:
         cut = _cut(table.where(inside), bucket, wanted)
         if cut is None:
@@ -146,14 +148,12 @@ def _in_slice(bits: int, time_slice: int) -> Column:
     youngest, oldest = time_slice << bits, ((time_slice + 1) << bits) - 1
     if youngest == _UNKNOWN:
         return date.isNull()
-    return F.coalesce(date.between(_date(oldest), _date(youngest)), F.lit(False))
+    return date.between(_date(oldest), _date(youngest))
 
 
 def _smaller(column: Column, value: str | None) -> Column:
     # NULL sorts last, so everything known is smaller
-    if value is None:
-        return column.isNotNull()
-    return F.coalesce(column < value, F.lit(False))
+    return column.isNotNull() if value is None else column < value
 
 
 def _cut(rows: DataFrame, bucket: Column, wanted: int):

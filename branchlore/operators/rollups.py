@@ -42,6 +42,7 @@ def _appearance() -> Column:
         F.col("branch"),
         F.col("author_date").isNotNull().alias("dated"),
         (-F.unix_micros("author_date")).alias("age"),
+        F.col("commit_id").isNull().alias("anonymous"),
         F.col("commit_id"),
     )
 

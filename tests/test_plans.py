@@ -11,7 +11,7 @@ from conftest import SF
 from branchlore.config import Filters
 from branchlore.operators import explore, panels, rollups
 from branchlore.operators.enrich import commit_trailers, enrich
-from branchlore.operators.reconcile import reconcile
+from branchlore.operators.reconcile import newest_commits, reconcile
 from branchlore.plans import registry
 from branchlore.sinks.tables import write_facts
 from branchlore.sources.branch_tables import read_commits
@@ -80,6 +80,13 @@ def test_range_filters_reach_the_scan(stored_commits):
         assert "message" not in pushed
 
 
+def test_the_commit_limit_filters_at_the_scan(stored_tables):
+    kept = newest_commits(stored_tables["master"], 100)
+    text = plan(kept)
+    assert re.search(r"PushedFilters: \[Or\(.*GreaterThan.*commit_date", text)
+    assert "Exchange" not in text and "Sort" not in text and kept.count() == 100
+
+
 def test_branch_filter_prunes_partitions(stored_commits):
     text = plan(explore.in_scope(stored_commits, Filters(branches=("master",))))
     assert re.search(r"PartitionFilters: \[.*branch.*master", text)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from branchlore.config import BuildConfig
 from branchlore.operators import reconcile as rec
+from branchlore.operators.membership import having_key, lacking_key
 
 CONFIG = BuildConfig(branches="master,A,B")
 WAYS = {
@@ -66,6 +67,13 @@ def test_root_alone_and_missing_branch(small):
         rec.reconcile(small, BuildConfig(branches="master,C"))
 
 
+def test_membership_of_unknown_keys(spark):
+    rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "k string, n int")
+    keys = spark.createDataFrame([("a",), ("a",), (None,)], "k string")
+    assert sorted(r["n"] for r in having_key(rows, keys, "k").collect()) == [1, 2]
+    assert sorted(r["n"] for r in lacking_key(rows, keys, "k").collect()) == [3, 4]
+
+
 def test_no_diff(small):
     assert rec.drop_churn(small["A"]).where("coalesce(deltas, insertions, deletions, changed_files) IS NOT NULL").isEmpty()
 
