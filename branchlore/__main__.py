@@ -23,7 +23,9 @@ def arguments(argv: list[str] | None) -> argparse.Namespace:
     parser.add_argument("--out", required=True, help="folder for tables and data")
     parser.add_argument("--format", default="parquet", help="of the paths: parquet, orc, json, csv or log")
     parser.add_argument("--schema", help="catalog schema to look for branch relations in")
-    parser.add_argument("--branches", default=join_branches(DEFAULT_BRANCHES), help="comma list, or 'auto' for all found")
+    parser.add_argument(
+        "--branches", default=join_branches(DEFAULT_BRANCHES), help="comma list, or 'auto' for all found"
+    )
     parser.add_argument("--root-branch", default=DEFAULT_ROOT)
     parser.add_argument("--no-diff", action="store_true", help="leave churn out")
     parser.add_argument("--max-commits", type=int, default=0, help="newest per branch, 0 for all")

@@ -170,9 +170,9 @@ def live_check(panel_queries: Mapping[str, DataFrame]) -> DataFrame:
                 F.lit("live_rows").alias("check"),
                 F.lit(title).alias("target"),
                 F.when(F.col("rows") > 0, "ok").otherwise("error").alias("status"),
-                F.concat(F.lit("rows="), F.col("rows"), F.coalesce(F.concat(F.lit("; sample="), "sample"), F.lit(""))).alias(
-                    "detail"
-                ),
+                F.concat_ws(
+                    "; ", F.concat(F.lit("rows="), F.col("rows")), F.concat(F.lit("sample="), F.col("sample"))
+                ).alias("detail"),
             )
         )
     return reduce(DataFrame.unionByName, checks)

@@ -58,7 +58,10 @@ PERSON_COLUMNS = tuple(f.column_name for f in TRAILER_CATALOG if f.category == "
 
 def trailer_field_catalog(spark: SparkSession) -> DataFrame:
     """The catalog as a ten-row literal table, whose size the planner knows."""
-    rows = ", ".join(f"({f.ordinality}, '{f.trailer_field}', '{f.column_name}', '{f.category}')" for f in TRAILER_CATALOG)
+    rows = ", ".join(
+        f"({ordinality}, '{name}', '{column}', '{kind}')"
+        for ordinality, name, column, kind in TRAILER_CATALOG
+    )
     return spark.sql(f"SELECT * FROM VALUES {rows} AS catalog({', '.join(TrailerField._fields)})")
 
 

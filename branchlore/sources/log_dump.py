@@ -26,15 +26,16 @@ def read_log_dump(spark: SparkSession, paths: str | list[str]) -> DataFrame:
 def parse_log_records(records: DataFrame, column: str = "value") -> DataFrame:
     """Records to base columns; a record with another number of fields is an error.
 
-    Empty fields are NULL.  Churn is added up inside the record, without a shuffle, and
+    Empty fields are NULL, and a date that is no date is an error too.  Churn is added up inside the record, without a shuffle, and
     is NULL where the numstat block is empty.
     """
-    text = F.regexp_replace(F.col(column), r"^[\r\n]+", "")
+    text = F.ltrim(F.col(column), F.lit("\r\n"))
     parts = F.split(text, FIELD_SEPARATOR)
     checked = F.when(F.size(parts) == FIELDS, parts).otherwise(
         F.raise_error(F.concat(F.lit("log record with "), F.size(parts), F.lit(" fields"))).cast("array<string>")
     )
-    fields = records.where(F.trim(F.regexp_replace(text, r"\s", "")) != "").select(checked.alias("f"))
+    # what follows the last separator of a file is blank, and no record
+    fields = records.where(text.rlike(r"\S")).select(checked.alias("f"))
     texts = [
         F.nullif(F.col("f")[i], F.lit("")).cast(field.dataType).alias(field.name)
         for i, field in enumerate(COMMIT_SCHEMA.fields[: FIELDS - 1])

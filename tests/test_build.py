@@ -13,7 +13,7 @@ from branchlore.operators.ordering import DATASET_ORDERS
 from branchlore.plans.build import EXPORTS, build, views_over
 from branchlore.operators.reconcile import reconcile
 from branchlore.sinks.document import SECTIONS
-from branchlore.sinks.export import json_array
+from branchlore.sinks.export import json_array, write_dataset
 from branchlore.sinks.tables import publish_views, save_table
 from branchlore.sources.datasets import read_dataset, read_manifest, sections_of
 
@@ -163,7 +163,19 @@ def test_saved_table_is_replaced(spark, commits):
     for _ in range(2):
         saved = save_table(commits.select("branch", "commit_id"), "stored_commits")
     assert saved.count() == commits.count()
-    assert "branch=master" in {p.name for p in pathlib.Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:")).glob("stored_commits/*")}
+    warehouse = pathlib.Path(spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:"))
+    assert (warehouse / "stored_commits" / "branch=master").is_dir()
+
+
+def test_copies_are_spread_over_files(spark, tmp_path):
+    copies = spark.range(0, 40_000, 1, 8).selectExpr("'master' AS branch", "DATE'2024-01-01' AS commit_day")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_dataset(copies, str(tmp_path / "d"), DATASET_ORDERS["daily_activity"], "master")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    counts = [len(p.read_text().splitlines()) for p in (tmp_path / "d").glob("part-*")]
+    assert sum(counts) == 40_000 and max(counts) < 20_000
 
 
 def test_json_array_of_nothing(spark, commits):
