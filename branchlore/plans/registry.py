@@ -57,16 +57,18 @@ NO_MATCH = Filters(branches=CONFIG.preset("all"), start="1999-01-01", end="1999-
 _QUERIES: dict[str, Query] = {}
 
 
-def _register(function: Query) -> Query:
-    name = function.__name__
-
+def _register(function: Query, name: str = "") -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         return neutral(function(configure(spark), sf_dir))
 
-    _QUERIES[name] = run
+    _QUERIES[name or function.__name__] = run
     return function
 
 
+def _named(name: str) -> Callable[[Query], Query]:
+    return lambda function: _register(function, name)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
@@ -205,7 +207,7 @@ def commits_mentions(spark, sf_dir):
     return commits_of(spark, sf_dir).select("branch", "commit_id", "mentioned_people", "mentioned_urls")
 
 
-@_register
+@_named("commit_trailers")
 def commit_trailer_rows(spark, sf_dir):
     return trailers_of(spark, sf_dir)
 
@@ -244,7 +246,7 @@ def sql_extract_field(spark, sf_dir):
     )
 
 
-@_register
+@_named("trailer_field_catalog")
 def trailer_catalog_entries(spark, sf_dir):
     entries = trailers_of(spark, sf_dir).groupBy("trailer_field").agg(F.count(F.lit(1)).alias("entry_count"))
     catalog = trailer_field_catalog(spark).join(entries, "trailer_field", "left")

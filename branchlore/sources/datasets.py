@@ -9,8 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchlore.sinks.export import TIMESTAMP_FORMAT
-
 MANIFEST_SCHEMA = T.StructType(
     [
         T.StructField("root_branch", T.StringType()),
@@ -23,12 +21,11 @@ MANIFEST_SCHEMA = T.StructType(
 
 
 def read_dataset(spark: SparkSession, path: str, schema: T.StructType, whole: bool = False) -> DataFrame:
-    """A dataset as JSON lines, or with ``whole`` as one array or object per file."""
-    return (
-        spark.read.schema(schema)
-        .option("timestampFormat", TIMESTAMP_FORMAT)
-        .json(path, multiLine=whole, mode="FAILFAST")
-    )
+    """A dataset as JSON lines, or with ``whole`` as one array or object per file.
+
+    Times may have any number of fraction digits and any offset.
+    """
+    return spark.read.schema(schema).json(path, multiLine=whole, mode="FAILFAST")
 
 
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:

@@ -298,7 +298,7 @@ ORACLES = {
     "commits_churn": f"SELECT branch, commit_id, {CHURN} FROM commits",
     "commits_trailers_arrays": f"SELECT branch, commit_id, {TRAILERS} FROM enriched",
     "commits_mentions": "SELECT branch, commit_id, mentioned_people, mentioned_urls FROM enriched",
-    "commit_trailer_rows": "SELECT branch, commit_id, summary, trailer_field, trailer_category, trailer_value,"
+    "commit_trailers": "SELECT branch, commit_id, summary, trailer_field, trailer_category, trailer_value,"
     f" people, urls, author_name, strftime(author_date, {TS}) AS author_date FROM commit_trailers",
     "trailer_url_rows": """SELECT branch, commit_id, trailer_field, value AS trailer_value,
         row_number() OVER (PARTITION BY branch, commit_id, ordinality, n ORDER BY k) - 1 AS position, url
@@ -324,7 +324,7 @@ ORACLES = {
           SELECT branch, commit_id, value, min(n) AS n FROM found WHERE ordinality = 1 GROUP BY ALL)
           GROUP BY branch, commit_id) r
         ON r.branch = e.branch AND r.commit_id = e.commit_id""",
-    "trailer_catalog_entries": """SELECT CAST(c.ordinality AS BIGINT) AS ordinality, c.trailer_field, c.column_name,
+    "trailer_field_catalog": """SELECT CAST(c.ordinality AS BIGINT) AS ordinality, c.trailer_field, c.column_name,
         c.category, c.category = 'person' AS is_person, count(f.n) AS entry_count
       FROM catalog c LEFT JOIN found f ON f.trailer_field = c.trailer_field GROUP BY ALL""",
     "authors": f"SELECT branch, author_name, author_email, count(*) AS commit_count, {FIRST}, {LAST}"
@@ -417,7 +417,7 @@ ORACLES = {
     "live_panel_check": _live(),
     "stream_commits": _BRANCHES,
 }
-ORACLES["json_roundtrip"] = ORACLES["commit_trailer_rows"]
+ORACLES["json_roundtrip"] = ORACLES["commit_trailers"]
 
 
 def oracle_sql() -> dict[str, str]:

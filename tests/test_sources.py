@@ -1,14 +1,18 @@
 from __future__ import annotations
 
+import datetime as dt
+import json
+
 import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
 from branchlore.config import BuildConfig
 from branchlore.operators.reconcile import reconcile
+from branchlore.schema import COMMIT_SCHEMA
 from branchlore.sources import frames, log_dump, testdata
 from branchlore.sources.branch_tables import read_branches, split_branches
-from branchlore.sources.datasets import MANIFEST_SCHEMA, Selector, read_manifest, select_section
+from branchlore.sources.datasets import MANIFEST_SCHEMA, Selector, read_dataset, read_manifest, select_section
 
 
 def record(commit_id, message="", block="", fields=None):
@@ -108,6 +112,18 @@ def test_selector_scan(spark, tmp_path):
     ]
 
 
+def test_array_of_commits(spark, tmp_path):
+    path = tmp_path / "commits.json"
+    times = ["2024-01-02T03:04:05+00:00", "2024-01-02T03:04:05.25+00:00", "2024-01-02T04:04:05.25+01:00", None]
+    path.write_text(json.dumps([{"commit_id": str(i), "author_date": t, "deltas": i} for i, t in enumerate(times)], indent=1))
+    rows = read_dataset(spark, str(path), COMMIT_SCHEMA, whole=True).orderBy("commit_id").collect()
+    assert [r["deltas"] for r in rows] == [0, 1, 2, 3]
+    half = dt.datetime(2024, 1, 2, 3, 4, 5, 250_000)
+    assert [r["author_date"] for r in rows] == [half.replace(microsecond=0), half, half, None]
+    (tmp_path / "empty.json").write_text("[]")
+    assert read_dataset(spark, str(tmp_path / "empty.json"), COMMIT_SCHEMA, whole=True).isEmpty()
+
+
 def test_manifest_reads_back(spark, tmp_path):
     path = tmp_path / "branches.json"
     path.write_text(
