@@ -63,12 +63,19 @@ FROM events
 """
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events; where files are fewer than cores their rows are spread before the texts are made."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return events if len(events.inputFiles()) >= cores else events.repartition(cores)
+
+
 def base_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per event, shaped like a commit, with the helper column ``eid``."""
     # event times are stored without a zone; commits carry instants (UTC)
     return spark.sql(
         BASE_SQL.replace("FROM events", "FROM {events}"),
-        events=spark.read.parquet(f"{sf_dir}/events.parquet"),
+        events=_events(spark, sf_dir),
     ).withColumns(
         {
             "author_date": F.col("author_date").cast("timestamp"),
