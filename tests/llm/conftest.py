@@ -1,0 +1,20 @@
+from __future__ import annotations
+
+import pytest
+from pyspark.sql import functions as F
+
+DOC_SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+@pytest.fixture
+def make_docs(spark):
+    """Documents from (id, text) or (id, text, lang, source), with columns whose names clash with inner ones."""
+
+    def make(*rows):
+        full = [(r[0], r[1], *(r[2:] or ("en", "s")), len(r[1]) if r[1] is not None else None) for r in rows]
+        docs = spark.createDataFrame(full, DOC_SCHEMA)
+        for name in ("fp", "key", "block", "row_key", "words", "size", "term", "start", "root", "position", "n"):
+            docs = docs.withColumn(name, F.lit("x"))
+        return docs
+
+    return make
