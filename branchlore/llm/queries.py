@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from branchlore.llm import simhash_dedup
+from branchlore.llm import decontamination, simhash_dedup
 from branchlore.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,3 +33,8 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @_register
 def op6_simhash_dedup(spark, sf_dir):
     return simhash_dedup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op3_decontamination(spark, sf_dir):
+    return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
