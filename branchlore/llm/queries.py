@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from branchlore.llm import decontamination, simhash_dedup
+from branchlore.llm import decontamination, quality_rules, simhash_dedup, source_mixing
 from branchlore.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -38,3 +38,13 @@ def op6_simhash_dedup(spark, sf_dir):
 @_register
 def op3_decontamination(spark, sf_dir):
     return decontamination.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+@_register
+def op5_quality_rules(spark, sf_dir):
+    return quality_rules.quality(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op9_source_mixing(spark, sf_dir):
+    return source_mixing.mix(_table(spark, sf_dir, "documents"))
