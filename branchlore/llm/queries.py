@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from branchlore.llm import decontamination, quality_rules, simhash_dedup, source_mixing
+from branchlore.llm import decontamination, quality_rules, secret_scan, simhash_dedup, source_mixing
 from branchlore.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -48,3 +48,8 @@ def op5_quality_rules(spark, sf_dir):
 @_register
 def op9_source_mixing(spark, sf_dir):
     return source_mixing.mix(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op1_secret_scans(spark, sf_dir):
+    return secret_scan.secrets(_table(spark, sf_dir, "documents"))
