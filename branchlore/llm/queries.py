@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from branchlore.llm import decontamination, quality_rules, secret_scan, simhash_dedup, source_mixing
+from branchlore.llm import decontamination, license_scan, quality_rules, secret_scan, simhash_dedup, source_mixing
 from branchlore.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -53,3 +53,8 @@ def op9_source_mixing(spark, sf_dir):
 @_register
 def op1_secret_scans(spark, sf_dir):
     return secret_scan.secrets(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op2_license_scans(spark, sf_dir):
+    return license_scan.licences(_table(spark, sf_dir, "documents"))
