@@ -51,14 +51,14 @@ def _is_media(part: Column) -> Column:
 
 
 def attachments(parts: Column, turn: Column) -> Column:
-    """The parts that are not text, in order: ``turn``, ``index``, ``type``, ``ref``, ``tokens`` (expanded)."""
+    """The parts that are not text, in order: ``turn``, ``number``, ``type``, ``ref``, ``tokens`` (expanded)."""
     tokens = lambda p: F.coalesce(
         p["tokens"], *[F.when(p["type"] == kind, n) for kind, n in MEDIA_TOKENS.items()]
     )
     return F.transform(
         F.filter(F.coalesce(parts, F.array().cast(PARTS)), _is_media),
         lambda p, i: F.struct(
-            turn.alias("turn"), i.alias("index"), p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens")
+            turn.alias("turn"), i.alias("number"), p["type"].alias("type"), p["ref"].alias("ref"), tokens(p).alias("tokens")
         ),
     )
 

@@ -7,7 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from branchlore.llm import chat_format, decontamination, license_scan, quality_rules, secret_scan, simhash_dedup, source_mixing
+from branchlore.llm import (
+    chat_format,
+    decontamination,
+    html_extract,
+    license_scan,
+    quality_rules,
+    secret_scan,
+    simhash_dedup,
+    source_mixing,
+    token_counts,
+)
 from branchlore.session import configure
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -76,3 +86,13 @@ def _hostile(spark: SparkSession) -> DataFrame:
 def op4_chat_formatting(spark, sf_dir):
     told = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_format.chats(told.unionByName(_hostile(spark)))
+
+
+@_register
+def op8_token_counts(spark, sf_dir):
+    return token_counts.token_counts(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op10_html_extraction(spark, sf_dir):
+    return html_extract.extract(_table(spark, sf_dir, "pages"))

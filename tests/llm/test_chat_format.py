@@ -55,7 +55,7 @@ def test_parts_become_ordered_placeholders(spark):
     data = [(1, 0, "user", parts), (1, 1, "assistant", None), (1, 2, "user", [part("image", ref=None, tokens=3)])]
     row = chat_format.format_conversations(spark.createDataFrame(data, f"conv_id long, turn long, role string, parts {chat_format.PARTS}")).first()
     assert "see <||x <|image:0|> and <|audio:1|>?<|document:2|><|im_end|>" in row.formatted
-    assert [(a.turn, a.index, a.type, a.ref, a.tokens) for a in row.attachments] == [
+    assert [(a.turn, a.number, a.type, a.ref, a.tokens) for a in row.attachments] == [
         (0, 0, "image", "a.png", 256), (0, 1, "audio", "b.wav", 7), (0, 2, "document", "c.pdf", 512), (2, 0, "image", None, 3),
     ]
     assert row.expanded_tokens == 256 + 7 + 512 + 3
