@@ -28,6 +28,7 @@ from branchlore.staging import stage
 WINDOW = 10
 LISTS = 2  # rarest terms of a window whose lists are intersected
 SLACK = 4  # words by which shifted positions may differ in a proximity match
+CELL = 32  # positions that share a cell of the intersection
 NEAR_WORDS = 8  # of a window's words that a proximity match has within reach
 BITMAP_BITS = 1 << 22
 KEY = "decontamination_row_key"
@@ -52,6 +53,11 @@ def windows_of(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return cuts.distinct().groupBy("w").agg(F.sort_array(F.collect_list("item")).alias("items"))
 
 
+def window_key() -> Column:
+    """A short name of a window for the lists.  Windows that share one by chance are both compared in full later."""
+    return F.xxhash64("w")
+
+
 def _bitmap(terms: DataFrame) -> bytes:
     """One bit per CRC-32 modulo the bitmap's size; collects at most that many numbers."""
     bits = np.zeros(BITMAP_BITS, dtype=bool)
@@ -99,7 +105,7 @@ def _pairs(total: Counter) -> pa.RecordBatch:
 
 
 def rarest_terms(windows: DataFrame, texts: DataFrame, lists: int = LISTS) -> DataFrame:
-    """The rarest terms of every window that can occur: ``w``, ``rank`` (from 1), ``shift``, ``term``, ``of``.
+    """The rarest terms of every window that can occur: ``window``, ``rank`` (from 1), ``shift``, ``term``, ``of``.
 
     A window with a word that the corpus lacks cannot occur and is left out.
     """
@@ -110,9 +116,8 @@ def rarest_terms(windows: DataFrame, texts: DataFrame, lists: int = LISTS) -> Da
         F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shift", "term"))).alias("by_n")
     )
     ranked = ranked.where(F.col("by_n")[0]["n"] > 0).select("w", F.slice("by_n", 1, lists).alias("by_n"))
-    return ranked.select("w", F.size("by_n").alias("of"), F.posexplode("by_n").alias("rank", "t")).select(
-        "w", "of", (F.col("rank") + 1).alias("rank"), F.col("t.shift").alias("shift"), F.col("t.term").alias("term")
-    )
+    ranked = ranked.select(window_key().alias("window"), F.size("by_n").alias("of"), F.posexplode("by_n").alias("rank", "t"))
+    return ranked.select("window", "of", (F.col("rank") + 1).alias("rank"), F.col("t.shift").alias("shift"), F.col("t.term").alias("term"))
 
 
 def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
@@ -145,26 +150,26 @@ def postings(texts: DataFrame, terms: DataFrame) -> DataFrame:
     return rows.withColumn("term", F.col("term").cast("string"))
 
 
-def candidates(index: DataFrame, rarest: DataFrame, slack: int = SLACK) -> DataFrame:
-    """Where the shifted lists of a window's rarest terms agree within the slack: ``doc``, ``w``, ``start``."""
-    lists = index.join(rarest, "term").select(
-        "w", "rank", "of", "doc", F.explode("positions").alias("p"), "shift"
-    ).select("w", "rank", "of", "doc", (F.col("p") - F.col("shift")).alias("start"))
-    width = slack + 1
-    cell = lambda at: F.floor(at / F.lit(width)).cast("int")
-    found = lists.where("rank = 1").withColumn("cell", cell(F.col("start")))
-    alone, rest = found.where("of = 1"), found.where("of > 1")
-    others = lists.where("rank > 1").select(
-        F.col("w").alias("w2"), F.col("doc").alias("doc2"), F.col("rank").alias("rank2"), F.col("start").alias("start2"),
-        F.explode(F.sequence(cell(F.col("start") - slack), cell(F.col("start") + slack))).alias("cell2"),
-    )
-    for rank in range(2, LISTS + 1):
+def candidates(index: DataFrame, rarest: DataFrame, slack: int = SLACK, lists: int = LISTS) -> DataFrame:
+    """Where the shifted lists of a window's rarest terms agree within the slack: ``doc``, ``window``, ``start``."""
+    places = index.join(rarest, "term").select("window", "rank", "of", "doc", F.explode("positions").alias("p"), "shift")
+    places = places.select("window", "rank", "of", "doc", (F.col("p") - F.col("shift")).alias("start"))
+    cell = lambda at: F.floor(at / F.lit(CELL)).cast("int")
+    found = places.where("rank = 1").select("window", "of", "doc", "start")
+    for rank in range(2, lists + 1):
+        # the rarest list is the shortest: its places visit every cell that may hold an agreeing one
+        near = F.explode(F.sequence(cell(F.col("start") - slack), cell(F.col("start") + slack))).alias("cell")
+        visits = found.where(F.col("of") >= rank).select("window", "of", "doc", "start", near)
+        others = places.where(F.col("rank") == rank).select(
+            F.col("window").alias("window2"), F.col("doc").alias("doc2"), F.col("start").alias("start2"), cell(F.col("start")).alias("cell2")
+        )
         met = (
-            (F.col("w") == F.col("w2")) & (F.col("doc") == F.col("doc2")) & (F.col("cell") == F.col("cell2"))
+            (F.col("window") == F.col("window2")) & (F.col("doc") == F.col("doc2")) & (F.col("cell") == F.col("cell2"))
             & (F.abs(F.col("start") - F.col("start2")) <= slack)
         )
-        rest = rest.join(others.where(F.col("rank2") == rank), met, "left_semi")
-    return alone.unionByName(rest).select("doc", "w", "start").distinct()
+        agreed = visits.join(others, met, "left_semi").select("window", "of", "doc", "start").distinct()
+        found = found.where(F.col("of") < rank).unionByName(agreed)
+    return found.select("doc", "window", "start").distinct()
 
 
 def _judge(text: bytes, found: list[dict] | None, slack: int, near_words: int) -> tuple:
@@ -203,7 +208,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK, near_words:
     windows = stage(windows_of(benchmark), "benchmark-windows")
     rarest = stage(rarest_terms(windows, texts), "benchmark-terms")
     index = stage(postings(texts, rarest.select("term").distinct()), "benchmark-postings")
-    found = candidates(index, rarest, slack).join(windows, "w")
+    found = candidates(index, rarest, slack).join(windows.withColumn("window", window_key()), "window")
     per_doc = found.groupBy(F.col("doc").alias(KEY)).agg(F.collect_list(F.struct("start", "w", "items")).alias("found"))
     return map_rows(
         texts.join(per_doc, KEY, "left"),
