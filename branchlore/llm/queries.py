@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from branchlore.llm import (
     chat_format,
+    class_lm,
     decontamination,
     html_extract,
     license_scan,
@@ -96,3 +97,8 @@ def op8_token_counts(spark, sf_dir):
 @_register
 def op10_html_extraction(spark, sf_dir):
     return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
+@_register
+def op7_lm_scoring(spark, sf_dir):
+    return class_lm.score(_table(spark, sf_dir, "documents"))
