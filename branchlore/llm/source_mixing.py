@@ -162,5 +162,8 @@ def ordered_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
     pass_, finish = "mix_pass", "mix_finish"
     while {pass_, finish} & set(docs.columns):
         pass_, finish = f"_{pass_}", f"_{finish}"
-    ranged = texts.join(chosen, [KEY, "nth"]).orderBy("place")
+    # both sides lie by their key already; only that one is joined on, the number is compared after
+    chosen = chosen.select(F.col(KEY).alias("key"), F.col("nth").alias("nth_copy"), "pass", "place")
+    same = (F.col(KEY) == F.col("key")) & (F.col("nth") - F.col("nth_copy") == 0)
+    ranged = texts.join(chosen, same).orderBy("place")
     return ranged.select("doc.*", F.col("pass").alias(pass_), F.col("place.finish").alias(finish))
