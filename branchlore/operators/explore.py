@@ -19,6 +19,7 @@ from branchlore.functions.times import commit_day
 from branchlore.operators import rollups
 from branchlore.operators.membership import having_key
 from branchlore.operators.ordering import newest, order_by
+from branchlore.staging import stage
 
 AUTHOR_ORDER = ("-commit_count", "-last_commit_at", "first_seen")
 RECENT = 25
@@ -51,17 +52,28 @@ def keep_authors(facts: DataFrame, authors: DataFrame) -> DataFrame:
 
 
 def author_summaries(facts: DataFrame) -> DataFrame:
-    """Per (e-mail, name) across branches, with the sorted set of branches."""
+    """Per (e-mail, name) across branches."""
     return (
         rollups.as_facts(facts)
         .groupBy("author_email", "author_name")
-        .agg(
-            *rollups.measures("commit_count", *rollups.TOTALS, "last_commit_at", "first_seen"),
-            F.sort_array(F.collect_set("branch")).alias("branches"),
-        )
+        .agg(*rollups.measures("commit_count", *rollups.TOTALS, "last_commit_at"))
     )
 
 
+def with_branches(authors: DataFrame, facts: DataFrame) -> DataFrame:
+    """Adds the sorted set of branches that an author has commits on in ``facts``."""
+    pairs = facts.select("author_email", "author_name", "branch").distinct()
+    sets = pairs.groupBy("author_email", "author_name").agg(F.sort_array(F.collect_list("branch")).alias("branches"))
+    return _with_author(authors, sets, "branches")
+
+
+def _with_author(authors: DataFrame, more: DataFrame, *columns: str) -> DataFrame:
+    """The authors with columns of another table of them; unknown e-mails and names match each other."""
+    named = more.select(F.col("author_email").alias("_email"), F.col("author_name").alias("_name"), *columns)
+    same = F.col("author_email").eqNullSafe(F.col("_email")) & F.col("author_name").eqNullSafe(F.col("_name"))
+    return authors.join(named, same).select(*authors.columns, *columns)
+
+
 def matching(authors: DataFrame, search: str) -> DataFrame:
     """Case-insensitive substring of name or e-mail; a blank term matches all."""
     term = search.strip().lower()
@@ -73,9 +85,35 @@ def matching(authors: DataFrame, search: str) -> DataFrame:
     )
 
 
-def top_authors(authors: DataFrame, count: int) -> DataFrame:
-    """Most commits, then latest commit, then first appearance in the commit order."""
-    return authors.orderBy(*order_by(*AUTHOR_ORDER)).limit(count)
+def top_authors(authors: DataFrame, count: int, commits: DataFrame) -> DataFrame:
+    """Most commits, then latest commit, then first appearance in the commit order, with their branches.
+
+    Counts and dates alone find the last author wanted; ``commits``, under the same filters,
+    is then read only for the authors not behind that one, which breaks ties exactly.
+    """
+    # an unknown latest date is the greatest
+    place = F.struct("commit_count", F.col("last_commit_at").isNull().alias("unknown"), "last_commit_at")
+    ahead = authors.select(place.alias("place")).orderBy(F.desc("place")).limit(count)
+    wanted = authors.where(place >= ahead.agg(F.min("place")).scalar())
+    theirs = _with_author(
+        commits.select("author_email", "author_name", "branch", "author_date", "commit_id"),
+        wanted.select("author_email", "author_name"),
+    )
+    seen = theirs.groupBy("author_email", "author_name").agg(
+        F.min(_appearance()).alias("first_seen"), F.sort_array(F.collect_set("branch")).alias("branches")
+    )
+    return _with_author(wanted, seen, "first_seen", "branches").orderBy(*order_by(*AUTHOR_ORDER)).limit(count)
+
+
+def _appearance() -> Column:
+    """Position in the order (branch, newest first, commit_id), used to break ties."""
+    return F.struct(
+        F.col("branch"),
+        F.col("author_date").isNotNull().alias("dated"),
+        (-F.unix_micros("author_date")).alias("age"),
+        F.col("commit_id").isNull().alias("anonymous"),
+        F.col("commit_id"),
+    )
 
 
 def scope_authors(facts: DataFrame, filters: Filters) -> DataFrame:
@@ -83,8 +121,10 @@ def scope_authors(facts: DataFrame, filters: Filters) -> DataFrame:
     return matching(author_summaries(in_scope(facts, filters)), filters.search)
 
 
-def picker(facts: DataFrame, filters: Filters) -> DataFrame:
-    return top_authors(scope_authors(facts, filters), PICKER_AUTHORS)
+def picker(facts: DataFrame, filters: Filters, commits: DataFrame | None = None) -> DataFrame:
+    """The authors offered; pass the ``commits`` where ``facts`` is the activity table."""
+    commits = in_scope(facts if commits is None else commits, filters)
+    return top_authors(scope_authors(facts, filters), PICKER_AUTHORS, commits)
 
 
 def sync_authors(facts: DataFrame, filters: Filters) -> Filters:
@@ -96,10 +136,10 @@ def sync_authors(facts: DataFrame, filters: Filters) -> Filters:
     return replace(filters, authors=tuple(a for a in filters.authors if a in valid))
 
 
-def select_visible_authors(facts: DataFrame, filters: Filters) -> Filters:
+def select_visible_authors(facts: DataFrame, filters: Filters, commits: DataFrame | None = None) -> Filters:
     """Choose every author the picker shows (at most 60 rows are read)."""
-    shown = [row[0] for row in picker(facts, filters).select("author_email").collect()]
-    return replace(filters, authors=tuple(email for email in shown if email is not None))
+    shown = [row[0] for row in picker(facts, filters, commits).select("author_email").collect()]
+    return replace(filters, authors=tuple(dict.fromkeys(e for e in shown if e is not None)))
 
 
 def branch_summaries(facts: DataFrame, config: BuildConfig) -> DataFrame:
@@ -124,25 +164,18 @@ def daily_series(facts: DataFrame) -> DataFrame:
 def dense_series(facts: DataFrame, filters: Filters, config: BuildConfig) -> DataFrame:
     """The metric for every selected branch on every day any of them was active, 0 where idle.
 
-    One aggregate per day with a column per selected branch, turned back into rows: no
-    join and no product of days and branches.
+    Added up per day and branch first; a day's few sums then become a map that is read once
+    per selected branch.  Work per commit does not grow with the branches.
     """
     selected = [b for b in config.branches if b in filters.branches]
-    if not selected:
-        nothing = rollups.as_facts(facts).where(F.lit(False))
-        return nothing.select("commit_day", "branch", F.col(filters.metric).alias("value"))
-    of_branch = [
-        F.coalesce(F.sum(F.when(F.col("branch") == b, F.col(filters.metric))), F.lit(0)).alias(f"b{i}")
-        for i, b in enumerate(selected)
-    ]
-    points = F.array(
-        *[
-            F.struct(F.lit(b).alias("branch"), F.col(f"b{i}").alias("value"))
-            for i, b in enumerate(selected)
-        ]
+    daily = rollups.as_facts(facts).where(F.col("commit_day").isNotNull() & F.col("branch").isin(*selected))
+    sums = daily.groupBy("commit_day", "branch").agg(F.sum(filters.metric).alias("value"))
+    days = sums.groupBy("commit_day").agg(F.map_from_entries(F.collect_list(F.struct("branch", "value"))).alias("sums"))
+    points = F.transform(
+        F.array(*map(F.lit, selected)).cast("array<string>"),
+        lambda b: F.struct(b.alias("branch"), F.coalesce(F.element_at("sums", b), F.lit(0)).alias("value")),
     )
-    days = rollups.as_facts(facts).where(F.col("commit_day").isNotNull()).groupBy("commit_day")
-    return days.agg(*of_branch).select("commit_day", F.inline(points))
+    return days.select("commit_day", F.inline(points))
 
 
 def headline(facts: DataFrame, filters: Filters) -> DataFrame:
@@ -164,24 +197,26 @@ def recent(commits: DataFrame, count: int = RECENT) -> DataFrame:
 def explore(
     commits: DataFrame, filters: Filters, config: BuildConfig, facts: DataFrame | None = None
 ) -> dict[str, DataFrame]:
-    """All panels of one selection; pass the activity table as ``facts`` where there is one."""
+    """All panels of one selection; pass the activity table as ``facts`` where there is one.
+
+    Without it the commits in scope are added up once, staged, and all panels derive from that.
+    """
     filters = filters.normalized(config)
-    facts = rollups.as_facts(commits) if facts is None else facts
+    if facts is None:
+        facts = stage(rollups.activity(in_scope(commits, filters)), "explorer-activity")
     filters = sync_authors(facts, filters)
-    chosen = apply_filters(facts, filters)
+    chosen, chosen_commits = apply_filters(facts, filters), apply_filters(commits, filters)
     authors = author_summaries(chosen)
     branches = branch_summaries(chosen, config)
-    dense = dense_series(chosen, filters, config)
+    chart = branches.select("position", short_label("branch").alias("label"), "commit_count")
     return {
         "stats": headline(chosen, filters),
         "branches": branches.orderBy("position"),
-        "branch_chart": rollups.share_of_largest(
-            branches.select("position", short_label("branch").alias("label"), "commit_count"), "commit_count"
-        ).orderBy("position"),
+        "branch_chart": rollups.share_of_largest(chart, "commit_count").orderBy("position"),
         "daily": daily_series(chosen).orderBy("commit_day", "branch"),
-        "series": rollups.share_of_largest(dense, "value"),
-        "authors": top_authors(authors, TABLE_AUTHORS),
-        "author_chart": rollups.share_of_largest(top_authors(authors, CHART_AUTHORS), "commit_count"),
-        "picker": picker(facts, filters),
-        "recent": recent(apply_filters(commits, filters)),
+        "series": rollups.share_of_largest(dense_series(chosen, filters, config), "value"),
+        "authors": top_authors(authors, TABLE_AUTHORS, chosen_commits),
+        "author_chart": rollups.share_of_largest(top_authors(authors, CHART_AUTHORS, chosen_commits), "commit_count"),
+        "picker": picker(facts, filters, commits),
+        "recent": recent(chosen_commits),
     }

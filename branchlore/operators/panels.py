@@ -41,10 +41,13 @@ def in_range(df: DataFrame, column: str, start: dt.datetime | None, end: dt.date
     return df
 
 
+def _utc(moment: dt.datetime) -> dt.datetime:
+    """The moment in UTC; without a zone it is UTC already, whatever the driver's zone."""
+    return moment.astimezone(dt.timezone.utc) if moment.tzinfo else moment.replace(tzinfo=dt.timezone.utc)
+
+
 def _instant(moment: dt.datetime):
-    """A literal instant; a moment without a zone is UTC, whatever the driver's zone."""
-    moment = moment if moment.tzinfo else moment.replace(tzinfo=dt.timezone.utc)
-    return F.lit(moment)
+    return F.lit(_utc(moment))
 
 
 def daily_panel(
@@ -60,10 +63,11 @@ def daily_panel(
     It is put as a range of days, which reaches the scan as a range of author dates.
     """
     if start is not None:
+        start = _utc(start)
         first = start.date() + dt.timedelta(days=start.time() != dt.time())
         daily = daily.where(F.col("commit_day") >= F.lit(first))
     if end is not None:
-        daily = daily.where(F.col("commit_day") <= F.lit(end.date()))
+        daily = daily.where(F.col("commit_day") <= F.lit(_utc(end).date()))
     midnight = F.col("commit_day").cast("timestamp")
     return (
         daily.where(F.col("commit_day").isNotNull())
@@ -109,6 +113,36 @@ def recent_panel(
     )
 
 
+def facts_in_range(commits: DataFrame, activity: DataFrame, start: dt.datetime, end: dt.datetime) -> DataFrame:
+    """The facts of a range: whole days from the activity table, the two cut days from the commits."""
+    start, end = _utc(start), _utc(end)
+    whole = activity.where(F.col("commit_day") > F.lit(start.date())).where(F.col("commit_day") < F.lit(end.date()))
+    first_ends = dt.datetime.combine(start.date(), dt.time.max, dt.timezone.utc)
+    last_begins = max(dt.datetime.combine(end.date(), dt.time.min, dt.timezone.utc), first_ends)
+    date = F.col("author_date")
+    first = in_range(commits, "author_date", start, min(first_ends, end))
+    last = in_range(commits.where(date > _instant(first_ends)), "author_date", last_begins, end)
+    return whole.unionByName(rollups.as_facts(first)).unionByName(rollups.as_facts(last))
+
+
+def live_panels(
+    commits: DataFrame, activity: DataFrame, start: dt.datetime | None = None, end: dt.datetime | None = None
+) -> dict[str, DataFrame]:
+    """The dashboard's panel queries by title, over the activity table as far as days are whole.
+
+    The range has both bounds or none.
+    """
+    daily = rollups.daily_activity(activity)
+    facts = facts_in_range(commits, activity, start, end) if start and end else activity
+    return {
+        "Daily Commit Count By Branch": daily_panel(daily, "commit_count", start, end),
+        "Daily Insertions By Branch": daily_panel(daily, "total_insertions", start, end),
+        "Branch Summary": branch_panel(facts),
+        "Top Authors": authors_panel(facts),
+        "Recent Commits": recent_panel(commits, start, end),
+    }
+
+
 def timed(commits: DataFrame) -> DataFrame:
     """``author_date`` as ``time`` and as epoch milliseconds."""
     return commits.withColumn("time_unix_ms", epoch_millis("author_date")).withColumnRenamed(

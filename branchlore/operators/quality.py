@@ -25,48 +25,76 @@ class Panel(NamedTuple):
     columns: tuple[Selector, ...]
 
 
-def _columns(spec: str) -> tuple[Selector, ...]:
-    return tuple(Selector(name, name, kind) for name, kind in (item.split(":") for item in spec.split()))
+def _columns(*named: tuple[str, str]) -> tuple[Selector, ...]:
+    return tuple(Selector(name, name, kind) for name, kind in named)
 
 
-_CHURN = "total_insertions:number total_deletions:number total_changed_files:number last_commit_at:timestamp"
 # The dashboard panels, the section each reads and its typed columns.
 PANELS = (
     Panel(
         "Daily Commit Count By Branch",
         "timeseries",
         ("daily_activity",),
-        _columns("time:timestamp branch:string commit_count:number"),
+        _columns(("time", "timestamp"), ("branch", "string"), ("commit_count", "number")),
     ),
     Panel(
         "Daily Insertions By Branch",
         "timeseries",
         ("daily_activity",),
-        _columns("time:timestamp branch:string total_insertions:number"),
+        _columns(("time", "timestamp"), ("branch", "string"), ("total_insertions", "number")),
     ),
     Panel(
         "Branch Summary",
         "table",
         ("branch_summary",),
-        _columns("branch:string commit_count:number author_count:number " + _CHURN),
+        _columns(
+            ("branch", "string"),
+            ("commit_count", "number"),
+            ("author_count", "number"),
+            ("total_insertions", "number"),
+            ("total_deletions", "number"),
+            ("total_changed_files", "number"),
+            ("last_commit_at", "timestamp"),
+        ),
     ),
     Panel(
         "Top Authors",
         "table",
         ("author_summary",),
-        _columns("branch:string author_name:string author_email:string commit_count:number " + _CHURN),
+        _columns(
+            ("branch", "string"),
+            ("author_name", "string"),
+            ("author_email", "string"),
+            ("commit_count", "number"),
+            ("total_insertions", "number"),
+            ("total_deletions", "number"),
+            ("total_changed_files", "number"),
+            ("last_commit_at", "timestamp"),
+        ),
     ),
     Panel(
         "Recent Commits",
         "table",
         ("recent_commits",),
         _columns(
-            "time:timestamp branch:string author_name:string summary:string"
-            " insertions:number deletions:number changed_files:number"
+            ("time", "timestamp"),
+            ("branch", "string"),
+            ("author_name", "string"),
+            ("summary", "string"),
+            ("insertions", "number"),
+            ("deletions", "number"),
+            ("changed_files", "number"),
         ),
     ),
 )
-EXPECTED_PANELS = tuple(panel.title for panel in PANELS)
+# The panels a dashboard must have, whatever the list above holds.
+EXPECTED_PANELS = (
+    "Branch Summary",
+    "Daily Commit Count By Branch",
+    "Daily Insertions By Branch",
+    "Recent Commits",
+    "Top Authors",
+)
 PANEL_KINDS = ("timeseries", "table")
 
 
@@ -113,27 +141,27 @@ def gate(
 ) -> DataFrame:
     """The report over all panels; each dataset is read once, for all panels on it."""
     missing = missing_panels(panels, expected)
-    findings = [("panels_present", title, "error", "panel is missing") for title in missing]
+    findings = [("panels_present", title, "error", "not on the dashboard") for title in missing]
     if not missing:
         findings.append(("panels_present", "all", "ok", f"{len(panels)} panels"))
     covered: dict[str, list[tuple[str, str]]] = {}
     for panel in panels:
         if panel.kind not in PANEL_KINDS:
-            findings.append(("panel_kind", panel.title, "error", f"unexpected kind {panel.kind!r}"))
+            findings.append(("panel_kind", panel.title, "error", f"kind {panel.kind!r} is none of {', '.join(PANEL_KINDS)}"))
         if len(panel.datasets) != 1:
             findings.append(
-                ("one_dataset", panel.title, "error", f"expected exactly one dataset, found {len(panel.datasets)}")
+                ("one_dataset", panel.title, "error", f"reads {len(panel.datasets)} datasets instead of one")
             )
             continue
         name = panel.datasets[0]
         if name not in datasets:
-            findings.append(("section_present", panel.title, "error", f"no section {name!r}"))
+            findings.append(("section_present", panel.title, "error", f"the document has no {name}"))
             continue
         df = datasets[name]
         selectors = [c.selector for c in panel.columns]
         absent = sorted(set(selectors) - set(df.columns))
         if absent:
-            findings.append(("columns_present", panel.title, "error", f"{name} lacks {', '.join(absent)}"))
+            findings.append(("columns_present", panel.title, "error", f"not in {name}: {', '.join(absent)}"))
             continue
         covered.setdefault(name, []).extend((panel.title, selector) for selector in selectors)
     coverage = [_coverage_findings(datasets[name], wanted) for name, wanted in covered.items()]
@@ -151,7 +179,7 @@ def _coverage_findings(df: DataFrame, wanted: list[tuple[str, str]]) -> DataFram
         F.lit("column_coverage").alias("check"),
         F.concat_ws(".", "title", "column_name").alias("target"),
         F.when(empty | unfilled, "error").otherwise("ok").alias("status"),
-        F.when(empty, "section is empty")
+        F.when(empty, "no rows")
         .otherwise(F.concat_ws(" of ", F.col("filled_rows"), F.col("row_count")))
         .alias("detail"),
     )

@@ -7,6 +7,7 @@ lacks; rows without an id are kept, and a commit on two such branches counts on
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -15,11 +16,7 @@ from pyspark.sql import functions as F
 from branchlore.config import BuildConfig
 from branchlore.operators.membership import lacking_key
 from branchlore.schema import CHURN_COLUMNS, COMMIT_SCHEMA
-from branchlore.staging import stage
-
-# Rows of (branch, commit_id) that may be sent whole to every executor: about 100 bytes
-# each in a hash table, so 100 MB at most.
-BROADCAST_KEYS = 1_000_000
+from branchlore.staging import staging_path, stored
 
 
 def union_branches(tables: Mapping[str, DataFrame], branches: Sequence[str]) -> DataFrame:
@@ -55,26 +52,31 @@ def reconcile_table(commits: DataFrame, config: BuildConfig) -> DataFrame:
 
 
 def reconcile_keys_first(tables: Mapping[str, DataFrame], config: BuildConfig) -> DataFrame:
-    """The unified relation, finding the surviving ids before touching a message.
+    """The unified relation, finding the surviving ids before touching a message."""
+    return survivors_first(tables, config)[0]
+
+
+def survivors_first(tables: Mapping[str, DataFrame], config: BuildConfig) -> tuple[DataFrame, str | None]:
+    """The unified relation and the path of the staged ids it reads, to be released after use.
 
     Long-lived branches share most of their history with the root, so the join that
-    decides reads ids only, and its small result is staged.  Where that result has at
-    most ``BROADCAST_KEYS`` rows the wide rows are filtered in place, without a
-    shuffle; beyond it they are shuffled, and a hot id is split at run time.
+    decides reads ids only, and its small result is staged.  The stored size of that
+    result lets the planner choose: sent to the executors where it is small, else
+    shuffled with the wide rows, and a hot id is split at run time.
     """
     root, others = _split(tables, config)
     if others is None:
-        return root
+        return root, None
     ids = others.select("branch", "commit_id").distinct()
-    own = stage(lacking_key(ids, root, "commit_id"), "branch-only-commits")
-    own = F.broadcast(own) if own.count() <= BROADCAST_KEYS else own
+    path = staging_path(root.sparkSession, "branch-only-commits")
+    own = stored(lacking_key(ids, root, "commit_id"), path)
     kept = others.alias("o").join(
         own.alias("k"),
         (F.col("o.branch") == F.col("k.branch"))
         & F.col("o.commit_id").eqNullSafe(F.col("k.commit_id")),
         "left_semi",
     )
-    return root.unionByName(kept)
+    return root.unionByName(kept), path
 
 
 def _split(tables: Mapping[str, DataFrame], config: BuildConfig):
@@ -91,44 +93,72 @@ def drop_churn(table: DataFrame) -> DataFrame:
     return table.withColumns({c: F.lit(None).cast("long") for c in CHURN_COLUMNS})
 
 
-def newest_commits(table: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` newest rows of one branch table, 0 for all.
+def newest_commits(tables: Mapping[str, DataFrame], limit: int) -> dict[str, DataFrame]:
+    """The ``limit`` newest rows of every branch table, 0 for all.
 
     Newest is ``commit_date`` descending (unknown dates first), then ``commit_id``.
-    The cut is found by counting: per slice of 19 hours, per second in the slice that
-    holds the cut, per date in that second, per id prefix, per id.  Each count reads
-    two columns and yields one bucket, so no sort and no single task ever sees the
-    whole branch, and the rows themselves are filtered where they lie.
+    Each branch's cut is found by counting: per slice of 19 hours, per second in the slice
+    that holds the cut, per date in that second, then per id prefix, four characters more
+    each time.  A step is one query for all branches; it counts two columns and yields one
+    bucket per branch.  No branch is ever sorted, and rows are filtered where they lie.
     """
     if limit == 0:
-        return table
-    age = F.when(F.col("commit_date").isNull(), F.lit(_UNKNOWN)).otherwise(
-        -F.unix_micros(F.col("commit_date"))
-    )
-    prefix, commit_id = F.substring("commit_id", 1, 4), F.col("commit_id")
-    kept, inside, wanted = F.lit(False), F.lit(True), limit
-    steps = [
-        (F.shiftright(age, bits), partial(_newer, bits), partial(_in_slice, bits))
-        for bits in _SLICE_BITS
-    ] + [(id_part, partial(_smaller, id_part), id_part.eqNullSafe) for id_part in (prefix, commit_id)]
+        return dict(tables)
+    cuts = {branch: _Cut(limit) for branch in tables}
+    steps = [(F.shiftright(_age(), bits), partial(_newer, bits), partial(_in_slice, bits)) for bits in _SLICE_BITS]
     # conditions are only and-ed and or-ed, so an unknown one drops the row, and plain
     # comparisons with dates reach the scan
-    for bucket, before, same in steps:
-        cut = _cut(table.where(inside), bucket, wanted)
-        if cut is None:
-            return table
-        kept = kept | (inside & before(cut["bucket"]))
-        inside = inside & same(cut["bucket"])
-        wanted -= cut["before"]
-        if wanted == cut["rows"]:
-            return table.where(kept | inside)
-    return table.where(kept).unionByName(_copies(table.where(inside), wanted))
+    while open_ := {branch: cut for branch, cut in cuts.items() if cut.open}:
+        step = next(iter(open_.values())).step
+        if step < len(steps):
+            bucket, before, same = steps[step]
+        else:
+            length = _PREFIX * (step - len(steps) + 1)
+            bucket = F.substring("commit_id", 1, length)
+            before, same = partial(_smaller, bucket), bucket.eqNullSafe
+        found = _buckets({b: tables[b].where(c.inside) for b, c in open_.items()}, bucket, {b: c.wanted for b, c in open_.items()})
+        for branch, cut in open_.items():
+            row = found.get(branch)
+            if row is None:  # the branch has fewer rows
+                cut.kept, cut.open = F.lit(True), False
+                continue
+            cut.kept = cut.kept | (cut.inside & before(row.bucket))
+            cut.inside = cut.inside & same(row.bucket)
+            cut.wanted -= row.before
+            cut.step += 1
+            if cut.wanted == row.rows:
+                cut.kept, cut.open = cut.kept | cut.inside, False
+            elif step >= len(steps) and (row.bucket is None or len(row.bucket) < length):
+                cut.copies, cut.open = True, False  # the bucket is one whole id
+    kept = {}
+    for branch, cut in cuts.items():
+        rows = tables[branch].where(cut.kept)
+        kept[branch] = rows.unionByName(_copies(tables[branch].where(cut.inside), cut.wanted)) if cut.copies else rows
+    return kept
+
+
+@dataclass
+class _Cut:
+    """How far a branch's cut is known: rows surely kept, rows that hold the cut, and how many of these to keep."""
+
+    wanted: int
+    kept: Column = field(default_factory=lambda: F.lit(False))
+    inside: Column = field(default_factory=lambda: F.lit(True))
+    step: int = 0
+    open: bool = True
+    copies: bool = False
 
 
 # Age is the negated date in microseconds; an unknown date has the smallest.  Slices of
 # 2^36 microseconds are about 19 hours, of 2^20 about a second, of 2^0 a single date.
 _UNKNOWN = -(2**63)
 _SLICE_BITS = (36, 20, 0)
+_PREFIX = 4  # characters of an id that one step more looks at
+
+
+def _age() -> Column:
+    date = F.col("commit_date")
+    return F.when(date.isNull(), F.lit(_UNKNOWN)).otherwise(-F.unix_micros(date))
 
 
 def _date(age: int) -> Column:
@@ -156,40 +186,33 @@ def _smaller(column: Column, value: str | None) -> Column:
     return column.isNotNull() if value is None else column < value
 
 
-def _cut(rows: DataFrame, bucket: Column, wanted: int):
-    """The bucket holding row number ``wanted``, with its size and the rows before it.
+def _buckets(rows: Mapping[str, DataFrame], bucket: Column, wanted: Mapping[str, int]) -> dict:
+    """Per branch the bucket holding row number ``wanted``, with its size and the rows before it.
 
-    The running sum is over the buckets of one narrowing step, not over commits: slices
-    of a history, 65,536 seconds, 1,048,576 dates, id prefixes, ids of one prefix.
+    The running sums are over the buckets of one narrowing step, not over commits: slices
+    of a history, 65,536 seconds, 1,048,576 dates, prefixes of four more characters.
     """
-    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
-    ordered = Window.orderBy(F.asc_nulls_last("bucket"))
+    named = [df.select(F.lit(branch).alias("branch"), bucket.alias("bucket")) for branch, df in rows.items()]
+    counts = reduce(DataFrame.unionByName, named).groupBy("branch", "bucket").agg(F.count(F.lit(1)).alias("rows"))
+    ordered = Window.partitionBy("branch").orderBy(F.asc_nulls_last("bucket"))
     upto = F.sum("rows").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    running = counts.withColumn("upto", upto)
-    found = running.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("rows") < wanted))
-    return found.select("bucket", "rows", (F.col("upto") - F.col("rows")).alias("before")).first()
-
-
-_COPIES_PER_ARRAY = 10_000
+    want = F.element_at(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair]), F.col("branch"))
+    running = counts.withColumn("upto", upto).withColumn("want", want)
+    found = running.where((F.col("upto") >= F.col("want")) & (F.col("upto") - F.col("rows") < F.col("want")))
+    # one row per branch
+    return {r.branch: r for r in found.select("branch", "bucket", "rows", (F.col("upto") - F.col("rows")).alias("before")).collect()}
 
 
 def _copies(copies: DataFrame, wanted: int) -> DataFrame:
-    """Any ``wanted`` of the rows that share date and id.
+    """Any ``wanted`` of the rows that share date and id: by a hash of the whole row, equal rows last.
 
-    Equal rows are counted, not gathered, and written out again from the count.
+    Only the hashes are counted and added up.
     """
-    columns = copies.columns
-    counted = copies.groupBy(*columns).agg(F.count(F.lit(1)).alias("_rows"))
-    variants = Window.orderBy(F.xxhash64(*columns), *columns)
-    before = F.sum("_rows").over(variants.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_rows")
-    taken = F.least(F.col("_rows"), F.lit(wanted) - before)
-    last_chunk = F.call_function("div", F.col("_taken") - 1, F.lit(_COPIES_PER_ARRAY))
-    chunk = F.explode(F.sequence(F.lit(0), last_chunk))
-    size = F.least(F.lit(_COPIES_PER_ARRAY), F.col("_taken") - F.col("_chunk") * _COPIES_PER_ARRAY)
-    return (
-        counted.withColumn("_taken", taken)
-        .where(F.col("_taken") > 0)
-        .select(*columns, "_taken", chunk.alias("_chunk"))
-        .select(*columns, F.explode(F.sequence(F.lit(1), size)))
-        .select(*columns)
+    whole = F.xxhash64(*copies.columns)
+    counts = copies.groupBy(whole.alias("bucket")).agg(F.count(F.lit(1)).alias("rows"))
+    upto = F.sum("rows").over(Window.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))
+    running = counts.withColumn("upto", upto)
+    cut = running.where((F.col("upto") >= wanted) & (F.col("upto") - F.col("rows") < wanted)).first()
+    return copies.where(whole < cut.bucket).unionByName(
+        copies.where(whole == cut.bucket).limit(wanted - (cut.upto - cut.rows))
     )

@@ -32,32 +32,23 @@ def as_facts(facts: DataFrame) -> DataFrame:
         F.col("changed_files").alias("total_changed_files"),
         F.col("author_date").alias("first_commit_at"),
         F.col("author_date").alias("last_commit_at"),
-        _appearance().alias("first_seen"),
-    )
-
-
-def _appearance() -> Column:
-    """Position in the order (branch, newest first, commit_id), used to break ties."""
-    return F.struct(
-        F.col("branch"),
-        F.col("author_date").isNotNull().alias("dated"),
-        (-F.unix_micros("author_date")).alias("age"),
-        F.col("commit_id").isNull().alias("anonymous"),
-        F.col("commit_id"),
     )
 
 
 def measures(*names: str) -> list[Column]:
-    how = {"first_commit_at": F.min, "last_commit_at": F.max, "first_seen": F.min}
+    how = {"first_commit_at": F.min, "last_commit_at": F.max}
     return [how.get(name, F.sum)(name).alias(name) for name in names]
 
 
 def activity(commits: DataFrame) -> DataFrame:
-    """Commits added up per branch, day and author: the table the explorer reads."""
+    """Commits added up per branch, day and author: the table the explorer reads.
+
+    Only numbers and times are aggregated, so commits are hashed and never sorted.
+    """
     return (
         as_facts(commits)
         .groupBy("branch", "commit_day", "author_name", "author_email")
-        .agg(*measures("commit_count", *TOTALS, "first_commit_at", "last_commit_at", "first_seen"))
+        .agg(*measures("commit_count", *TOTALS, "first_commit_at", "last_commit_at"))
     )
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Mapping
+from collections.abc import Iterable, Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +12,15 @@ from branchlore.config import BuildConfig
 from branchlore.operators import panels, quality, rollups
 from branchlore.operators.enrich import commit_trailers, enrich
 from branchlore.operators.ordering import DATASET_ORDERS
-from branchlore.operators.reconcile import reconcile, reconcile_keys_first, root_view
+from branchlore.operators.reconcile import reconcile, root_view, survivors_first
 from branchlore.schema import trailer_field_catalog
 from branchlore.session import size_shuffles
 from branchlore.sinks import document as doc
-from branchlore.sinks.export import clear_outputs, write_dataset
+from branchlore.sinks.export import write_dataset
 from branchlore.sinks.tables import publish_views, write_facts, write_rollup
 from branchlore.sources.branch_tables import load_catalog_branches
+from branchlore.sources.datasets import read_sections
+from branchlore.staging import release
 
 
 def relations(spark: SparkSession, commits: DataFrame, trailers: DataFrame, facts: DataFrame) -> dict[str, DataFrame]:
@@ -53,7 +55,7 @@ def publish_from_catalog(spark: SparkSession, config: BuildConfig) -> BuildConfi
 @dataclass
 class Build:
     """What a build wrote: stored relations, paths of the exports and of the document sections
-    too large to inline, and the gate's report."""
+    beside the document, and the gate's report, stored as well."""
 
     relations: dict[str, DataFrame]
     paths: dict[str, str]
@@ -73,10 +75,12 @@ EXPORTS = {
     "trailer_people_summary": "trailer_people_summary",
     "branch_summary": "branch_summary",
 }
-
-
-def section_name(section: str) -> str:
-    return f"dashboard_{section}"
+# Sections that equal an export, row by row and in order.
+SECTION_EXPORTS = {
+    "author_summary": "authors",
+    "trailer_summary": "trailer_summary",
+    "trailer_people_summary": "trailer_people_summary",
+}
 
 
 def build(
@@ -85,18 +89,21 @@ def build(
     config: BuildConfig,
     out: str,
     as_of: dt.datetime,
-    inline_rows: int = doc.INLINE_ROWS,
     input_bytes: int | None = None,
 ) -> Build:
     """Run everything under ``out``; refreshing is running it again.
 
     Messages are read once: for the stored ``commits``.  Trailer rollups read the stored
     ``commit_trailers``, the others the stored ``activity``, and exports read stored rollups.
-    ``input_bytes``, the size of the commit tables, lets shuffles start with enough parts.
+    The gate reads the written document and what it names.  ``input_bytes``, the size of the
+    commit tables, lets shuffles start with enough parts.
     """
     if input_bytes:
         size_shuffles(spark, input_bytes)
-    commits = write_facts(enrich(reconcile_keys_first(tables, config)), f"{out}/tables/commits", "author_date")
+    unified, staged = survivors_first(tables, config)
+    commits = write_facts(enrich(unified), f"{out}/tables/commits", "author_date")
+    if staged:
+        release(spark, staged)
     trailers = write_facts(commit_trailers(commits), f"{out}/tables/commit_trailers", "author_date")
     facts = write_facts(rollups.activity(commits), f"{out}/tables/activity", "commit_day")
     stored = {}
@@ -104,34 +111,50 @@ def build(
         keep = name in ("commits", "commit_trailers", "trailer_field_catalog")
         stored[name] = df if keep else write_rollup(df, f"{out}/tables/{name}")
 
-    # sections that fit into the document this time must not leave an old file beside it
-    clear_outputs(spark, f"{out}/data", [*EXPORTS, "dashboard", "branches", *map(section_name, doc.SECTIONS)])
-    paths = {}
-    for name, relation in EXPORTS.items():
-        paths[name] = f"{out}/data/{name}"
-        write_dataset(stored[relation], paths[name], DATASET_ORDERS[name], config.root_branch)
-
+    paths = write_exports(stored, f"{out}/data", config.root_branch)
     sections = document_sections(stored)
-    inline, external = {}, {}
-    for name, section in sections.items():
-        if doc.fits_inline(section, inline_rows):
-            inline[name] = section
-        else:
-            external[name] = f"{out}/data/{section_name(name)}"
-            write_dataset(section, external[name], doc.section_keys(section, name), config.root_branch)
-    document = doc.dashboard_document(
-        spark, doc.metadata(facts, config, as_of), inline, external, config.root_branch
-    )
     paths["dashboard"] = f"{out}/data/dashboard"
-    doc.write_document(document, paths["dashboard"])
+    external = write_dashboard(sections, doc.metadata(facts, config, as_of), paths, f"{out}/data", config.root_branch)
     paths["branches"] = f"{out}/data/branches"
     doc.write_document(doc.manifest(spark, config), paths["branches"])
 
-    report = quality.gate(spark, sections)
+    written = read_sections(spark, paths["dashboard"], {name: df.schema for name, df in sections.items()})
+    found = quality.gate(spark, written).unionByName(quality.live_check(panels.live_panels(commits, facts)))
+    paths["report"] = f"{out}/data/report"
+    found.write.mode("overwrite").json(paths["report"])
+    report = spark.read.schema(quality.REPORT_SCHEMA).json(paths["report"])
     publish_views(spark, stored)
     return Build(stored, paths, external, report, quality.passed(report))
 
 
+def write_exports(
+    stored: Mapping[str, DataFrame], folder: str, root: str, names: Iterable[str] = tuple(EXPORTS)
+) -> dict[str, str]:
+    """Ordered JSON datasets; returns their paths by name."""
+    paths = {name: f"{folder}/{name}" for name in names}
+    for name, path in paths.items():
+        write_dataset(stored[EXPORTS[name]], path, DATASET_ORDERS[name], root)
+    return paths
+
+
+def write_dashboard(
+    sections: Mapping[str, DataFrame], metadata: DataFrame, exports: Mapping[str, str], folder: str, root: str
+) -> dict[str, str]:
+    """The document and the sections beside it that no export holds yet; returns the latter's paths."""
+    external = {}
+    for name, section in sections.items():
+        if name in doc.INLINE:
+            continue
+        if name in SECTION_EXPORTS:
+            external[name] = exports[SECTION_EXPORTS[name]]
+        else:
+            external[name] = f"{folder}/dashboard_{name}"
+            write_dataset(section, external[name], doc.section_keys(section, name), root)
+    document = doc.dashboard_document(metadata.sparkSession, metadata, sections, external, root)
+    doc.write_document(document, f"{folder}/dashboard")
+    return external
+
+
 def document_sections(stored: Mapping[str, DataFrame]) -> dict[str, DataFrame]:
     """The sections of the dashboard document, before ordering."""
     return {

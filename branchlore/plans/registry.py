@@ -7,8 +7,12 @@ differ in what a NULL makes of a whole number.
 
 from __future__ import annotations
 
+import contextlib
 import datetime as dt
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +23,7 @@ from branchlore.functions import branches, text, times
 from branchlore.functions.sql import register_functions
 from branchlore.operators import explore, panels, quality, rollups
 from branchlore.operators.enrich import churn_defaults, commit_trailers, enrich, with_trailers
-from branchlore.operators.ordering import DATASET_ORDERS
+from branchlore.operators.ordering import DATASET_ORDERS, ROOT_FIRST
 from branchlore.operators.reconcile import (
     drop_churn,
     newest_commits,
@@ -29,14 +33,23 @@ from branchlore.operators.reconcile import (
     root_view,
     union_branches,
 )
-from branchlore.plans.build import document_sections, relations
+from branchlore.plans.build import (
+    EXPORTS,
+    SECTION_EXPORTS,
+    document_sections,
+    publish_from_catalog,
+    relations,
+    write_dashboard,
+    write_exports,
+)
 from branchlore.schema import CHURN_COLUMNS, TRAILER_COLUMNS, trailer_field_catalog
 from branchlore.session import configure
 from branchlore.sinks import document as doc
-from branchlore.sinks.export import write_dataset
+from branchlore.sinks.export import JSON_OPTIONS, TIMESTAMP_FORMAT, write_dataset
 from branchlore.sources import frames, log_dump, testdata
-from branchlore.sources.datasets import read_dataset, select_section
-from branchlore.staging import staging_path
+from branchlore.sources.branch_tables import load_catalog_branches, read_branches, relation_of
+from branchlore.sources.datasets import read_dataset, read_sections, select_section, with_positions
+from branchlore.staging import stage, staging_path
 from branchlore.streaming.commits import ARRIVAL_SCHEMA, read_commit_stream, store_commits
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -45,12 +58,26 @@ CONFIG = testdata.FIXTURE_CONFIG
 AS_OF = dt.datetime(2024, 1, 31, 6)
 RANGE = last_days(AS_OF, 21)
 JOINER = "\u0001"
+CSV_OPTIONS = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+    "timestampFormat": TIMESTAMP_FORMAT,
+}
 
 ALL = Filters(branches=CONFIG.preset("all"))
 STABLE = Filters(branches=CONFIG.preset("stable"), start="2024-01-05", metric="total_insertions")
 TWO_AUTHORS = Filters(branches=CONFIG.preset("all"), authors=("u12@example.org", "u7@example.org"))
 WINDOWED = Filters(branches=CONFIG.preset("all"), start="2024-01-08", end="2024-01-20")
 SEARCH = Filters(branches=CONFIG.preset("all"), search=" USER 12")
+EVERYTHING = Filters(
+    branches=CONFIG.preset("all"), start="2024-01-03", end="2024-01-25", metric="total_insertions", search="user 1"
+)
+SYNCED = Filters(
+    branches=CONFIG.preset("stable"), authors=("u12@example.org", "u7@example.org", "nobody@example.org"), end="2024-01-10"
+)
 ROOT_ONLY = Filters(start="2024-01-20", end="2024-01-10")  # no branch, crossed days
 NO_MATCH = Filters(branches=CONFIG.preset("all"), start="1999-01-01", end="1999-12-31")
 
@@ -137,7 +164,7 @@ def git_log_root(spark, sf_dir):
 
 @_register
 def max_commits(spark, sf_dir):
-    newest = {b: newest_commits(t, 300) for b, t in tables_of(spark, sf_dir).items()}
+    newest = newest_commits(tables_of(spark, sf_dir), 300)
     return union_branches(newest, CONFIG.branches).select("branch", "commit_id", "commit_date")
 
 
@@ -365,7 +392,7 @@ def panel_recent_commits(spark, sf_dir):
 
 
 def _facts(spark, sf_dir):
-    return rollups.as_facts(commits_of(spark, sf_dir))
+    return commits_of(spark, sf_dir)
 
 
 @_register
@@ -387,14 +414,14 @@ def explore_stats_root_default(spark, sf_dir):
 @_register
 def explore_authors(spark, sf_dir):
     chosen = explore.apply_filters(_facts(spark, sf_dir), ALL)
-    top = explore.top_authors(explore.author_summaries(chosen), explore.TABLE_AUTHORS)
+    top = explore.top_authors(explore.author_summaries(chosen), explore.TABLE_AUTHORS, chosen)
     return top.drop("first_seen")
 
 
 @_register
 def explore_authors_chosen(spark, sf_dir):
     chosen = explore.apply_filters(_facts(spark, sf_dir), TWO_AUTHORS)
-    return explore.author_summaries(chosen).drop("first_seen")
+    return explore.with_branches(explore.author_summaries(chosen), chosen)
 
 
 @_register
@@ -439,9 +466,39 @@ def explore_author_search(spark, sf_dir):
 
 @_register
 def explore_from_activity(spark, sf_dir):
-    activity = rollups.activity(commits_of(spark, sf_dir))
-    chosen = explore.apply_filters(activity, WINDOWED)
-    return explore.top_authors(explore.author_summaries(chosen), explore.CHART_AUTHORS).drop("first_seen")
+    commits = commits_of(spark, sf_dir)
+    authors = explore.author_summaries(explore.apply_filters(rollups.activity(commits), WINDOWED))
+    top = explore.top_authors(authors, explore.CHART_AUTHORS, explore.apply_filters(commits, WINDOWED))
+    return top.drop("first_seen")
+
+
+def _as_lines(df: DataFrame, panel: str) -> DataFrame:
+    """Rows of any panel as text: the values joined, shares in millionths."""
+    shown = neutral(df.drop("first_seen"))
+    values = [
+        F.round(F.col(c) * 1_000_000).cast("long").cast("string") if t == "double" else F.col(c).cast("string")
+        for c, t in shown.dtypes
+    ]
+    line = F.concat_ws("|", *[F.coalesce(v, F.lit("")) for v in values])
+    return shown.select(F.lit(panel).alias("panel"), line.alias("line"))
+
+
+@_register
+def explore_all(spark, sf_dir):
+    panels_ = explore.explore(commits_of(spark, sf_dir), EVERYTHING, CONFIG)
+    panels_["recent"] = panels_["recent"].select("branch", "commit_id", "author_date", "author_name", "summary")
+    return reduce(DataFrame.unionByName, [_as_lines(df, name) for name, df in panels_.items()])
+
+
+@_register
+def explore_author_sync(spark, sf_dir):
+    """The chosen authors that stay when the days change, then every author the picker shows."""
+    commits = commits_of(spark, sf_dir)
+    activity = stage(rollups.activity(commits), "explorer-activity")
+    stay = explore.sync_authors(activity, SYNCED).authors
+    shown = explore.select_visible_authors(activity, SEARCH, commits).authors
+    rows = [F.struct(F.lit(k).alias("step"), F.lit(e).alias("author_email")) for k, es in (("stay", stay), ("shown", shown)) for e in es]
+    return spark.range(1).select(F.inline(F.array(*rows)))
 
 
 # --- other sources and sinks ------------------------------------------------------
@@ -477,56 +534,147 @@ def json_roundtrip(spark, sf_dir):
     return read_dataset(spark, path, trailers.schema)
 
 
-def _document(spark, sf_dir) -> DataFrame:
-    commits = commits_of(spark, sf_dir)
-    sections = document_sections(relations(spark, commits, commit_trailers(commits), commits))
-    inline = {name: sections[name] for name in ("trailer_fields", "branch_summary", "recent_commits")}
-    metadata = doc.metadata(commits, CONFIG, AS_OF)
-    return doc.dashboard_document(spark, metadata, inline, {"commits": "commits"}, CONFIG.root_branch)
+def _build_tables(spark, sf_dir) -> dict[str, DataFrame]:
+    """The stored relations of a build: commits once, all rollups from the staged activity."""
+    commits = stage(commits_of(spark, sf_dir), "commits")
+    activity = stage(rollups.activity(commits), "activity")
+    return relations(spark, commits, commit_trailers(commits), activity)
+
+
+def _written(spark, sf_dir) -> tuple[str, dict[str, DataFrame]]:
+    """Path of a written document, and its sections read back."""
+    folder = staging_path(spark, "data")
+    stored = _build_tables(spark, sf_dir)
+    exports = write_exports(stored, folder, CONFIG.root_branch, SECTION_EXPORTS.values())
+    sections = document_sections(stored)
+    write_dashboard(sections, doc.metadata(stored["commits"], CONFIG, AS_OF), exports, folder, CONFIG.root_branch)
+    path = f"{folder}/dashboard"
+    return path, read_sections(spark, path, {name: df.schema for name, df in sections.items()})
 
 
 @_register
 def document_metadata(spark, sf_dir):
-    return _document(spark, sf_dir).select("metadata.*")
+    path, _ = _written(spark, sf_dir)
+    schema = doc.metadata(commits_of(spark, sf_dir), CONFIG, AS_OF).schema
+    document = read_dataset(spark, path, T.StructType([T.StructField("metadata", schema)]), whole=True)
+    return document.select("metadata.*")
 
 
 @_register
 def document_section_scan(spark, sf_dir):
-    document = _document(spark, sf_dir)
-    path = staging_path(spark, "dashboard")
-    doc.write_document(document, path)
+    _, sections = _written(spark, sf_dir)
     panel = next(p for p in quality.PANELS if p.title == "Branch Summary")
-    return select_section(read_dataset(spark, path, document.schema, whole=True), panel.datasets[0], panel.columns)
+    document = sections[panel.datasets[0]].agg(F.collect_list(F.struct("*")).alias(panel.datasets[0]))
+    return select_section(document, panel.datasets[0], panel.columns)
 
 
 @_register
-def column_coverage(spark, sf_dir):
-    return quality.column_coverage(log_of(spark, sf_dir))
+def document_sections_read(spark, sf_dir):
+    """Rows of all eight sections, whether in the document or beside it."""
+    _, sections = _written(spark, sf_dir)
+    lines = []
+    for name, df in sections.items():
+        keys = [key.lstrip("-") for key in doc.section_keys(df, name) if key != ROOT_FIRST]
+        lines.append(_as_lines(df.select(*keys), name))
+    return reduce(DataFrame.unionByName, lines)
 
 
-def _sections(spark, sf_dir):
-    commits = commits_of(spark, sf_dir)
-    return document_sections(relations(spark, commits, commit_trailers(commits), commits))
+def _export(name: str) -> None:
+    def run(spark, sf_dir):
+        stored = _build_tables(spark, sf_dir)[EXPORTS[name]]
+        path = staging_path(spark, f"export-{name}")
+        write_dataset(stored, path, DATASET_ORDERS[name], CONFIG.root_branch)
+        numbered = with_positions(read_dataset(spark, path, stored.schema))
+        if name != "trailer_fields":
+            return numbered
+        return numbered.select("position", "ordinality", "trailer_field", "column_name", "category")
+
+    _register(run, f"export_{name}")
+
+
+for _name in EXPORTS:
+    _export(_name)
+
+
+@_register
+def published_views(spark, sf_dir):
+    """Session views over catalog tables of the branches, asked in SQL."""
+    with _catalog(spark, tables_of(spark, sf_dir)) as config:
+        publish_from_catalog(spark, config)
+        asked = spark.sql(
+            """SELECT d.branch, count(*) AS days, sum(d.commit_count) AS commit_count,
+                 max(b.commit_count) AS branch_count, max(b.author_count) AS author_count
+               FROM daily_activity d JOIN branch_summary b ON b.branch = d.branch GROUP BY d.branch"""
+        )
+        return stage(asked, "published")  # the tables go away
+
+
+@contextlib.contextmanager
+def _catalog(spark, tables: dict[str, DataFrame]):
+    """The branches as tables of a schema of their own, dropped afterwards."""
+    schema = f"branches_{uuid.uuid4().hex[:12]}"
+    spark.sql(f"CREATE SCHEMA {schema} LOCATION '{staging_path(spark, 'schema')}'")
+    try:
+        for branch, table in tables.items():
+            table.write.saveAsTable(f"{schema}.{relation_of(branch)}")
+        yield replace(CONFIG, branches=None, schema=f"spark_catalog.{schema}")
+    finally:
+        spark.sql(f"DROP SCHEMA {schema} CASCADE")
+
+
+def _import(format: str, write: Callable[[DataFrame, str], None]) -> None:
+    def run(spark, sf_dir):
+        paths = {b: staging_path(spark, f"import-{format}") for b in CONFIG.branches}
+        for branch, table in tables_of(spark, sf_dir).items():
+            write(table, paths[branch])
+        return as_text(reconcile(read_branches(spark, paths, CONFIG, format), CONFIG), *CHURN_COLUMNS)
+
+    _register(run, f"import_{format}")
+
+
+_import("csv", lambda table, path: table.write.options(**CSV_OPTIONS).csv(path))
+_import("json", lambda table, path: table.write.options(**JSON_OPTIONS).json(path))
+
+
+@_register
+def import_log_files(spark, sf_dir):
+    paths = {b: staging_path(spark, "import-log") for b in CONFIG.branches}
+    for branch, table in tables_of(spark, sf_dir).items():
+        block = F.when(F.col("deltas").isNotNull(), F.concat_ws("\t", "insertions", "deletions", F.lit("one file"))).alias("numstat_block")
+        records = log_dump.render_log_records(table.select("*", block))
+        records.write.option("lineSep", log_dump.RECORD_SEPARATOR).text(paths[branch])
+    # a dump counts files by its lines: one of them here, however many the commit had
+    unified = reconcile(read_branches(spark, paths, CONFIG, "log"), CONFIG)
+    return as_text(unified.drop("deltas", "changed_files"), "insertions", "deletions")
+
+
+@_register
+def import_catalog(spark, sf_dir):
+    with _catalog(spark, tables_of(spark, sf_dir)) as config:
+        tables, found = load_catalog_branches(spark, config)
+        # suffixes name the branches found; the tables go away, so the rows are staged
+        unified = stage(reconcile(tables, found), "imported")
+    return as_text(unified, *CHURN_COLUMNS)
+
+
+@_register
+def column_coverage(spark, sf_dir):
+    return quality.column_coverage(log_of(spark, sf_dir))
 
 
 @_register
 def quality_gate(spark, sf_dir):
-    return quality.gate(spark, _sections(spark, sf_dir))
+    commits = commits_of(spark, sf_dir)
+    activity = stage(rollups.activity(commits), "activity")
+    return quality.gate(spark, document_sections(relations(spark, commits, commit_trailers(commits), activity)))
 
 
 @_register
 def live_panel_check(spark, sf_dir):
     commits = commits_of(spark, sf_dir)
-    daily = rollups.daily_activity(commits)
-    return quality.live_check(
-        {
-            "Daily Commit Count By Branch": panels.daily_panel(daily, "commit_count", *RANGE),
-            "Daily Insertions By Branch": panels.daily_panel(daily, "total_insertions", *RANGE),
-            "Branch Summary": panels.branch_panel(commits, *RANGE),
-            "Top Authors": panels.authors_panel(commits, *RANGE),
-            "Recent Commits": panels.recent_panel(commits, *RANGE),
-        }
-    ).select("check", "target", "status", F.regexp_extract("detail", r"^rows=(\d+)", 1).cast("long").alias("rows"))
+    activity = stage(rollups.activity(commits), "activity")
+    report = quality.live_check(panels.live_panels(commits, activity, *RANGE))
+    return report.select("check", "target", "status", F.regexp_extract("detail", r"^rows=(\d+)", 1).cast("long").alias("rows"))
 
 
 @_register

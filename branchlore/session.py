@@ -22,14 +22,16 @@ def configure(spark: SparkSession) -> SparkSession:
 
 
 PARTITION_BYTES = 128 * 1024 * 1024
+SHUFFLED_SHARE = 0.05  # of the commit tables: ids and group keys; messages stay where they are
 
 
-def size_shuffles(spark: SparkSession, input_bytes: int) -> int:
-    """Start shuffles with a part per 128 MB of input; the adaptive planner merges small ones.
+def size_shuffles(spark: SparkSession, input_bytes: int, shuffled: float = SHUFFLED_SHARE) -> int:
+    """Start shuffles with a part per 128 MB of what is shuffled; the adaptive planner merges and splits.
 
     Returns the number set, which is never below ``spark.sql.shuffle.partitions``.
     """
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes // PARTITION_BYTES))
+    parts = -(-int(input_bytes * shuffled) // PARTITION_BYTES)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), parts)
     spark.conf.set("spark.sql.adaptive.coalescePartitions.initialPartitionNum", str(parts))
     return parts
 

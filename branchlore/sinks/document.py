@@ -25,8 +25,9 @@ SECTIONS = {
     "recent_commits": "recent_commits",
     "commits": "commits",
 }
-# Rows a section may have to be part of the document itself.
-INLINE_ROWS = 50_000
+# Sections that are part of the document itself: a catalog, a row per branch, a list of fixed
+# length.  All others grow with the history and are datasets beside it, at any size.
+INLINE = ("trailer_fields", "branch_summary", "recent_commits")
 
 
 def metadata(facts: DataFrame, config: BuildConfig, as_of: dt.datetime) -> DataFrame:
@@ -40,11 +41,6 @@ def metadata(facts: DataFrame, config: BuildConfig, as_of: dt.datetime) -> DataF
     )
 
 
-def fits_inline(section: DataFrame, rows: int = INLINE_ROWS) -> bool:
-    # a plain count adds up per task; a limited one would send rows of every task to one
-    return section.count() <= rows
-
-
 def dashboard_document(
     spark: SparkSession,
     metadata_row: DataFrame,
@@ -52,16 +48,11 @@ def dashboard_document(
     external: Mapping[str, str],
     root: str,
 ) -> DataFrame:
-    """One row with the metadata, every inline section as an ordered array, and where the rest is.
-
-    ``inline`` sections must be small (``fits_inline``); a larger one is named in
-    ``external`` with the path of its dataset, so nothing is cut off.
-    """
+    """One row with the metadata, the ``INLINE`` sections as ordered arrays, and the paths of the others."""
     parts: list[Column] = [metadata_row.select(F.struct("*")).scalar().alias("metadata")]
-    for name in SECTIONS:
-        if name in inline:
-            df = inline[name]
-            parts.append(as_array(df, section_keys(df, name), root).alias(name))
+    for name in INLINE:
+        df = inline[name]
+        parts.append(as_array(df, section_keys(df, name), root).alias(name))
     places = [F.lit(x) for name, path in external.items() for x in (name, path)]
     parts.append(F.create_map(*places).cast("map<string,string>").alias("external_sections"))
     return spark.range(0, 1, 1, 1).select(*parts)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from branchlore.operators.ordering import order_by, rank_struct
@@ -24,22 +24,8 @@ def write_dataset(df: DataFrame, path: str, keys: Sequence[str], root: str) -> N
     ordered.write.mode("overwrite").options(**JSON_OPTIONS).json(path)
 
 
-def clear_outputs(spark: SparkSession, folder: str, names: Sequence[str]) -> None:
-    """Remove earlier exports of the given names, on whatever file system holds the folder."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
-    for name in names:
-        files.delete(spark._jvm.org.apache.hadoop.fs.Path(root, name), True)
-
-
 def as_array(df: DataFrame, keys: Sequence[str], root: str) -> Column:
-    """All rows as one ordered array of structs, for sections known to be small; empty is ``[]``."""
+    """All rows as one ordered array of structs, for the sections of fixed size; empty is ``[]``."""
     rank = rank_struct(df, *keys, root=root).alias("rank")
     pairs = df.select(F.struct(rank, F.struct(*df.columns).alias("row")).alias("p"))
     return pairs.agg(F.sort_array(F.collect_list("p"))["row"].alias("rows")).scalar()
-
-
-def json_array(df: DataFrame, keys: Sequence[str], root: str) -> DataFrame:
-    """A small dataset as one pretty JSON array in one row."""
-    rows = F.to_json(as_array(df, keys, root), {**JSON_OPTIONS, "pretty": "true"})
-    return df.sparkSession.range(0, 1, 1, 1).select(rows.alias("value"))

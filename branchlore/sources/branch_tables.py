@@ -16,6 +16,10 @@ from branchlore.sources.log_dump import read_log_dump
 
 RELATION_PREFIX = "git_log_"
 UNIFIED_RELATIONS = ("git_log", "git_log_all")
+TEXT_OPTIONS = {
+    "json": {"mode": "FAILFAST"},
+    "csv": {"mode": "FAILFAST", "header": True, "multiLine": True, "quote": '"', "escape": '"', "enforceSchema": False},
+}
 
 
 class BranchError(ValueError):
@@ -29,11 +33,13 @@ def relation_of(branch: str) -> str:
 def read_commits(spark: SparkSession, path: str | list[str], format: str = "parquet", **options) -> DataFrame:
     """A commit table from files; text formats are read with the base schema, never inferred.
 
-    ``format="log"`` reads exported log dumps.
+    A row that does not parse is an error.  CSV has a header line, ``"`` around fields with line
+    ends, and a quote inside doubled; ``options`` override.  ``format="log"`` reads exported log
+    dumps.
     """
     if format == "log":
         return read_log_dump(spark, path)
-    reader = spark.read.format(format).options(**options)
+    reader = spark.read.format(format).options(**{**TEXT_OPTIONS.get(format, {}), **options})
     if format not in ("parquet", "orc"):
         reader = reader.schema(COMMIT_SCHEMA)
     return conform(reader.load(path))
@@ -41,11 +47,8 @@ def read_commits(spark: SparkSession, path: str | list[str], format: str = "parq
 
 def apply_import_options(tables: Mapping[str, DataFrame], config: BuildConfig) -> dict[str, DataFrame]:
     """``include_diff`` and ``max_commits`` (per branch), as the import would."""
-    imported = {}
-    for branch, table in tables.items():
-        table = table if config.include_diff else drop_churn(table)
-        imported[branch] = newest_commits(table, config.max_commits)
-    return imported
+    imported = {branch: table if config.include_diff else drop_churn(table) for branch, table in tables.items()}
+    return newest_commits(imported, config.max_commits)
 
 
 def read_branches(
@@ -67,7 +70,9 @@ def split_branches(table: DataFrame, config: BuildConfig) -> dict[str, DataFrame
 
 def list_relations(spark: SparkSession, schema: str | None = None) -> list[str]:
     """Candidate branch relations of a schema (the current one by default), by name."""
-    names = {t.name for t in spark.catalog.listTables(schema, "git_log*")}
+    found = spark.catalog.listTables(schema, "git_log*")
+    # session views belong to no schema
+    names = {t.name for t in found if not (schema and t.isTemporary)}
     return sorted(n for n in names if re.match("git_log.", n) and n not in UNIFIED_RELATIONS)
 
 
@@ -114,7 +119,8 @@ def load_catalog_branches(
 ) -> tuple[dict[str, DataFrame], BuildConfig]:
     """Tables of the catalog's branch relations, and the configuration with its branch list."""
     resolved = resolve_branches(list_relations(spark, config.schema), config)
-    prefix = f"`{config.schema}`." if config.schema else ""
-    tables = {branch: conform(spark.table(f"{prefix}`{name}`")) for branch, name in resolved.items()}
+    place = config.schema.split(".") if config.schema else []
+    quoted = lambda *names: ".".join(f"`{name}`" for name in names)
+    tables = {branch: conform(spark.table(quoted(*place, name))) for branch, name in resolved.items()}
     config = replace(config, branches=tuple(resolved))
     return apply_import_options(tables, config), config

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,10 +32,37 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return read_dataset(spark, path, MANIFEST_SCHEMA, whole=True)
 
 
-def sections_of(document: DataFrame) -> dict[str, DataFrame]:
-    """Every array section of a document as rows."""
-    arrays = [f.name for f in document.schema.fields if isinstance(f.dataType, T.ArrayType)]
-    return {name: document.select(F.inline(name)) for name in arrays}
+def read_sections(spark: SparkSession, path: str, schemas: Mapping[str, T.StructType]) -> dict[str, DataFrame]:
+    """Every section of a written document as rows, whether inside it or in a dataset beside it.
+
+    ``schemas`` names the sections wanted; one that the document does not have is left out.
+    """
+    inside = [T.StructField(name, T.ArrayType(schema)) for name, schema in schemas.items()]
+    outside = T.StructField("external_sections", T.MapType(T.StringType(), T.StringType()))
+    document = read_dataset(spark, path, T.StructType([*inside, outside]), whole=True)
+    present = document.select("external_sections", *[F.col(n).isNotNull().alias(n) for n in schemas]).first()
+    sections = {}
+    for name, schema in schemas.items():
+        if present[name]:
+            sections[name] = document.select(F.inline(name))
+        elif place := (present["external_sections"] or {}).get(name):
+            sections[name] = read_dataset(spark, place, schema)
+    return sections
+
+
+def with_positions(dataset: DataFrame, position: str = "position") -> DataFrame:
+    """A dataset read from files with each row's place in it, from 1, as part files follow each other.
+
+    Rows are numbered inside each part of a file; the parts' sizes alone are added up.
+    """
+    part = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"))
+    read = dataset.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_id"))
+    sizes = read.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    ahead = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select("_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
+    numbered = read.withColumn("_nth", nth).join(sizes, "_part")
+    return numbered.select(*dataset.columns, (F.col("_ahead") + F.col("_nth")).alias(position))
 
 
 class Selector(NamedTuple):

@@ -64,10 +64,8 @@ FROM events
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events; where files are fewer than cores their rows are spread before the texts are made."""
-    events = spark.read.parquet(f"{sf_dir}/events.parquet")
-    cores = spark.sparkContext.defaultParallelism
-    return events if len(events.inputFiles()) >= cores else events.repartition(cores)
+    """The events, spread before the texts are made: the fixture is one small file."""
+    return spark.read.parquet(f"{sf_dir}/events.parquet").repartition(spark.sparkContext.defaultParallelism)
 
 
 def base_commits(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,28 +2,26 @@
 
 from __future__ import annotations
 
-import functools
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
+_default: list[str] = []
 
-@functools.cache
-def _local_dir() -> str:
-    return tempfile.mkdtemp(prefix="branchlore-")
+
+def use_folder(folder: str) -> None:
+    """Stage in this folder wherever a session names none; all executors must reach it."""
+    _default[:] = [folder]
 
 
 def staging_dir(spark: SparkSession) -> str:
-    """The folder the cluster names; a temporary one only where none is named (local runs)."""
-    folder = spark.conf.get(CHECKPOINT_CONF, None)
-    if folder:
-        return folder.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
+    """The folder the cluster names, else the one given to ``use_folder``."""
+    folder = spark.conf.get(CHECKPOINT_CONF, None) or next(iter(_default), None)
+    if not folder:
         raise ValueError(f"set {CHECKPOINT_CONF} to a folder all executors can reach")
-    return _local_dir()
+    return folder.rstrip("/")
 
 
 def staging_path(spark: SparkSession, label: str) -> str:
@@ -32,7 +30,14 @@ def staging_path(spark: SparkSession, label: str) -> str:
 
 def stage(df: DataFrame, label: str) -> DataFrame:
     """Write a DataFrame and read it back: lineage ends here and its size is known."""
-    spark = df.sparkSession
-    path = staging_path(spark, label)
+    return stored(df, staging_path(df.sparkSession, label))
+
+
+def stored(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession, path: str) -> None:
+    """Empty a staged table that nothing reads any more, on whatever store holds it."""
+    spark.range(0).write.mode("overwrite").parquet(path)

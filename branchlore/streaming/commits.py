@@ -9,12 +9,11 @@ batch function itself.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from branchlore.operators.enrich import enrich
-from branchlore.operators.rollups import as_facts, measures, TOTALS
+from branchlore.operators.rollups import TOTALS, daily_activity, measures
 from branchlore.schema import COMMIT_SCHEMA
 
 ARRIVAL_SCHEMA = T.StructType([T.StructField("branch", T.StringType()), *COMMIT_SCHEMA.fields])
@@ -40,17 +39,21 @@ def store_commits(arrivals: DataFrame, path: str, checkpoint: str, **trigger) ->
     )
 
 
-def daily_activity_stream(commits: DataFrame, delay: str = "30 days") -> DataFrame:
-    """Per branch and day, closed once the newest author date is ``delay`` past the day.
+def store_daily_sums(arrivals: DataFrame, path: str, checkpoint: str, **trigger) -> StreamingQuery:
+    """Append each batch's sums per branch and day, however late its commits are.
 
-    Author dates can be far older than their arrival (a rebase keeps them).  Rows later
-    than the delay are left out here and show up in the operator metric
-    ``numRowsDroppedByWatermark``; the batch rollup over the stored commits has them.
-    Rows without an author date belong to no day.
+    Author dates can be years older than their arrival (a rebase keeps them), so no day is ever
+    closed.  A batch that is run again replaces its own sums.
     """
-    dated = as_facts(commits.withWatermark("author_date", delay)).where(F.col("last_commit_at").isNotNull())
-    return (
-        dated.groupBy(F.window("last_commit_at", "1 day").alias("_day"), "branch")
-        .agg(*measures("commit_count", *TOTALS))
-        .select("branch", F.to_date("_day.start").alias("commit_day"), "commit_count", *TOTALS)
-    )
+
+    def append(batch: DataFrame, number: int) -> None:
+        daily_activity(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = arrivals.writeStream.foreachBatch(append).option("checkpointLocation", checkpoint)
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def read_daily_sums(spark: SparkSession, path: str) -> DataFrame:
+    """The batches' sums added up: the same as the batch rollup over all that arrived."""
+    sums = spark.read.parquet(path)
+    return sums.groupBy("branch", "commit_day").agg(*measures("commit_count", *TOTALS))

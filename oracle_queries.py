@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from branchlore.sources.testdata import BASE_SQL
 
+# The trailer fields, which must equal the library's.
 CATALOG = """
 catalog(ordinality, trailer_field, column_name, category) AS (VALUES
   (1, 'Reported-by', 'reported_by', 'person'),
@@ -21,6 +22,7 @@ catalog(ordinality, trailer_field, column_name, category) AS (VALUES
   (9, 'Discussion', 'discussion', 'reference'),
   (10, 'Backpatch-through', 'backpatch_through', 'reference'))"""
 
+# Field to column name.
 COLUMNS = {
     "Reported-by": "reported_by",
     "Suggested-by": "suggested_by",
@@ -61,14 +63,14 @@ commits AS (
 split_messages AS (
   SELECT branch, commit_id, string_split_regex(coalesce(message, ''), '\\r?\\n') AS ls FROM git_log_all),
 lines AS (SELECT branch, commit_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS n FROM split_messages),
-found AS (
-  SELECT l.branch, l.commit_id, l.n, c.ordinality, c.trailer_field, c.category,
-    trim(substr(l.line, instr(l.line, ':') + 1), ' ') AS value
-  FROM lines l JOIN catalog c ON lower(split_part(trim(l.line, ' '), ':', 1)) = lower(c.trailer_field)
-  WHERE regexp_matches(l.line, '^[A-Za-z0-9-]+:') AND trim(substr(l.line, instr(l.line, ':') + 1), ' ') <> ''),
+found AS MATERIALIZED (
+  SELECT *, regexp_extract_all(value, '(https?://[^\\s<>()"]+)', 1) AS us FROM (
+    SELECT l.branch, l.commit_id, l.n, c.ordinality, c.trailer_field, c.category,
+      trim(substr(l.line, instr(l.line, ':') + 1), ' ') AS value
+    FROM lines l JOIN catalog c ON lower(split_part(trim(l.line, ' '), ':', 1)) = lower(c.trailer_field)
+    WHERE regexp_matches(l.line, '^[A-Za-z0-9-]+:') AND trim(substr(l.line, instr(l.line, ':') + 1), ' ') <> '')),
 url_hits AS (
-  SELECT branch, commit_id, ordinality, n, unnest(u) AS url, generate_subscripts(u, 1) AS k
-  FROM (SELECT *, regexp_extract_all(value, '(https?://[^\\s<>()"]+)', 1) AS u FROM found)),
+  SELECT branch, commit_id, ordinality, n, unnest(us) AS url, unnest(range(1, len(us) + 1)) AS k FROM found),
 urls AS (
   SELECT branch, commit_id, string_agg(url, chr(1) ORDER BY o, n, k) AS mentioned_urls
   FROM (SELECT branch, commit_id, url, first(ordinality ORDER BY ordinality, n, k) AS o,
@@ -90,16 +92,11 @@ enriched AS (
   LEFT JOIN arrays a ON a.branch = c.branch AND a.commit_id = c.commit_id
   LEFT JOIN people p ON p.branch = c.branch AND p.commit_id = c.commit_id
   LEFT JOIN urls u ON u.branch = c.branch AND u.commit_id = c.commit_id),
-value_urls AS (
-  SELECT branch, commit_id, ordinality, n, string_agg(url, chr(1) ORDER BY k) AS urls
-  FROM (SELECT branch, commit_id, ordinality, n, url, min(k) AS k FROM url_hits GROUP BY ALL)
-  GROUP BY branch, commit_id, ordinality, n),
 commit_trailers AS (
   SELECT f.branch, f.commit_id, c.summary, f.trailer_field, f.category AS trailer_category,
     f.value AS trailer_value, CASE WHEN f.category = 'person' THEN f.value ELSE '' END AS people,
-    coalesce(v.urls, '') AS urls, c.author_name, c.author_date
-  FROM found f JOIN commits c ON c.branch = f.branch AND c.commit_id = f.commit_id
-  LEFT JOIN value_urls v ON v.branch = f.branch AND v.commit_id = f.commit_id AND v.ordinality = f.ordinality AND v.n = f.n)
+    array_to_string(list_filter(f.us, lambda x, i: list_position(f.us, x) = i), chr(1)) AS urls, c.author_name, c.author_date
+  FROM found f JOIN commits c ON c.branch = f.branch AND c.commit_id = f.commit_id)
 """
 
 TRAILERS = ", ".join(COLUMNS.values())
@@ -223,12 +220,23 @@ def _filled(column: str) -> str:
 
 def _coverage() -> str:
     names = (
-        "branch commit_id author_name author_email author_date committer_name committer_email commit_date"
-        " summary message deltas insertions deletions changed_files"
+        "branch",
+        "commit_id",
+        "author_name",
+        "author_email",
+        "author_date",
+        "committer_name",
+        "committer_email",
+        "commit_date",
+        "summary",
+        "message",
+        "deltas",
+        "insertions",
+        "deletions",
+        "changed_files",
     )
     return " UNION ALL ".join(
-        f"SELECT '{c}' AS column_name, count(*) AS row_count, {_filled(c)} AS filled_rows FROM git_log_all"
-        for c in names.split()
+        f"SELECT '{c}' AS column_name, count(*) AS row_count, {_filled(c)} AS filled_rows FROM git_log_all" for c in names
     )
 
 
@@ -419,6 +427,93 @@ ORACLES = {
 }
 ORACLES["json_roundtrip"] = ORACLES["commit_trailers"]
 
+ORACLES["import_csv"] = ORACLES["import_json"] = _LOG
+# suffixes name the branches that a catalog was searched for
+ORACLES["import_catalog"] = f"SELECT lower(branch) AS branch, {BASE_COLUMNS}, {_CHURN_TEXT} FROM git_log_all"
+ORACLES["import_log_files"] = (
+    f"SELECT branch, {BASE_COLUMNS}, CAST(insertions AS VARCHAR) AS insertions, CAST(deletions AS VARCHAR) AS deletions"
+    " FROM git_log_all"
+)
+ORACLES["published_views"] = """SELECT lower(branch) AS branch, count(DISTINCT coalesce(CAST(CAST(author_date AS DATE) AS VARCHAR), '?')) AS days,
+    count(*) AS commit_count, count(*) AS branch_count, count(DISTINCT author_email) AS author_count
+  FROM commits GROUP BY branch"""
+
+# Export: the relation's SQL and its key order.
+_EXPORTS = {
+    "trailer_fields": ("SELECT CAST(ordinality AS BIGINT) AS ordinality, trailer_field, column_name, category FROM catalog", "ordinality"),
+    "commits": (ORACLES["commits"], "branch, author_date DESC NULLS FIRST, commit_id"),
+    "authors": (ORACLES["author_activity"], "branch, commit_count DESC, last_commit_at DESC NULLS FIRST, author_email NULLS LAST, author_name"),
+    "daily_activity": (ORACLES["daily_activity"], "branch, commit_day NULLS LAST"),
+    "trailer_summary": (ORACLES["trailer_summary"], "branch, trailer_field, last_commit_at DESC NULLS FIRST, trailer_value"),
+    "commit_trailers": (ORACLES["commit_trailers"], "branch, author_date DESC NULLS FIRST, commit_id, trailer_field, trailer_value"),
+    "trailer_people_summary": (ORACLES["trailer_people_summary"], "branch, last_commit_at DESC NULLS FIRST, person"),
+    "branch_summary": (_BRANCHES, "branch <> 'master', branch"),
+}
+for _name, (_sql, _order) in _EXPORTS.items():
+    ORACLES[f"export_{_name}"] = f"SELECT *, row_number() OVER (ORDER BY {_order}) AS position FROM ({_sql})"
+
+
+def _lines(panel: str, sql: str, *columns: str) -> str:
+    """Rows as text, their values joined in this order."""
+    said = ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in columns)
+    return f"SELECT '{panel}' AS panel, concat_ws('|', {said}) AS line FROM ({sql})"
+
+
+_TIMED = f"SELECT *, strftime(author_date, {TS}) AS time FROM commits"
+ORACLES["document_sections_read"] = " UNION ALL ".join(
+    [
+        _lines("trailer_fields", "SELECT * FROM catalog", "ordinality"),
+        _lines("branch_summary", "SELECT DISTINCT branch FROM commits", "branch"),
+        _lines("author_summary", ORACLES["author_activity"], "branch", "commit_count", "last_commit_at", "author_email", "author_name"),
+        _lines("daily_activity", ORACLES["daily_activity"], "branch", "commit_day"),
+        _lines("trailer_summary", ORACLES["trailer_summary"], "branch", "trailer_field", "last_commit_at", "trailer_value"),
+        _lines("trailer_people_summary", ORACLES["trailer_people_summary"], "branch", "last_commit_at", "person"),
+        _lines("recent_commits", ORACLES["recent_commits"], "time", "commit_id", "branch"),
+        _lines("commits", _TIMED, "branch", "time", "commit_id"),
+    ]
+)
+
+_SCOPE = "CAST(author_date AS DATE) BETWEEN DATE '2024-01-03' AND DATE '2024-01-25'"
+_USER_1 = "(lower(author_name) LIKE '%user 1%' OR coalesce(lower(author_email), '') LIKE '%user 1%')"
+_AUTHOR_COLUMNS = ("author_email", "author_name", "commit_count", "total_insertions", "total_deletions", "total_changed_files", "last_commit_at")
+_SHARE = "CAST(round({v} * 1000000.0 / greatest(max({v}) OVER (), 1)) AS BIGINT) AS share"
+_LABEL = "regexp_replace(regexp_replace(branch, 'REL_', 'R'), '_STABLE', '') AS label"
+_SERIES = f"""SELECT strftime(d.day, '%Y-%m-%d') AS commit_day, p.branch, coalesce(s.v, 0) AS value
+  FROM (SELECT DISTINCT CAST(author_date AS DATE) AS day FROM commits WHERE {_SCOPE}) d
+  CROSS JOIN (SELECT DISTINCT branch FROM commits) p
+  LEFT JOIN (SELECT branch, CAST(author_date AS DATE) AS day, CAST(sum(insertions) AS BIGINT) AS v FROM commits GROUP BY ALL) s
+    ON s.day = d.day AND s.branch = p.branch"""
+_BRANCH_ROWS = EXPLORER_BRANCHES.format(where=_SCOPE)
+_TOTALS = ("total_insertions", "total_deletions", "total_changed_files")
+ORACLES["explore_all"] = " UNION ALL ".join(
+    [
+        _lines("stats", _stats(_SCOPE, 3), "commit_count", "author_count", "branch_count", *_TOTALS, "latest_commit_at"),
+        _lines("branches", _BRANCH_ROWS, "branch", "commit_count", "author_count", "first_commit_at", "last_commit_at", *_TOTALS, "position"),
+        _lines("branch_chart", f"SELECT *, {_LABEL}, {_SHARE.format(v='commit_count')} FROM ({_BRANCH_ROWS})", "position", "label", "commit_count", "share"),
+        _lines(
+            "daily",
+            f"SELECT branch, strftime(CAST(author_date AS DATE), '%Y-%m-%d') AS commit_day, count(*) AS commit_count, {SUMS}"
+            f" FROM commits WHERE {_SCOPE} GROUP BY branch, CAST(author_date AS DATE)",
+            "branch", "commit_day", "commit_count", *_TOTALS,
+        ),
+        _lines("series", f"SELECT *, {_SHARE.format(v='value')} FROM ({_SERIES})", "commit_day", "branch", "value", "share"),
+        _lines("authors", _authors(_SCOPE, limit=15), *_AUTHOR_COLUMNS, "branches"),
+        _lines("author_chart", f"SELECT *, {_SHARE.format(v='commit_count')} FROM ({_authors(_SCOPE, limit=10)})", *_AUTHOR_COLUMNS, "branches", "share"),
+        _lines("picker", _authors(_SCOPE, _USER_1, 60), *_AUTHOR_COLUMNS, "branches"),
+        _lines(
+            "recent",
+            f"SELECT branch, commit_id, strftime(commits.author_date, {TS}) AS author_date, author_name, summary FROM commits"
+            f" WHERE {_SCOPE} ORDER BY commits.author_date DESC, branch, commit_id LIMIT 25",
+            "branch", "commit_id", "author_date", "author_name", "summary",
+        ),
+    ]
+)
+ORACLES["explore_author_sync"] = f"""SELECT 'stay' AS step, author_email FROM (SELECT DISTINCT author_email FROM commits
+    WHERE branch <> 'master' AND CAST(author_date AS DATE) <= DATE '2024-01-10'
+      AND author_email IN ('u12@example.org', 'u7@example.org', 'nobody@example.org'))
+  UNION ALL SELECT 'shown', author_email FROM (SELECT DISTINCT author_email FROM ({_authors("true", _SEARCH, 60)}))
+  WHERE author_email IS NOT NULL"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Complete DuckDB statements, keyed like the registered queries."""

@@ -78,8 +78,9 @@ def test_visible_authors(log):
 
 
 def test_author_order_and_ties(log):
-    summaries = explore.author_summaries(explore.apply_filters(log, Filters(branches=("master", "A"))))
-    top = explore.top_authors(summaries, 10).collect()
+    chosen = explore.apply_filters(log, Filters(branches=("master", "A")))
+    summaries = explore.author_summaries(chosen)
+    top = explore.top_authors(summaries, 10, chosen).collect()
     # two commits each: Bob's known latest ties with Ann's, and Ann@x and Bob appear in
     # the order (branch, newest first with unknown dates ahead, id)
     assert [(r["author_name"], r["author_email"]) for r in top] == [
@@ -92,6 +93,14 @@ def test_author_order_and_ties(log):
     assert top[1]["branches"] == ["master"] and top[1]["total_insertions"] == 7
 
 
+def test_ties_at_the_cut_are_broken_by_the_commits(log):
+    chosen = explore.apply_filters(log, Filters(branches=("master", "A")))
+    for facts in (chosen, rollups.activity(chosen)):
+        everyone = explore.top_authors(explore.author_summaries(facts), 10, chosen).collect()
+        for count in range(1, 6):
+            assert explore.top_authors(explore.author_summaries(facts), count, chosen).collect() == everyone[:count]
+
+
 def test_search(log):
     scope = explore.scope_authors(log, Filters(branches=("master", "A"), search="  ANN@ "))
     assert sorted(r["author_email"] for r in scope.collect()) == ["ann@x", "ann@y"]
@@ -122,6 +131,12 @@ def test_dense_series_without_configured_branches(log):
     assert series.columns == ["commit_day", "branch", "value"] and series.isEmpty()
 
 
+def test_dense_series_reads_only_selected_branches(log):
+    filters = Filters(branches=("A",), metric="total_insertions")
+    rows = explore.dense_series(log, filters, CONFIG).collect()
+    assert {(r["commit_day"].day, r["branch"], r["value"]) for r in rows} == {(3, "A", 0), (4, "A", 9)}
+
+
 def test_share_of_largest_has_floor_one(spark):
     df = spark.createDataFrame([(0,), (0,)], "v long")
     assert [r["relative_value"] for r in rollups.share_of_largest(df, "v").collect()] == [0.0, 0.0]

@@ -43,18 +43,24 @@ def test_gate_reports_every_error(spark, commits):
     report = quality.gate(spark, sections, extra)
     got = report_of(report)
     assert got["panels_present", "Daily Insertions By Branch"][0] == "error"
-    assert got["panel_kind", "Odd"] == ("error", "unexpected kind 'map'")
-    assert got["one_dataset", "Odd"] == ("error", "expected exactly one dataset, found 2")
+    assert got["panel_kind", "Odd"] == ("error", "kind 'map' is none of timeseries, table")
+    assert got["one_dataset", "Odd"] == ("error", "reads 2 datasets instead of one")
     assert got["section_present", "Branch Summary"][0] == "error"
-    assert got["columns_present", "Recent Commits"] == ("error", "recent_commits lacks summary, time")
-    assert got["column_coverage", "Top Authors.branch"] == ("error", "section is empty")
+    assert got["columns_present", "Recent Commits"] == ("error", "not in recent_commits: summary, time")
+    assert got["column_coverage", "Top Authors.branch"] == ("error", "no rows")
     assert got["column_coverage", "Daily Commit Count By Branch.branch"][0] == "ok"
     assert not quality.passed(report)
 
 
+def test_a_panel_missing_from_the_list_is_found(spark):
+    left = [p for p in quality.PANELS if p.title != "Top Authors"]
+    assert quality.missing_panels(quality.PANELS) == []
+    assert quality.missing_panels(left) == ["Top Authors"]
+
+
 def test_empty_column_is_an_error(spark):
     df = spark.createDataFrame([("a", None)], "branch string, note string")
-    panel = quality.Panel("P", "table", ("d",), quality._columns("branch:string note:string"))
+    panel = quality.Panel("P", "table", ("d",), quality._columns(("branch", "string"), ("note", "string")))
     got = report_of(quality.gate(spark, {"d": df}, [panel], expected=["P"]))
     assert got["column_coverage", "P.note"] == ("error", "0 of 1")
     assert got["column_coverage", "P.branch"] == ("ok", "1 of 1")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from branchlore.config import BuildConfig
 from branchlore.operators import reconcile as rec
 from branchlore.operators.membership import having_key, lacking_key
+from branchlore.staging import release
 
 CONFIG = BuildConfig(branches="master,A,B")
 WAYS = {
@@ -54,11 +55,24 @@ def test_reconciling_twice_changes_nothing(tables, config, way):
     assert first.count() == second.count() and first.exceptAll(second).isEmpty()
 
 
-def test_keys_first_with_a_large_key_set(small, monkeypatch):
-    monkeypatch.setattr(rec, "BROADCAST_KEYS", 1)
-    rows = rec.reconcile_keys_first(small, CONFIG)
-    assert rows.exceptAll(rec.reconcile(small, CONFIG)).isEmpty() and rows.count() == 9
-    assert "BroadcastHashJoin" not in rows._jdf.queryExecution().optimizedPlan().toString()
+def test_keys_first_leaves_the_join_to_the_planner(spark, small):
+    for threshold in ("10m", "-1"):
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        try:
+            rows = rec.reconcile_keys_first(small, CONFIG)
+            assert rows.exceptAll(rec.reconcile(small, CONFIG)).isEmpty() and rows.count() == 9
+            plan = rows._jdf.queryExecution().executedPlan().toString()
+            assert ("BroadcastHashJoin" in plan) == (threshold == "10m")
+        finally:
+            spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_staged_ids_can_be_released(spark, small):
+    rows, path = rec.survivors_first(small, CONFIG)
+    assert rows.count() == 9 and spark.read.parquet(path).count() > 0
+    release(spark, path)
+    assert spark.read.parquet(path).count() == 0
+    assert rec.survivors_first(small, BuildConfig(branches="master"))[1] is None
 
 
 def test_root_alone_and_missing_branch(small):
@@ -102,23 +116,44 @@ def tied(spark):
 
 @pytest.mark.parametrize("limit", [1, 5, 57, 68, 100, 150, 199, 250, 301, 333, 399, 400, 1000])
 def test_newest_commits_equals_a_full_sort(tied, limit):
-    ours = rec.newest_commits(tied, limit).select("commit_date", "commit_id")
+    ours = rec.newest_commits({"b": tied}, limit)["b"].select("commit_date", "commit_id")
     expected = newest_by_window(tied, limit).select("commit_date", "commit_id")
     assert ours.count() == min(limit, 400)
     assert ours.exceptAll(expected).isEmpty() and expected.exceptAll(ours).isEmpty()
 
 
-def test_newest_commits_among_copies(make_commits, monkeypatch):
-    monkeypatch.setattr(rec, "_COPIES_PER_ARRAY", 4)
+def test_newest_commits_of_all_branches_take_few_queries(spark, tied, monkeypatch):
+    asked = []
+    real = rec._buckets
+    monkeypatch.setattr(rec, "_buckets", lambda rows, *more: asked.append(len(rows)) or real(rows, *more))
+    tables = {f"b{i}": tied.where(F.xxhash64("commit_id", "commit_date") % 7 != i) for i in range(6)}
+    kept = rec.newest_commits(tables, 90)
+    assert len(asked) <= 5 and asked[0] == 6
+    for branch, table in tables.items():
+        expected = newest_by_window(table, 90).select("commit_date", "commit_id")
+        assert sorted(map(str, kept[branch].select("commit_date", "commit_id").collect())) == sorted(map(str, expected.collect()))
+
+
+@pytest.mark.parametrize("date", [None, at(5)])
+def test_newest_commits_with_plain_ids_of_one_date(make_commits, date):
+    ids = [f"commit-number-{i:05d}" for i in range(300)] + ["commit", "commit-number-", None, None]
+    table = make_commits(*[{"commit_id": i, "commit_date": date} for i in ids])
+    for limit in (1, 2, 150, 301, 303):
+        kept = rec.newest_commits({"b": table}, limit)["b"]
+        expected = sorted(ids, key=lambda i: (i is None, i or ""))[:limit]
+        assert sorted((r.commit_id for r in kept.collect()), key=str) == sorted(expected, key=str)
+
+
+def test_newest_commits_among_copies(make_commits):
     copies = make_commits(*[{"commit_id": "a", "commit_date": at(5), "summary": s} for s in "x" * 30 + "y" * 20])
     for limit in (4, 31, 49):
-        kept = rec.newest_commits(copies, limit)
+        kept = rec.newest_commits({"b": copies}, limit)["b"]
         assert kept.count() == limit
         assert kept.exceptAll(copies).isEmpty()
 
 
 def test_zero_is_unlimited(tied):
-    assert rec.newest_commits(tied, 0) is tied
+    assert rec.newest_commits({"b": tied}, 0)["b"] is tied
 
 
 def test_hot_ids_are_split(spark, tables, config):

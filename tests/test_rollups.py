@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import datetime as dt
+
 from conftest import at
 from pyspark.sql import functions as F
 
@@ -121,3 +123,25 @@ def test_panels_take_an_open_range(commits):
     assert total(panels.branch_panel(commits), "commit_count") == commits.count()
     assert panels.authors_panel(commits, limit=None).count() == rollups.author_activity(commits).count()
     assert panels.authors_panel(commits, limit=7).count() == 7
+
+
+def test_zoned_bounds_mean_the_instant(commits):
+    daily = rollups.daily_activity(commits)
+    west = dt.timezone(dt.timedelta(hours=-5))
+    zoned = panels.daily_panel(daily, "commit_count", dt.datetime(2024, 1, 10, 23, 30, tzinfo=west), dt.datetime(2024, 1, 14, 22, tzinfo=west))
+    plain = panels.daily_panel(daily, "commit_count", dt.datetime(2024, 1, 11, 4, 30), dt.datetime(2024, 1, 15, 3))
+    assert zoned.collect() == plain.collect()
+    assert plain.first()["time"].day == 12 and max(r["time"].day for r in plain.collect()) == 15
+
+
+def test_panels_from_activity_and_cut_days_equal_those_from_commits(commits):
+    activity = rollups.activity(commits)
+    for start, end in (
+        (dt.datetime(2024, 1, 10, 6), dt.datetime(2024, 1, 20, 18)),
+        (dt.datetime(2024, 1, 10), dt.datetime(2024, 1, 11)),
+        (dt.datetime(2024, 1, 10, 6), dt.datetime(2024, 1, 10, 18)),
+        (dt.datetime(2024, 1, 12), dt.datetime(2024, 1, 10)),
+    ):
+        live = panels.live_panels(commits, activity, start, end)
+        assert live["Branch Summary"].collect() == panels.branch_panel(commits, start, end).collect()
+        assert live["Top Authors"].collect() == panels.authors_panel(commits, start, end).collect()

@@ -11,8 +11,9 @@ from branchlore.config import BuildConfig
 from branchlore.operators.reconcile import reconcile
 from branchlore.schema import COMMIT_SCHEMA
 from branchlore.sources import frames, log_dump, testdata
-from branchlore.sources.branch_tables import read_branches, split_branches
-from branchlore.sources.datasets import MANIFEST_SCHEMA, Selector, read_dataset, read_manifest, select_section
+from branchlore.plans import registry
+from branchlore.sources.branch_tables import load_catalog_branches, read_branches, read_commits, split_branches
+from branchlore.sources.datasets import MANIFEST_SCHEMA, Selector, read_dataset, read_manifest, select_section, with_positions
 
 
 def record(commit_id, message="", block="", fields=None):
@@ -133,3 +134,38 @@ def test_manifest_reads_back(spark, tmp_path):
     manifest = read_manifest(spark, str(path))
     assert manifest.schema == MANIFEST_SCHEMA
     assert tuple(manifest.first()) == ("master", ["master", "A"], False, 0, "/r")
+
+
+def test_csv_keeps_line_ends_and_quotes(spark, tables, tmp_path):
+    path = str(tmp_path / "csv")
+    table = tables["master"].limit(200).withColumn("summary", F.concat(F.lit('say "a, b" '), F.col("summary")))
+    table.write.options(**registry.CSV_OPTIONS).csv(path)
+    read = read_commits(spark, path, "csv")
+    assert read.exceptAll(table).isEmpty() and read.count() == 200
+
+
+def test_broken_text_rows_are_errors(spark, tmp_path):
+    (tmp_path / "a.json").write_text('{"commit_id": "a"}\n{"commit_id": \n')
+    with pytest.raises(Exception, match="MALFORMED|Malformed"):
+        read_commits(spark, str(tmp_path / "a.json"), "json").collect()
+    (tmp_path / "a.csv").write_text("commit_id,author_name\nx,y,z\n")
+    with pytest.raises(Exception, match="(?i)malformed|column"):
+        read_commits(spark, str(tmp_path / "a.csv"), "csv").collect()
+
+
+def test_session_views_are_no_relations_of_a_schema(spark, tables):
+    spark.range(1).createOrReplaceTempView("git_log_side")
+    try:
+        with registry._catalog(spark, tables) as config:
+            assert config.schema.startswith("spark_catalog.")
+            found, resolved = load_catalog_branches(spark, config)
+            assert set(found) == {"master", "rel_17_stable", "rel_18_stable"} == set(resolved.branches)
+            assert found["master"].count() == tables["master"].count()
+    finally:
+        spark.catalog.dropTempView("git_log_side")
+
+
+def test_positions_follow_the_part_files(spark, tmp_path):
+    spark.range(0, 1000, 1, 7).write.json(str(tmp_path / "d"))
+    rows = with_positions(spark.read.schema("id long").json(str(tmp_path / "d"))).collect()
+    assert sorted((r.position, r.id) for r in rows) == [(i + 1, i) for i in range(1000)]

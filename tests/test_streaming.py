@@ -5,7 +5,13 @@ from pyspark.sql import functions as F
 from branchlore.operators import rollups
 from branchlore.operators.enrich import enrich
 from branchlore.operators.reconcile import reconcile_table, union_branches
-from branchlore.streaming.commits import ARRIVAL_SCHEMA, daily_activity_stream, read_commit_stream, store_commits
+from branchlore.streaming.commits import (
+    ARRIVAL_SCHEMA,
+    read_commit_stream,
+    read_daily_sums,
+    store_commits,
+    store_daily_sums,
+)
 
 
 def test_arrivals_are_stored_once_and_reconciled_at_read(spark, tables, config, commits, tmp_path):
@@ -23,21 +29,17 @@ def test_arrivals_are_stored_once_and_reconciled_at_read(spark, tables, config,
     assert reconciled.exceptAll(commits).isEmpty() and reconciled.count() == commits.count()
 
 
-def test_daily_stream_equals_batch_for_closed_days(spark, tables, config, tmp_path):
+def test_daily_sums_hold_late_commits_too(spark, tables, config, tmp_path):
     arrivals = union_branches(tables, config.branches).select(*ARRIVAL_SCHEMA.fieldNames())
-    landing = str(tmp_path / "landing")
-    arrivals.where("author_date IS NOT NULL").coalesce(1).write.parquet(landing)
-    daily = daily_activity_stream(enrich(read_commit_stream(spark, landing)), delay="0 days")
-    query = (
-        daily.writeStream.format("memory")
-        .queryName("daily_stream")
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .option("checkpointLocation", str(tmp_path / "log"))
-        .start()
-    )
-    query.awaitTermination()
-    streamed = spark.table("daily_stream")
-    batch = rollups.daily_activity(enrich(arrivals)).where(F.col("commit_day").isNotNull())
-    assert streamed.count() >= batch.count() - 3  # the last day is still open
-    assert streamed.exceptAll(batch).isEmpty()
+    landing, sums, log = (str(tmp_path / name) for name in ("landing", "sums", "log"))
+    # the newest commits arrive first, then ones dated years before, then the rest
+    arrivals.where("author_date >= '2024-01-20'").write.parquet(landing)
+    store_daily_sums(enrich(read_commit_stream(spark, landing)), sums, log).awaitTermination()
+    late = arrivals.where("author_date < '2024-01-20' OR author_date IS NULL")
+    late = late.withColumn("author_date", F.expr("author_date - INTERVAL 9 YEARS"))
+    late.write.mode("append").parquet(landing)
+    store_daily_sums(enrich(read_commit_stream(spark, landing, 1)), sums, log).awaitTermination()
+    streamed = read_daily_sums(spark, sums)
+    batch = rollups.daily_activity(enrich(spark.read.parquet(landing)))
+    assert streamed.exceptAll(batch).isEmpty() and streamed.count() == batch.count()
+    assert streamed.where("commit_day < '2016-01-01'").count() > 0
