@@ -26,16 +26,12 @@ FEW_STOP_WORDS, MANY_STOP_WORDS = 0.1, 0.3
 # Frequent function words of the languages that pages come in.
 STOP_WORDS = frozenset(
     """
-    a about after all also an and any are as at be because been but by can could do for from had has have he her
-    his how if in into is it its more no not of on one only or other our out she so some than that the their them
-    then there these they this to up was we were what when which who will with would you your
-    aber als am an auch auf aus bei bis das dass dem den der des die durch ein eine einem einen einer er es für
-    hat ich ihr im in ist kann mit nach nicht noch nur oder sein sich sie sind so über um und uns von vor war was
-    wenn werden wie wird wir zu zum zur
-    au aux avec ce ces dans de des du elle en est et eux il ils je la le les leur lui mais ne nous on ou où par
-    pas plus pour qu que qui sa se ses son sont sur un une vous
-    al como con de del el ella en entre era es esta este fue ha han hay la las le lo los más me muy no nos o para
-    pero por que se ser si sin sobre son su sus también un una uno y ya
+    a all an and are as at be but by for from had has have he his i in is it not of on or she so that the their they
+    this to was we were which who will with you
+    aber als am auch auf aus bei das dem den der des die ein eine einen er es für im in ist mit nach nicht oder sich
+    sie sind und von war wie wird zu
+    au aux avec ce dans de des du elle en est et il la le les mais ne on ou par pas plus pour que qui se son sur un une
+    al como con del el era es esta este ha los más muy no nos para pero por si sin su sus un una y ya
     """.split()  # noqa: SIM905
 )
 # Element names of HTML by their part in a page.
