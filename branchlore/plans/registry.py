@@ -541,7 +541,7 @@ def _build_tables(spark, sf_dir) -> dict[str, DataFrame]:
     return relations(spark, commits, commit_trailers(commits), activity)
 
 
-def _written(spark, sf_dir) -> tuple[str, dict[str, DataFrame]]:
+def _written(spark, sf_dir, position: str | None = None) -> tuple[str, dict[str, DataFrame]]:
     """Path of a written document, and its sections read back."""
     folder = staging_path(spark, "data")
     stored = _build_tables(spark, sf_dir)
@@ -549,7 +549,7 @@ def _written(spark, sf_dir) -> tuple[str, dict[str, DataFrame]]:
     sections = document_sections(stored)
     write_dashboard(sections, doc.metadata(stored["commits"], CONFIG, AS_OF), exports, folder, CONFIG.root_branch)
     path = f"{folder}/dashboard"
-    return path, read_sections(spark, path, {name: df.schema for name, df in sections.items()})
+    return path, read_sections(spark, path, {name: df.schema for name, df in sections.items()}, position)
 
 
 @_register
@@ -562,20 +562,21 @@ def document_metadata(spark, sf_dir):
 
 @_register
 def document_section_scan(spark, sf_dir):
-    _, sections = _written(spark, sf_dir)
+    path, sections = _written(spark, sf_dir)
     panel = next(p for p in quality.PANELS if p.title == "Branch Summary")
-    document = sections[panel.datasets[0]].agg(F.collect_list(F.struct("*")).alias(panel.datasets[0]))
+    section = T.StructField(panel.datasets[0], T.ArrayType(sections[panel.datasets[0]].schema))
+    document = read_dataset(spark, path, T.StructType([section]), whole=True)
     return select_section(document, panel.datasets[0], panel.columns)
 
 
-@_register
+@_named("document_sections")
 def document_sections_read(spark, sf_dir):
-    """Rows of all eight sections, whether in the document or beside it."""
-    _, sections = _written(spark, sf_dir)
+    """Rows of all eight sections with their places, whether in the document or beside it."""
+    _, sections = _written(spark, sf_dir, "position")
     lines = []
     for name, df in sections.items():
         keys = [key.lstrip("-") for key in doc.section_keys(df, name) if key != ROOT_FIRST]
-        lines.append(_as_lines(df.select(*keys), name))
+        lines.append(_as_lines(df.select(*keys, "position"), name))
     return reduce(DataFrame.unionByName, lines)
 
 

@@ -32,10 +32,13 @@ def read_manifest(spark: SparkSession, path: str) -> DataFrame:
     return read_dataset(spark, path, MANIFEST_SCHEMA, whole=True)
 
 
-def read_sections(spark: SparkSession, path: str, schemas: Mapping[str, T.StructType]) -> dict[str, DataFrame]:
+def read_sections(
+    spark: SparkSession, path: str, schemas: Mapping[str, T.StructType], position: str | None = None
+) -> dict[str, DataFrame]:
     """Every section of a written document as rows, whether inside it or in a dataset beside it.
 
     ``schemas`` names the sections wanted; one that the document does not have is left out.
+    ``position`` names a column to add for a row's place in its section, from 1.
     """
     inside = [T.StructField(name, T.ArrayType(schema)) for name, schema in schemas.items()]
     outside = T.StructField("external_sections", T.MapType(T.StringType(), T.StringType()))
@@ -44,9 +47,12 @@ def read_sections(spark: SparkSession, path: str, schemas: Mapping[str, T.Struct
     sections = {}
     for name, schema in schemas.items():
         if present[name]:
-            sections[name] = document.select(F.inline(name))
-        elif place := (present["external_sections"] or {}).get(name):
-            sections[name] = read_dataset(spark, place, schema)
+            numbered = document.select(F.posexplode(name).alias("_nth", "_row"))
+            place = [(F.col("_nth") + 1).cast("long").alias(position)] if position else []
+            sections[name] = numbered.select("_row.*", *place)
+        elif beside := (present["external_sections"] or {}).get(name):
+            rows = read_dataset(spark, beside, schema)
+            sections[name] = with_positions(rows, position) if position else rows
     return sections
 
 

@@ -460,16 +460,22 @@ def _lines(panel: str, sql: str, *columns: str) -> str:
 
 
 _TIMED = f"SELECT *, strftime(author_date, {TS}) AS time FROM commits"
-ORACLES["document_sections_read"] = " UNION ALL ".join(
+
+
+def _section(name: str, sql: str, order: str, *columns: str) -> str:
+    return _lines(name, f"SELECT *, row_number() OVER (ORDER BY {order}) AS position FROM ({sql})", *columns, "position")
+
+
+ORACLES["document_sections"] = " UNION ALL ".join(
     [
-        _lines("trailer_fields", "SELECT * FROM catalog", "ordinality"),
-        _lines("branch_summary", "SELECT DISTINCT branch FROM commits", "branch"),
-        _lines("author_summary", ORACLES["author_activity"], "branch", "commit_count", "last_commit_at", "author_email", "author_name"),
-        _lines("daily_activity", ORACLES["daily_activity"], "branch", "commit_day"),
-        _lines("trailer_summary", ORACLES["trailer_summary"], "branch", "trailer_field", "last_commit_at", "trailer_value"),
-        _lines("trailer_people_summary", ORACLES["trailer_people_summary"], "branch", "last_commit_at", "person"),
-        _lines("recent_commits", ORACLES["recent_commits"], "time", "commit_id", "branch"),
-        _lines("commits", _TIMED, "branch", "time", "commit_id"),
+        _section("trailer_fields", "SELECT * FROM catalog", "ordinality", "ordinality"),
+        _section("branch_summary", "SELECT DISTINCT branch FROM commits", _EXPORTS["branch_summary"][1], "branch"),
+        _section("author_summary", *_EXPORTS["authors"], "branch", "commit_count", "last_commit_at", "author_email", "author_name"),
+        _section("daily_activity", *_EXPORTS["daily_activity"], "branch", "commit_day"),
+        _section("trailer_summary", *_EXPORTS["trailer_summary"], "branch", "trailer_field", "last_commit_at", "trailer_value"),
+        _section("trailer_people_summary", *_EXPORTS["trailer_people_summary"], "branch", "last_commit_at", "person"),
+        _section("recent_commits", ORACLES["recent_commits"], "time DESC NULLS FIRST, commit_id, branch", "time", "commit_id", "branch"),
+        _section("commits", _TIMED, "branch, time DESC NULLS FIRST, commit_id", "branch", "time", "commit_id"),
     ]
 )
 
