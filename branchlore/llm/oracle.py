@@ -141,9 +141,11 @@ def _quality() -> str:
     return rf"""
 WITH {DOCS}, w AS MATERIALIZED (
   SELECT rid, t, {SPACED} AS words, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
-windows AS (
-  SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(words[i:i + 4], ' ')) AS often
-  FROM (SELECT rid, words, unnest(range(1, len(words) - 3)) AS i FROM w)),
+pw AS (SELECT rid, unnest(words) AS word, unnest(range(0, len(words))) AS i FROM w),
+grams AS (
+  SELECT rid, i, word || ' ' || lead(word, 1) OVER v || ' ' || lead(word, 2) OVER v || ' ' || lead(word, 3) OVER v
+    || ' ' || lead(word, 4) OVER v AS gram FROM pw WINDOW v AS (PARTITION BY rid ORDER BY i)),
+windows AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, gram) AS often FROM grams WHERE gram IS NOT NULL),
 repeats AS (SELECT rid, count(DISTINCT spot) AS n FROM (SELECT rid, unnest(range(i, i + 5)) AS spot FROM windows WHERE often > 1) GROUP BY rid),
 c AS MATERIALIZED (
   SELECT rid, len(words) AS n_words, length(array_to_string(words, '')) AS word_chars,
