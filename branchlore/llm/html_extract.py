@@ -62,6 +62,9 @@ BAD_NAMES = frozenset(
     """.split()  # noqa: SIM905
 )
 
+# Words that name such parts also inside longer names.
+BAD_PARTS = re.compile("sidebar|advert|comment|cookie|newsletter|navbar|breadcrumb|footer|sponsor")
+
 _TAG = re.compile(
     r"<(?:!--(?P<comment>)|[!?](?P<declaration>)|(?P<end>/?)(?P<name>[A-Za-z][^\s/>]*)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+))"
 )
@@ -98,8 +101,9 @@ def _no_text(name: str, attributes: str, inside: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
-        if key in ("class", "id") and any(p.lower() in BAD_NAMES for p in _NAME_PART.findall(value)):
-            return True
+        if key in ("class", "id"):
+            if BAD_PARTS.search(value.lower()) or any(p.lower() in BAD_NAMES for p in _NAME_PART.findall(value)):
+                return True
     return False
 
 

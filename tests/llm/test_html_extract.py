@@ -35,6 +35,7 @@ def test_test_pages_equal_the_article_cut_out_plainly(spark):
         (f"<div><a href=x>{PROSE}</a></div><p>{PROSE}", PROSE),
         (f'<div role="navigation">{PROSE}</div><div hidden>{PROSE}</div><div class="cookieNotice">{PROSE}</div>{PROSE}', PROSE),
         (f"<p title='a > b'>{PROSE}</p", PROSE),
+        (f'<p id="leftSidebar2">{PROSE}</p><div class="usercomments">{PROSE}</div><p class="lead adverb">{PROSE}', PROSE),
         (f"<p>1 < 2 and {PROSE}<!-- open {PROSE}", f"1 < 2 and {PROSE}"),
         ("<article><p>One short line.</p></article>", "One short line."),
         (f"<article><h1>T</h1><p>{PROSE}</p><div class=ad>{PROSE}</div><p>Last.</p></article>", f"T {PROSE} Last."),
