@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from branchlore.staging import stage
+from branchlore.staging import release, staging_path, stored
 
 SPACES = "[\\x20\\x09-\\x0D]+"
 NOT_IN_WORDS = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
@@ -122,7 +122,9 @@ def components(links: DataFrame) -> DataFrame:
     executors cost one round.  Neighbour lists are never gathered: a node's smallest
     neighbour is a partial aggregate, joined back to its links.  A root names itself too.
     """
-    links = stage(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), "links")
+    spark = links.sparkSession
+    path = staging_path(spark, "links")
+    links = stored(links.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), path)
     seen = None
     while True:
         both = links.select("u", "v").unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -133,7 +135,9 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        links = stage(small.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")).distinct(), "links")
+        before, path = path, staging_path(spark, "links")
+        links = stored(small.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v")).distinct(), path)
+        release(spark, before)
         now = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == seen:
             break
