@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from llm_docs import make_docs  # noqa: F401
 
 from branchlore.llm import decontamination
 

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import random
 import re
+from llm_docs import make_docs  # noqa: F401
 
 from branchlore.llm import license_scan
 from branchlore.llm.license_scan import BASE, TEMPLATES

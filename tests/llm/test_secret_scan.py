@@ -5,6 +5,7 @@ import random
 import re
 
 import pytest
+from llm_docs import make_docs  # noqa: F401
 
 from branchlore.llm import secret_scan
 from branchlore.llm.secret_scan import RULES, trigram_query

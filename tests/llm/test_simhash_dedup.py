@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import xxhash
+from llm_docs import make_docs  # noqa: F401
 
 from branchlore.llm import simhash_dedup
 from branchlore.llm.common import components

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from llm_docs import make_docs  # noqa: F401
 
 from branchlore.llm import token_counts
 
