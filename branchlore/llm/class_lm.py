@@ -15,14 +15,15 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from branchlore.llm.common import kept_columns, map_rows, row_key, whole
-from branchlore.staging import stage
+from branchlore.staging import release, stage, staging_path, stored
 
 DICTIONARY = 1 << 18  # words that tasks number by themselves
 LONGEST = 64  # bytes of such a word; so the dictionary is never above 16 MB
@@ -44,8 +45,9 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def band(count: int) -> int:
-    return min(int(count).bit_length(), BANDS) - 1
+def bands(counts: np.ndarray) -> np.ndarray:
+    """Bit lengths from 0, the last band open."""
+    return np.minimum(np.frexp(counts.astype(float))[1], BANDS) - 1
 
 
 @dataclass
@@ -58,9 +60,9 @@ class Layout:
     def end(self) -> int:
         return len(self.counts)
 
-    def rare(self, count: int) -> int:
-        """The code of a word outside the dictionary."""
-        return self.end + 1 + (band(count) if count else BANDS)
+    def rare(self, counts: np.ndarray) -> np.ndarray:
+        """The codes of words outside the dictionary."""
+        return self.end + 1 + np.where(counts > 0, bands(counts), BANDS)
 
     @property
     def n_codes(self) -> int:
@@ -81,7 +83,7 @@ class Layout:
         of[self.end] = CLASSES
         of[self.end + 1 :] = CLASSES + 1 + np.arange(BANDS + 1)
         rest = self.counts[self.n_exchanged :]
-        of[self.n_exchanged : self.end] = CLASSES + 1 + np.minimum(np.frexp(rest.astype(float))[1], BANDS) - 1
+        of[self.n_exchanged : self.end] = CLASSES + 1 + bands(rest)
         return of
 
 
@@ -106,6 +108,26 @@ def count_words(texts: DataFrame) -> DataFrame:
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray]:
+    """At most so many of the most frequent words, none above ``LONGEST`` bytes, and their counts, falling.
+
+    Counts are kept to eight significant bits and words counted by these, a bounded table; the
+    last value that fits decides, so no task and no driver ever ranks the words.
+    """
+    rounding = F.greatest(F.length(F.bin("n")) - 8, F.lit(0))
+    words = counts.where(F.octet_length("word") <= LONGEST).withColumn("drop", rounding)
+    words = words.select("word", "n", F.expr("shiftleft(shiftright(n, drop), drop)").alias("about"))
+    sizes = words.groupBy("about").agg(F.count(F.lit(1)).alias("words"))
+    upto = sizes.withColumn("upto", F.sum("words").over(Window.orderBy(F.desc("about"))))
+    least = upto.where(F.col("upto") <= most).agg(F.min("about")).first()[0]
+    if least is None:
+        return [], np.zeros(0, dtype=np.int64)
+    table = words.where(F.col("about") >= least).select("word", "n").toArrow()
+    found, n = table.column("word").to_pylist(), table.column("n").to_numpy()
+    order = sorted(range(len(found)), key=lambda i: (-n[i], found[i]))
+    return [found[i] for i in order], n[order].astype(np.int64)
+
+
 def encoded(texts: DataFrame, counts: DataFrame, dictionary: list[bytes], layout: Layout) -> DataFrame:
     """Every text as ``codes``, its end last, and what the codes of its rare words do not tell.
 
@@ -113,33 +135,62 @@ def encoded(texts: DataFrame, counts: DataFrame, dictionary: list[bytes], layout
     known ones' counts, ``rare_known`` their number.
     """
     numbers = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(dictionary)})
-    end = layout.end
+    end, kept = layout.end, [c for c in texts.columns if c != "text"]
+    kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
 
-    def number(text: bytes) -> tuple[list[int], list[bytes]]:
-        words = words_of(text)
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = numbers.value
-        codes = [known.get(w, -1) for w in words]
-        return [*codes, end], [w for w, c in zip(words, codes, strict=True) if c < 0]
-
-    first = stage(map_rows(texts, number, "codes array<int>, rare array<binary>", "text"), "lm-numbered")
+        for part in _parts(batches):
+            codes, rare = [], []
+            for value in part.column("text"):
+                words = words_of(value.as_py())
+                found = np.fromiter(map(known.get, words, repeat(-1)), dtype=np.int32, count=len(words))
+                codes.append(np.append(found, np.int32(end)))
+                rare.append([words[i] for i in np.flatnonzero(found < 0)])
+            made = [_lists(codes), pa.array(rare, pa.list_(pa.binary()))]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=[*kept, "codes", "rare"])
+
+    sent = texts.select(*kept, F.col("text").cast("binary").alias("text"))
+    path = staging_path(texts.sparkSession, "lm-numbered")
+    first = stored(sent.mapInArrow(number, f"{kinds}, codes array<int>, rare array<binary>"), path)
     places = first.where(F.size("rare") > 0).select(KEY, F.posexplode("rare").alias("nth", "word"))
     found = places.join(counts, "word", "left").select(KEY, F.struct("nth", F.coalesce("n", F.lit(0)).alias("n")).alias("place"))
     # equal rows have equal places: the set holds each once
     found = found.groupBy(KEY).agg(F.collect_set("place").alias("places"))
-    rare = layout.rare
-
-    def fill(codes: list[int], places: list[dict] | None) -> tuple[list[int], float, float, int]:
-        if places:
-            n = [p["n"] for p in sorted(places, key=lambda p: p["nth"])]
-            filled = np.array(codes)
-            filled[filled < 0] = [rare(x) for x in n]
-            n = np.array(n, dtype=float)
-            return filled.tolist(), float(np.log10(n + 1).sum()), float(np.log10(n[n > 0]).sum()), int((n > 0).sum())
-        return codes, 0.0, 0.0, 0
 
-    joined = first.drop("rare").join(found, KEY, "left")
-    made = "codes array<int>, rare_base double, rare_emit double, rare_known long"
-    return stage(map_rows(joined, fill, made, "codes", "places"), "lm-codes")
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            codes, starts = _flat(part.column("codes"))
+            places = part.column("places")
+            of = np.repeat(np.arange(part.num_rows), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            nth, n = (places.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            order = np.lexsort((nth, of))  # a text's rare words in order, as their gaps in the codes are
+            of, n = of[order], n[order].astype(np.int64)
+            codes[codes < 0] = layout.rare(n)
+            add = lambda x: np.bincount(of, weights=x, minlength=part.num_rows).astype(float)
+            sums = [add(np.log10(n + 1)), add(np.log10(np.maximum(n, 1))), add(n > 0).astype(np.int64)]
+            ends = np.append(starts[1:], len(codes))
+            made = [pa.ListArray.from_arrays(pa.array(np.append(starts[:1], ends), pa.int32()), pa.array(codes, pa.int32())), *map(pa.array, sums)]
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=[*kept, "codes", *names])
+
+    names = ["rare_base", "rare_emit", "rare_known"]
+    joined = first.drop("rare").join(found, KEY, "left").select(*kept, "codes", "places")
+    filled = joined.mapInArrow(fill, f"{kinds}, codes array<int>, rare_base double, rare_emit double, rare_known long")
+    codes = stage(filled, "lm-codes")
+    release(texts.sparkSession, path)
+    return codes
+
+
+def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Few rows at a time, so that what a task holds does not depend on the batch size."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, 256):
+            yield batch.slice(start, 256)
+
+
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    offsets = np.cumsum([0, *map(len, rows)])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(rows), pa.int32()))
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -244,7 +295,8 @@ def exchange(train: DataFrame, layout: Layout, rounds: int = ROUNDS) -> tuple[np
     chosen = np.arange(layout.n_exchanged) % CLASSES
     best: tuple[np.ndarray, np.ndarray] | None = None
     for round_ in range(rounds + 1):
-        counts = stage(class_counts(train, layout.classes(chosen), layout), "lm-class-counts")
+        path = staging_path(train.sparkSession, "lm-class-counts")
+        counts = stored(class_counts(train, layout.classes(chosen), layout), path)
         row = counts.where("part = -1").first()
         pairs = np.frombuffer(bytes(row.cells), dtype=np.int64).reshape(n_classes, n_classes) if row else np.zeros((n_classes, n_classes), np.int64)
         if best is not None and likelihood(pairs) <= likelihood(best[1]):
@@ -264,6 +316,7 @@ def exchange(train: DataFrame, layout: Layout, rounds: int = ROUNDS) -> tuple[np
         chosen = now.copy()
         for r in map_rows(parts, move, "classes array<int>", "part", "cells").toLocalIterator():
             chosen[r.nth * WORDS_PER_PART : r.nth * WORDS_PER_PART + len(r.classes)] = r.classes
+        release(train.sparkSession, path)
     return best
 
 
@@ -278,10 +331,9 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     texts = rows.select("doc_id", is_held_out().alias("held_out"), row_key(rows, "doc_id", "text").alias(KEY), whole("text").alias("text"))
     learnt = texts.where("NOT held_out")
     counts = stage(count_words(learnt), "lm-counts")
-    top = counts.where(F.octet_length("word") <= LONGEST).orderBy(F.desc("n"), "word").limit(DICTIONARY).collect()
-    top.sort(key=lambda r: (-r.n, bytes(r.word)))
-    layout = Layout(np.array([r.n for r in top], dtype=np.int64))
-    codes = encoded(texts, counts, [bytes(r.word) for r in top], layout)
+    dictionary, frequent = most_frequent(counts, DICTIONARY)
+    layout = Layout(frequent)
+    codes = encoded(texts, counts, dictionary, layout)
     train = codes.where("NOT held_out")
     n_docs, (n_words, n_kinds) = train.count(), counts.agg(F.sum("n"), F.count(F.lit(1))).first()
     tokens, kinds = (n_words or 0) + n_docs, n_kinds + (n_docs > 0)
