@@ -8,6 +8,7 @@ counts of the round before; a round that does not raise the likelihood is taken
 All words are counted, over all training texts.  The most frequent ones are numbered by a
 dictionary of bounded size that tasks hold; the rest, rare each, get their counts through a join.
 Exchange works on the most frequent words; the others form classes by the size of their count.
+Unknown words share the class of the words seen once.
 """
 
 from __future__ import annotations
@@ -70,18 +71,18 @@ class Layout:
 
     @property
     def n_classes(self) -> int:
-        return CLASSES + 2 + BANDS
+        return CLASSES + 1 + BANDS
 
     @property
     def n_exchanged(self) -> int:
         return min(EXCHANGED, len(self.counts))
 
     def classes(self, exchanged: np.ndarray) -> np.ndarray:
-        """Class of every code: exchange classes, the end, bands, unknown."""
+        """Class of every code: exchange classes, the end, bands; an unknown word is of the lowest band."""
         of = np.empty(self.n_codes, dtype=np.int64)
         of[: self.n_exchanged] = exchanged
         of[self.end] = CLASSES
-        of[self.end + 1 :] = CLASSES + 1 + np.arange(BANDS + 1)
+        of[self.end + 1 :] = CLASSES + 1 + np.arange(BANDS + 1) % BANDS
         rest = self.counts[self.n_exchanged :]
         of[self.n_exchanged : self.end] = CLASSES + 1 + bands(rest)
         return of
@@ -211,9 +212,14 @@ def class_counts(train: DataFrame, of: np.ndarray, layout: Layout) -> DataFrame:
     """How often each exchanged word follows and precedes each class, and each class each class.
 
     Rows ``part``, ``cells``: a part is some words' counts (words x 2 x classes) or, numbered -1,
-    the class bigrams.  Tasks send bounded tables; these are added up part by part.
+    the class bigrams.  There are no more counting tasks than shuffle partitions, each sends one
+    bounded table, and a part is added up in two steps, so that no task reads one from every other.
     """
+    from pyspark import TaskContext
+
     spark = train.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slices = max(1, round(n**0.5))
     table = spark.sparkContext.broadcast(of)
     n_classes, exchanged = layout.n_classes, layout.n_exchanged
     wide = 2 * n_classes
@@ -237,28 +243,31 @@ def class_counts(train: DataFrame, of: np.ndarray, layout: Layout) -> DataFrame:
                 at = np.flatnonzero(follows)
                 at = at[codes[at - 1] < exchanged]
                 np.add.at(words, codes[at - 1] * wide + n_classes + classes[at], 1)
-        yield rows([-1], [pairs])
+        slice_ = TaskContext.get().partitionId() % slices
         sizes = range(0, exchanged, WORDS_PER_PART)
-        parts = [(i, words[s * wide : (s + WORDS_PER_PART) * wide]) for i, s in enumerate(sizes)]
-        parts = [(i, x) for i, x in parts if x.any()]
-        yield rows([i for i, _ in parts], [x for _, x in parts])
+        parts = {(i, slice_): words[s * wide : (s + WORDS_PER_PART) * wide] for i, s in enumerate(sizes)}
+        yield rows({(-1, slice_): pairs} | {k: x for k, x in parts.items() if x.any()})
 
-    def rows(parts: list[int], cells: list[np.ndarray]) -> pa.RecordBatch:
-        columns = [pa.array(parts, pa.int32()), pa.array([c.tobytes() for c in cells], pa.binary())]
-        return pa.RecordBatch.from_arrays(columns, names=["part", "cells"])
+    def rows(tables: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
+        parts, of = zip(*tables, strict=True) if tables else ((), ())
+        cells = pa.array([x.tobytes() for x in tables.values()], pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(of, pa.int32()), cells], names=["part", "slice", "cells"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}
+        total: dict[tuple[int, int], np.ndarray] = {}
         for batch in batches:
-            for part, cells in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for part, of, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 new = np.frombuffer(cells.as_buffer(), dtype=np.int64)
-                total[part] = total[part] + new if part in total else new.copy()
-        yield rows(list(total.keys()), list(total.values()))
+                if (part, of) in total:
+                    total[part, of] += new
+                else:
+                    total[part, of] = new.copy()
+        yield rows(total)
 
-    kind = "part int, cells binary"
-    partial = train.select("codes").mapInArrow(count, kind)
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return partial.repartition(n, "part").mapInArrow(add, kind)
+    kind = "part int, slice int, cells binary"
+    partial = train.select("codes").coalesce(n).mapInArrow(count, kind)
+    sums = partial.repartition(n, "part", "slice").mapInArrow(add, kind).withColumn("slice", F.lit(0))
+    return sums.repartition(n, "part").mapInArrow(add, kind).select("part", "cells")
 
 
 def _xlogx(n: np.ndarray) -> np.ndarray:
@@ -335,7 +344,8 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     layout = Layout(frequent)
     codes = encoded(texts, counts, dictionary, layout)
     train = codes.where("NOT held_out")
-    n_docs, (n_words, n_kinds) = train.count(), counts.agg(F.sum("n"), F.count(F.lit(1))).first()
+    sums = [F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)]
+    n_docs, (n_words, n_kinds, once, twice) = train.count(), counts.agg(*sums).first()
     tokens, kinds = (n_words or 0) + n_docs, n_kinds + (n_docs > 0)
 
     exchanged, pairs = exchange(train, layout, rounds)
@@ -344,11 +354,15 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     weight = layout.n_classes  # of the class's own frequency against what follows a class
     alone = (in_class + 1) / (in_class.sum() + layout.n_classes)
     follow = np.log10((pairs + weight * alone) / (pairs.sum(1, keepdims=True) + weight))
+    # Good and Turing: of the tokens like those seen once, as many are new as words were seen
+    # once, and as many are seen ones as tokens of words seen twice
+    new = (once + 1) / (once + 2 * twice + 2)
     emit = np.zeros(layout.n_codes)  # rare words: the count is in the text's own sum
     emit[: layout.end] = np.log10(layout.counts)
-    emit[: layout.end + 1 + BANDS] -= np.log10(np.maximum(in_class, 1))[of[: layout.end + 1 + BANDS]]
+    emit[:-1] -= np.log10(np.maximum(in_class, 1))[of[:-1]]
+    emit[:-1][of[:-1] == CLASSES + 1] += np.log10(1 - new)
     emit[layout.end] = 0.0  # the end is alone in its class
-    emit[-1] = -np.log10(kinds + 1)
+    emit[-1] = np.log10(new / (kinds + 1))
     base = np.zeros(layout.n_codes)
     base[: layout.end] = np.log10(layout.counts + 1)
     base[layout.end] = np.log10(n_docs + 1)

@@ -66,8 +66,9 @@ def test_scores_equal_a_plain_model_with_the_same_classes(make_docs, spark, monk
     counts = Counter(t for doc, text in rows if not held_out(doc) for t in tokens(text))
     order = sorted((t for t in counts if t is not None and len(t.encode()) <= 64), key=lambda t: (-counts[t], t.encode()))
     number = {t: int(chosen[i]) for i, t in enumerate(order)}
-    end, unknown = "end", "unknown"
-    cls = lambda t: end if t is None else number[t] if t in number else ("band", min(counts[t].bit_length(), 12) - 1) if counts[t] else unknown
+    end, once, twice = "end", sum(n == 1 for t, n in counts.items() if t), sum(n == 2 for t, n in counts.items() if t)
+    new = (once + 1) / (once + 2 * twice + 2)
+    cls = lambda t: end if t is None else number[t] if t in number else ("band", min(counts[t].bit_length(), 12) - 1) if counts[t] else ("band", 0)
     pairs, of = Counter(), Counter()
     for doc, text in rows:
         if not held_out(doc):
@@ -83,7 +84,7 @@ def test_scores_equal_a_plain_model_with_the_same_classes(make_docs, spark, monk
         for t in tokens(text):
             c = cls(t)
             alone = (of[c] + 1) / (total + k)
-            within = 1 / (len(counts) + 1) if c == unknown else 1 if c == end else counts[t] / of[c]
+            within = new / (len(counts) + 1) if not counts[t] else 1 if c == end else counts[t] / of[c] * (1 - new if c == ("band", 0) else 1)
             want += math.log10((pairs[last, c] + k * alone) / (before[last] + k) * within)
             last = c
         assert got[doc] == pytest.approx(want, abs=1e-6)
