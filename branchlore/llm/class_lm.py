@@ -3,12 +3,12 @@
 A word's probability is that of its class after the class before, times that of the word within
 its class.  Classes come from exchange clustering: in each round every word of one half looks for
 the class in which the class bigrams become most likely, all words of a half at once from the
-counts of the round before; a round that does not raise the likelihood is taken back and ends it.
+counts of the round before; a round that does not raise the likelihood is taken back, and two such
+rounds in a row, one of each half, end it.
 
-All words are counted, over all training texts.  The most frequent ones are numbered by a
-dictionary of bounded size that tasks hold; the rest, rare each, get their counts through a join.
-Exchange works on the most frequent words; the others form classes by the size of their count.
-Unknown words share the class of the words seen once.
+All words of the training texts are counted and exchanged.  The most frequent ones are numbered by
+a dictionary of bounded size that tasks hold; the rest, rare each, have a hash that no two of them
+share, and their classes are a table.  Unknown words are a class of their own.
 """
 
 from __future__ import annotations
@@ -20,19 +20,17 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from branchlore.llm.common import kept_columns, map_rows, row_key, whole
+from branchlore.llm.common import kept_columns, row_key, whole
 from branchlore.staging import release, stage, staging_path, stored
 
 DICTIONARY = 1 << 18  # words that tasks number by themselves
 LONGEST = 64  # bytes of such a word; so the dictionary is never above 16 MB
-EXCHANGED = 1 << 14  # most frequent words that exchange moves between classes
-CLASSES = 32
-ROUNDS = 4
-BANDS = 12  # classes of the other words, by the bit length of their count
-WORDS_PER_PART = 256  # words whose class counts are one row
+CLASSES = 32  # of words; after them the class of the end and that of unknown words
+N_CLASSES = CLASSES + 2
+WORDS_AT_ONCE = 1024  # words for which a task seeks classes at a time
 KEY = "class_lm_row_key"
 HELD_OUT, FOLDS = 2, 7
 
@@ -46,14 +44,9 @@ def words_of(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
-def bands(counts: np.ndarray) -> np.ndarray:
-    """Bit lengths from 0, the last band open."""
-    return np.minimum(np.frexp(counts.astype(float))[1], BANDS) - 1
-
-
 @dataclass
 class Layout:
-    """Codes of tokens: words of the dictionary, the end, rare words by band, unknown words."""
+    """Codes of tokens: words of the dictionary, then the end; the codes of other words are negative."""
 
     counts: np.ndarray  # of the dictionary's words, falling
 
@@ -61,31 +54,35 @@ class Layout:
     def end(self) -> int:
         return len(self.counts)
 
-    def rare(self, counts: np.ndarray) -> np.ndarray:
-        """The codes of words outside the dictionary."""
-        return self.end + 1 + np.where(counts > 0, bands(counts), BANDS)
-
-    @property
-    def n_codes(self) -> int:
-        return self.end + 2 + BANDS
-
     @property
     def n_classes(self) -> int:
-        return CLASSES + 1 + BANDS
+        return N_CLASSES
 
-    @property
-    def n_exchanged(self) -> int:
-        return min(EXCHANGED, len(self.counts))
 
-    def classes(self, exchanged: np.ndarray) -> np.ndarray:
-        """Class of every code: exchange classes, the end, bands; an unknown word is of the lowest band."""
-        of = np.empty(self.n_codes, dtype=np.int64)
-        of[: self.n_exchanged] = exchanged
-        of[self.end] = CLASSES
-        of[self.end + 1 :] = CLASSES + 1 + np.arange(BANDS + 1) % BANDS
-        rest = self.counts[self.n_exchanged :]
-        of[self.n_exchanged : self.end] = CLASSES + 1 + bands(rest)
-        return of
+@dataclass
+class Classes:
+    """The class of every training word."""
+
+    table: DataFrame  # ``code``, ``cls`` of all words and the end
+    frequent: np.ndarray  # classes of the dictionary's words
+
+    def __getitem__(self, code: int) -> int:
+        return self.frequent[code]
+
+
+def rare_code(word: Column, seed: int) -> Column:
+    """A negative code for a word that the dictionary does not hold."""
+    return F.xxhash64(word, F.lit(seed)).bitwiseOR(F.lit(-(1 << 63)))
+
+
+def free_seed(counts: DataFrame) -> int:
+    """A seed with which no two words have one code."""
+    seed = 0
+    while True:
+        words, codes = counts.agg(F.count(F.lit(1)), F.count_distinct(rare_code(F.col("word"), seed))).first()
+        if words == codes:
+            return seed
+        seed += 1
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -129,12 +126,8 @@ def most_frequent(counts: DataFrame, most: int) -> tuple[list[bytes], np.ndarray
     return [found[i] for i in order], n[order].astype(np.int64)
 
 
-def encoded(texts: DataFrame, counts: DataFrame, dictionary: list[bytes], layout: Layout) -> DataFrame:
-    """Every text as ``codes``, its end last, and what the codes of its rare words do not tell.
-
-    ``rare_base`` and ``rare_emit`` are sums over the rare tokens of log10 of count + 1 and of the
-    known ones' counts, ``rare_known`` their number.
-    """
+def numbered(texts: DataFrame, dictionary: list[bytes], layout: Layout) -> DataFrame:
+    """Every text as ``codes``, its end last and -1 for words outside the dictionary, which are ``rare`` in order."""
     numbers = texts.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(dictionary)})
     end, kept = layout.end, [c for c in texts.columns if c != "text"]
     kinds = ", ".join(f"{c} {texts.schema[c].dataType.simpleString()}" for c in kept)
@@ -152,34 +145,16 @@ def encoded(texts: DataFrame, counts: DataFrame, dictionary: list[bytes], layout
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=[*kept, "codes", "rare"])
 
     sent = texts.select(*kept, F.col("text").cast("binary").alias("text"))
-    path = staging_path(texts.sparkSession, "lm-numbered")
-    first = stored(sent.mapInArrow(number, f"{kinds}, codes array<int>, rare array<binary>"), path)
-    places = first.where(F.size("rare") > 0).select(KEY, F.posexplode("rare").alias("nth", "word"))
-    found = places.join(counts, "word", "left").select(KEY, F.struct("nth", F.coalesce("n", F.lit(0)).alias("n")).alias("place"))
+    return stage(sent.mapInArrow(number, f"{kinds}, codes array<int>, rare array<binary>"), "lm-numbered")
+
+
+def with_places(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """Numbered texts with ``places``: count and class of their rare words, none for unknown ones."""
+    places = texts.where(F.size("rare") > 0).select(KEY, F.posexplode("rare").alias("nth", "word"))
+    found = places.join(words, "word", "left").select(KEY, F.struct("nth", "n", "cls").alias("place"))
     # equal rows have equal places: the set holds each once
     found = found.groupBy(KEY).agg(F.collect_set("place").alias("places"))
-
-    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in _parts(batches):
-            codes, starts = _flat(part.column("codes"))
-            places = part.column("places")
-            of = np.repeat(np.arange(part.num_rows), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-            nth, n = (places.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            order = np.lexsort((nth, of))  # a text's rare words in order, as their gaps in the codes are
-            of, n = of[order], n[order].astype(np.int64)
-            codes[codes < 0] = layout.rare(n)
-            add = lambda x: np.bincount(of, weights=x, minlength=part.num_rows).astype(float)
-            sums = [add(np.log10(n + 1)), add(np.log10(np.maximum(n, 1))), add(n > 0).astype(np.int64)]
-            ends = np.append(starts[1:], len(codes))
-            made = [pa.ListArray.from_arrays(pa.array(np.append(starts[:1], ends), pa.int32()), pa.array(codes, pa.int32())), *map(pa.array, sums)]
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), *made], names=[*kept, "codes", *names])
-
-    names = ["rare_base", "rare_emit", "rare_known"]
-    joined = first.drop("rare").join(found, KEY, "left").select(*kept, "codes", "places")
-    filled = joined.mapInArrow(fill, f"{kinds}, codes array<int>, rare_base double, rare_emit double, rare_known long")
-    codes = stage(filled, "lm-codes")
-    release(texts.sparkSession, path)
-    return codes
+    return texts.drop("rare").join(found, KEY, "left")
 
 
 def _parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -200,74 +175,58 @@ def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return column.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.cumsum(lengths) - lengths
 
 
-def _after(classes: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """The class before each token; a text begins after an end."""
-    before = np.empty_like(classes)
-    before[1:] = classes[:-1]
-    before[starts] = CLASSES
+def _after(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
+    """What stands before each token; a text begins after an end."""
+    before = np.empty_like(codes)
+    before[1:] = codes[:-1]
+    before[starts] = end
     return before
 
 
-def class_counts(train: DataFrame, of: np.ndarray, layout: Layout) -> DataFrame:
-    """How often each exchanged word follows and precedes each class, and each class each class.
+def bigrams(train: DataFrame, layout: Layout) -> DataFrame:
+    """``left``, ``right``, ``n`` over all texts, the end before a text's first word."""
+    end = layout.end
+    if "rare" not in train.columns:
+        train = train.withColumn("rare", F.expr("cast(array() as array<bigint>)"))
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _parts(batches):
+            codes, starts = _flat(part.column("codes"))
+            codes = codes.copy()
+            codes[codes < 0] = _flat(part.column("rare"))[0]
+            yield pa.RecordBatch.from_arrays([pa.array(_after(codes, starts, end)), pa.array(codes)], names=["left", "right"])
+
+    pairs = train.select("codes", "rare").mapInArrow(pair, "left long, right long")
+    return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_counts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per word ``code``, ``cls`` and ``cells``: how often it follows and (from ``N_CLASSES`` on) precedes each class.
 
-    Rows ``part``, ``cells``: a part is some words' counts (words x 2 x classes) or, numbered -1,
-    the class bigrams.  There are no more counting tasks than shuffle partitions, each sends one
-    bounded table, and a part is added up in two steps, so that no task reads one from every other.
+    Classes of the dictionary's words go to all tasks, those of the others meet their bigrams in a join.
     """
-    from pyspark import TaskContext
+    classes = classes.select("code", "cls")
 
-    spark = train.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slices = max(1, round(n**0.5))
-    table = spark.sparkContext.broadcast(of)
-    n_classes, exchanged = layout.n_classes, layout.n_exchanged
-    wide = 2 * n_classes
+    def beside(known: str, word: str, first: int) -> DataFrame:
+        of = classes.withColumnRenamed("code", known)
+        frequent = pairs.where(F.col(known) >= 0).join(F.broadcast(of.where(F.col(known) >= 0)), known)
+        rare = pairs.where(F.col(known) < 0).join(of.where(F.col(known) < 0), known)
+        cell = (F.col("cls") + first).alias("cell")
+        both = frequent.unionByName(rare).select(F.col(word).alias("code"), cell, "n")
+        return both.groupBy("code", "cell").agg(F.sum("n").alias("n"))
+
+    cells = beside("left", "right", 0).unionByName(beside("right", "left", N_CLASSES))
+    cells = cells.groupBy("code").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    return cells.join(classes, "code").select("code", "cls", "cells")
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(exchanged * wide, dtype=np.int64)
-        pairs = np.zeros(n_classes * n_classes, dtype=np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                codes, starts = _flat(batch.column(0).slice(start, 512))
-                if not len(codes):
-                    continue
-                classes = table.value[codes]
-                before = _after(classes, starts)
-                pairs += np.bincount(before * n_classes + classes, minlength=len(pairs))
-                inside = codes < exchanged
-                np.add.at(words, codes[inside] * wide + before[inside], 1)
-                # a text's first token follows an end: what precedes it is no word
-                follows = np.ones(len(codes), dtype=bool)
-                follows[starts] = False
-                at = np.flatnonzero(follows)
-                at = at[codes[at - 1] < exchanged]
-                np.add.at(words, codes[at - 1] * wide + n_classes + classes[at], 1)
-        slice_ = TaskContext.get().partitionId() % slices
-        sizes = range(0, exchanged, WORDS_PER_PART)
-        parts = {(i, slice_): words[s * wide : (s + WORDS_PER_PART) * wide] for i, s in enumerate(sizes)}
-        yield rows({(-1, slice_): pairs} | {k: x for k, x in parts.items() if x.any()})
-
-    def rows(tables: dict[tuple[int, int], np.ndarray]) -> pa.RecordBatch:
-        parts, of = zip(*tables, strict=True) if tables else ((), ())
-        cells = pa.array([x.tobytes() for x in tables.values()], pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(parts, pa.int32()), pa.array(of, pa.int32()), cells], names=["part", "slice", "cells"])
-
-    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[int, int], np.ndarray] = {}
-        for batch in batches:
-            for part, of, cells in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                new = np.frombuffer(cells.as_buffer(), dtype=np.int64)
-                if (part, of) in total:
-                    total[part, of] += new
-                else:
-                    total[part, of] = new.copy()
-        yield rows(total)
 
-    kind = "part int, slice int, cells binary"
-    partial = train.select("codes").coalesce(n).mapInArrow(count, kind)
-    sums = partial.repartition(n, "part", "slice").mapInArrow(add, kind).withColumn("slice", F.lit(0))
-    return sums.repartition(n, "part").mapInArrow(add, kind).select("part", "cells")
+def class_pairs(counts: DataFrame) -> np.ndarray:
+    """How often each class follows each class."""
+    each = counts.select("cls", F.inline("cells")).where(F.col("cell") < N_CLASSES)
+    pairs = np.zeros((N_CLASSES, N_CLASSES), dtype=np.int64)
+    for r in each.groupBy("cell", "cls").agg(F.sum("n").alias("n")).collect():
+        pairs[r.cell, r.cls] = r.n
+    return pairs
 
 
 def _xlogx(n: np.ndarray) -> np.ndarray:
@@ -279,57 +238,103 @@ def likelihood(pairs: np.ndarray) -> float:
     return float(_xlogx(pairs).sum() - _xlogx(pairs.sum(0)).sum() - _xlogx(pairs.sum(1)).sum())
 
 
-def best_class(word: np.ndarray, own: int, pairs: np.ndarray) -> int:
-    """The exchange class in which a word (counts after and before each class) makes the class bigrams likeliest."""
-    n_classes = len(pairs)
-    after, before = word[:n_classes], word[n_classes:]
-    rest = pairs.astype(float)
-    rest[:, own] -= after
-    rest[own, :] -= before
-    rest = np.maximum(rest, 0)
-    to, out = rest[:, :CLASSES].T, rest[:CLASSES, :]
-    gain = (_xlogx(to + after) - _xlogx(to)).sum(1) + (_xlogx(out + before) - _xlogx(out)).sum(1)
-    into, from_ = rest.sum(0)[:CLASSES], rest.sum(1)[:CLASSES]
-    gain -= _xlogx(into + after.sum()) - _xlogx(into) + _xlogx(from_ + before.sum()) - _xlogx(from_)
-    best = int(np.argmax(gain))
-    return best if gain[best] > gain[own] + 1e-9 else own
-
+def best_classes(own: np.ndarray, of: np.ndarray, cell: np.ndarray, n: np.ndarray, pairs: np.ndarray) -> np.ndarray:
+    """The exchange classes in which words make the class bigrams likeliest, each word by itself.
 
-def exchange(train: DataFrame, layout: Layout, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray]:
-    """Classes of the exchanged words and the class bigrams they give.
-
-    The driver holds one class per exchanged word and the table of class pairs.
+    Word ``of[i]``, now in class ``own[of[i]]``, has the count ``n[i]`` in the cell ``cell[i]``.
     """
-    n_classes, wide = layout.n_classes, 2 * layout.n_classes
-    chosen = np.arange(layout.n_exchanged) % CLASSES
-    best: tuple[np.ndarray, np.ndarray] | None = None
-    for round_ in range(rounds + 1):
-        path = staging_path(train.sparkSession, "lm-class-counts")
-        counts = stored(class_counts(train, layout.classes(chosen), layout), path)
-        row = counts.where("part = -1").first()
-        pairs = np.frombuffer(bytes(row.cells), dtype=np.int64).reshape(n_classes, n_classes) if row else np.zeros((n_classes, n_classes), np.int64)
-        if best is not None and likelihood(pairs) <= likelihood(best[1]):
-            break
-        best = (chosen, pairs)
-        if round_ == rounds:
-            break
-        now = chosen
-
-        def move(part: int, cells: bytes) -> tuple[list[int]]:
-            words = np.frombuffer(cells, dtype=np.int64).reshape(-1, wide)
-            first = part * WORDS_PER_PART
-            own = now[first : first + len(words)]
-            return ([best_class(w, c, pairs) if i % 2 == round_ % 2 else int(c) for i, (w, c) in enumerate(zip(words, own, strict=True))],)
-
-        parts = counts.where("part >= 0").select(F.col("part").alias("nth"), "part", "cells")
-        chosen = now.copy()
-        for r in map_rows(parts, move, "classes array<int>", "part", "cells").toLocalIterator():
-            chosen[r.nth * WORDS_PER_PART : r.nth * WORDS_PER_PART + len(r.classes)] = r.classes
-        release(train.sparkSession, path)
-    return best
-
-
-def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+    n_words, n_classes, pairs = len(own), len(pairs), pairs.astype(float)
+    words = np.arange(n_words)
+    counts = np.zeros((n_words, 2 * n_classes))
+    counts[of, cell] = n
+    after, before = counts[:, :n_classes], counts[:, n_classes:]
+    gain = np.zeros((n_words, CLASSES))
+    # a table of class pairs or its transpose, without the word; only cells beside its contexts change
+    for table, mine, others, first in ((pairs, after, before, 0), (pairs.T, before, after, n_classes)):
+        at = np.flatnonzero((cell >= first) & (cell < first + n_classes))
+        w, beside, more = of[at], cell[at] - first, n[at].astype(float)[:, None]
+        rest = table[beside, :CLASSES]
+        rest[np.arange(len(at)), own[w]] -= more[:, 0]
+        same = np.flatnonzero(beside == own[w])
+        rest[same] -= others[w[same], :CLASSES]
+        rest = np.maximum(rest, 0)
+        part = _xlogx(rest + more) - _xlogx(rest)
+        order = np.argsort(w, kind="stable")
+        if len(order):
+            starts = np.flatnonzero(np.diff(w[order], prepend=-1))
+            gain[w[order][starts]] += np.add.reduceat(part[order], starts)
+    # a word that follows itself is twice in its class's own pair
+    twice = np.maximum(after[words, own] + before[words, own] - pairs[own, own], 0)
+    for table, mine, others in ((pairs, after, before), (pairs.T, before, after)):
+        rest, total = table.sum(0)[:CLASSES] - others[:, :CLASSES], mine.sum(1)
+        rest[words, own] += twice - total
+        gain -= _xlogx(rest + total[:, None]) - _xlogx(rest)
+    best = gain.argmax(1)
+    return np.where(gain[words, best] > gain[words, own] + 1e-9, best, own)
+
+
+def moved(counts: DataFrame, pairs: np.ndarray, half: int, end: int) -> DataFrame:
+    """``code``, ``cls`` and ``was`` after every word of one half has chosen its class."""
+
+    def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, WORDS_AT_ONCE):
+                part = batch.slice(start, WORDS_AT_ONCE)
+                code, was = (part.column(c).to_numpy(zero_copy_only=False) for c in ("code", "cls"))
+                cells = part.column("cells")
+                of = np.repeat(np.arange(len(code)), cells.value_lengths().to_numpy(zero_copy_only=False))
+                cell, n = (cells.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+                chooses = (code & 1 == half) & (code != end)
+                new, number = was.copy(), np.cumsum(chooses) - 1
+                inside = chooses[of]
+                new[chooses] = best_classes(was[chooses], number[of[inside]], cell[inside], n[inside], pairs)
+                yield pa.RecordBatch.from_arrays([part.column("code"), pa.array(new, pa.int32()), part.column("cls")], names=["code", "cls", "was"])
+
+    return counts.mapInArrow(move, "code long, cls int, was int")
+
+
+def exchange(train: DataFrame, layout: Layout, rounds: int | None = None) -> tuple[Classes, np.ndarray]:
+    """Classes of all training words and the class bigrams they give, after so many rounds at most.
+
+    Words with their classes and class counts are tables; the driver holds the table of class
+    pairs and, at the end, a class per word of the dictionary.
+    """
+    spark, end = train.sparkSession, layout.end
+    pairs_path = staging_path(spark, "lm-bigrams")
+    both = stored(bigrams(train, layout), pairs_path)
+
+    def counted(classes: DataFrame) -> tuple[str, DataFrame, np.ndarray]:
+        path = staging_path(spark, "lm-class-counts")
+        counts = stored(class_counts(both, classes), path)
+        return path, counts, class_pairs(counts)
+
+    first = F.when(F.col("code") == end, CLASSES).otherwise(F.pmod("code", F.lit(CLASSES))).cast("int")
+    classes_path = staging_path(spark, "lm-classes")
+    classes = stored(both.select(F.col("right").alias("code")).distinct().select("code", first.alias("cls")), classes_path)
+    counts_path, counts, pairs = counted(classes)
+    idle = done = 0
+    while idle < 2 and (rounds is None or done < rounds):
+        new_path = staging_path(spark, "lm-classes")
+        new = stored(moved(counts, pairs, done % 2, end), new_path)
+        done, better = done + 1, False
+        if not new.where("cls <> was").isEmpty():
+            path, new_counts, new_pairs = counted(new)
+            better = likelihood(new_pairs) > likelihood(pairs)
+            if better:
+                path, counts_path, counts, pairs = counts_path, path, new_counts, new_pairs
+                new_path, classes_path, classes = classes_path, new_path, new
+            release(spark, path)
+        release(spark, new_path)
+        idle = 0 if better else idle + 1
+    for path in (pairs_path, counts_path):
+        release(spark, path)
+    found = classes.where((F.col("code") >= 0) & (F.col("code") < end)).select("code", "cls").toArrow()
+    frequent = np.zeros(end, dtype=np.int64)
+    frequent[found.column("code").to_numpy()] = found.column("cls").to_numpy()
+    return Classes(classes.select("code", "cls"), frequent), pairs
+
+
+def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     """Per document row ``doc_id``, ``held_out``, token counts, ``base_score`` and ``score`` (both log10).
 
     Learns from the rows that are not held out.  Missing and empty texts are one end; repeated
@@ -342,59 +347,58 @@ def score(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     counts = stage(count_words(learnt), "lm-counts")
     dictionary, frequent = most_frequent(counts, DICTIONARY)
     layout = Layout(frequent)
-    codes = encoded(texts, counts, dictionary, layout)
-    train = codes.where("NOT held_out")
+    end, seed = layout.end, free_seed(counts)
+    coded = numbered(texts, dictionary, layout)
+    train = coded.where("NOT held_out")
     sums = [F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)]
     n_docs, (n_words, n_kinds, once, twice) = train.count(), counts.agg(*sums).first()
     tokens, kinds = (n_words or 0) + n_docs, n_kinds + (n_docs > 0)
 
-    exchanged, pairs = exchange(train, layout, rounds)
-    of = layout.classes(exchanged)
+    codes_only = train.select("codes", F.transform("rare", lambda w: rare_code(w, seed)).alias("rare"))
+    classes, pairs = exchange(codes_only, layout, rounds)
+    words = counts.withColumn("code", rare_code(F.col("word"), seed)).join(classes.table, "code").select("word", "n", "cls")
     in_class = pairs.sum(0).astype(float)
     weight = layout.n_classes  # of the class's own frequency against what follows a class
     alone = (in_class + 1) / (in_class.sum() + layout.n_classes)
     follow = np.log10((pairs + weight * alone) / (pairs.sum(1, keepdims=True) + weight))
     # Good and Turing: of the tokens like those seen once, as many are new as words were seen
     # once, and as many are seen ones as tokens of words seen twice
-    new = (once + 1) / (once + 2 * twice + 2)
-    emit = np.zeros(layout.n_codes)  # rare words: the count is in the text's own sum
-    emit[: layout.end] = np.log10(layout.counts)
-    emit[:-1] -= np.log10(np.maximum(in_class, 1))[of[:-1]]
-    emit[:-1][of[:-1] == CLASSES + 1] += np.log10(1 - new)
-    emit[layout.end] = 0.0  # the end is alone in its class
-    emit[-1] = np.log10(new / (kinds + 1))
-    base = np.zeros(layout.n_codes)
-    base[: layout.end] = np.log10(layout.counts + 1)
-    base[layout.end] = np.log10(n_docs + 1)
+    new = float(np.log10((once + 1) / (once + 2 * twice + 2) / (kinds + 1)))
+    of = np.append(classes.frequent, CLASSES)
+    n_of = np.append(layout.counts, n_docs)
     per_token = float(np.log10(tokens + kinds + 1))
-    known = np.zeros(layout.n_codes)
-    known[: layout.end] = 1
-    known[layout.end] = n_docs > 0
-    tables = docs.sparkSession.sparkContext.broadcast((of, follow, emit, base, known))
+    tables = docs.sparkSession.sparkContext.broadcast((of, n_of, follow, np.log10(np.maximum(in_class, 1))))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, follow, emit, base, known = tables.value
-        for batch in batches:
-            for start in range(0, batch.num_rows, 512):
-                part = batch.slice(start, 512)
-                code, starts = _flat(part.column("codes"))
-                classes = of[code]
-                logs = follow[_after(classes, starts), classes] + emit[code]
-                sums = [np.add.reduceat(x, starts) for x in (logs, base[code], known[code])]
-                n = np.diff(np.append(starts, len(code)))
-                rare = [part.column(c).to_numpy(zero_copy_only=False) for c in ("rare_emit", "rare_base", "rare_known")]
-                columns = [
-                    part.column("doc_id"),
-                    part.column("held_out"),
-                    pa.array(n),
-                    pa.array((sums[2] + rare[2]).astype(np.int64)),
-                    pa.array(np.full(len(n), tokens, dtype=np.int64)),
-                    pa.array(sums[1] + rare[1] - n * per_token),
-                    pa.array(sums[0] + rare[0]),
-                ]
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+        of, n_of, follow, in_class = tables.value
+        for part in _parts(batches):
+            code, starts = _flat(part.column("codes"))
+            classes, n = of[code], n_of[code]
+            places = part.column("places")
+            text = np.repeat(np.arange(part.num_rows), places.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+            nth, rare_n, rare_class = (places.flatten().field(i) for i in (0, 1, 2))
+            # a text's rare words in order, as their gaps in the codes are
+            order = np.lexsort((nth.to_numpy(zero_copy_only=False), text))
+            gaps = code < 0
+            classes[gaps] = rare_class.fill_null(CLASSES + 1).to_numpy(zero_copy_only=False)[order]
+            n[gaps] = rare_n.fill_null(0).to_numpy(zero_copy_only=False)[order]
+            emit = np.where(n > 0, np.log10(np.maximum(n, 1)) - in_class[classes], new)
+            emit[code == end] = 0.0  # the end is alone in its class
+            logs = follow[_after(classes, starts, CLASSES), classes] + emit
+            sums = [np.add.reduceat(x, starts) for x in (logs, np.log10(n + 1), (n > 0).astype(np.int64))]
+            size = np.diff(np.append(starts, len(code)))
+            columns = [
+                part.column("doc_id"),
+                part.column("held_out"),
+                pa.array(size),
+                pa.array(sums[2]),
+                pa.array(np.full(len(size), tokens, dtype=np.int64)),
+                pa.array(sums[1] - size * per_token),
+                pa.array(sums[0]),
+            ]
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return codes.mapInArrow(measure, schema)
+    return with_places(coded, words).mapInArrow(measure, schema)

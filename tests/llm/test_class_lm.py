@@ -110,3 +110,80 @@ def test_exchange_raises_the_likelihood(make_docs, spark):
 def test_empty_table(make_docs):
     docs = make_docs((1, "x"))
     assert class_lm.score(docs.where("false")).collect() == []
+
+
+def slow_best_class(word: np.ndarray, own: int, pairs: np.ndarray) -> int:
+    xlogx = lambda n: n * np.log(np.maximum(n, 1))
+    k, c = len(pairs), class_lm.CLASSES
+    after, before = word[:k], word[k:]
+    rest = pairs.astype(float)
+    rest[:, own] -= after
+    rest[own, :] -= before
+    rest = np.maximum(rest, 0)
+    to, out = rest[:, :c].T, rest[:c, :]
+    gain = (xlogx(to + after) - xlogx(to)).sum(1) + (xlogx(out + before) - xlogx(out)).sum(1)
+    into, from_ = rest.sum(0)[:c], rest.sum(1)[:c]
+    gain -= xlogx(into + after.sum()) - xlogx(into) + xlogx(from_ + before.sum()) - xlogx(from_)
+    best = int(np.argmax(gain))
+    return best if gain[best] > gain[own] + 1e-9 else own
+
+
+def test_best_classes_equal_one_word_at_a_time():
+    rng = np.random.default_rng(2)
+    k = class_lm.N_CLASSES
+    words = rng.integers(0, 9, (300, 2 * k)) * (rng.random((300, 2 * k)) < rng.choice([0.02, 0.2, 0.9], (300, 1)))
+    own = rng.integers(0, class_lm.CLASSES, 300)
+    pairs = rng.integers(0, 40, (k, k))
+    np.add.at(pairs, (slice(None), own), words[:, :k].T)
+    np.add.at(pairs, own, words[:, k:])
+    pairs[own[0], own[0]] = 0
+    of, cell = np.nonzero(words)
+    got = class_lm.best_classes(own, of, cell, words[of, cell], pairs)
+    assert got.tolist() == [slow_best_class(w, o, pairs) for w, o in zip(words, own)]
+    assert (got != own).any()
+
+
+@pytest.mark.parametrize("dictionary", [class_lm.DICTIONARY, 6, 0])
+def test_words_outside_the_dictionary_get_classes_from_their_contexts(make_docs, spark, monkeypatch, dictionary):
+    monkeypatch.setattr(class_lm, "DICTIONARY", dictionary)
+    made = []
+    real = class_lm.exchange
+    monkeypatch.setattr(class_lm, "exchange", lambda *given: made.append(real(*given)) or made[-1])
+    rng = random.Random(5)
+    kinds = [[f"{k}{i}" for i in range(300)] for k in ("det", "Noun", "VERB")]
+    rows = [(i, " ".join(rng.choice(kinds[j % 3]) for j in range(120))) for i in range(250)]
+    got = [r for r in class_lm.score(make_docs(*rows)).collect() if r.held_out]
+    classes, pairs = made[0]
+    n_words = len({t for doc, text in rows if not held_out(doc) for t in tokens(text)})
+    assert classes.table.count() == n_words
+    assert classes.table.where(f"cls < {class_lm.CLASSES}").count() == n_words - 1
+    assert sum(r.score for r in got) > sum(r.base_score for r in got) + 20 * len(got)
+    train = np.array([0, 0])
+    for doc, text in rows:
+        if not held_out(doc):
+            train += [len(tokens(text)), 1]
+    assert pairs.sum() == train[0] and pairs[class_lm.CLASSES].sum() == train[1]
+
+
+def test_exchange_ends_when_both_halves_gain_nothing(spark):
+    rng = random.Random(6)
+    seqs = [[rng.randrange(40) + 40 * (i % 3) for i in range(60)] + [120] for _ in range(50)]
+    train = spark.createDataFrame([(s,) for s in seqs], "codes array<int>")
+    layout = class_lm.Layout(np.array([100] * 120))
+    classes, pairs = class_lm.exchange(train, layout)
+    of = np.append(classes.frequent, class_lm.CLASSES)
+    words = np.zeros((120, 2 * class_lm.N_CLASSES), dtype=np.int64)
+    for seq in seqs:
+        for a, b in zip([120, *seq], seq):
+            if b < 120:
+                words[b, of[a]] += 1
+            if a < 120:
+                words[a, class_lm.N_CLASSES + of[b]] += 1
+    for half in (0, 1):
+        chosen = of.copy()
+        for w in range(half, 120, 2):
+            chosen[w] = slow_best_class(words[w], int(of[w]), pairs)
+        table = np.zeros_like(pairs)
+        for seq in seqs:
+            np.add.at(table, (chosen[[120, *seq[:-1]]], chosen[seq]), 1)
+        assert class_lm.likelihood(table) <= class_lm.likelihood(pairs)
