@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from branchlore.llm.common import map_rows, whole
-from branchlore.staging import staging_path
+from branchlore.llm.common import whole
+from branchlore.staging import stage, staging_path
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256  # free in that vocabulary
@@ -44,30 +44,43 @@ def encoding(vocabulary: str, ranks: dict[bytes, int], pattern: str = PATTERN):
     return _encodings[vocabulary]
 
 
-def split_name():
-    """Which part of which stored file a row comes from: one task reads it, in order."""
-    return F.concat_ws("-", F.hex(F.xxhash64("_metadata.file_path")), F.col("_metadata.file_block_start").cast("string"))
+def file_name():
+    """The stored file a row comes from; with the row's place in it a key, however scans split the file."""
+    return F.hex(F.xxhash64("_metadata.file_path"))
 
 
 def write_flat_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, end: int = END, width: int = WIDTH) -> None:
-    """Tokenizes the texts of a stored table into flat files, one folder ``split=...`` per part of its files.
+    """Tokenizes the texts of a stored table into flat files, one folder ``run=FILE-FIRST`` per run of rows.
 
-    The documents of a part keep the table's row order; a missing text is an empty document.
-    The end number is the line end of Spark's text sink, so files are written and committed by Spark.
+    A run holds the documents of a stored file from row FIRST on without a gap, in the table's
+    order; a missing text is an empty document.  The end number is the line end of Spark's text
+    sink, so files are written and committed by Spark.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
     kind = f"<u{width}"
 
-    def encode(text: bytes) -> tuple[bytes]:
-        numbers = encoding(vocabulary, ranks.value).encode_ordinary(text.decode())
-        return (np.array(numbers, dtype=kind).tobytes(),)
-
-    rows = docs.select(split_name().alias("split"), F.col("_metadata.row_index").alias("row"), whole("text").alias("text"))
-    tokens = map_rows(rows, encode, "tokens binary", "text").sortWithinPartitions("split", "row")
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, run = None, ""
+        for batch in batches:
+            # few rows at a time: what a task holds does not depend on the batch size
+            for at in range(0, batch.num_rows, 256):
+                part, runs, tokens = batch.slice(at, 256), [], []
+                for file, row, text in zip(*(part.column(c).to_pylist() for c in ("file", "row", "text")), strict=True):
+                    if last != (file, row - 1):
+                        run = f"{file}-{row}"
+                    last = file, row
+                    numbers = encoding(vocabulary, ranks.value).encode_ordinary(text.decode())
+                    runs.append(run)
+                    tokens.append(np.array(numbers, dtype=kind).tobytes())
+                made = [pa.array(runs, pa.string()), part.column("row"), pa.array(tokens, pa.binary())]
+                yield pa.RecordBatch.from_arrays(made, names=["run", "row", "tokens"])
+
+    rows = docs.select(file_name().alias("file"), F.col("_metadata.row_index").alias("row"), whole("text").cast("binary").alias("text"))
+    tokens = rows.mapInArrow(encode, "run string, row long, tokens binary").sortWithinPartitions("run", "row")
     line_end = end.to_bytes(width, "little").decode("latin-1")
-    flat = tokens.select("split", F.col("tokens").cast("string").alias("value"))
-    flat.write.partitionBy("split").option("encoding", "ISO-8859-1").option("lineSep", line_end).text(path)
+    flat = tokens.select("run", F.col("tokens").cast("string").alias("value"))
+    flat.write.partitionBy("run").option("encoding", "ISO-8859-1").option("lineSep", line_end).text(path)
 
 
 def read_blocks(spark: SparkSession, path: str, width: int = WIDTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
@@ -135,12 +148,17 @@ def token_counts(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
     """
     spark = docs.sparkSession
     path = staging_path(spark, "flat-tokens")
-    numbered = docs.select(split_name().alias("split"), F.col("_metadata.row_index").alias("row"), "doc_id")
-    order = Window.partitionBy("split").orderBy("row")
-    numbered = numbered.select("doc_id", "split", (F.row_number().over(order) - 1).cast("long").alias("nth"))
-    write_flat_files(docs, path, vocabulary)
-    counts = flat_file_counts(spark, path) if not docs.isEmpty() else None
-    if counts is None:
+    numbered = docs.select("doc_id", file_name().alias("of"), F.col("_metadata.row_index").alias("row"))
+    n_docs = docs.count()
+    if not n_docs:
         return numbered.select("doc_id", F.lit(0).cast("long").alias("n_tokens"), F.lit(0).cast("long").alias("start"))
-    counts = counts.withColumn("split", F.regexp_extract("file", "split=([^/]+)/", 1))
-    return numbered.join(counts, ["split", "nth"]).select("doc_id", "n_tokens", "start")
+    write_flat_files(docs, path, vocabulary)
+    run = lambda i: F.regexp_extract("file", "run=([^/-]+)-([0-9]+)/", i)
+    counts = flat_file_counts(spark, path).select(run(1).alias("of"), (run(2).cast("long") + F.col("nth")).alias("row"), "n_tokens", "start")
+    counts = stage(counts, "token-counts")
+    found, places = counts.agg(F.count(F.lit(1)), F.count_distinct("of", "row")).first()
+    if not n_docs == found == places:
+        raise ValueError(f"{n_docs} documents, but {found} in the flat files at {places} places")
+    joined = numbered.join(counts, ["of", "row"], "left")
+    lost = F.raise_error(F.concat(F.lit("no token count for row "), F.col("row").cast("string"), F.lit(" of file "), F.col("of")))
+    return joined.select("doc_id", F.coalesce("n_tokens", lost.cast("long")).alias("n_tokens"), "start")

@@ -57,3 +57,19 @@ def test_empty_table(make_docs, spark, tmp_path):
     path = str(tmp_path / "docs")
     make_docs((1, "x")).where("false").write.parquet(path)
     assert token_counts.token_counts(spark.read.parquet(path)).collect() == []
+
+
+def test_splits_of_the_scans_need_not_agree(make_docs, spark, tmp_path):
+    rng = random.Random(4)
+    docs = [(i, " ".join(rng.choices(["the", "x1", "PÄ"], k=rng.randrange(300)))) for i in range(2000)]
+    path = str(tmp_path / "docs")
+    make_docs(*docs).coalesce(1).write.option("parquet.block.size", 4096).option("parquet.page.size.row.check.min", 10).parquet(path)
+    conf, before = "spark.sql.files.maxPartitionBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        spark.conf.set(conf, 30_000)
+        counts = token_counts.token_counts(spark.read.parquet(path))
+        spark.conf.set(conf, 47_000)
+        got = counts.collect()
+    finally:
+        spark.conf.set(conf, before)
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == slow(docs)
