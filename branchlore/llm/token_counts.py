@@ -23,6 +23,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256  # free in that vocabulary
 WIDTH = 2  # bytes of a token number
 BLOCK_TOKENS = 1 << 19
+FILE_TOKENS = 1 << 22  # a flat file with as many gets no further document; readers load a file at once
 # Fixed value: how the public tokenizer splits a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -53,24 +54,25 @@ def write_flat_files(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, e
     """Tokenizes the texts of a stored table into flat files, one folder ``run=FILE-FIRST`` per run of rows.
 
     A run holds the documents of a stored file from row FIRST on without a gap, in the table's
-    order; a missing text is an empty document.  The end number is the line end of Spark's text
+    order, and ends with the document that fills ``FILE_TOKENS``; a missing text is an empty document.  The end number is the line end of Spark's text
     sink, so files are written and committed by Spark.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(vocabulary))
-    kind = f"<u{width}"
+    kind, most = f"<u{width}", FILE_TOKENS
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, run = None, ""
+        last, run, held = None, "", 0
         for batch in batches:
             # few rows at a time: what a task holds does not depend on the batch size
             for at in range(0, batch.num_rows, 256):
                 part, runs, tokens = batch.slice(at, 256), [], []
                 for file, row, text in zip(*(part.column(c).to_pylist() for c in ("file", "row", "text")), strict=True):
-                    if last != (file, row - 1):
-                        run = f"{file}-{row}"
+                    if last != (file, row - 1) or held >= most:
+                        run, held = f"{file}-{row}", 0
                     last = file, row
                     numbers = encoding(vocabulary, ranks.value).encode_ordinary(text.decode())
+                    held += len(numbers) + 1
                     runs.append(run)
                     tokens.append(np.array(numbers, dtype=kind).tobytes())
                 made = [pa.array(runs, pa.string()), part.column("row"), pa.array(tokens, pa.binary())]

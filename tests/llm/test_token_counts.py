@@ -73,3 +73,19 @@ def test_splits_of_the_scans_need_not_agree(make_docs, spark, tmp_path):
     finally:
         spark.conf.set(conf, before)
     assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == slow(docs)
+
+
+def test_flat_files_are_bounded(make_docs, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "FILE_TOKENS", 100, raising=False)
+    rng = random.Random(5)
+    docs = [(i, " ".join(rng.choices(["the", "x1", "PÄ"], k=rng.randrange(30)))) for i in range(200)]
+    docs += [(500, "long text " * 300), (501, "a"), (502, None)]
+    path, flat = str(tmp_path / "docs"), tmp_path / "flat"
+    make_docs(*docs).coalesce(1).write.parquet(path)
+    token_counts.write_flat_files(spark.read.parquet(path), str(flat))
+    sizes = [f.stat().st_size // token_counts.WIDTH for f in flat.rglob("*.txt")]
+    lengths = sorted(n + 1 for _, n in slow(docs))
+    assert sum(sizes) == sum(lengths)
+    assert sorted(sizes)[-2] < 100 + lengths[-2] and max(sizes) < 100 + lengths[-1]
+    got = token_counts.token_counts(spark.read.parquet(path)).collect()
+    assert sorted(((r.doc_id, r.n_tokens) for r in got), key=str) == slow(docs)
