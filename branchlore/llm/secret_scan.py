@@ -35,8 +35,15 @@ class Rule:
     pattern: str
     group: int = 0
     least: int = 0
+    possessive: str = ""  # the same matches with loops that Java runs without a stack
 
+    @property
+    def java(self) -> str:
+        return self.possessive or self.pattern
 
+
+# A key's header, with its body and END line where these follow; a body has no two dashes in a row.
+KEY_BLOCK = r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[^-]|-[^-])*{}-----END [A-Z ]*PRIVATE KEY-----)?"
 # The first three kinds are given, the others are formats of public services.
 BASE_RULES = (
     Rule("assign", r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))""", 2, 8),
@@ -48,7 +55,7 @@ RULES = (
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}[.]eyJ[A-Za-z0-9_-]{8,}[.][A-Za-z0-9_-]+"),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("private_key", KEY_BLOCK.format(""), possessive=KEY_BLOCK.format("+")),
     Rule("url_login", r"://[A-Za-z0-9._-]+:[A-Za-z0-9._-]{6,}@"),
 )
 
@@ -170,9 +177,9 @@ SPANS = "array<struct<start:int,end:int>>"
 
 def _rule_spans(text: Column, rule: Rule) -> Column:
     """Start and end, in code points, of the rule's matches: the pieces between matches tell where these lie."""
-    pattern = F.lit(rule.pattern)
+    pattern = F.lit(rule.java)
     parts = F.arrays_zip(
-        F.split(text, rule.pattern, -1).alias("between"),
+        F.split(text, rule.java, -1).alias("between"),
         F.regexp_extract_all(text, pattern, F.lit(0)).alias("match"),
         F.regexp_extract_all(text, pattern, F.lit(rule.group)).alias("value"),
     )
@@ -188,7 +195,7 @@ def _rule_spans(text: Column, rule: Rule) -> Column:
     matched = F.filter(parts, lambda p: p["match"].isNotNull())
     start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
     found = F.aggregate(matched, start, add, lambda state: state["spans"])
-    return F.when(text.rlike(rule.pattern), found).otherwise(F.array().cast(SPANS))
+    return F.when(text.rlike(rule.java), found).otherwise(F.array().cast(SPANS))
 
 
 def _named(spans: Column, rank: int, kind: str) -> Column:

@@ -91,3 +91,21 @@ def test_empty_table_and_no_python(make_docs):
     assert secret_scan.secrets(docs.where("false")).collect() == []
     plan = secret_scan.secrets(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_a_private_key_goes_with_its_body(make_docs):
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = "\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n" + "MIIEpAIBAAKCAQEA+/x=\n" * 20_000
+    rows = [
+        (1, f"a {begin}{body}{end} b"),
+        (2, f"a {begin}{body} no end"),
+        (3, f"{begin} cut {begin}\nabc=\n{end}{end}"),
+        (4, f"{begin}\nMII\n-----END CERTIFICATE-----"),
+        (5, "x" + begin + "- " * 50_000 + end),
+    ]
+    got = {r.doc_id: r.text for r in secret_scan.redact_secrets(make_docs(*rows)).collect()}
+    assert got == {
+        1: "a [SECRET] b", 2: f"a [SECRET]{body} no end", 3: f"[SECRET] cut [SECRET]{end}",
+        4: "[SECRET]\nMII\n-----END CERTIFICATE-----", 5: "x[SECRET]",
+    }
+    assert sorted(map(tuple, secret_scan.secrets(make_docs(*rows)).collect()), key=str) == slow(rows)
