@@ -62,6 +62,9 @@ BAD_NAMES = frozenset(
     """.split()  # noqa: SIM905
 )
 
+# Names that say what stands beside an element or how it is set, not what it is.
+MODIFIER = re.compile(r"(?:with|without|has|no)[-_].*|.*[-_](?:open|opened|closed|enabled|disabled)", re.IGNORECASE)
+
 # Words that name such parts also inside longer names.
 BAD_PARTS = re.compile("sidebar|advert|comment|cookie|newsletter|navbar|breadcrumb|footer|sponsor")
 
@@ -88,7 +91,7 @@ class Block:
 
 
 def _no_text(name: str, attributes: str, inside: bool) -> bool:
-    """Whether an element can hold no part of the text, by its name, role or class."""
+    """Whether an element can hold no part of the text, by its kind or role or because it is hidden."""
     if name in NEVER_TEXT or (name == "header" and not inside):
         return True
     if not attributes or name in ("html", "body", "main"):
@@ -101,7 +104,16 @@ def _no_text(name: str, attributes: str, inside: bool) -> bool:
             return True
         if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.IGNORECASE):
             return True
-        if key in ("class", "id"):
+    return False
+
+
+def _bad_name(name: str, attributes: str) -> bool:
+    """Whether an element's class or id names a part that is no text."""
+    if not attributes or name in ("html", "body", "main"):
+        return False
+    for key, value in _ATTRIBUTE.findall(attributes):
+        if key.lower() in ("class", "id"):
+            value = " ".join(v for v in value.strip("\"'").split() if not MODIFIER.fullmatch(v))
             if BAD_PARTS.search(value.lower()) or any(p.lower() in BAD_NAMES for p in _NAME_PART.findall(value)):
                 return True
     return False
@@ -112,10 +124,13 @@ def _is_main(name: str, attributes: str) -> bool:
 
 
 def blocks_of(page: str) -> list[Block]:
-    """The page's blocks that have text, in order."""
-    open_: list[tuple[str, int, int, int, int]] = []  # name and what it adds: inside, never, link, heading
+    """The page's blocks that have text, in order.
+
+    Class and id decide nothing about the outermost article or main part and what holds it.
+    """
+    open_: list[tuple[str, int, int, int, int, int]] = []  # name and what it adds: inside, never, link, heading, named
     names: dict[str, int] = {}
-    inside = never = link = heading = 0
+    inside = never = link = heading = named = 0
     blocks: list[Block] = []
     current: Block | None = None
 
@@ -126,7 +141,7 @@ def blocks_of(page: str) -> list[Block]:
         if current is None:
             if text.isspace():
                 return
-            current = Block(inside > 0, never > 0, heading > 0)
+            current = Block(inside > 0, never > 0 or named > 0, heading > 0)
             blocks.append(current)
         text = html.unescape(text)
         current.pieces.append(text)
@@ -159,9 +174,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag["end"]:
             if names.get(name):
                 while True:
-                    last, i, n, l, h = open_.pop()  # noqa: E741
+                    last, i, n, l, h, b = open_.pop()  # noqa: E741
                     names[last] -= 1
-                    inside, never, link, heading = inside - i, never - n, link - l, heading - h
+                    inside, never, link, heading, named = inside - i, never - n, link - l, heading - h, named - b
                     if last == name:
                         break
             continue
@@ -171,12 +186,15 @@ def blocks_of(page: str) -> list[Block]:
             continue
         if name in VOID or attributes.endswith("/"):
             continue
+        main = _is_main(name, attributes)
+        outermost = main and (not inside or (name == "article" and not names.get("article")))
         adds = (
-            int(_is_main(name, attributes)), int(_no_text(name, attributes, inside > 0)), int(name == "a"), int(name in HEADINGS),
+            int(main), int(_no_text(name, attributes, inside > 0)), int(name == "a"), int(name in HEADINGS),
+            -named if outermost else int(_bad_name(name, attributes)),
         )
         open_.append((name, *adds))
         names[name] = names.get(name, 0) + 1
-        inside, never, link, heading = (x + y for x, y in zip((inside, never, link, heading), adds, strict=True))
+        inside, never, link, heading, named = (x + y for x, y in zip((inside, never, link, heading, named), adds, strict=True))
     return blocks
 
 
@@ -184,8 +202,10 @@ def _first_pass(block: Block, text: str) -> bool | None:
     """Text, no text, or open (None)."""
     signs = len(text.replace(" ", ""))
     linked = block.linked / signs if signs else 0.0
-    if linked > LINKED or (linked > LINKED_SHORT and len(text) < LONG):
+    if linked > LINKED:
         return False
+    if linked > LINKED_SHORT and len(text) < LONG:
+        return None if block.inside else False
     if block.heading or len(text) < SHORT:
         return None
     words = _WORD.findall(text.lower())

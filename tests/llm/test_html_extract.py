@@ -58,3 +58,21 @@ def test_odd_rows(spark):
     tail = PROSE + "�"
     assert got == sorted([(None, None, "", 0), (1, "u", "", 0), *[(2, "u", tail, len(tail))] * 2], key=str)
     assert extract(pages.where("false")).collect() == []
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        (f"<div class='content with-sidebar'><article><p>{PROSE}</article></div><div class=sidebar>{PROSE}</div>", PROSE),
+        (f"<div class=comments-layout><div id=sidebar-left>x y</div><article><p>{PROSE}</article></div><p>{PROSE}", PROSE),
+        (f"<article class='post comments-open'><p>{PROSE}<div class=comments>{PROSE}</div></article>", PROSE),
+        (f"<article><p>{PROSE}</p><article class=comment>{PROSE}</article></article>", PROSE),
+        (f"<main><div class='has-sidebar no-comments footer-closed'><p>{PROSE}</div></main>", PROSE),
+        (f"<div class='with-sidebar'><p>{PROSE}</div><div class=ad>{PROSE}</div>", PROSE),
+        (f"<nav><article>{PROSE}</article></nav><p>{PROSE}", PROSE),
+        (f"<article><p>{PROSE}</p><p>See <a href=x>the linked page</a> of that and this, here.</p></article>", f"{PROSE} See the linked page of that and this, here."),
+        (f"<p>{PROSE}</p><p><a href=x>the linked page</a> is here and there.</p>", PROSE),
+    ],
+)
+def test_names_and_links_around_an_article(page, want):
+    assert main_text(page) == want
