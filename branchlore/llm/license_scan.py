@@ -76,11 +76,17 @@ def word_frequencies(docs: DataFrame, templates: tuple[Template, ...] = TEMPLATE
 
 
 def rare_postings(frequencies: dict[str, int], templates: tuple[Template, ...] = TEMPLATES) -> dict[str, list[tuple[int, int]]]:
-    """The index: rare word to (number of the template, place in it)."""
+    """The index: rare word to (number of the template, place in it).
+
+    Besides its rarest words a template has the rarest of its key phrase: these stand in place in
+    every notice that counts, whatever else in it is altered.
+    """
     index: dict[str, list[tuple[int, int]]] = {}
     for number, template in enumerate(templates):
         known = sorted((frequencies[w], w) for w in set(template.words) if frequencies.get(w))
         chosen = {w for _, w in known[: 1 if template in BASE else RARE_WORDS]}
+        if template not in BASE:
+            chosen |= {w for _, w in [x for x in known if x[1] in template.key.split()][:AGREEING]}
         for place, word in enumerate(template.words):
             if word in chosen:
                 index.setdefault(word, []).append((number, place))

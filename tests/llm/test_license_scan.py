@@ -77,3 +77,12 @@ def test_empty_table_and_no_python(make_docs):
 
 def test_templates_hold_their_key_phrase():
     assert all(t.words[t.key_at : t.key_at + len(t.key.split())] == t.key.split() for t in TEMPLATES)
+
+
+def test_altered_rare_words_do_not_hide_a_notice(make_docs):
+    notice = "x and use in source and binary forms with or without y are z"
+    rows = [(1, notice), (2, "redistribution modification permitted")]
+    rows += [(i, "and use in source binary forms with or without are") for i in range(3, 9)]
+    got = {r.doc_id: (r.labels, r.score) for r in license_scan.licences(make_docs(*rows)).collect()}
+    assert got.pop(1) == ("bsd", 11 / 14)
+    assert set(got.values()) == {("", 0.0)}
