@@ -195,6 +195,77 @@ copies AS (SELECT rid, count(*) AS n FROM queue WHERE used <= (SELECT sum(size)
 SELECT doc_id, size, source_size, target, size * coalesce(n, 0) AS taken FROM timed LEFT JOIN copies USING (rid)"""
 
 
+PHRASES = rf"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+w AS MATERIALIZED (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM p),
+starts AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+grams AS (SELECT lang, k, array_to_string(ws[i : i + k - 1], ' ') AS phrase FROM starts, range(1, 6) AS sizes(k) WHERE i + k - 1 <= len(ws)),
+f AS MATERIALIZED (SELECT lang, k, phrase, count(*) AS f FROM grams GROUP BY ALL),
+totals AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS MATERIALIZED (SELECT *, string_split(phrase, ' ') AS ws FROM f WHERE k > 1 AND f >= 100),
+inside AS (
+  SELECT DISTINCT s.lang, s.phrase FROM c AS s JOIN c AS t ON s.lang = t.lang AND t.k > s.k AND t.f >= s.f
+    AND contains(' ' || t.phrase || ' ', ' ' || s.phrase || ' ')),
+kept AS (SELECT * FROM c ANTI JOIN inside USING (lang, phrase)),
+cuts AS (SELECT lang, phrase, f AS a, cut, array_to_string(ws[:cut], ' ') AS x, array_to_string(ws[cut + 1 :], ' ') AS y FROM kept, range(1, 5) AS cs(cut) WHERE cut < k),
+scores AS (
+  SELECT cuts.lang, cuts.phrase, a, cut, fx.f AS l, fy.f AS r, n, ((1000::HUGEINT * a * n) // (fx.f::HUGEINT * fy.f))::BIGINT AS score
+  FROM cuts JOIN f AS fx ON fx.lang = cuts.lang AND fx.phrase = x JOIN f AS fy ON fy.lang = cuts.lang AND fy.phrase = y
+    JOIN totals ON totals.lang = cuts.lang),
+weakest AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest QUALIFY rank <= 2000"""
+
+
+def _field(column: str) -> str:
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE octet_length(encode(CAST({column} AS VARCHAR))) || ':' || {column} END"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(map(_field, ('doc_id', 'source', 'lang', n_chars, 'text')))})"
+
+
+def _tree(name: str, source: str) -> str:
+    """Levels of the trees over ``source`` (tree, pos, node, n): runs of two become their digest while there is more than one."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, pos, node, n FROM {source}
+  UNION ALL
+  SELECT tree, level + 1, pos // 2, sha256(string_agg(node, '' ORDER BY pos)), (n + 1) // 2 FROM {name} WHERE n > 1 GROUP BY tree, level, pos // 2, n)"""
+
+
+MANIFEST = rf"""
+WITH RECURSIVE crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda b: list_reduce([b] || range(8),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab),
+d AS MATERIALIZED (
+  SELECT doc_id, coalesce('=' || lang, '') AS tree, {_leaf('n_chars')} AS leaf, {_leaf('(n_chars + 1)')} AS other, n_chars IS NOT NULL AND
+    xor(list_reduce([4294967295] || list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda s: CAST(ascii(s) AS BIGINT)),
+      lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) % 7 = 0 AS struck
+  FROM documents, crc),
+leaves AS MATERIALIZED (
+  SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n, leaf AS node FROM d),
+{_tree('low', 'leaves')},
+tops AS MATERIALIZED (
+  SELECT tree AS group_, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n, node, '' AS tree FROM low WHERE n = 1),
+{_tree('high', 'tops')},
+ends AS (SELECT node AS root FROM high WHERE n = 1),
+folds AS (
+  SELECT tree, pos AS first, 0 AS step, pos, n, node, CASE WHEN struck THEN other ELSE leaf END AS h, FALSE AS up, '' AS proof FROM leaves
+  UNION ALL
+  SELECT f.tree, first, step + 1, CASE WHEN f.n > 1 THEN f.pos // 2 ELSE t.pos END, CASE WHEN f.n > 1 THEN (f.n + 1) // 2 ELSE t.n END, f.node,
+    CASE WHEN f.n = 1 THEN h WHEN f.pos % 2 = 0 THEN sha256(h || coalesce(s.node, '')) ELSE sha256(s.node || h) END,
+    up OR f.n = 1, proof || CASE WHEN f.n = 1 THEN '' ELSE coalesce(s.node, '') END
+  FROM folds AS f LEFT JOIN tops AS t ON t.group_ = f.tree
+  LEFT JOIN (SELECT FALSE AS high_, * FROM low UNION ALL SELECT TRUE, * FROM high) AS s
+    ON s.high_ = up AND s.tree = CASE WHEN up THEN '' ELSE f.tree END AND s.n = f.n AND f.n > 1 AND s.pos = xor(f.pos, 1)
+  WHERE f.n > 1 OR NOT up),
+done AS (SELECT * FROM folds WHERE up AND n = 1)
+SELECT doc_id, leaf, tops.node AS subroot, root, sha256(done.proof) AS proof_sha256, done.h AS folded_root, done.h = root AS verified
+FROM leaves JOIN done ON done.tree = leaves.tree AND done.first = leaves.pos JOIN tops ON tops.group_ = leaves.tree, ends"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_secret_scans": _secrets(),
@@ -203,4 +274,6 @@ def oracle_sql() -> dict[str, str]:
         "op4_chat_formatting": CHATS,
         "op5_quality_rules": _quality(),
         "op9_source_mixing": MIX,
+        "op11_phrase_collocations": PHRASES,
+        "op13_merkle_manifest": MANIFEST,
     }

@@ -10,9 +10,12 @@ from pyspark.sql import functions as F
 from branchlore.llm import (
     chat_format,
     class_lm,
+    collocations,
     decontamination,
     html_extract,
     license_scan,
+    merkle,
+    packing,
     quality_rules,
     secret_scan,
     simhash_dedup,
@@ -102,3 +105,18 @@ def op10_html_extraction(spark, sf_dir):
 @_register
 def op7_lm_scoring(spark, sf_dir):
     return class_lm.score(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op11_phrase_collocations(spark, sf_dir):
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op12_packing(spark, sf_dir):
+    return packing.packed_pieces(_table(spark, sf_dir, "documents"))
+
+
+@_register
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle.verified_manifest(_table(spark, sf_dir, "documents"))
