@@ -14,6 +14,8 @@ ends with a document.  Nothing is shuffled.
 from __future__ import annotations
 
 import os
+import unicodedata
+from array import array
 from collections import deque
 from collections.abc import Iterator
 
@@ -34,9 +36,11 @@ LONG_STRETCH = 256  # tokens without a sentence end from which on cuts inside ar
 STRIDE = 64
 BLOCK_TOKENS = 1 << 20
 SEGMENT_BYTES = 1 << 20  # of a text that are split into words at once
-CACHED_WORDS = 1 << 19  # a worker forgets its words when it knows so many
+CACHED_WORDS = 1 << 20  # a worker forgets its words when it knows so many
 CACHED_BYTES = 64  # longer words are not kept
 SENTENCE_SIGNS = tuple(sign.encode() for sign in (".", "!", "?", "…", '."', '!"', '?"', ".)"))
+SIGNS = b".,;:!?"  # at the end of a word they are one part for the tokenizer
+FOREIGN = "\u0130\u0149"  # letters whose small form is more than a letter, or that the tokenizer may split
 TASK_BITS = 33  # sequence numbers of a task
 PIECES = "array<struct<doc_id: long, start: long, length: long, offset: long, doc_tokens: long>>"
 SCHEMA = f"sequence_id long, tokens binary, pieces {PIECES}"
@@ -49,62 +53,73 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    """Token numbers and sentence ends of texts.
+class Encoder(dict):
+    """Token numbers and sentence ends of texts; as a dict, the place of every known word.
 
     The tokenizer never joins what ASCII white space parts, so words are encoded once and then
-    looked up.  The file is read where it is used.
+    looked up.  Words of plain letters, with signs at their end or not, are two parts for the
+    tokenizer at most and go straight to its model; all others take its whole way.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        spelled = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        letters = [c for c in map(chr, range(0x180)) if c.isalpha() and unicodedata.normalize("NFC", c) == c and len(c.lower()) == 1]
+        # what the tokenizer's model sees of a letter
+        self.letters = {c: spelled(c.lower())[0][0] for c in letters if c not in FOREIGN}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[bytes, int] = {}
-        self.flat, self.starts, self.closes = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, bool)
-        self.used = 0
-        self.n = 0
-
-    def _add(self, ids: list[int], word: bytes) -> int:
-        at, end = self.n, self.used + len(ids)
-        while end > len(self.flat):
-            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        if at + 1 >= len(self.starts):
-            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-            self.closes = np.concatenate([self.closes, np.zeros_like(self.closes)])
-        self.flat[self.used : end] = ids
-        self.starts[at + 1], self.closes[at] = end, word.endswith(SENTENCE_SIGNS)
-        self.used, self.n = end, at + 1
-        return at
-
-    def _numbers(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        numbers = np.fromiter((known.get(w, -1) for w in words), np.int64, len(words))
-        missing = np.flatnonzero(numbers < 0)
-        if len(missing):
-            new = list(dict.fromkeys(words[i] for i in missing))
-            place = {}
-            for word, found in zip(new, self.tokenizer.encode_batch_fast([w.decode() for w in new], add_special_tokens=False), strict=True):
-                place[word] = self._add(found.ids, word)
-                if len(word) <= CACHED_BYTES:
-                    known[word] = place[word]
-            numbers[missing] = [place[words[i]] for i in missing]
-        return numbers
+        self.clear()
+        self.parts: dict[str, list[int]] = {}
+        self.flat, self.starts, self.closes = array("I"), array("q", [0]), bytearray()
+
+    def __missing__(self, word: bytes) -> int:
+        place = len(self.closes)
+        self.flat.extend(self._ids(word))
+        self.starts.append(len(self.flat))
+        self.closes.append(word.endswith(SENTENCE_SIGNS))
+        if len(word) <= CACHED_BYTES:
+            self[word] = place
+        return place
+
+    def _ids(self, word: bytes) -> list[int]:
+        if len(word) <= CACHED_BYTES:
+            core = word.rstrip(SIGNS)
+            said = core.lower().decode() if core.isalpha() else self._letters(core)
+            if said is not None:
+                ids = self._part(said) if core else []
+                return ids if len(core) == len(word) else ids + self._part(word[len(core) :].decode())
+        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+
+    def _letters(self, core: bytes) -> str | None:
+        try:
+            return "".join([self.letters[c] for c in core.decode()])
+        except KeyError:
+            return None
+
+    def _part(self, said: str) -> list[int]:
+        ids = self.parts.get(said)
+        if ids is None:
+            ids = self.parts[said] = [token.id for token in self.model.tokenize(said)]
+        return ids
 
     def _segment(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        lines = [line.split() for line in data.split(b"\n")]
-        words = [w for line in lines for w in line]
-        numbers = self._numbers(words)
-        begins, sizes = self.starts[numbers], self.starts[numbers + 1] - self.starts[numbers]
+        lines = [words for line in data.split(b"\n") if (words := line.split())]
+        numbers = np.array([place for words in lines for place in map(self.__getitem__, words)], np.int64)
+        flat, starts = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.starts, np.int64)
+        closed = np.frombuffer(self.closes, bool)[numbers]
+        begins = starts[numbers]
+        sizes = starts[numbers + 1] - begins
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        closed = self.closes[numbers]
-        closed[np.cumsum(np.array([len(line) for line in lines if line], np.int64)) - 1] = True
-        if self.n > CACHED_WORDS:
+        ids = flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        closed[np.cumsum(np.array([len(words) for words in lines], np.int64)) - 1] = True
+        del flat, starts  # the arrays may grow again
+        if len(self.closes) > CACHED_WORDS:
             self.forget()
         return ids, ends[closed]
 
@@ -124,6 +139,16 @@ class Encoder:
                 return np.concatenate(ids), np.concatenate(ends)
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def encoder_of(path: str) -> Encoder:
+    """A worker's encoder, which keeps its words from task to task."""
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
+
+
 def cut_places(ends: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Allowed cuts of a block and their costs: ``ends`` closes documents, the last one the block."""
     places = np.union1d(ends, sentences)
@@ -214,7 +239,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE_TOK
         raise ValueError(f"size must be a power of two from {LONG_STRETCH} on")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer or word_tokenizer())
+        encoder = encoder_of(tokenizer or word_tokenizer())
         number = TaskContext.get().partitionId() << TASK_BITS
         kind = pa.list_(pa.struct([(c, pa.int64()) for c in ("doc_id", "start", "length", "offset", "doc_tokens")]))
         held, tokens = [], 0
