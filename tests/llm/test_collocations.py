@@ -1,0 +1,108 @@
+from __future__ import annotations
+
+import random
+import re
+from collections import Counter
+
+import pytest
+from llm_docs import make_docs  # noqa: F401
+from pyspark.sql import functions as F
+
+from branchlore.llm import collocations
+
+
+def slow(docs: list[tuple], least: int, top: int) -> list[tuple]:
+    """Every phrase counted by itself."""
+    counts: Counter = Counter()
+    for _, text, lang, _ in docs:
+        lowered = "".join(c.lower() if "A" <= c <= "Z" else c for c in text or "")
+        for piece in re.split("[.,;:!?\n\x0b\x0c\r]", lowered):
+            words = re.findall("[^ \t]+", piece)
+            for k in range(1, 6):
+                counts.update((lang or "und", tuple(words[i : i + k])) for i in range(len(words) - k + 1))
+    totals: Counter = Counter()
+    for (lang, words), f in counts.items():
+        totals[lang] += f * (len(words) == 1)
+    candidates = {key: f for key, f in counts.items() if len(key[1]) > 1 and f >= least}
+    inside: set = set()
+    for (lang, words), f in candidates.items():
+        for k in range(2, len(words)):
+            for i in range(len(words) - k + 1):
+                if candidates[lang, words[i : i + k]] <= f:
+                    inside.add((lang, words[i : i + k]))
+    scores = []
+    for (lang, words), a in candidates.items():
+        if (lang, words) in inside:
+            continue
+        n = totals[lang]
+        cuts = []
+        for k in range(1, len(words)):
+            left, right = counts[lang, words[:k]], counts[lang, words[k:]]
+            cuts.append((1000 * a * n // (left * right), k, left, right))
+        score, _, left, right = min(cuts)
+        scores.append((lang, " ".join(words), a, left, right, n, score))
+    found = []
+    for lang in totals:
+        mine = sorted((s for s in scores if s[0] == lang), key=lambda s: (-s[6], -s[2], s[1].encode()))[:top]
+        found += [(lang, rank, *s[1:]) for rank, s in enumerate(mine, 1)]
+    return sorted(found)
+
+
+def fast(docs, least: int, top: int) -> list[tuple]:
+    return sorted(tuple(r) for r in collocations.collocations(docs, least, top).collect())
+
+
+def passages(seed: int, n: int, words: str, repeated: int) -> list[tuple]:
+    rng = random.Random(seed)
+    fixed = " ".join(f"w{i}" for i in range(40))
+    docs = []
+    for i in range(n):
+        parts = []
+        for _ in range(rng.randint(0, 6)):
+            parts.append(" ".join(rng.choices(words, k=rng.randint(0, 12))))
+            parts.append(rng.choice([". ", "\n", " ", ", ", "\t", "! "]))
+            if rng.randrange(10) < repeated:
+                start = rng.choice([0, 0, 3])
+                parts.append(" ".join(fixed.split()[start : rng.choice([40, 40, 30])]))
+        docs.append((i, "".join(parts), rng.choice(["en", "en", "de", None]), "s"))
+    return docs
+
+
+@pytest.mark.parametrize(("seed", "words", "repeated", "least", "top"), [(1, "ab", 0, 2, 50), (2, "abcdef", 3, 3, 2000), (3, "abcdeé", 8, 5, 7), (4, "a", 2, 2, 9)])
+def test_equals_counting_every_phrase(make_docs, seed, words, repeated, least, top):
+    docs = passages(seed, 60, words, repeated)
+    assert fast(make_docs(*docs).repartition(4), least, top) == slow(docs, least, top)
+
+
+def test_missing_empty_long_and_repeated_texts(make_docs):
+    docs = [(1, None, "en", "s"), (2, "", None, None), (None, "A B a b É é", None, "s"), (3, "the cat " * 20_000, "en", "s"), (4, "x y. x y", "fr", "s")]
+    docs += [(4, "x y. x y", "fr", "s")] * 3
+    assert fast(make_docs(*docs), 2, 100) == slow(docs, 2, 100)
+
+
+def test_empty_table_and_no_frequent_phrase(make_docs):
+    docs = make_docs((1, "a b c", "en", "s"))
+    assert fast(docs, 2, 10) == [] and fast(docs.where("false"), 1, 10) == []
+
+
+def test_paths_are_joined(make_docs, spark):
+    text = "a b c d e f g h i j"
+    docs = make_docs(*[(i, text, "en", "s") for i in range(4)], (9, "x " + text + " y", "en", "s"), (10, "c d e f z", "en", "s"))
+    rows = docs.select("lang", F.col("text").cast("binary").alias("text"))
+    words = collocations.word_counts(rows)
+    field = collocations.bit_field(words, "lang", "phrase")
+    pairs = collocations.bit_field(collocations.pair_counts(rows, field), "lang", "phrase")
+    grams = collocations.gram_counts(rows, field, pairs).cache()
+    graph = collocations.compacted(grams, collocations.node_flow(grams), least=2).collect()
+    said = {(r.phrase, r.f) for r in graph}
+    # a piece starts at "c d e f", so the long passage is two paths there
+    assert said == {("a b c d e f", 5), ("c d e f g h i j", 5), ("x a b c d", 1), ("c d e f z", 1), ("g h i j y", 1)}
+
+
+def test_scores_are_exact_beyond_64_bits(spark):
+    big = 10**12 + 7
+    candidates = spark.createDataFrame([("en", "a b", 2, big)], "lang string, phrase string, k int, f long")
+    parts = spark.createDataFrame([("en", "a", big + 3), ("en", "b", big * 9), ("en", "a b", big)], "lang string, phrase string, f long")
+    totals = spark.createDataFrame([("en", big * 1000)], "lang string, n long")
+    row = collocations.scored(candidates, parts, totals).first()
+    assert row.score == 1000 * big * big * 1000 // ((big + 3) * big * 9)
