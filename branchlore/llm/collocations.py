@@ -14,11 +14,12 @@ ones are recognised by bit fields of fixed size; a rare one that a bit hides is
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,138 +31,165 @@ LEAST = 100
 TOP = 2000
 NO_LANGUAGE = "und"
 FIELD_BITS = 24  # bits of a field of frequent words or pairs: 2 MB
-HELD = 1 << 20  # words a task looks at together, and counts it holds
+PAIR_BITS = 30  # pairs are counted by a hash of so many bits
+HELD = 1 << 21  # words a task looks at together
 RANK_PARTS = 64
 
-# Bytes of a text to bytes of its pieces: A-Z become a-z, every end of a piece a line end, a tab a space.
+# Bytes of a text to bytes of its pieces: A-Z become a-z, a tab a space, the end of a piece a byte that no text has.
+BREAK = b"\xff"
 PIECES = bytes(
-    byte + 32 if 65 <= byte <= 90 else 10 if byte in b".,;:!?\n\x0b\x0c\r" else 32 if byte == 9 else byte for byte in range(256)
+    byte + 32 if 65 <= byte <= 90 else 255 if byte in b".,;:!?\n\x0b\x0c\r" else 32 if byte == 9 else byte for byte in range(256)
 )
 
 
-def _pieces(text: bytes) -> list[list[bytes]]:
-    return [words for piece in text.translate(PIECES).split(b"\n") if (words := piece.split())]
+class Words(dict):
+    """Numbers of the words of one language; rare words and ends of pieces have -1."""
 
+    def __init__(self, lang: str, field: np.ndarray | None):
+        import xxhash
 
-def _hash(text: bytes, seed: int) -> int:
-    import xxhash
+        self.hash, self.seed, self.field = xxhash.xxh64_intdigest, xxhash.xxh64_intdigest(lang.encode(), 42), field
+        self.forget()
 
-    return xxhash.xxh64_intdigest(text, seed)
+    def forget(self) -> None:
+        self.clear()
+        self[BREAK] = -1
+        self.texts: list[bytes] = []
+        self.hashes: list[int] = []
 
+    def __missing__(self, word: bytes) -> int:
+        number = -1
+        if self.field is None:
+            number = len(self.texts)
+        else:
+            code = self.hash(word, self.seed)
+            if _seen(self.field, np.uint64(code)):
+                number = len(self.texts)
+                self.hashes.append(code)
+        if number >= 0:
+            self.texts.append(word)
+        self[word] = number
+        return number
 
-def _seen(field: np.ndarray, code: int) -> bool:
-    code &= (1 << FIELD_BITS) - 1
-    return bool(field[code >> 6] >> np.uint64(code & 63) & np.uint64(1))
+    def numbers(self, text: bytes) -> np.ndarray:
+        """A text's words in order, and -1 after every piece."""
+        words = (text.translate(PIECES) + BREAK).replace(BREAK, b" \xff ").split()
+        return np.fromiter(map(self.__getitem__, words), np.int32, len(words))
 
 
-def bit_field(frequent: DataFrame, *columns: str) -> np.ndarray:
-    """One bit for each hash of the columns that occurs; at most 2^18 numbers reach the driver, whatever the input."""
-    code = F.xxhash64(*columns).bitwiseAND(F.lit((1 << FIELD_BITS) - 1))
+def _seen(field: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    low = codes & np.uint64((1 << FIELD_BITS) - 1)
+    return (field[low >> np.uint64(6)] >> (low & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
+def bit_field(codes: DataFrame) -> np.ndarray:
+    """One bit for each ``code`` that occurs; at most 2^18 numbers reach the driver, whatever the input."""
+    low = F.col("code").bitwiseAND(F.lit((1 << FIELD_BITS) - 1))
     bit = F.expr("shiftleft(1L, cast(code & 63 as int))")
-    found = frequent.select(code.alias("code")).groupBy(F.shiftright("code", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
+    found = codes.select(low.alias("code")).groupBy(F.shiftright("code", 6).alias("word")).agg(F.bit_or(bit).alias("bits")).toArrow()
     field = np.zeros(1 << (FIELD_BITS - 6), np.uint64)
     field[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return field
 
 
-def _counted(rows: DataFrame, count: Callable[[str, list], Counter]) -> DataFrame:
-    """Adds up what ``count`` gives for the pieces of some texts of one language; keys are tuples of bytes."""
+def _counted(rows: DataFrame, field: Broadcast | None, count: Callable[[str, Words, np.ndarray], pa.RecordBatch], schema: str) -> DataFrame:
+    """What ``count`` makes of the numbered words of some texts of one language, for all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, list] = {}
+        known: dict[str, Words] = {}
+        held: dict[str, list[np.ndarray]] = {}
         words = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for lang, pieces in held.items():
-                counts = count(lang, pieces)
-                keys = list(counts)
-                for at in range(0, len(keys), 1 << 16):
-                    part = keys[at : at + (1 << 16)]
-                    texts = pa.array([b" ".join(k) for k in part], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(part), pa.string()), texts, pa.array([len(k) for k in part], pa.int32()), pa.array([counts[k] for k in part], pa.int64())],
-                        names=["lang", "phrase", "k", "f"],
-                    )
+            for lang, numbers in held.items():
+                made = count(lang, known[lang], np.concatenate(numbers))
+                for at in range(0, made.num_rows, 1 << 16):
+                    yield made.slice(at, 1 << 16)
 
         for batch in batches:
             for at in range(batch.num_rows):
-                pieces = _pieces(batch.column(1)[at].as_py())
-                held.setdefault(batch.column(0)[at].as_py(), []).extend(pieces)
-                words += sum(map(len, pieces))
+                lang = batch.column(0)[at].as_py()
+                if lang not in known:
+                    known[lang] = Words(lang, field.value if field else None)
+                numbers = known[lang].numbers(batch.column(1)[at].as_py())
+                held.setdefault(lang, []).append(numbers)
+                words += len(numbers)
                 if words >= HELD:
                     yield from flush()
                     held, words = {}, 0
+                    if sum(map(len, known.values())) > HELD:
+                        known = {}
         yield from flush()
 
-    partial = rows.mapInArrow(run, "lang string, phrase string, k int, f long")
-    return partial.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
+    return rows.mapInArrow(run, schema)
+
+
+def _of(lang: str, n: int) -> pa.Array:
+    return pa.array([lang], pa.string()).take(pa.array(np.zeros(n, np.int32)))
 
 
 def word_counts(rows: DataFrame) -> DataFrame:
-    def count(lang: str, pieces: list) -> Counter:
-        counts: Counter = Counter()
-        for words in pieces:
-            counts.update(words)
-        return Counter({(w,): c for w, c in counts.items()})
+    def count(lang: str, words: Words, numbers: np.ndarray) -> pa.RecordBatch:
+        counts = np.bincount(numbers[numbers >= 0], minlength=1)
+        found = np.flatnonzero(counts)
+        texts = pa.array(words.texts, pa.binary()).take(pa.array(found)).cast(pa.string())
+        return pa.RecordBatch.from_arrays([_of(lang, len(found)), texts, pa.array(counts[found])], names=["lang", "phrase", "f"])
 
-    return _counted(rows, count)
+    return _summed(_counted(rows, None, count, "lang string, phrase string, f long"))
 
 
-def _split_at_rare(field: np.ndarray, lang: str, pieces: list) -> Iterator[list[bytes]]:
-    """The stretches of frequent words, of two words at least."""
-    seed = _hash(lang.encode(), 42)
-    known: dict[bytes, bool] = {}
-    for words in pieces:
-        start = 0
-        for at, word in enumerate(words):
-            frequent = known.get(word)
-            if frequent is None:
-                frequent = known[word] = _seen(field, _hash(word, seed))
-            if not frequent:
-                if at - start > 1:
-                    yield words[start:at]
-                start = at + 1
-        if len(words) - start > 1:
-            yield words[start:] if start else words
+def _pair_codes(words: Words, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where two frequent words stand side by side, and the pairs' hashes."""
+    at = np.flatnonzero((numbers[:-1] >= 0) & (numbers[1:] >= 0))
+    hashes = np.array(words.hashes, np.uint64)
+    mixed = hashes[numbers[at]] + (hashes[numbers[at + 1]] ^ np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0xBF58476D1CE4E5B9)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+    return at, mixed >> np.uint64(64 - PAIR_BITS)
 
 
-def pair_counts(rows: DataFrame, frequent_words: np.ndarray) -> DataFrame:
-    sent = rows.sparkSession.sparkContext.broadcast(frequent_words)
+def pair_codes(rows: DataFrame, frequent_words: np.ndarray, least: int = LEAST) -> DataFrame:
+    """Hashes that pairs of frequent words have ``least`` times or more, all pairs of a hash together (``code``)."""
 
-    def count(lang: str, pieces: list) -> Counter:
-        counts: Counter = Counter()
-        for words in _split_at_rare(sent.value, lang, pieces):
-            counts.update(zip(words, words[1:], strict=False))
-        return counts
+    def count(lang: str, words: Words, numbers: np.ndarray) -> pa.RecordBatch:
+        codes, counts = np.unique(_pair_codes(words, numbers)[1].astype(np.int64), return_counts=True)
+        return pa.RecordBatch.from_arrays([pa.array(codes), pa.array(counts.astype(np.int64))], names=["code", "f"])
 
-    return _counted(rows, count)
+    field = rows.sparkSession.sparkContext.broadcast(frequent_words)
+    counted = _counted(rows, field, count, "code long, f long").groupBy("code").agg(F.sum("f").alias("f"))
+    return counted.where(F.col("f") >= least).select("code")
 
 
 def gram_counts(rows: DataFrame, frequent_words: np.ndarray, frequent_pairs: np.ndarray) -> DataFrame:
     """Edges and piece ends: grams of ``LONGEST`` words, and shorter ones of two words at least where a piece ends."""
-    sent = rows.sparkSession.sparkContext.broadcast((frequent_words, frequent_pairs))
-
-    def count(lang: str, pieces: list) -> Counter:
-        words_field, pairs_field = sent.value
-        seed = _hash(lang.encode(), 42)
-        known: dict[tuple, bool] = {}
-        counts: Counter = Counter()
-        for words in _split_at_rare(words_field, lang, pieces):
-            start = 0
-            for at in range(1, len(words) + 1):
-                if at < len(words):
-                    pair = words[at - 1], words[at]
-                    frequent = known.get(pair)
-                    if frequent is None:
-                        frequent = known[pair] = _seen(pairs_field, _hash(pair[0] + b" " + pair[1], seed))
-                    if frequent:
-                        continue
-                for first in range(start, at - 1):
-                    counts[tuple(words[first : min(at, first + LONGEST)])] += 1
-                start = at
-        return counts
-
-    return _counted(rows, count)
+    context = rows.sparkSession.sparkContext
+    field, pairs_field = context.broadcast(frequent_words), context.broadcast(frequent_pairs)
+
+    def count(lang: str, words: Words, numbers: np.ndarray) -> pa.RecordBatch:
+        at, codes = _pair_codes(words, numbers)
+        linked = np.zeros(len(numbers) + LONGEST, bool)
+        linked[at] = _seen(pairs_field.value, codes)
+        at = at[linked[at]]
+        padded = np.concatenate([numbers, np.full(LONGEST, -1, np.int32)])
+        grams = [numbers[at], numbers[at + 1]]
+        goes_on = np.ones(len(at), bool)
+        for step in range(1, LONGEST - 1):
+            goes_on = goes_on & linked[at + step]
+            grams.append(np.where(goes_on, padded[at + step + 1], np.int32(-1)))
+        order = np.lexsort(grams[::-1])
+        grams = [g[order] for g in grams]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([g[1:] != g[:-1] for g in grams], axis=0)
+        first = np.flatnonzero(new)
+        counts = np.diff(np.append(first, len(order)))
+        grams = [g[first] for g in grams]
+        texts = pa.array(words.texts, pa.binary())
+        spelled = [texts.take(pa.array(np.maximum(g, 0), mask=g < 0)) for g in grams]
+        joined = pc.binary_join_element_wise(*spelled, pa.scalar(b" ", pa.binary()), null_handling="skip").cast(pa.string())
+        sizes = np.sum([g >= 0 for g in grams], axis=0).astype(np.int32)
+        return pa.RecordBatch.from_arrays([_of(lang, len(first)), joined, pa.array(sizes), pa.array(counts)], names=["lang", "phrase", "k", "f"])
+
+    partial = _counted(rows, field, count, "lang string, phrase string, k int, f long")
+    return partial.groupBy("lang", "phrase", "k").agg(F.sum("f").alias("f"))
 
 
 def _first(phrase: str | Column, k: int) -> Column:
@@ -183,7 +211,7 @@ def node_flow(grams: DataFrame) -> DataFrame:
 
 
 def compacted(grams: DataFrame, nodes: DataFrame, least: int = LEAST) -> DataFrame:
-    """The graph with unary paths joined: ``lang``, ``phrase`` (of a path or edge), ``f``.
+    """The paths that frequent edges make: ``lang``, ``phrase`` (``LONGEST`` words or more), ``f``.
 
     A node inside a path has one edge in and one out, each with all its traffic: no piece starts
     or ends there, so the paths have no circles.  Every frequent edge points to the one before
@@ -191,9 +219,7 @@ def compacted(grams: DataFrame, nodes: DataFrame, least: int = LEAST) -> DataFra
     the longest path's length has binary digits.
     """
     spark = grams.sparkSession
-    edges = grams.where(F.col("k") == LONGEST)
-    frequent = edges.where(F.col("f") >= least).select("lang", "phrase", "f")
-    others = edges.where(F.col("f") < least).select("lang", "phrase", "f")
+    frequent = grams.where((F.col("k") == LONGEST) & (F.col("f") >= least)).select("lang", "phrase", "f")
     traffic = nodes.where(F.col("f") >= least).select("lang", F.col("phrase").alias("node"), F.col("f").alias("through"))
     leaving = frequent.select("lang", _first("phrase", LONGEST - 1).alias("node"), "phrase", "f").join(traffic, ["lang", "node"])
     arriving = frequent.select("lang", _last("phrase", LONGEST - 1).alias("node"), F.col("phrase").alias("before"), F.col("f").alias("g"))
@@ -217,26 +243,26 @@ def compacted(grams: DataFrame, nodes: DataFrame, least: int = LEAST) -> DataFra
     # a path is as long as a piece of a text at most
     joined = pointers.groupBy("lang", "at", "f").agg(F.sort_array(F.collect_list(F.struct("steps", _last("phrase", 1).alias("word")))).alias("words"))
     rest = F.array_join(F.slice(F.col("words.word"), 2, F.size("words")), " ")
-    paths = joined.select("lang", F.when(F.size("words") > 1, F.concat_ws(" ", "at", rest)).otherwise(F.col("at")).alias("phrase"), "f")
-    return paths.unionByName(others)
+    return joined.select("lang", F.when(F.size("words") > 1, F.concat_ws(" ", "at", rest)).otherwise(F.col("at")).alias("phrase"), "f")
 
 
-def _starts(graph: DataFrame, k: int) -> DataFrame:
+def _starts(paths: DataFrame, k: int) -> DataFrame:
     """What of ``k`` words starts at the starts of the edges of paths."""
     words = F.split("phrase", " ")
-    spread = graph.select("lang", words.alias("w"), "f")
+    spread = paths.select("lang", words.alias("w"), "f")
     first = F.explode(F.sequence(F.lit(1), F.size("w") - (LONGEST - 1)))
     return spread.select("lang", "f", "w", first.alias("i")).select("lang", F.array_join(F.expr(f"slice(w, i, {k})"), " ").alias("phrase"), "f")
 
 
-def phrase_counts(grams: DataFrame, nodes: DataFrame, graph: DataFrame) -> list[DataFrame]:
+def phrase_counts(grams: DataFrame, nodes: DataFrame, paths: DataFrame, least: int = LEAST) -> list[DataFrame]:
     """Counts of phrases of two, three ... ``LONGEST`` words, from the flow of the compacted graph."""
     ends = lambda k: grams.where(F.col("k") == k).select("lang", "phrase", "f")
     node_words = LONGEST - 1
     found = [ends(LONGEST), nodes]
     # the flow into the nodes below: paths and edges, pieces that end at a node, pieces that end at the phrase
     shorter = node_words - 1
-    flow = _starts(graph, shorter).unionByName(ends(node_words).select("lang", _first("phrase", shorter).alias("phrase"), "f"))
+    others = grams.where((F.col("k") == node_words) | (F.col("k") == LONGEST) & (F.col("f") < least))
+    flow = _starts(paths, shorter).unionByName(others.select("lang", _first("phrase", shorter).alias("phrase"), "f"))
     while True:
         counts = _summed(flow.unionByName(ends(shorter)))
         found.append(counts)
@@ -292,14 +318,12 @@ def collocations(docs: DataFrame, least: int = LEAST, top: int = TOP) -> DataFra
     texts = kept_columns(docs, "lang", "text")
     rows = texts.select(F.coalesce("lang", F.lit(NO_LANGUAGE)).alias("lang"), whole("text").cast("binary").alias("text"))
     words = stage(word_counts(rows), "phrase-words")
-    frequent = words.where(F.col("f") >= least).select("lang", "phrase", "f")
-    word_field = bit_field(frequent, "lang", "phrase")
-    pairs = pair_counts(rows, word_field).where(F.col("f") >= least)
-    pair_field = bit_field(pairs, "lang", "phrase")
-    grams = stage(gram_counts(rows, word_field, pair_field), "phrase-grams")
+    frequent = words.where(F.col("f") >= least)
+    word_field = bit_field(frequent.select(F.xxhash64("lang", "phrase").alias("code")))
+    grams = stage(gram_counts(rows, word_field, bit_field(pair_codes(rows, word_field, least))), "phrase-grams")
     nodes = stage(node_flow(grams), "phrase-nodes")
-    graph = stage(compacted(grams, nodes, least), "phrase-graph")
-    counts = phrase_counts(grams, nodes, graph)
+    paths = stage(compacted(grams, nodes, least), "phrase-graph")
+    counts = phrase_counts(grams, nodes, paths, least)
     candidates = None
     for k, of_k in enumerate(counts, start=2):
         enough = of_k.where(F.col("f") >= least).select("lang", "phrase", "f", F.lit(k).alias("k"))
