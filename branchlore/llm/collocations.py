@@ -32,7 +32,7 @@ TOP = 2000
 NO_LANGUAGE = "und"
 FIELD_BITS = 24  # bits of a field of frequent words or pairs: 2 MB
 PAIR_BITS = 30  # pairs are counted by a hash of so many bits
-HELD = 1 << 21  # words a task looks at together
+HELD = 1 << 22  # words a task looks at together
 RANK_PARTS = 64
 
 # Bytes of a text to bytes of its pieces: A-Z become a-z, a tab a space, the end of a piece a byte that no text has.
