@@ -41,6 +41,21 @@ def reconcile(tables: Mapping[str, DataFrame], config: BuildConfig) -> DataFrame
     return root.unionByName(lacking_key(others, root, "commit_id"))
 
 
+def reconcile_bucketed(tables: Mapping[str, DataFrame], config: BuildConfig) -> DataFrame:
+    """The unified relation of branch tables stored in buckets of ``commit_id``: no row is shuffled.
+
+    Every branch meets the root bucket by bucket, so neither messages nor ids move.  A bucket holds
+    all rows of its ids and is not split; where one id has very many rows use ``reconcile``.
+    """
+    names = _names(tables, config)
+    root_ids = tables[config.root_branch].select("commit_id")
+    parts = [union_branches(tables, names[:1])]
+    for branch in names[1:]:
+        own = tables[branch].join(root_ids, "commit_id", "left_anti")
+        parts.append(union_branches({branch: own}, [branch]))
+    return reduce(DataFrame.unionByName, parts)
+
+
 def reconcile_table(commits: DataFrame, config: BuildConfig) -> DataFrame:
     """The same for one table that already has a ``branch`` column."""
     branch = F.col("branch")
@@ -79,11 +94,16 @@ def survivors_first(tables: Mapping[str, DataFrame], config: BuildConfig) -> tup
     return root.unionByName(kept), path
 
 
-def _split(tables: Mapping[str, DataFrame], config: BuildConfig):
+def _names(tables: Mapping[str, DataFrame], config: BuildConfig) -> list[str]:
     names = [config.root_branch, *(b for b in config.branches or tables if b != config.root_branch)]
     missing = [name for name in names if name not in tables]
     if missing:
         raise ValueError(f"no commit table for: {', '.join(missing)}")
+    return names
+
+
+def _split(tables: Mapping[str, DataFrame], config: BuildConfig):
+    names = _names(tables, config)
     root = union_branches(tables, names[:1])
     return root, union_branches(tables, names[1:]) if names[1:] else None
 

@@ -97,6 +97,29 @@ def branch_summary(facts: DataFrame) -> DataFrame:
     )
 
 
+SKETCH_BITS = 14  # a sketch is 16 kB at most; the standard error of its estimate is below 1 %
+
+
+def author_sketches(commits: DataFrame) -> DataFrame:
+    """Per branch and day a mergeable sketch of the known e-mail addresses, and the commits.
+
+    Sketches of any days and branches can be merged, so distinct authors of a filter come
+    without the people being counted again.
+    """
+    return (
+        commits.groupBy("branch", commit_day().alias("commit_day"))
+        .agg(F.count(F.lit(1)).alias("commit_count"), F.hll_sketch_agg("author_email", F.lit(SKETCH_BITS)).alias("authors_sketch"))
+    )
+
+
+def branch_authors_approx(sketches: DataFrame, *by: str) -> DataFrame:
+    """``commit_count`` and ``approx_author_count`` of sketches, per branch or what ``by`` names; () for all."""
+    return sketches.groupBy(*by).agg(
+        F.sum("commit_count").alias("commit_count"),
+        F.hll_sketch_estimate(F.hll_union_agg("authors_sketch")).alias("approx_author_count"),
+    )
+
+
 def trailer_summary(trailers: DataFrame) -> DataFrame:
     return trailers.groupBy("branch", "trailer_field", "trailer_category", "trailer_value").agg(
         F.count(F.lit(1)).alias("entry_count"),

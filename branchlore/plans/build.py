@@ -17,7 +17,7 @@ from branchlore.schema import trailer_field_catalog
 from branchlore.session import size_shuffles
 from branchlore.sinks import document as doc
 from branchlore.sinks.export import write_dataset
-from branchlore.sinks.tables import publish_views, write_facts, write_rollup
+from branchlore.sinks.tables import publish_views, store_facts
 from branchlore.sources.branch_tables import load_catalog_branches
 from branchlore.sources.datasets import read_sections
 from branchlore.staging import release
@@ -93,6 +93,9 @@ def build(
 ) -> Build:
     """Run everything under ``out``; refreshing is running it again.
 
+    Stored relations are versions: readers of the last build keep theirs while a new one is
+    written, branches that did not change are not written, and a build that fails leaves them.
+
     Messages are read once: for the stored ``commits``.  Trailer rollups read the stored
     ``commit_trailers``, the others the stored ``activity``, and exports read stored rollups.
     The gate reads the written document and what it names.  ``input_bytes``, the size of the
@@ -101,15 +104,15 @@ def build(
     if input_bytes:
         size_shuffles(spark, input_bytes)
     unified, staged = survivors_first(tables, config)
-    commits = write_facts(enrich(unified), f"{out}/tables/commits", "author_date")
+    commits = store_facts(enrich(unified), f"{out}/tables/commits", "author_date", unified)
     if staged:
         release(spark, staged)
-    trailers = write_facts(commit_trailers(commits), f"{out}/tables/commit_trailers", "author_date")
-    facts = write_facts(rollups.activity(commits), f"{out}/tables/activity", "commit_day")
+    trailers = store_facts(commit_trailers(commits), f"{out}/tables/commit_trailers", "author_date")
+    facts = store_facts(rollups.activity(commits), f"{out}/tables/activity", "commit_day")
     stored = {}
     for name, df in relations(spark, commits, trailers, facts).items():
         keep = name in ("commits", "commit_trailers", "trailer_field_catalog")
-        stored[name] = df if keep else write_rollup(df, f"{out}/tables/{name}")
+        stored[name] = df if keep else store_facts(df, f"{out}/tables/{name}")
 
     paths = write_exports(stored, f"{out}/data", config.root_branch)
     sections = document_sections(stored)

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 
 from branchlore.config import Filters, last_days
 from branchlore.functions import branches, text, times
-from branchlore.functions.sql import register_functions
+from branchlore.functions.sql import register_functions, register_panels
 from branchlore.operators import explore, panels, quality, rollups
 from branchlore.operators.enrich import churn_defaults, commit_trailers, enrich, with_trailers
 from branchlore.operators.ordering import DATASET_ORDERS, ROOT_FIRST
@@ -28,11 +28,13 @@ from branchlore.operators.reconcile import (
     drop_churn,
     newest_commits,
     reconcile,
+    reconcile_bucketed,
     reconcile_keys_first,
     reconcile_table,
     root_view,
     union_branches,
 )
+from branchlore.operators.repositories import read_repositories, reconcile_repositories
 from branchlore.plans.build import (
     EXPORTS,
     SECTION_EXPORTS,
@@ -45,12 +47,16 @@ from branchlore.plans.build import (
 from branchlore.schema import CHURN_COLUMNS, TRAILER_COLUMNS, trailer_field_catalog
 from branchlore.session import configure
 from branchlore.sinks import document as doc
-from branchlore.sinks.export import JSON_OPTIONS, TIMESTAMP_FORMAT, write_dataset
+from branchlore.sinks import snapshots
+from branchlore.sinks.export import JSON_OPTIONS, TIMESTAMP_FORMAT, write_array, write_dataset
+from branchlore.sinks.tables import publish_views, save_bucketed
 from branchlore.sources import frames, log_dump, testdata
 from branchlore.sources.branch_tables import load_catalog_branches, read_branches, relation_of
 from branchlore.sources.datasets import read_dataset, read_sections, select_section, with_positions
 from branchlore.staging import stage, staging_path
-from branchlore.streaming.commits import ARRIVAL_SCHEMA, read_commit_stream, store_commits
+from branchlore.streaming.commits import ARRIVAL_SCHEMA, read_commit_stream, store_commits, store_daily_sums
+from branchlore.streaming.reconciled import read_reconciled, store_reconciled
+from branchlore.streaming.windows import daily_with_late, store_daily_windows
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -58,6 +64,7 @@ CONFIG = testdata.FIXTURE_CONFIG
 AS_OF = dt.datetime(2024, 1, 31, 6)
 RANGE = last_days(AS_OF, 21)
 JOINER = "\u0001"
+BUCKETS = 8
 CSV_OPTIONS = {
     "header": "true",
     "quote": '"',
@@ -157,6 +164,33 @@ def git_log_all_one_table(spark, sf_dir):
     return as_text(reconcile_table(together, CONFIG), *CHURN_COLUMNS)
 
 
+@_register
+def git_log_all_bucketed(spark, sf_dir):
+    """Branch tables stored in buckets of the id, joined where they lie."""
+    with _schema(spark) as schema:
+        tables = {
+            branch: save_bucketed(table, f"{schema}.{relation_of(branch)}", BUCKETS)
+            for branch, table in tables_of(spark, sf_dir).items()
+        }
+        unified = stage(reconcile_bucketed(tables, CONFIG), "bucketed")  # the tables go away
+    return as_text(unified, *CHURN_COLUMNS)
+
+
+# Repository to root branch; all share the ids of their commits.
+REPOSITORY_ROOTS = {"core": "master", "fork": "REL_18_STABLE", "mirror": "master"}
+REPOSITORY_BRANCHES = {"core": CONFIG.branches, "fork": CONFIG.branches, "mirror": ("master", "REL_17_STABLE")}
+
+
+@_register
+def git_log_all_repositories(spark, sf_dir):
+    stored = {}
+    for branch, table in tables_of(spark, sf_dir).items():
+        stored[branch] = staging_path(spark, "repository")
+        table.write.parquet(stored[branch])
+    paths = {repository: {b: stored[b] for b in held} for repository, held in REPOSITORY_BRANCHES.items()}
+    return as_text(reconcile_repositories(read_repositories(spark, paths), REPOSITORY_ROOTS), *CHURN_COLUMNS)
+
+
 @_register
 def git_log_root(spark, sf_dir):
     return as_text(root_view(log_of(spark, sf_dir), CONFIG), *CHURN_COLUMNS)
@@ -321,6 +355,24 @@ def branch_summary_from_activity(spark, sf_dir):
     return rollups.branch_summary(rollups.activity(commits_of(spark, sf_dir)))
 
 
+@_register
+def branch_summary_approx(spark, sf_dir):
+    """Distinct authors from stored sketches, of all days and of some, beside the exact counts."""
+    commits = commits_of(spark, sf_dir)
+    sketches = stage(rollups.author_sketches(commits), "author-sketches")
+    found = []
+    for scope, filters in (("all", ALL), ("window", WINDOWED)):
+        days = [F.col("commit_day") >= filters.start] if filters.start else []
+        days += [F.col("commit_day") <= filters.end] if filters.end else []
+        chosen = reduce(DataFrame.where, days, sketches)
+        approx = rollups.branch_authors_approx(chosen, "branch")
+        exact = rollups.branch_summary(explore.apply_filters(commits, filters)).select("branch", "author_count")
+        near = F.abs(F.col("approx_author_count") - F.col("author_count")) <= 0.03 * F.col("author_count")
+        joined = approx.join(exact, "branch")
+        found.append(joined.select(F.lit(scope).alias("scope"), "branch", "commit_count", "author_count", near.alias("within_3_percent")))
+    return found[0].unionByName(found[1])
+
+
 @_register
 def trailer_summary(spark, sf_dir):
     return rollups.trailer_summary(trailers_of(spark, sf_dir))
@@ -597,6 +649,56 @@ for _name in EXPORTS:
     _export(_name)
 
 
+@_register
+def export_authors_array(spark, sf_dir):
+    """The authors as one JSON array, read back in its order."""
+    stored = _build_tables(spark, sf_dir)["author_activity"]
+    path = staging_path(spark, "array-authors")
+    write_array(stored, path, DATASET_ORDERS["authors"], CONFIG.root_branch)
+    # one file is one partition: rows are numbered in the array's order
+    rows = spark.read.schema(stored.schema).option("multiLine", "true").option("mode", "FAILFAST").json(path)
+    return rows.withColumn("position", F.monotonically_increasing_id() + 1)
+
+
+@_register
+def refresh_facts(spark, sf_dir):
+    """Two versions of the commits: what a reader of the first still sees, and which version wrote each branch."""
+    root = staging_path(spark, "facts")
+    tables = tables_of(spark, sf_dir)
+    grows = CONFIG.branches[-1]
+    early = {**tables, grows: tables[grows].where("author_date < '2024-01-20'")}
+    for state in (early, tables):
+        unified = reconcile(state, CONFIG)
+        snapshots.refresh(enrich(unified), root, "author_date", source=unified)
+    schema = enrich(reconcile(tables, CONFIG)).schema
+    before, now = (snapshots.read_version(spark, root, schema, version) for version in (1, 2))
+    written = {part.branch: part.folder for part in snapshots.parts(spark, root)}
+    folder = F.element_at(F.create_map(*[F.lit(x) for pair in written.items() for x in pair]), F.col("branch"))
+    counts = lambda df, name: df.groupBy("branch").agg(F.count(F.lit(1)).alias(name))
+    joined = counts(before, "count_before").join(counts(now, "count_now"), "branch")
+    return joined.select("branch", "count_before", "count_now", folder.alias("written_by"))
+
+
+def _published(spark, sf_dir):
+    unified = log_of(spark, sf_dir)
+    publish_views(spark, {"git_log_all": unified, "commits": enrich(unified), "daily_activity": rollups.daily_activity(enrich(unified))})
+    register_panels(spark)
+
+
+@_register
+def sql_panel_daily(spark, sf_dir):
+    _published(spark, sf_dir)
+    start, end = (f"TIMESTAMP '{moment:%Y-%m-%d %H:%M:%S}'" for moment in RANGE)
+    return spark.sql(f"SELECT * FROM panel_daily('total_insertions', {start}, {end}, 7)")
+
+
+@_register
+def sql_branch_panel(spark, sf_dir):
+    _published(spark, sf_dir)
+    start, end = (f"TIMESTAMP '{moment:%Y-%m-%d %H:%M:%S}'" for moment in RANGE)
+    return spark.sql(f"SELECT p.* FROM panel_branches({start}, {end}) p LEFT SEMI JOIN git_log_of(NULL) g ON g.branch = p.branch")
+
+
 @_register
 def published_views(spark, sf_dir):
     """Session views over catalog tables of the branches, asked in SQL."""
@@ -611,16 +713,23 @@ def published_views(spark, sf_dir):
 
 
 @contextlib.contextmanager
-def _catalog(spark, tables: dict[str, DataFrame]):
-    """The branches as tables of a schema of their own, dropped afterwards."""
+def _schema(spark):
+    """A schema of its own, dropped afterwards with its tables."""
     schema = f"branches_{uuid.uuid4().hex[:12]}"
     spark.sql(f"CREATE SCHEMA {schema} LOCATION '{staging_path(spark, 'schema')}'")
     try:
+        yield schema
+    finally:
+        spark.sql(f"DROP SCHEMA {schema} CASCADE")
+
+
+@contextlib.contextmanager
+def _catalog(spark, tables: dict[str, DataFrame]):
+    """The branches as tables of a schema of their own, dropped afterwards."""
+    with _schema(spark) as schema:
         for branch, table in tables.items():
             table.write.saveAsTable(f"{schema}.{relation_of(branch)}")
         yield replace(CONFIG, branches=None, schema=f"spark_catalog.{schema}")
-    finally:
-        spark.sql(f"DROP SCHEMA {schema} CASCADE")
 
 
 def _import(format: str, write: Callable[[DataFrame, str], None]) -> None:
@@ -686,3 +795,47 @@ def stream_commits(spark, sf_dir):
     store_commits(read_commit_stream(spark, landing), stored, staging_path(spark, "stream-log")).awaitTermination()
     enriched = spark.read.schema(enrich(arrivals).schema).parquet(stored)
     return rollups.branch_summary(reconcile_table(enriched, CONFIG))
+
+
+# Commits arrive in runs, in the order of their dates but for a shift by the id.
+FIRST_DAY, RUN_DAYS, RUN_SHIFTS = "2024-01-01", 4, 3
+LATENESS = "5 days"
+
+
+def _land(arrivals: DataFrame, run: Column, folder: str) -> None:
+    """One file per run, written in turn."""
+    numbered = stage(arrivals.select(*ARRIVAL_SCHEMA.fieldNames(), run.alias("run")), "arrivals")
+    for (number,) in sorted(numbered.select("run").distinct().collect()):
+        numbered.where(F.col("run") == number).drop("run").coalesce(1).write.mode("append").parquet(folder)
+
+
+def _shift() -> Column:
+    return F.conv(F.substring("commit_id", 1, 2), 16, 10).cast("int") % RUN_SHIFTS
+
+
+@_register
+def stream_daily_windows(spark, sf_dir):
+    """Daily windows behind a watermark, and what came too late for them."""
+    arrivals = union_branches(tables_of(spark, sf_dir), CONFIG.branches)
+    day = F.datediff(F.to_date("author_date"), F.lit(FIRST_DAY).cast("date"))
+    landing, windows, sums = (staging_path(spark, name) for name in ("arrivals", "windows", "daily-sums"))
+    _land(arrivals, F.coalesce(F.floor(day / RUN_DAYS), F.lit(0)).cast("int") + _shift(), landing)
+    commits = lambda: enrich(read_commit_stream(spark, landing, 1))
+    store_daily_windows(commits(), windows, staging_path(spark, "windows-log"), LATENESS).awaitTermination()
+    store_daily_sums(commits(), sums, staging_path(spark, "sums-log")).awaitTermination()
+    return daily_with_late(spark, windows, sums)
+
+
+@_register
+def stream_reconciled(spark, sf_dir):
+    """The unified relation after three batches that mix the branches."""
+    landing, path = staging_path(spark, "arrivals"), staging_path(spark, "reconciled")
+    _land(union_branches(tables_of(spark, sf_dir), CONFIG.branches), _shift_by_branch(), landing)
+    stream = read_commit_stream(spark, landing, 1)
+    store_reconciled(stream, path, staging_path(spark, "reconciled-log"), CONFIG).awaitTermination()
+    return as_text(read_reconciled(spark, path, CONFIG), *CHURN_COLUMNS)
+
+
+def _shift_by_branch() -> Column:
+    """Copies of a commit on different branches arrive in different batches."""
+    return (_shift() + F.length("branch")) % RUN_SHIFTS

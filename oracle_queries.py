@@ -520,6 +520,52 @@ ORACLES["explore_author_sync"] = f"""SELECT 'stay' AS step, author_email FROM (S
   UNION ALL SELECT 'shown', author_email FROM (SELECT DISTINCT author_email FROM ({_authors("true", _SEARCH, 60)}))
   WHERE author_email IS NOT NULL"""
 
+ORACLES["git_log_all_bucketed"] = ORACLES["stream_reconciled"] = _LOG
+ORACLES["sql_panel_daily"] = ORACLES["panel_daily_insertions"]
+ORACLES["sql_branch_panel"] = ORACLES["panel_branch_summary"]
+ORACLES["export_authors_array"] = ORACLES["export_authors"]
+
+
+def _repository(name: str, root: str, others: dict[str, str]) -> str:
+    tables = {"master": "master", "REL_17_STABLE": "rel17", "REL_18_STABLE": "rel18"}
+    chosen = lambda branch, where: (
+        f"SELECT '{name}' AS repository, '{branch}' AS branch, {BASE_COLUMNS}, {_CHURN_TEXT} FROM {tables[branch]} t {where}"
+    )
+    lacking = f"WHERE NOT EXISTS (SELECT 1 FROM {tables[root]} r WHERE r.commit_id = t.commit_id)"
+    return " UNION ALL ".join([chosen(root, ""), *[chosen(branch, lacking) for branch in others]])
+
+
+ORACLES["git_log_all_repositories"] = " UNION ALL ".join(
+    [
+        _repository("core", "master", ("REL_17_STABLE", "REL_18_STABLE")),
+        _repository("fork", "REL_18_STABLE", ("master", "REL_17_STABLE")),
+        _repository("mirror", "master", ("REL_17_STABLE",)),
+    ]
+)
+_EXACT = "count(*) AS commit_count, count(DISTINCT author_email) AS author_count, TRUE AS within_3_percent"
+ORACLES["branch_summary_approx"] = f"""SELECT 'all' AS scope, branch, {_EXACT} FROM commits GROUP BY branch
+  UNION ALL SELECT 'window', branch, {_EXACT} FROM commits WHERE {WINDOWED} GROUP BY branch"""
+ORACLES["refresh_facts"] = """SELECT branch, count(*) FILTER (branch <> 'REL_18_STABLE' OR author_date < TIMESTAMP '2024-01-20') AS count_before,
+    count(*) AS count_now, CASE branch WHEN 'REL_18_STABLE' THEN 'v=2' ELSE 'v=1' END AS written_by
+  FROM commits GROUP BY branch"""
+# A batch drops what was closed before it began: by the commits up to the batch before the last one.
+ORACLES["stream_daily_windows"] = """, arrivals AS (
+    SELECT 'master' AS branch, * FROM master UNION ALL SELECT 'REL_17_STABLE', * FROM rel17 UNION ALL SELECT 'REL_18_STABLE', * FROM rel18),
+  in_runs AS (
+    SELECT *, CAST(author_date AS DATE) AS day, CAST(coalesce(floor(datediff('day', DATE '2024-01-01', CAST(author_date AS DATE)) / 4.0), 0) AS INT)
+      + CAST('0x' || commit_id[1:2] AS INT) % 3 AS run FROM arrivals),
+  closed AS (
+    SELECT run, max(max(author_date)) OVER (ORDER BY run ROWS BETWEEN UNBOUNDED PRECEDING AND 2 PRECEDING) - INTERVAL 5 DAY AS upto
+    FROM in_runs GROUP BY run),
+  judged AS (
+    SELECT *, author_date IS NULL OR coalesce(CAST(day + 1 AS TIMESTAMP) <= upto, FALSE) AS late FROM in_runs JOIN closed USING (run))
+  SELECT branch, strftime(day, '%Y-%m-%d') AS commit_day, count(*) FILTER (NOT late) AS commit_count,
+    CAST(coalesce(sum(insertions) FILTER (NOT late AND insertions IS NOT NULL), 0) AS BIGINT) AS total_insertions,
+    CAST(coalesce(sum(deletions) FILTER (NOT late AND deletions IS NOT NULL), 0) AS BIGINT) AS total_deletions,
+    CAST(coalesce(sum(changed_files) FILTER (NOT late AND changed_files IS NOT NULL), 0) AS BIGINT) AS total_changed_files,
+    count(*) FILTER (late) AS late_count
+  FROM judged GROUP BY branch, day"""
+
 
 def oracle_sql() -> dict[str, str]:
     """Complete DuckDB statements, keyed like the registered queries."""
