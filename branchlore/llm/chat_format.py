@@ -66,14 +66,19 @@ def attachments(parts: Column, turn: Column) -> Column:
 def flattened(parts: Column) -> Column:
     """The turn's content: escaped texts and numbered placeholders, in order.
 
-    Parts of no known type count as text.
+    Texts that follow each other are escaped as the one text they make, so that no mark is spelled
+    where two meet.  Parts of no known type count as text; missing texts are empty.
     """
-    state = F.struct(F.lit(0).alias("n"), F.array().cast("array<string>").alias("out"))
+    state = F.struct(F.lit(0).alias("n"), F.lit(False).alias("half"), F.array().cast("array<string>").alias("out"))
 
     def visit(s: Column, p: Column) -> Column:
+        media, text = _is_media(p), whole(p["text"])
         mark = F.concat(F.lit(OPEN), p["type"], F.lit(":"), s["n"].cast("string"), F.lit("|>"))
-        piece = F.when(_is_media(p), mark).otherwise(escape(whole(p["text"])))
-        return F.struct((s["n"] + _is_media(p).cast("int")).alias("n"), F.array_append(s["out"], piece).alias("out"))
+        # the first half of a mark's opening stands at the end of what was said, the second begins this text
+        bar = F.when(s["half"] & F.startswith(text, F.lit(OPEN[1])), F.lit(ESCAPED[2:])).otherwise(F.lit(""))
+        half = F.when(media, False).when(text == "", s["half"]).otherwise(F.endswith(text, F.lit(OPEN[0])))
+        piece = F.when(media, mark).otherwise(F.concat(bar, escape(text)))
+        return F.struct((s["n"] + media.cast("int")).alias("n"), half.alias("half"), F.array_append(s["out"], piece).alias("out"))
 
     return F.aggregate(F.coalesce(parts, F.array().cast(PARTS)), state, visit, lambda s: F.array_join(s["out"], ""))
 
