@@ -50,6 +50,7 @@ NEVER_TEXT = frozenset(
     optgroup option progress select svg template video
     """.split()  # noqa: SIM905
 )
+PROSE = frozenset(["blockquote", "figcaption", "h1", "h2", "h3", "h4", "h5", "h6", "p", "pre"])
 HEADINGS = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 BAD_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 BAD_NAMES = frozenset(
@@ -81,7 +82,7 @@ class Block:
     """A run of text between block-level tags, and where it stands."""
 
     inside: bool  # an article or the main part
-    never: bool  # a part of the page that is no text
+    prose: bool  # a paragraph or the like, whose links are what it says
     heading: bool
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
@@ -126,22 +127,25 @@ def _is_main(name: str, attributes: str) -> bool:
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks that have text, in order.
 
-    Class and id decide nothing about the outermost article or main part and what holds it.
+    What stands in an element that can hold no text is left out piece by piece, so a button or a
+    hidden word takes nothing else of its paragraph along; only block-level elements part and
+    describe blocks.  Class and id decide nothing about the outermost article or main part and
+    what holds it.
     """
-    open_: list[tuple[str, int, int, int, int, int]] = []  # name and what it adds: inside, never, link, heading, named
+    open_: list[tuple[str, int, int, int, int, int, int]] = []  # name and what it adds: inside, never, link, heading, named, prose
     names: dict[str, int] = {}
-    inside = never = link = heading = named = 0
+    inside = never = link = heading = named = prose = 0
     blocks: list[Block] = []
     current: Block | None = None
 
     def say(text: str) -> None:
         nonlocal current
-        if not text:
+        if not text or never > 0 or named > 0:
             return
         if current is None:
             if text.isspace():
                 return
-            current = Block(inside > 0, never > 0 or named > 0, heading > 0)
+            current = Block(inside > 0, prose > 0, heading > 0)
             blocks.append(current)
         text = html.unescape(text)
         current.pieces.append(text)
@@ -174,9 +178,9 @@ def blocks_of(page: str) -> list[Block]:
         if tag["end"]:
             if names.get(name):
                 while True:
-                    last, i, n, l, h, b = open_.pop()  # noqa: E741
+                    last, i, n, l, h, b, p = open_.pop()  # noqa: E741
                     names[last] -= 1
-                    inside, never, link, heading, named = inside - i, never - n, link - l, heading - h, named - b
+                    inside, never, link, heading, named, prose = inside - i, never - n, link - l, heading - h, named - b, prose - p
                     if last == name:
                         break
             continue
@@ -190,11 +194,13 @@ def blocks_of(page: str) -> list[Block]:
         outermost = main and (not inside or (name == "article" and not names.get("article")))
         adds = (
             int(main), int(_no_text(name, attributes, inside > 0)), int(name == "a"), int(name in HEADINGS),
-            -named if outermost else int(_bad_name(name, attributes)),
+            -named if outermost else int(_bad_name(name, attributes)), int(name in PROSE),
         )
         open_.append((name, *adds))
         names[name] = names.get(name, 0) + 1
-        inside, never, link, heading, named = (x + y for x, y in zip((inside, never, link, heading, named), adds, strict=True))
+        inside, never, link, heading, named, prose = (
+            x + y for x, y in zip((inside, never, link, heading, named, prose), adds, strict=True)
+        )
     return blocks
 
 
@@ -203,7 +209,7 @@ def _first_pass(block: Block, text: str) -> bool | None:
     signs = len(text.replace(" ", ""))
     linked = block.linked / signs if signs else 0.0
     if linked > LINKED:
-        return False
+        return None if block.inside and block.prose else False
     if linked > LINKED_SHORT and len(text) < LONG:
         return None if block.inside else False
     if block.heading or len(text) < SHORT:
@@ -244,7 +250,7 @@ def _second_pass(labels: list[bool | None], headings: list[bool]) -> list[bool]:
 
 def main_text(page: str) -> str:
     """The page's main text: its blocks labelled text, joined by spaces."""
-    blocks = [(b, t) for b in blocks_of(page) if not b.never and (t := b.text())]
+    blocks = [(b, t) for b in blocks_of(page) if (t := b.text())]
     if any(b.inside for b, _ in blocks):
         blocks = [(b, t) for b, t in blocks if b.inside]
     labels = _second_pass([_first_pass(b, t) for b, t in blocks], [b.heading for b, _ in blocks])

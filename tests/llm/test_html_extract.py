@@ -1,7 +1,9 @@
 from __future__ import annotations
 
 import html
+import random
 import re
+from html.parser import HTMLParser
 
 import pytest
 
@@ -76,3 +78,105 @@ def test_odd_rows(spark):
 )
 def test_names_and_links_around_an_article(page, want):
     assert main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "inside, want",
+    [
+        ("<p><button>Share</button> Real words.</p>", "Real words."),
+        ("<p><span hidden>x</span> Real words.</p>", "Real words."),
+        ("<p><span class='share-count'>3</span> Real words.</p>", "Real words."),
+        ("<p>Real <span style='display:none'>HIDDEN</span> words.</p>", "Real words."),
+        ("<p>Real<span class='ad'>ADVERT</span> words.</p>", "Real words."),
+        ("<p>Real <svg><text>x</text></svg>words<label>y<input>z</label>.</p>", "Real words."),
+        ("<p><a href=x>Real linked words.</a></p>", "Real linked words."),
+        ("<p><span aria-hidden=true><b>x<i>y</b></span>Real words.</p>", "Real words."),
+        ("<ul class=related><li><a href=x>one</a></li></ul>", ""),
+        ("<ul><li><a href=x>one</a></li><li><a href=y>two</a></li></ul>", ""),
+    ],
+)
+def test_inline_elements_decide_only_their_own_words(inside, want):
+    page = f"<nav>menu</nav><article><p>{PROSE}</p>{inside}<p>{PROSE}</p></article>"
+    assert main_text(page) == " ".join(t for t in (PROSE, want, PROSE) if t)
+
+
+class Walker(HTMLParser):
+    """The article's visible text by walking the whole tree: every piece asks all elements around it."""
+
+    VISIBLE = {"em", "b", "a", "span", "i", "code"}
+
+    def __init__(self):
+        super().__init__()
+        self.open, self.blocks = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag == "br":
+            return self.handle_data(" ")
+        self.open.append((tag, dict(attrs)))
+        if tag not in self.VISIBLE | {"button", "svg", "label"}:
+            self.blocks.append("")
+
+    def handle_endtag(self, tag):
+        self.open.pop()
+        if tag not in self.VISIBLE | {"button", "svg", "label"}:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        tags = [t for t, _ in self.open]
+        hidden = any(
+            t in ("button", "svg", "label", "aside", "form") or "hidden" in a or "none" in a.get("style", "") or a.get("class") in ("ad", "share-count")
+            for t, a in self.open
+        )
+        if "article" in tags and not hidden:
+            self.blocks[-1] += data
+
+    def text(self) -> str:
+        return " ".join(" ".join(b.split()) for b in self.blocks if b.strip())
+
+
+def random_inline(rng: random.Random, depth: int) -> str:
+    out = []
+    for _ in range(rng.randint(1, 4)):
+        out.append(rng.choice(["word", " and the ", "of it", " ", "\n", "é&amp;x", "it was "]))
+        if depth and rng.random() < 0.6:
+            tag, attrs = rng.choice(
+                [("em", ""), ("b", ""), ("a", " href=x"), ("span", " class=lead"), ("span", " hidden"), ("span", " style='display:none'"),
+                 ("span", " class=ad"), ("i", " class='share-count'"), ("button", ""), ("svg", ""), ("label", ""), ("code", "")]
+            )
+            out.append(f"<{tag}{attrs}>{random_inline(rng, depth - 1)}</{tag}>")
+        if rng.random() < 0.1:
+            out.append("<br>")
+    return "".join(out)
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_random_inline_elements_equal_the_walked_tree(seed):
+    rng = random.Random(seed)
+    parts = [f"<p>{PROSE}</p>"]
+    for _ in range(12):
+        parts.append(f"<p>{random_inline(rng, 3)}</p>" if rng.random() < 0.8 else f"<aside>{random_inline(rng, 2)}</aside>")
+        parts.append(f"<p>{PROSE}</p>")
+    page = f"<body><nav>menu</nav><article>{''.join(parts)}</article><footer>end</footer></body>"
+    walker = Walker()
+    walker.feed(page)
+    assert main_text(page) == walker.text()
+
+
+def test_pages_without_an_article_keep_prose_and_drop_the_rest():
+    """Share of paragraphs told rightly on pages that mark nothing."""
+    rng = random.Random(11)
+    words = ["the", "of", "and", "to", "in", "house", "river", "walked", "green", "that", "was", "for", "stone", "it", "with"]
+    right = total = 0
+    for _ in range(60):
+        parts = []
+        for n in range(12):
+            if rng.random() < 0.6:
+                parts.append((f"good{n} " + " ".join(rng.choices(words, k=rng.randint(25, 80))), True, "p"))
+            else:
+                links = " ".join(f"<a href=x>bad{n} {rng.choice(words)}</a>" for _ in range(rng.randint(2, 6)))
+                parts.append((links, False, "div"))
+        text = main_text("<body>" + "".join(f"<{tag}>{t}</{tag}>" for t, _, tag in parts) + "</body>")
+        for n, (_, good, _) in enumerate(parts):
+            total += 1
+            right += (f"good{n} " in text) if good else (f"bad{n} " not in text)
+    assert right / total > 0.98
