@@ -51,6 +51,16 @@ def row_key(df: DataFrame, *columns: str) -> Column:
     return F.xxhash64(*[df[c] for c in columns])
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, with underscores in front of those that the table has already."""
+    found = []
+    for name in names:
+        while name in df.columns:
+            name = f"_{name}"
+        found.append(name)
+    return found
+
+
 def kept_columns(df: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that whatever else a table holds cannot clash."""
     missing = [c for c in columns if c not in df.columns]

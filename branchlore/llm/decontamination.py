@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from branchlore.llm.common import FOLD, kept_columns, map_rows, row_key, whole
+from branchlore.llm.common import FOLD, free_names, kept_columns, map_rows, row_key, whole
 from branchlore.staging import stage
 
 WINDOW = 10
@@ -233,6 +233,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents in which no benchmark window occurs, with all their columns."""
-    bad = scan(docs, benchmark).where("n_hit > 0").select(KEY).distinct()
-    return docs.withColumn(KEY, row_key(docs, "doc_id", "text")).join(bad, KEY, "left_anti").drop(KEY)
+    """The documents in which no benchmark window occurs, with all their columns.
+
+    The text alone decides, so equal texts share their fate.  Missing and empty texts stay; texts of any
+    length are searched whole; without benchmark items all rows stay; an empty table gives none;
+    columns of any name stay as they are.
+    """
+    (key,) = free_names(docs, KEY)
+    bad = scan(docs, benchmark).where("n_hit > 0").select(F.col(KEY).alias(key)).distinct()
+    return docs.withColumn(key, row_key(docs, "doc_id", "text")).join(bad, key, "left_anti").select(*docs.columns)

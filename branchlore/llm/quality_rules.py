@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from branchlore.llm.common import kept_columns, row_key, space_words, whole
+from branchlore.llm.common import free_names, kept_columns, row_key, space_words, whole
 from branchlore.staging import stage
 
 SHINGLE = 5
@@ -193,6 +193,15 @@ def quality(docs: DataFrame) -> DataFrame:
 
 
 def drop_low_quality(docs: DataFrame) -> DataFrame:
-    """The documents that the rules keep, with all their columns."""
-    bad = judged(docs).where("NOT kept").select(KEY).distinct()
-    return docs.withColumn(KEY, row_key(docs, "doc_id", "text")).join(bad, KEY, "left_anti").drop(KEY)
+    """The documents that the rules keep, with all their columns.
+
+    A row is judged by its own text, language and source: of rows with one id and text, those of
+    a group that rejects them go and the others stay.  Missing and empty texts go; equal rows have
+    one verdict; a text of any length is judged whole; an empty table gives none; columns of any
+    name stay as they are.
+    """
+    key, lang, source = free_names(docs, KEY, "quality_rules_lang", "quality_rules_source")
+    bad = judged(docs).where("NOT kept").select(F.col(KEY).alias(key), F.col("lang").alias(lang), F.col("source").alias(source)).distinct()
+    rows = docs.withColumn(key, row_key(docs, "doc_id", "text"))
+    same = (rows[key] == bad[key]) & rows["lang"].eqNullSafe(bad[lang]) & rows["source"].eqNullSafe(bad[source])
+    return rows.join(bad, same, "left_anti").select(*docs.columns)

@@ -211,22 +211,26 @@ def scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     Missing texts are empty and have no spans; spans of different rules may overlap; repeated
     rows stay, each with its spans; an empty table gives none; other columns are not looked at.
     """
-    texts = _texts(docs)
+    return found_in(_texts(docs), F.col("text"), rules).select("doc_id", KEY, "text", "spans")
+
+
+def found_in(rows: DataFrame, text: Column, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows that have the row key ``KEY``, with the ``spans`` of their text."""
     queries = {r.kind: q for r in rules if (q := trigram_query(r.pattern)) is not None}
     if queries:
-        index = stage(postings(texts, queries.values()), "secret-trigrams")
+        index = stage(postings(rows.select(KEY, text.alias("text")), queries.values()), "secret-trigrams")
         may = candidates(index, queries).withColumnRenamed("doc", KEY)
-        texts = texts.join(may, KEY, "left")
+        rows = rows.join(may, KEY, "left")
     else:
-        texts = texts.withColumn("kinds", F.lit(None).cast("array<string>"))
+        rows = rows.withColumn("kinds", F.lit(None).cast("array<string>"))
     spans = []
     for rank, rule in enumerate(rules):
-        found = _rule_spans(F.col("text"), rule)
+        found = _rule_spans(text, rule)
         if rule.kind in queries:
             asked = F.coalesce(F.array_contains("kinds", rule.kind), F.lit(False))
             found = F.when(asked, found).otherwise(F.array().cast(SPANS))
         spans.append(_named(found, rank, rule.kind))
-    return texts.select("doc_id", KEY, "text", F.array_sort(F.concat(*spans)).alias("spans"))
+    return rows.withColumn("spans", F.array_sort(F.concat(*spans))).drop("kinds")
 
 
 def listed(spans: Column) -> Column:
@@ -267,13 +271,15 @@ def redacted(text: Column, spans: Column) -> Column:
 def redact_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents with their secrets replaced by marks and ``n_chars``, if there, counted anew.
 
-    All rows and columns stay; a missing text stays missing.
+    Each row is searched and marked where it lies.  All rows and columns stay, whatever their
+    names; a missing text stays missing and an empty one empty; texts of any length are searched
+    whole; equal rows are marked alike; an empty table gives none.
     """
-    found = scan(docs, rules).where(F.size("spans") > 0).select(KEY, "spans").dropDuplicates([KEY])
-    spans = F.coalesce(F.col(f"{KEY}_spans"), F.array().cast("array<struct<start:int,rank:int,end:int,kind:string>>"))
-    joined = docs.withColumn(KEY, row_key(docs, "doc_id", "text")).join(found.withColumnRenamed("spans", f"{KEY}_spans"), KEY, "left")
-    marked = joined.withColumns({"text": redacted(F.col("text"), spans), f"{KEY}_found": F.size(spans) > 0})
+    rows = docs.select(F.struct("*").alias("doc"), row_key(docs, "doc_id", "text").alias(KEY))
+    found = found_in(rows, whole(F.col("doc.text")), rules)
+    text, some = F.col("doc.text"), F.size("spans") > 0
+    made = {"text": F.when(some, redacted(text, F.col("spans"))).otherwise(text)}
     if "n_chars" in docs.columns:
-        counted = F.char_length("text").cast(docs.schema["n_chars"].dataType)
-        marked = marked.withColumn("n_chars", F.when(F.col(f"{KEY}_found"), counted).otherwise(F.col("n_chars")))
-    return marked.select(*docs.columns)
+        counted = F.char_length(made["text"]).cast(docs.schema["n_chars"].dataType)
+        made["n_chars"] = F.when(some, counted).otherwise(F.col("doc.n_chars"))
+    return found.select(*[made[c].alias(c) if c in made else F.col("doc")[c].alias(c) for c in docs.columns])

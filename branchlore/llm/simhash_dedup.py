@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from branchlore.llm.common import components, kept_columns, map_rows, row_key, star_labels, whole
+from branchlore.llm.common import components, free_names, kept_columns, map_rows, row_key, star_labels, whole
 from branchlore.staging import stage
 
 WORDS = 4
@@ -193,9 +193,15 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame, distance: int = DISTANCE) -> DataFrame:
     """The documents with one of each component left: the smallest id, of equal ids one row.
 
-    Ids that are null come last.  All columns stay as they are.
+    Ids that are null come last; of rows with one id and text the least by language, source and
+    length stays, whichever way the rows are spread.  Texts without words are copies of each
+    other; texts of any length count whole; an empty table gives none; columns of any name stay
+    as they are.
     """
+    (stays,) = free_names(docs, STAYS)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "row_key")
-    stay = classified(docs, distance).groupBy("root").agg(F.min(order)["row_key"].alias(STAYS)).select(STAYS)
-    keyed = docs.withColumn(STAYS, row_key(docs, "doc_id", "text"))
-    return keyed.join(stay, STAYS, "left_semi").dropDuplicates(["doc_id", STAYS]).drop(STAYS)
+    stay = classified(docs, distance).groupBy("root").agg(F.min(order)["row_key"].alias(stays)).select(stays)
+    keyed = docs.select(row_key(docs, "doc_id", "text").alias(stays), F.struct("*").alias("doc"))
+    first = F.struct(*[F.col(f"doc.{c}") for c in ("lang", "source", "n_chars") if c in docs.columns], F.lit(0))
+    kept = keyed.join(stay, stays, "left_semi").groupBy("doc.doc_id", stays).agg(F.min_by("doc", first).alias("doc"))
+    return kept.select("doc.*")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from branchlore.llm.common import SPACES, kept_columns, row_key, whole
+from branchlore.llm.common import SPACES, kept_columns, whole
 from branchlore.staging import stage
 
 WEIGHTS = (1, 2, 3)  # given to the sources in turn, by code point, null last
@@ -26,13 +26,18 @@ LEAST_CELLS = 64
 KEY = "source_mixing_row_key"
 
 
+def _key(rows: DataFrame) -> Column:
+    """The key of a row's id, text and source; a missing source is unlike any text."""
+    return F.xxhash64("doc_id", "text", F.col("source").isNull(), "source").alias(KEY)
+
+
 def document_sizes(docs: DataFrame, seed: str = SEED) -> DataFrame:
     """``doc_id``, ``source``, ``size`` (words), ``h`` (shuffle key) and the row key of every row."""
     rows = kept_columns(docs, "doc_id", "source", "text")
     name = F.coalesce(F.col("doc_id").cast("string"), whole("text"))
     h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), name)), 1, KEY_BITS // 4), 16, 10).cast("long")
     size = F.size(F.array_remove(F.split(whole("text"), SPACES), "")).cast("long")
-    return rows.select("doc_id", "source", size.alias("size"), h.alias("h"), row_key(rows, "doc_id", "text").alias(KEY))
+    return rows.select("doc_id", "source", size.alias("size"), h.alias("h"), _key(rows))
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS) -> DataFrame:
@@ -150,15 +155,19 @@ def ordered_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, seed: str =
     """The mix itself in queue order: the document's columns, ``mix_pass`` and ``mix_finish``, one row per copy.
 
     Where the documents have columns of these names, the added ones get underscores in front.
+    Missing and empty texts are in no mix; a document is taken whole, however long; a row gets
+    copies of its own source's queue, and of rows equal in id, text and source the least by all
+    other columns of a document gets the first ones; an empty table gives none.
     """
     timed = stage(finish_times(docs, weights, seed), "mix-times")
     chosen = taken_copies(timed).where("copies > 0").select(
         KEY, F.explode(F.sequence(F.lit(0), F.col("copies").cast("int") - 1)).alias("pass"), "size", "target", "source_size", "source", "upto", "h", "doc_id"
     )
     # equal rows share a key: number them on both sides so that each meets one
-    nth = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.lit(1)))
-    chosen = chosen.select(KEY, "pass", _place(F.col("pass")).alias("place")).withColumn("nth", nth(KEY, "pass"))
-    texts = docs.select(F.struct("*").alias("doc"), row_key(docs, "doc_id", "text").alias(KEY)).withColumn("nth", nth(KEY))
+    nth = lambda order, *by: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    chosen = chosen.select(KEY, "pass", _place(F.col("pass")).alias("place")).withColumn("nth", nth(["place"], KEY, "pass"))
+    others = [F.col(f"doc.{c}") for c in ("lang", "n_chars") if c in docs.columns] or [F.lit(1)]
+    texts = docs.select(F.struct("*").alias("doc"), _key(docs)).withColumn("nth", nth(others, KEY))
     pass_, finish = "mix_pass", "mix_finish"
     while {pass_, finish} & set(docs.columns):
         pass_, finish = f"_{pass_}", f"_{finish}"
