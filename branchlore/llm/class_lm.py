@@ -8,7 +8,11 @@ rounds in a row, one of each half, end it.
 
 All words of the training texts are counted and exchanged.  The most frequent ones are numbered by
 a dictionary of bounded size that tasks hold; the rest, rare each, have a hash that no two of them
-share, and their classes are a table.  Unknown words are a class of their own.
+share, and their classes are a table.
+
+Unknown words are a class of their own, for which the words seen once stand: after a class, an unknown
+word is as likely as one of these was; what follows an unknown word is what followed these; and all
+unknown words are equally likely, as if there were as many as known ones.
 """
 
 from __future__ import annotations
@@ -65,6 +69,7 @@ class Classes:
 
     table: DataFrame  # ``code``, ``cls`` of all words and the end
     frequent: np.ndarray  # classes of the dictionary's words
+    once: np.ndarray  # how often words seen once follow each class, and how often they precede it
 
     def __getitem__(self, code: int) -> int:
         return self.frequent[code]
@@ -229,6 +234,16 @@ def class_pairs(counts: DataFrame) -> np.ndarray:
     return pairs
 
 
+def seen_once(counts: DataFrame, end: int) -> np.ndarray:
+    """How often words that occur once follow each class, and how often they precede each."""
+    times = F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + F.when(c["cell"] < N_CLASSES, c["n"]).otherwise(0))
+    cells = counts.where((F.col("code") != end) & (times == 1)).select(F.inline("cells"))
+    once = np.zeros(2 * N_CLASSES, dtype=np.int64)
+    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row per class at most
+        once[r.cell] = r.n
+    return once.reshape(2, N_CLASSES)
+
+
 def _xlogx(n: np.ndarray) -> np.ndarray:
     return n * np.log(np.maximum(n, 1))
 
@@ -326,12 +341,32 @@ def exchange(train: DataFrame, layout: Layout, rounds: int | None = None) -> tup
             release(spark, path)
         release(spark, new_path)
         idle = 0 if better else idle + 1
+    once = seen_once(counts, end)
     for path in (pairs_path, counts_path):
         release(spark, path)
     found = classes.where((F.col("code") >= 0) & (F.col("code") < end)).select("code", "cls").toArrow()
     frequent = np.zeros(end, dtype=np.int64)
     frequent[found.column("code").to_numpy()] = found.column("cls").to_numpy()
-    return Classes(classes.select("code", "cls"), frequent), pairs
+    return Classes(classes.select("code", "cls"), frequent, once), pairs
+
+
+def class_follows(pairs: np.ndarray, once: np.ndarray, new: float) -> np.ndarray:
+    """log10 of the probability of each class after each; the last class is that of unknown words.
+
+    ``new`` is the share of tokens whose word was seen once: by Good and Turing, the share of
+    unknown ones to expect.  Where little is known of a class, it and the classes' own frequencies decide.
+    """
+    n_classes = unknown = len(pairs) - 1
+    weight = len(pairs)  # of the classes' own frequencies against what follows a class
+    in_class = pairs.sum(0).astype(float)
+    alone = (in_class + 1) / (in_class.sum() + weight)
+    after = pairs.astype(float)
+    after[unknown] = once[1]
+    total = after.sum(1)
+    unseen = (once[0] + weight * new) / (total + weight)
+    unseen[unknown] = new
+    known = (after + weight * alone) / (total + weight)[:, None] * (1 - unseen)[:, None]
+    return np.log10(np.concatenate([known[:, :n_classes], unseen[:, None]], axis=1))
 
 
 def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
@@ -350,20 +385,16 @@ def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     end, seed = layout.end, free_seed(counts)
     coded = numbered(texts, dictionary, layout)
     train = coded.where("NOT held_out")
-    sums = [F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1), F.count_if(F.col("n") == 2)]
-    n_docs, (n_words, n_kinds, once, twice) = train.count(), counts.agg(*sums).first()
+    sums = [F.sum("n"), F.count(F.lit(1)), F.count_if(F.col("n") == 1)]
+    n_docs, (n_words, n_kinds, once) = train.count(), counts.agg(*sums).first()
     tokens, kinds = (n_words or 0) + n_docs, n_kinds + (n_docs > 0)
 
     codes_only = train.select("codes", F.transform("rare", lambda w: rare_code(w, seed)).alias("rare"))
     classes, pairs = exchange(codes_only, layout, rounds)
     words = counts.withColumn("code", rare_code(F.col("word"), seed)).join(classes.table, "code").select("word", "n", "cls")
     in_class = pairs.sum(0).astype(float)
-    weight = layout.n_classes  # of the class's own frequency against what follows a class
-    alone = (in_class + 1) / (in_class.sum() + layout.n_classes)
-    follow = np.log10((pairs + weight * alone) / (pairs.sum(1, keepdims=True) + weight))
-    # Good and Turing: of the tokens like those seen once, as many are new as words were seen
-    # once, and as many are seen ones as tokens of words seen twice
-    new = float(np.log10((once + 1) / (once + 2 * twice + 2) / (kinds + 1)))
+    follow = class_follows(pairs, classes.once, (once + 1) / (tokens + 2))
+    new = -float(np.log10(kinds + 1))
     of = np.append(classes.frequent, CLASSES)
     n_of = np.append(layout.counts, n_docs)
     per_token = float(np.log10(tokens + kinds + 1))

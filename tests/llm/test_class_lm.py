@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from llm_docs import make_docs  # noqa: F401
+from pyspark.sql import functions as F
 
 from branchlore.llm import class_lm
 
@@ -56,40 +57,68 @@ def test_base_scores_equal_brute_force(make_docs, monkeypatch, dictionary):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
-def test_scores_equal_a_plain_model_with_the_same_classes(make_docs, spark, monkeypatch):
+@pytest.mark.parametrize("dictionary", [class_lm.DICTIONARY, 60, 0])
+def test_scores_equal_a_plain_model_with_the_same_classes(make_docs, spark, monkeypatch, dictionary):
+    monkeypatch.setattr(class_lm, "DICTIONARY", dictionary)
     rows = sample(3)
-    made = {}
+    made = []
     real = class_lm.exchange
-    monkeypatch.setattr(class_lm, "exchange", lambda train, layout, rounds: made.setdefault("model", (layout, *real(train, layout, rounds)))[1:])
-    got = {r.doc_id: r.score for r in class_lm.score(make_docs(*rows)).collect()}
-    layout, chosen, _ = made["model"]
-    counts = Counter(t for doc, text in rows if not held_out(doc) for t in tokens(text))
-    order = sorted((t for t in counts if t is not None and len(t.encode()) <= 64), key=lambda t: (-counts[t], t.encode()))
-    number = {t: int(chosen[i]) for i, t in enumerate(order)}
-    end, once, twice = "end", sum(n == 1 for t, n in counts.items() if t), sum(n == 2 for t, n in counts.items() if t)
-    new = (once + 1) / (once + 2 * twice + 2)
-    cls = lambda t: end if t is None else number[t] if t in number else ("band", min(counts[t].bit_length(), 12) - 1) if counts[t] else ("band", 0)
-    pairs, of = Counter(), Counter()
-    for doc, text in rows:
-        if not held_out(doc):
-            seq = [end, *map(cls, tokens(text))]
-            pairs.update(zip(seq, seq[1:]))
-            of.update(seq[1:])
+    monkeypatch.setattr(class_lm, "exchange", lambda *given: made.append(real(*given)) or made[-1])
+    got = {r.doc_id: r.score for r in class_lm.score(make_docs(*rows), rounds=2).collect()}
+    learnt = [(doc, text) for doc, text in rows if not held_out(doc)]
+    words = class_lm.count_words(spark.createDataFrame([(t or "",) for _, t in learnt], "text string")).cache()
+    frequent = class_lm.most_frequent(words, dictionary)[0]
+    classes = {r.code: r.cls for r in made[0][0].table.collect()}
+    code = {r.word.decode(): r.code for r in words.select("word", class_lm.rare_code(F.col("word"), 0).alias("code")).collect()}
+    code |= {w.decode(): i for i, w in enumerate(frequent)}
+    end, unknown = class_lm.CLASSES, class_lm.CLASSES + 1
+    counts = Counter(t for _, text in learnt for t in tokens(text))
+    assert any(n == 1 for n in counts.values()) and any(t not in counts for doc, text in rows for t in tokens(text))
+    cls = lambda t: end if t is None else classes[code[t]] if t in counts else unknown
+    pairs, of, after_once, before_once = Counter(), Counter(), Counter(), Counter()
+    for _, text in learnt:
+        seq = [None, *tokens(text)]
+        for a, b in zip(seq, seq[1:]):
+            pairs[cls(a), cls(b)] += 1
+            of[cls(b)] += 1
+            after_once[cls(b)] += a is not None and counts[a] == 1
+            before_once[cls(a)] += b is not None and counts[b] == 1
     before = Counter()
     for (a, _), n in pairs.items():
         before[a] += n
-    total, k = sum(of.values()), layout.n_classes
+    total, k = sum(of.values()), class_lm.N_CLASSES
+    new = (sum(n == 1 for t, n in counts.items() if t) + 1) / (total + 2)
     for doc, text in rows:
         want, last = 0.0, end
         for t in tokens(text):
-            c = cls(t)
-            alone = (of[c] + 1) / (total + k)
-            within = new / (len(counts) + 1) if not counts[t] else 1 if c == end else counts[t] / of[c] * (1 - new if c == ("band", 0) else 1)
-            want += math.log10((pairs[last, c] + k * alone) / (before[last] + k) * within)
+            c, alone = cls(t), (of[cls(t)] + 1) / (total + k)
+            seen, n = (sum(after_once.values()), after_once[c]) if last == unknown else (before[last], pairs[last, c])
+            unseen = new if last == unknown else (before_once[last] + k * new) / (seen + k)
+            if c == unknown:
+                want += math.log10(unseen / (len(counts) + 1))
+            else:
+                want += math.log10((1 - unseen) * (n + k * alone) / (seen + k) * (1 if c == end else counts[t] / of[c]))
             last = c
         assert got[doc] == pytest.approx(want, abs=1e-6)
 
 
+def test_class_probabilities_add_up_to_one_at_most():
+    rng = np.random.default_rng(1)
+    k = class_lm.N_CLASSES
+    pairs = rng.integers(0, 50, (k, k))
+    pairs[-1], pairs[:, -1] = 0, 0
+    once = np.minimum(rng.integers(0, 9, (2, k)), pairs.sum(1))
+    share = (10 ** class_lm.class_follows(pairs, once, 0.1)).sum(1)
+    assert (share <= 1 + 1e-9).all() and (share > 0.9).all()
+
+
+@pytest.mark.parametrize("folder", ["sf0.001", "sf0.01"])
+def test_held_out_texts_score_above_counting_words(spark, folder):
+    docs = spark.read.parquet(f"/root/testdata/{folder}/documents.parquet")
+    got = class_lm.score(docs, rounds=4).where("held_out").agg(F.sum("score").alias("s"), F.sum("base_score").alias("b")).first()
+    assert got.s > got.b
+
+
 def test_classes_help_on_held_out_texts(make_docs):
     rng = random.Random(5)
     rows = [(i, sentences(rng, 120)) for i in range(400)]
