@@ -35,6 +35,10 @@ LONGEST = 64  # bytes of such a word; so the dictionary is never above 16 MB
 CLASSES = 32  # of words; after them the class of the end and that of unknown words
 N_CLASSES = CLASSES + 2
 WORDS_AT_ONCE = 1024  # words for which a task seeks classes at a time
+LISTED_AT_ONCE = 1 << 22  # neighbours that a task lists at a time
+FAN_IN = 64  # lists of one word that are merged at a time
+LISTS = "code long, others array<int>, ns array<long>"
+LEAST_GAIN = 0.001  # of log likelihood for each token, below which a round counts as gaining nothing; 0 is the exact end
 KEY = "class_lm_row_key"
 HELD_OUT, FOLDS = 2, 7
 
@@ -71,8 +75,6 @@ class Classes:
     frequent: np.ndarray  # classes of the dictionary's words
     once: np.ndarray  # how often words seen once follow each class, and how often they precede it
 
-    def __getitem__(self, code: int) -> int:
-        return self.frequent[code]
 
 
 def rare_code(word: Column, seed: int) -> Column:
@@ -188,62 +190,234 @@ def _after(codes: np.ndarray, starts: np.ndarray, end: int) -> np.ndarray:
     return before
 
 
-def bigrams(train: DataFrame, layout: Layout) -> DataFrame:
-    """``left``, ``right``, ``n`` over all texts, the end before a text's first word."""
-    end = layout.end
-    if "rare" not in train.columns:
-        train = train.withColumn("rare", F.expr("cast(array() as array<bigint>)"))
+def rare_bigrams(train: DataFrame, layout: Layout) -> DataFrame:
+    """``left``, ``right``, ``n`` of neighbours that the dictionary both lacks."""
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in _parts(batches):
-            codes, starts = _flat(part.column("codes"))
-            codes = codes.copy()
-            codes[codes < 0] = _flat(part.column("rare"))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(_after(codes, starts, end)), pa.array(codes)], names=["left", "right"])
+            left, right = _neighbours(part, layout.end)
+            both = (left < 0) & (right < 0)
+            yield pa.RecordBatch.from_arrays([pa.array(left[both]), pa.array(right[both])], names=["left", "right"])
 
-    pairs = train.select("codes", "rare").mapInArrow(pair, "left long, right long")
+    pairs = train.where(F.size("rare") > 1).select("codes", "rare").mapInArrow(pair, "left long, right long")
     return pairs.groupBy("left", "right").agg(F.count(F.lit(1)).alias("n"))
 
 
-def class_counts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Per word ``code``, ``cls`` and ``cells``: how often it follows and (from ``N_CLASSES`` on) precedes each class.
+def _neighbours(part: pa.RecordBatch, end: int) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens, negative codes for words outside the dictionary, and what stands before each."""
+    codes, starts = _flat(part.column("codes"))
+    codes = codes.copy()
+    codes[codes < 0] = _flat(part.column("rare"))[0]
+    return _after(codes, starts, end), codes
+
+
+def neighbour_lists(train: DataFrame, layout: Layout) -> DataFrame:
+    """Per word ``code`` its neighbours of the dictionary: ``others`` and ``ns``, how often each.
 
-    Classes of the dictionary's words go to all tasks, those of the others meet their bigrams in a join.
+    A neighbour is twice its code, and one more where it follows the word.  Tasks list the words of so
+    many tokens at a time; lists of one word are merged by ``FAN_IN`` at a time, so a word that is
+    everywhere never meets in one task at its full length, and a merged list is no longer than the dictionary.
     """
-    classes = classes.select("code", "cls")
+    end = layout.end
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        size = 0
+        for part in _parts(batches):
+            left, right = _neighbours(part, end)
+            follows, precedes = left >= 0, right >= 0
+            for word, other in ((right[follows], left[follows] * 2), (left[precedes], right[precedes] * 2 + 1)):
+                held.append((word, other))
+                size += len(word)
+            if size >= LISTED_AT_ONCE:
+                yield from lists(held)
+                held, size = [], 0
+        yield from lists(held)
+
+    def lists(held: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        if held:
+            words, others = (np.concatenate(x) for x in zip(*held))
+            for some in (words >= 0, words < 0):
+                yield _word_lists(words[some], others[some], np.ones(some.sum(), dtype=np.int64))
+
+    found = train.select("codes", "rare").mapInArrow(listed, LISTS)
+    salts = -(-(int(layout.counts.sum()) * 2) // (LISTED_AT_ONCE * FAN_IN))
+    while salts > 1:
+        salt = F.pmod(F.spark_partition_id(), F.lit(salts)).alias("salt")
+        found = stage(merged(found.withColumn("salt", salt).repartition("code", "salt")), "lm-lists")
+        salts = -(-salts // FAN_IN)
+    return merged(found.repartition("code"))
+
+
+def merged(lists: DataFrame) -> DataFrame:
+    """One list per word of each partition, which holds all that are to be merged."""
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        open_ = None  # the last word may go on in the next batch
+        for batch in batches:
+            words = np.repeat(
+                batch.column("code").to_numpy(), batch.column("others").value_lengths().to_numpy(zero_copy_only=False)
+            )
+            others, ns = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("others", "ns"))
+            if open_ is not None:
+                words, others, ns = (np.concatenate(x) for x in zip(open_, (words, others, ns)))
+            made = _word_lists(words, others, ns)
+            if made.num_rows:
+                yield made.slice(0, made.num_rows - 1)
+                last = made.slice(made.num_rows - 1)
+                others, ns = (last.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("others", "ns"))
+                open_ = np.full(len(others), last.column("code")[0].as_py(), dtype=np.int64), others, ns
+        if open_ is not None:
+            yield _word_lists(*open_)
+
+    keys = [c for c in ("code", "salt") if c in lists.columns]
+    if "salt" in keys:  # lists of different salts stay apart: the sums of a word are complete one merge later
+        return lists.sortWithinPartitions(*keys).drop("salt").mapInArrow(merge, LISTS)
+    return lists.sortWithinPartitions("code").mapInArrow(merge, LISTS)
+
+
+def _word_lists(words: np.ndarray, others: np.ndarray, ns: np.ndarray) -> pa.RecordBatch:
+    """A row per word with its neighbours in order, each once."""
+    number = words
+    kinds = None
+    if len(words) and words.min() < 0:
+        kinds, number = np.unique(words, return_inverse=True)
+    key = (number << 20) | others  # a neighbour has 20 bits at most, as the dictionary has 18
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    ns = np.add.reduceat(ns[order], first) if len(first) else ns
+    key = key[first]
+    number = key >> 20
+    starts = np.flatnonzero(np.diff(number, prepend=-1))
+    offsets = pa.array(np.append(starts, len(key)), pa.int32())
+    code = number[starts] if kinds is None else kinds[number[starts]]
+    other_lists = pa.ListArray.from_arrays(offsets, pa.array(key & ((1 << 20) - 1), pa.int32()))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(code, pa.int64()), other_lists, pa.ListArray.from_arrays(offsets, pa.array(ns, pa.int64()))],
+        names=["code", "others", "ns"],
+    )
+
+
+def class_counts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Per word ``code`` and ``cells``: how often it follows and (from ``N_CLASSES`` on) precedes each class."""
 
     def beside(known: str, word: str, first: int) -> DataFrame:
-        of = classes.withColumnRenamed("code", known)
-        frequent = pairs.where(F.col(known) >= 0).join(F.broadcast(of.where(F.col(known) >= 0)), known)
-        rare = pairs.where(F.col(known) < 0).join(of.where(F.col(known) < 0), known)
         cell = (F.col("cls") + first).alias("cell")
-        both = frequent.unionByName(rare).select(F.col(word).alias("code"), cell, "n")
-        return both.groupBy("code", "cell").agg(F.sum("n").alias("n"))
+        met = pairs.join(classes.select(F.col("code").alias(known), "cls"), known)
+        return met.select(F.col(word).alias("code"), cell, "n")
 
     cells = beside("left", "right", 0).unionByName(beside("right", "left", N_CLASSES))
-    cells = cells.groupBy("code").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
-    return cells.join(classes, "code").select("code", "cls", "cells")
+    return _gathered(cells.groupBy("code", "cell").agg(F.sum("n").alias("n")))
+
+
+def _gathered(cells: DataFrame) -> DataFrame:
+    """``cells`` per word, at most two for each class."""
+    return cells.groupBy("code").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+
+
+def rare_beside(rare: DataFrame) -> DataFrame:
+    """Per word of the dictionary ``cells``: how often it stands beside words outside it, by their classes."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            word, other, n = _near(batch)
+            cls = batch.column("cls").to_numpy()
+            # what precedes the rare word has it behind itself
+            key = (other >> 1) * (2 * N_CLASSES) + cls[word] + N_CLASSES * (1 - (other & 1))
+            found, at = np.unique(key, return_inverse=True)
+            sums = np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
+            made = [found // (2 * N_CLASSES), (found % (2 * N_CLASSES)).astype(np.int32), sums]
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["code", "cell", "n"])
+
+    cells = rare.select("cls", "others", "ns").mapInArrow(count, "code long, cell int, n long")
+    return _gathered(cells.groupBy("code", "cell").agg(F.sum("n").alias("n")))
+
 
+def _near(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the row, neighbour and count, for all neighbours of the dictionary."""
+    others = part.column("others")
+    word = np.repeat(np.arange(part.num_rows), others.value_lengths().to_numpy(zero_copy_only=False))
+    flat = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (others, part.column("ns"))]
+    return word, *flat
 
-def class_pairs(counts: DataFrame) -> np.ndarray:
-    """How often each class follows each class."""
-    each = counts.select("cls", F.inline("cells")).where(F.col("cell") < N_CLASSES)
-    pairs = np.zeros((N_CLASSES, N_CLASSES), dtype=np.int64)
-    for r in each.groupBy("cell", "cls").agg(F.sum("n").alias("n")).collect():
-        pairs[r.cell, r.cls] = r.n
-    return pairs
 
+def _far(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the row, cell and count, for all neighbours outside the dictionary."""
+    cells = part.column("cells")
+    word = np.repeat(np.arange(part.num_rows), cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = cells.flatten()
+    return word, *(flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
 
-def seen_once(counts: DataFrame, end: int) -> np.ndarray:
+
+def _cells(part: pa.RecordBatch, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Number of the row, cell and count, for all neighbours; ``of`` has the classes of the dictionary."""
+    word, other, n = _near(part)
+    far_word, far_cell, far_n = _far(part)
+    at = np.append(word * 2 * N_CLASSES + of[other >> 1] + N_CLASSES * (other & 1), far_word * 2 * N_CLASSES + far_cell)
+    sums = np.bincount(at, weights=np.append(n, far_n), minlength=part.num_rows * 2 * N_CLASSES)
+    at = np.flatnonzero(sums)
+    return at // (2 * N_CLASSES), at % (2 * N_CLASSES), sums[at].astype(np.int64)
+
+
+def _own(part: pa.RecordBatch, of: np.ndarray) -> np.ndarray:
+    """The classes of the rows' own words; rows of the dictionary have no ``cls``."""
+    return part.column("cls").to_numpy() if "cls" in part.schema.names else of[part.column("code").to_numpy()]
+
+
+def class_pairs(rows: DataFrame, of: np.ndarray) -> np.ndarray:
+    """How often each class follows each class, as the rows see it, in four tables.
+
+    Neighbours of the dictionary that precede a row's word, those that follow it, and the same outside the dictionary.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(of)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, k = sent.value, N_CLASSES
+        total = np.zeros(4 * k * k)
+        for batch in batches:
+            own = _own(batch, of)
+            word, other, n = _near(batch)
+            side, beside, me = other & 1, of[other >> 1], own[word]
+            total += np.bincount(side * k * k + np.where(side, me * k + beside, beside * k + me), n, 4 * k * k)
+            word, cell, n = _far(batch)
+            side, beside, me = cell // k, cell % k, own[word]
+            total += np.bincount((2 + side) * k * k + np.where(side, me * k + beside, beside * k + me), n, 4 * k * k)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
+
+    tables = np.zeros(4 * N_CLASSES * N_CLASSES, dtype=np.int64)
+    for r in rows.mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():  # bounded by the classes
+        tables[r["at"]] = r.n
+    return tables.reshape(4, N_CLASSES, N_CLASSES)
+
+
+def seen_once(rows: DataFrame, of: np.ndarray, end: int) -> np.ndarray:
     """How often words that occur once follow each class, and how often they precede each."""
-    times = F.aggregate("cells", F.lit(0).cast("long"), lambda n, c: n + F.when(c["cell"] < N_CLASSES, c["n"]).otherwise(0))
-    cells = counts.where((F.col("code") != end) & (times == 1)).select(F.inline("cells"))
+    sent = rows.sparkSession.sparkContext.broadcast(of)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(2 * N_CLASSES)
+        for part in _slices(batches):
+            word, cell, n = _cells(part, sent.value)
+            times = np.bincount(word, n * (cell < N_CLASSES), part.num_rows)
+            single = (times == 1) & (part.column("code").to_numpy() != end)
+            total += np.bincount(cell, n * single[word], 2 * N_CLASSES)
+        columns = [pa.array(np.arange(2 * N_CLASSES)), pa.array(total.astype(np.int64))]
+        yield pa.RecordBatch.from_arrays(columns, names=["cell", "n"])
+
     once = np.zeros(2 * N_CLASSES, dtype=np.int64)
-    for r in cells.groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row per class at most
+    for r in rows.mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # a row per cell
         once[r.cell] = r.n
     return once.reshape(2, N_CLASSES)
 
 
+def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for start in range(0, batch.num_rows, WORDS_AT_ONCE):
+            yield batch.slice(start, WORDS_AT_ONCE)
+
+
 def _xlogx(n: np.ndarray) -> np.ndarray:
     return n * np.log(np.maximum(n, 1))
 
@@ -288,66 +462,133 @@ def best_classes(own: np.ndarray, of: np.ndarray, cell: np.ndarray, n: np.ndarra
     return np.where(gain[words, best] > gain[words, own] + 1e-9, best, own)
 
 
-def moved(counts: DataFrame, pairs: np.ndarray, half: int, end: int) -> DataFrame:
+def moved(rows: DataFrame, of: np.ndarray, pairs: np.ndarray, half: int, end: int) -> DataFrame:
     """``code``, ``cls`` and ``was`` after every word of one half has chosen its class."""
+    sent = rows.sparkSession.sparkContext.broadcast((of, pairs))
 
     def move(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, WORDS_AT_ONCE):
-                part = batch.slice(start, WORDS_AT_ONCE)
-                code, was = (part.column(c).to_numpy(zero_copy_only=False) for c in ("code", "cls"))
-                cells = part.column("cells")
-                of = np.repeat(np.arange(len(code)), cells.value_lengths().to_numpy(zero_copy_only=False))
-                cell, n = (cells.flatten().field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-                chooses = (code & 1 == half) & (code != end)
-                new, number = was.copy(), np.cumsum(chooses) - 1
-                inside = chooses[of]
-                new[chooses] = best_classes(was[chooses], number[of[inside]], cell[inside], n[inside], pairs)
-                yield pa.RecordBatch.from_arrays([part.column("code"), pa.array(new, pa.int32()), part.column("cls")], names=["code", "cls", "was"])
-
-    return counts.mapInArrow(move, "code long, cls int, was int")
-
-
-def exchange(train: DataFrame, layout: Layout, rounds: int | None = None) -> tuple[Classes, np.ndarray]:
+        of, pairs = sent.value
+        for part in _slices(batches):
+            code, was = part.column("code").to_numpy(), _own(part, of)
+            chooses = (code & 1 == half) & (code != end)
+            if chooses.any():
+                word, cell, n = _cells(part.filter(pa.array(chooses)), of)
+                new = was.copy()
+                new[chooses] = best_classes(was[chooses], word, cell, n, pairs)
+            else:
+                new = was
+            columns = [part.column("code"), pa.array(new, pa.int32()), pa.array(was, pa.int32())]
+            yield pa.RecordBatch.from_arrays(columns, names=["code", "cls", "was"])
+
+    return rows.mapInArrow(move, "code long, cls int, was int")
+
+
+def exchange(
+    train: DataFrame, layout: Layout, rounds: int | None = None, least_gain: float = 0.0
+) -> tuple[Classes, np.ndarray]:
     """Classes of all training words and the class bigrams they give, after so many rounds at most.
 
-    Words with their classes and class counts are tables; the driver holds the table of class
-    pairs and, at the end, a class per word of the dictionary.
+    The halves of the dictionary take turns until two rounds gain nothing, then the halves of the
+    other words, one round each, and so on until all of this gains nothing.  Rounds that gain no more than
+    ``least_gain`` for each token count as gaining nothing; 0 is the exact end.
+
+    The neighbours of a word lie in its row.  Those of the dictionary get their classes in the task, so a
+    round reads the rows and shuffles nothing; only where words outside the dictionary have
+    moved, they are added up anew for the words beside them.  The driver holds a class per word of the
+    dictionary and the table of class pairs.
     """
     spark, end = train.sparkSession, layout.end
-    pairs_path = staging_path(spark, "lm-bigrams")
-    both = stored(bigrams(train, layout), pairs_path)
-
-    def counted(classes: DataFrame) -> tuple[str, DataFrame, np.ndarray]:
-        path = staging_path(spark, "lm-class-counts")
-        counts = stored(class_counts(both, classes), path)
-        return path, counts, class_pairs(counts)
-
-    first = F.when(F.col("code") == end, CLASSES).otherwise(F.pmod("code", F.lit(CLASSES))).cast("int")
-    classes_path = staging_path(spark, "lm-classes")
-    classes = stored(both.select(F.col("right").alias("code")).distinct().select("code", first.alias("cls")), classes_path)
-    counts_path, counts, pairs = counted(classes)
-    idle = done = 0
-    while idle < 2 and (rounds is None or done < rounds):
-        new_path = staging_path(spark, "lm-classes")
-        new = stored(moved(counts, pairs, done % 2, end), new_path)
-        done, better = done + 1, False
-        if not new.where("cls <> was").isEmpty():
-            path, new_counts, new_pairs = counted(new)
-            better = likelihood(new_pairs) > likelihood(pairs)
-            if better:
-                path, counts_path, counts, pairs = counts_path, path, new_counts, new_pairs
-                new_path, classes_path, classes = classes_path, new_path, new
+    if "rare" not in train.columns:
+        train = train.withColumn("rare", F.expr("cast(array() as array<bigint>)"))
+    tables: dict[str, tuple[str, DataFrame]] = {}
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        """Write a table in place of the one of this name."""
+        path = staging_path(spark, f"lm-{name}")
+        before, tables[name] = tables.get(name), (path, stored(df, path))
+        if before:
+            release(spark, before[0])
+        return tables[name][1]
+
+    def forget(name: str) -> None:
+        release(spark, tables.pop(name)[0])
+
+    def with_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+        return rows.join(cells, "code", "left")
+
+    def with_lists(words: DataFrame, lists: DataFrame) -> DataFrame:
+        """A word that has no neighbour of the dictionary gets empty lists."""
+        rows = words.join(lists, "code", "left")
+        none = {"others": F.expr("cast(array() as array<int>)"), "ns": F.expr("cast(array() as array<bigint>)")}
+        return rows.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
+
+    lists = keep("lists", neighbour_lists(train, layout))
+    between = keep("rare-bigrams", rare_bigrams(train, layout))
+    of = np.append(np.arange(end) % CLASSES, CLASSES)
+    rare = train.select(F.explode("rare").alias("code")).distinct().withColumn("cls", F.pmod("code", F.lit(CLASSES)).cast("int"))
+    rare = keep("rare-classes", rare)
+    rare_rows = keep("rare", with_cells(with_lists(rare, lists.where("code < 0")), class_counts(between, rare)))
+    dictionary = with_lists(spark.range(end + 1).toDF("code"), lists.where("code >= 0"))
+    frequent = keep("frequent", with_cells(dictionary, rare_beside(rare_rows)))
+    forget("lists")
+    any_rare = not rare.isEmpty()
+
+    seen, rare_seen = class_pairs(frequent, of), class_pairs(rare_rows, of)
+    pairs = seen[0] + seen[2] + seen[3] + rare_seen[2]
+    least = least_gain * pairs.sum()
+    done = 0
+
+    def more() -> bool:
+        return rounds is None or done < rounds
+
+    while True:
+        begun, idle = likelihood(pairs), 0
+        while end and idle < 2 and more():
+            half, done = done % 2, done + 1
+            changes = moved(frequent, of, pairs, half, end).where("cls <> was").toArrow()  # words of the dictionary at most
+            idle += 1
+            if changes.num_rows:
+                new = of.copy()
+                new[changes.column("code").to_numpy()] = changes.column("cls").to_numpy()
+                new_seen = class_pairs(frequent, new)
+                new_pairs = new_seen[0] + new_seen[2] + new_seen[3] + rare_seen[2]
+                gain = likelihood(new_pairs) - likelihood(pairs)
+                if gain > 0:
+                    of, seen, pairs = new, new_seen, new_pairs
+                    idle = 0 if gain > least else idle
+        rare_moved = False
+        for half in (0, 1):
+            if not any_rare or not more():
+                break
+            done += 1
+            path = staging_path(spark, "lm-moved")
+            new = stored(moved(rare_rows, of, pairs, half, end), path)
+            if not new.where("cls <> was").isEmpty():
+                classes = new.select("code", "cls")
+                rows = with_cells(rare_rows.select("code", "others", "ns").join(classes, "code"), class_counts(between, classes))
+                new_path = staging_path(spark, "lm-rare")
+                new_rows = stored(rows, new_path)
+                new_seen = class_pairs(new_rows, of)
+                new_pairs = seen[0] + new_seen[0] + new_seen[1] + new_seen[2]
+                if likelihood(new_pairs) > likelihood(pairs):
+                    release(spark, tables["rare"][0])
+                    tables["rare"] = new_path, new_rows
+                    rare_rows, rare_seen, pairs, rare_moved = new_rows, new_seen, new_pairs, True
+                else:
+                    release(spark, new_path)
             release(spark, path)
-        release(spark, new_path)
-        idle = 0 if better else idle + 1
-    once = seen_once(counts, end)
-    for path in (pairs_path, counts_path):
-        release(spark, path)
-    found = classes.where((F.col("code") >= 0) & (F.col("code") < end)).select("code", "cls").toArrow()
-    frequent = np.zeros(end, dtype=np.int64)
-    frequent[found.column("code").to_numpy()] = found.column("cls").to_numpy()
-    return Classes(classes.select("code", "cls"), frequent, once), pairs
+        if rare_moved:
+            frequent = keep("frequent", with_cells(frequent.drop("cells"), rare_beside(rare_rows)))
+            seen = class_pairs(frequent, of)
+        if not more() or not any_rare or likelihood(pairs) - begun <= least:
+            break
+    once = seen_once(frequent, of, end) + seen_once(rare_rows, of, end)
+    classes = keep("rare-classes", rare_rows.select("code", "cls"))
+    for name in ("rare", "frequent", "rare-bigrams"):
+        forget(name)
+    trained = np.flatnonzero(np.append(layout.counts > 0, pairs[CLASSES].sum() > 0))
+    own = pa.table({"code": pa.array(trained, pa.int64()), "cls": pa.array(of[trained], pa.int32())})
+    return Classes(classes.unionByName(spark.createDataFrame(own)), of[:end], once), pairs
 
 
 def class_follows(pairs: np.ndarray, once: np.ndarray, new: float) -> np.ndarray:
@@ -369,7 +610,7 @@ def class_follows(pairs: np.ndarray, once: np.ndarray, new: float) -> np.ndarray
     return np.log10(np.concatenate([known[:, :n_classes], unseen[:, None]], axis=1))
 
 
-def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
+def score(docs: DataFrame, rounds: int | None = None, least_gain: float = LEAST_GAIN) -> DataFrame:
     """Per document row ``doc_id``, ``held_out``, token counts, ``base_score`` and ``score`` (both log10).
 
     Learns from the rows that are not held out.  Missing and empty texts are one end; repeated
@@ -390,7 +631,7 @@ def score(docs: DataFrame, rounds: int | None = None) -> DataFrame:
     tokens, kinds = (n_words or 0) + n_docs, n_kinds + (n_docs > 0)
 
     codes_only = train.select("codes", F.transform("rare", lambda w: rare_code(w, seed)).alias("rare"))
-    classes, pairs = exchange(codes_only, layout, rounds)
+    classes, pairs = exchange(codes_only, layout, rounds, least_gain)
     words = counts.withColumn("code", rare_code(F.col("word"), seed)).join(classes.table, "code").select("word", "n", "cls")
     in_class = pairs.sum(0).astype(float)
     follow = class_follows(pairs, classes.once, (once + 1) / (tokens + 2))
