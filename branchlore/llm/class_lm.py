@@ -35,10 +35,11 @@ LONGEST = 64  # bytes of such a word; so the dictionary is never above 16 MB
 CLASSES = 32  # of words; after them the class of the end and that of unknown words
 N_CLASSES = CLASSES + 2
 WORDS_AT_ONCE = 1024  # words for which a task seeks classes at a time
+SMALL_COUNT = 32  # up to which the gain of a count is looked up
 LISTED_AT_ONCE = 1 << 22  # neighbours that a task lists at a time
 FAN_IN = 64  # lists of one word that are merged at a time
-LISTS = "code long, others array<int>, ns array<long>"
-LEAST_GAIN = 0.001  # of log likelihood for each token, below which a round counts as gaining nothing; 0 is the exact end
+LISTS = "code long, others binary, ns binary"  # int32 and int64 values of a word
+LEAST_GAIN = 0.05  # of log likelihood for each token, below which a round counts as gaining nothing; 0 is the exact end
 KEY = "class_lm_row_key"
 HELD_OUT, FOLDS = 2, 7
 
@@ -255,18 +256,13 @@ def merged(lists: DataFrame) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = None  # the last word may go on in the next batch
         for batch in batches:
-            words = np.repeat(
-                batch.column("code").to_numpy(), batch.column("others").value_lengths().to_numpy(zero_copy_only=False)
-            )
-            others, ns = (batch.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("others", "ns"))
+            words, others, ns = _listed(batch)
             if open_ is not None:
                 words, others, ns = (np.concatenate(x) for x in zip(open_, (words, others, ns)))
             made = _word_lists(words, others, ns)
             if made.num_rows:
                 yield made.slice(0, made.num_rows - 1)
-                last = made.slice(made.num_rows - 1)
-                others, ns = (last.column(c).flatten().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("others", "ns"))
-                open_ = np.full(len(others), last.column("code")[0].as_py(), dtype=np.int64), others, ns
+                open_ = _listed(made.slice(made.num_rows - 1))
         if open_ is not None:
             yield _word_lists(*open_)
 
@@ -290,13 +286,36 @@ def _word_lists(words: np.ndarray, others: np.ndarray, ns: np.ndarray) -> pa.Rec
     key = key[first]
     number = key >> 20
     starts = np.flatnonzero(np.diff(number, prepend=-1))
-    offsets = pa.array(np.append(starts, len(key)), pa.int32())
+    bounds = np.append(starts, len(key))
     code = number[starts] if kinds is None else kinds[number[starts]]
-    other_lists = pa.ListArray.from_arrays(offsets, pa.array(key & ((1 << 20) - 1), pa.int32()))
-    return pa.RecordBatch.from_arrays(
-        [pa.array(code, pa.int64()), other_lists, pa.ListArray.from_arrays(offsets, pa.array(ns, pa.int64()))],
-        names=["code", "others", "ns"],
-    )
+    columns = [pa.array(code, pa.int64()), _packed(key & ((1 << 20) - 1), bounds, np.int32), _packed(ns, bounds, np.int64)]
+    return pa.RecordBatch.from_arrays(columns, names=["code", "others", "ns"])
+
+
+def _packed(values: np.ndarray, bounds: np.ndarray, kind: type) -> pa.Array:
+    """The values between each two bounds as bytes, which pass between Spark and Python faster than arrays do."""
+    offsets = (bounds * np.dtype(kind).itemsize).astype(np.int32)
+    buffers = [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(values, dtype=kind))]
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, buffers)
+
+
+def _unpacked(column: pa.Array, kind: type) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the row of each value, and all values."""
+    if not len(column):
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    _, offsets, data = column.buffers()
+    size = np.dtype(kind).itemsize
+    bounds = np.frombuffer(offsets, np.int32, len(column) + 1, column.offset * 4) // size
+    row = np.repeat(np.arange(len(column)), np.diff(bounds))
+    if not len(row):
+        return row, np.zeros(0, dtype=np.int64)
+    return row, np.frombuffer(data, kind, bounds[-1] - bounds[0], int(bounds[0]) * size).astype(np.int64)
+
+
+def _listed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word, neighbour and count of all lists of a batch."""
+    row, others = _unpacked(batch.column("others"), np.int32)
+    return batch.column("code").to_numpy()[row], others, _unpacked(batch.column("ns"), np.int64)[1]
 
 
 def class_counts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -307,13 +326,18 @@ def class_counts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         met = pairs.join(classes.select(F.col("code").alias(known), "cls"), known)
         return met.select(F.col(word).alias("code"), cell, "n")
 
-    cells = beside("left", "right", 0).unionByName(beside("right", "left", N_CLASSES))
-    return _gathered(cells.groupBy("code", "cell").agg(F.sum("n").alias("n")))
+    return _gathered(beside("left", "right", 0).unionByName(beside("right", "left", N_CLASSES)))
+
+
+def _gathered(counts: DataFrame) -> DataFrame:
+    """``cells`` and ``cell_ns`` per word: its cells, at most two for each class, and how often each."""
 
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield _word_lists(*(x.to_numpy().astype(np.int64) for x in batch.columns))
 
-def _gathered(cells: DataFrame) -> DataFrame:
-    """``cells`` per word, at most two for each class."""
-    return cells.groupBy("code").agg(F.collect_list(F.struct("cell", "n")).alias("cells"))
+    lists = merged(counts.select("code", "cell", "n").mapInArrow(listed, LISTS).repartition("code"))
+    return lists.withColumnsRenamed({"others": "cells", "ns": "cell_ns"})
 
 
 def rare_beside(rare: DataFrame) -> DataFrame:
@@ -330,24 +354,17 @@ def rare_beside(rare: DataFrame) -> DataFrame:
             made = [found // (2 * N_CLASSES), (found % (2 * N_CLASSES)).astype(np.int32), sums]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["code", "cell", "n"])
 
-    cells = rare.select("cls", "others", "ns").mapInArrow(count, "code long, cell int, n long")
-    return _gathered(cells.groupBy("code", "cell").agg(F.sum("n").alias("n")))
+    return _gathered(rare.select("cls", "others", "ns").mapInArrow(count, "code long, cell int, n long"))
 
 
 def _near(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of the row, neighbour and count, for all neighbours of the dictionary."""
-    others = part.column("others")
-    word = np.repeat(np.arange(part.num_rows), others.value_lengths().to_numpy(zero_copy_only=False))
-    flat = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in (others, part.column("ns"))]
-    return word, *flat
+    return *_unpacked(part.column("others"), np.int32), _unpacked(part.column("ns"), np.int64)[1]
 
 
 def _far(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of the row, cell and count, for all neighbours outside the dictionary."""
-    cells = part.column("cells")
-    word = np.repeat(np.arange(part.num_rows), cells.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-    flat = cells.flatten()
-    return word, *(flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    return *_unpacked(part.column("cells"), np.int32), _unpacked(part.column("cell_ns"), np.int64)[1]
 
 
 def _cells(part: pa.RecordBatch, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -432,36 +449,69 @@ def best_classes(own: np.ndarray, of: np.ndarray, cell: np.ndarray, n: np.ndarra
 
     Word ``of[i]``, now in class ``own[of[i]]``, has the count ``n[i]`` in the cell ``cell[i]``.
     """
-    n_words, n_classes, pairs = len(own), len(pairs), pairs.astype(float)
+    n_words, k, pairs = len(own), len(pairs), pairs.astype(float)
     words = np.arange(n_words)
-    counts = np.zeros((n_words, 2 * n_classes))
+    counts = np.zeros((n_words, 2 * k))
     counts[of, cell] = n
-    after, before = counts[:, :n_classes], counts[:, n_classes:]
+    after, before = counts[:, :k], counts[:, k:]
     gain = np.zeros((n_words, CLASSES))
+    # a word that follows itself is twice in its class's own pair
+    twice = np.maximum(after[words, own] + before[words, own] - pairs[own, own], 0)
     # a table of class pairs or its transpose, without the word; only cells beside its contexts change
-    for table, mine, others, first in ((pairs, after, before, 0), (pairs.T, before, after, n_classes)):
-        at = np.flatnonzero((cell >= first) & (cell < first + n_classes))
-        w, beside, more = of[at], cell[at] - first, n[at].astype(float)[:, None]
-        rest = table[beside, :CLASSES]
-        rest[np.arange(len(at)), own[w]] -= more[:, 0]
-        same = np.flatnonzero(beside == own[w])
-        rest[same] -= others[w[same], :CLASSES]
+    for side, (table, mine, others) in enumerate(((pairs, after, before), (pairs.T, before, after))):
+        at = np.flatnonzero((cell >= k) == bool(side))
+        w, beside, more = of[at], cell[at] - side * k, n[at].astype(float)
+        part = np.empty((len(at), CLASSES))
+        # small counts are looked up, but for the word's own class and for contexts of that class
+        same = beside == own[w]
+        fast = (more <= SMALL_COUNT) & ~same
+        f, slow = np.flatnonzero(fast), np.flatnonzero(~fast)
+        part[f] = _rises(table[:, :CLASSES])[more[f].astype(int), beside[f]]
+        rest = np.maximum(table[beside[f], own[w[f]]] - more[f], 0)
+        part[f, own[w[f]]] = _xlogx(rest + more[f]) - _xlogx(rest)
+        rest = table[beside[slow], :CLASSES]
+        rest[np.arange(len(slow)), own[w[slow]]] -= more[slow]
+        again = np.flatnonzero(same[slow])
+        rest[again] -= others[w[slow[again]], :CLASSES]
         rest = np.maximum(rest, 0)
-        part = _xlogx(rest + more) - _xlogx(rest)
+        part[slow] = _xlogx(rest + more[slow, None]) - _xlogx(rest)
         order = np.argsort(w, kind="stable")
         if len(order):
             starts = np.flatnonzero(np.diff(w[order], prepend=-1))
             gain[w[order][starts]] += np.add.reduceat(part[order], starts)
-    # a word that follows itself is twice in its class's own pair
-    twice = np.maximum(after[words, own] + before[words, own] - pairs[own, own], 0)
-    for table, mine, others in ((pairs, after, before), (pairs.T, before, after)):
-        rest, total = table.sum(0)[:CLASSES] - others[:, :CLASSES], mine.sum(1)
-        rest[words, own] += twice - total
-        gain -= _xlogx(rest + total[:, None]) - _xlogx(rest)
+        # the classes' own frequencies, which the word's contexts change as well
+        sums, total = table.sum(0)[:CLASSES], mine.sum(1)
+        few = total <= SMALL_COUNT
+        loss = np.empty((n_words, CLASSES))
+        loss[few] = _rises(sums[None])[total[few].astype(int), 0]
+        beside_word, beside_class = np.nonzero((others[:, :CLASSES] > 0) & few[:, None])
+        rest = sums[beside_class] - others[beside_word, beside_class]
+        loss[beside_word, beside_class] = _xlogx(rest + total[beside_word]) - _xlogx(rest)
+        rest = sums[own] - others[words, own] + twice - total
+        loss[words, own] = _xlogx(rest + total) - _xlogx(rest)
+        many = np.flatnonzero(~few)
+        rest = sums - others[many, :CLASSES]
+        rest[np.arange(len(many)), own[many]] += twice[many] - total[many]
+        loss[many] = _xlogx(rest + total[many, None]) - _xlogx(rest)
+        gain -= loss
     best = gain.argmax(1)
     return np.where(gain[words, best] > gain[words, own] + 1e-9, best, own)
 
 
+_made: dict[bytes, np.ndarray] = {}
+
+
+def _rises(table: np.ndarray) -> np.ndarray:
+    """By how much n log n rises in each cell when a small count is added: by count, then as the table."""
+    key = table.tobytes()
+    if key not in _made:
+        if len(_made) > 8:  # two tables and two sums of a round
+            _made.clear()
+        more = np.arange(SMALL_COUNT + 1)[:, None, None]
+        _made[key] = _xlogx(table + more) - _xlogx(table)
+    return _made[key]
+
+
 def moved(rows: DataFrame, of: np.ndarray, pairs: np.ndarray, half: int, end: int) -> DataFrame:
     """``code``, ``cls`` and ``was`` after every word of one half has chosen its class."""
     sent = rows.sparkSession.sparkContext.broadcast((of, pairs))
@@ -514,13 +564,14 @@ def exchange(
         release(spark, tables.pop(name)[0])
 
     def with_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
-        return rows.join(cells, "code", "left")
+        return filled(rows.join(cells, "code", "left"), "cells", "cell_ns")
 
     def with_lists(words: DataFrame, lists: DataFrame) -> DataFrame:
         """A word that has no neighbour of the dictionary gets empty lists."""
-        rows = words.join(lists, "code", "left")
-        none = {"others": F.expr("cast(array() as array<int>)"), "ns": F.expr("cast(array() as array<bigint>)")}
-        return rows.withColumns({c: F.coalesce(c, empty) for c, empty in none.items()})
+        return filled(words.join(lists, "code", "left"), "others", "ns")
+
+    def filled(rows: DataFrame, *columns: str) -> DataFrame:
+        return rows.withColumns({c: F.coalesce(c, F.expr("X''")) for c in columns})
 
     lists = keep("lists", neighbour_lists(train, layout))
     between = keep("rare-bigrams", rare_bigrams(train, layout))
@@ -578,7 +629,7 @@ def exchange(
                     release(spark, new_path)
             release(spark, path)
         if rare_moved:
-            frequent = keep("frequent", with_cells(frequent.drop("cells"), rare_beside(rare_rows)))
+            frequent = keep("frequent", with_cells(frequent.drop("cells", "cell_ns"), rare_beside(rare_rows)))
             seen = class_pairs(frequent, of)
         if not more() or not any_rare or likelihood(pairs) - begun <= least:
             break
