@@ -3,8 +3,8 @@
 A word's probability is that of its class after the class before, times that of the word within
 its class.  Classes come from exchange clustering: in each round every word of one half looks for
 the class in which the class bigrams become most likely, all words of a half at once from the
-counts of the round before; a round that does not raise the likelihood is taken back, and two such
-rounds in a row, one of each half, end it.
+counts of the round before; a round that does not raise the likelihood is taken back.  Rounds over the
+dictionary and over all other words take turns until neither gains more than a tolerance.
 
 All words of the training texts are counted and exchanged.  The most frequent ones are numbered by
 a dictionary of bounded size that tasks hold; the rest, rare each, have a hash that no two of them
@@ -36,8 +36,8 @@ CLASSES = 32  # of words; after them the class of the end and that of unknown wo
 N_CLASSES = CLASSES + 2
 WORDS_AT_ONCE = 1024  # words for which a task seeks classes at a time
 SMALL_COUNT = 32  # up to which the gain of a count is looked up
-LISTED_AT_ONCE = 1 << 22  # neighbours that a task lists at a time
-FAN_IN = 64  # lists of one word that are merged at a time
+LISTED_AT_ONCE = 1 << 20  # neighbours that a task lists at a time
+FAN_IN = 256  # lists of one word that are merged at a time
 LISTS = "code long, others binary, ns binary"  # int32 and int64 values of a word
 LEAST_GAIN = 0.05  # of log likelihood for each token, below which a round counts as gaining nothing; 0 is the exact end
 KEY = "class_lm_row_key"

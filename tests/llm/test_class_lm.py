@@ -216,3 +216,29 @@ def test_exchange_ends_when_both_halves_gain_nothing(spark):
         for seq in seqs:
             np.add.at(table, (chosen[[120, *seq[:-1]]], chosen[seq]), 1)
         assert class_lm.likelihood(table) <= class_lm.likelihood(pairs)
+
+
+@pytest.mark.parametrize(("at_once", "fan_in"), [(1 << 20, 256), (64, 2)])
+def test_neighbour_lists_equal_plain_counts(spark, monkeypatch, at_once, fan_in):
+    """Words of the dictionary and others, merged at once and over several levels."""
+    monkeypatch.setattr(class_lm, "LISTED_AT_ONCE", at_once)
+    monkeypatch.setattr(class_lm, "FAN_IN", fan_in)
+    rng = random.Random(7)
+    seqs = [[rng.choice([*range(20), -3, -8]) for _ in range(rng.randrange(40))] + [20] for _ in range(60)]
+    rows = [([max(c, -1) for c in s], [c for c in s if c < 0]) for s in seqs]
+    train = spark.createDataFrame(rows, "codes array<int>, rare array<bigint>").repartition(4)
+    want = Counter()
+    for s in seqs:
+        for a, b in zip([20, *s], s):
+            if a >= 0:
+                want[b, 2 * a] += 1
+            if b >= 0:
+                want[a, 2 * b + 1] += 1
+    got = {}
+    for r in class_lm.neighbour_lists(train, class_lm.Layout(np.array([50] * 20))).collect():
+        others, ns = np.frombuffer(r.others, np.int32), np.frombuffer(r.ns, np.int64)
+        assert len(others) == len(ns) and (np.diff(others) > 0).all()
+        for o, n in zip(others.tolist(), ns.tolist()):
+            assert (r.code, o) not in got
+            got[r.code, o] = n
+    assert got == want
