@@ -9,7 +9,7 @@ from collections.abc import Iterable, Mapping, Sequence
 from functools import reduce
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -125,6 +125,22 @@ def column_coverage(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
+def counted(df: DataFrame, observation: Observation) -> DataFrame:
+    """The rows unchanged; the action that writes them counts them and what each column holds.
+
+    Put it last, on what is written: there every partition is counted once, however often a
+    sort samples the plan below or a lost executor has earlier stages run again.
+    """
+    held = [F.count_if(filled(f.name, f.dataType)).alias(f"filled_{i}") for i, f in enumerate(df.schema.fields)]
+    return df.observe(observation, F.count(F.lit(1)).alias("row_count"), *held)
+
+
+def counts_of(columns: Sequence[str], observation: Observation) -> list[tuple[str, int, int]]:
+    """What was counted while writing: (column, rows, rows that hold a value).  One number a column comes back."""
+    got = observation.get
+    return [(c, got.get("row_count", 0), got.get(f"filled_{i}", 0)) for i, c in enumerate(columns)]
+
+
 def missing_panels(panels: Iterable[Panel], expected: Iterable[str] = EXPECTED_PANELS) -> list[str]:
     return sorted(set(expected) - {panel.title for panel in panels})
 
@@ -138,8 +154,14 @@ def gate(
     datasets: Mapping[str, DataFrame],
     panels: Sequence[Panel] = PANELS,
     expected: Iterable[str] = EXPECTED_PANELS,
+    written: Mapping[str, Sequence[tuple[str, int, int]]] | None = None,
 ) -> DataFrame:
-    """The report over all panels; each dataset is read once, for all panels on it."""
+    """The report over all panels; each dataset is read once, for all panels on it.
+
+    ``written`` has what ``counts_of`` gave for datasets that were counted while written.  All
+    their columns are then compared with what is read back, in the same pass.
+    """
+    written = written or {}
     missing = missing_panels(panels, expected)
     findings = [("panels_present", title, "error", "not on the dashboard") for title in missing]
     if not missing:
@@ -164,25 +186,46 @@ def gate(
             findings.append(("columns_present", panel.title, "error", f"not in {name}: {', '.join(absent)}"))
             continue
         covered.setdefault(name, []).extend((panel.title, selector) for selector in selectors)
-    coverage = [_coverage_findings(datasets[name], wanted) for name, wanted in covered.items()]
+    for name in written:
+        if name in datasets:
+            covered.setdefault(name, [])
+        else:
+            findings.append(("as_written", name, "error", "written, not found"))
+    coverage = [_coverage_findings(name, datasets[name], wanted, written.get(name, ())) for name, wanted in covered.items()]
     return reduce(DataFrame.unionByName, coverage, _rows(spark, findings))
 
 
-def _coverage_findings(df: DataFrame, wanted: list[tuple[str, str]]) -> DataFrame:
-    coverage = column_coverage(df, list(dict.fromkeys(selector for _, selector in wanted)))
-    titles = {}
-    for title, selector in wanted:
-        titles.setdefault(selector, []).append(title)
-    by_column = F.create_map(*[F.lit(x) for selector, names in titles.items() for x in (selector, names)])
+def _coverage_findings(
+    name: str, df: DataFrame, wanted: list[tuple[str, str]], written: Sequence[tuple[str, int, int]]
+) -> DataFrame:
+    present = [c for c, _, _ in written if c in df.columns]
+    coverage = column_coverage(df, list(dict.fromkeys([*(selector for _, selector in wanted), *present])))
     empty, unfilled = F.col("row_count") == 0, F.col("filled_rows") == 0
-    return coverage.select("*", F.explode(by_column[F.col("column_name")]).alias("title")).select(
-        F.lit("column_coverage").alias("check"),
-        F.concat_ws(".", "title", "column_name").alias("target"),
-        F.when(empty | unfilled, "error").otherwise("ok").alias("status"),
-        F.when(empty, "no rows")
-        .otherwise(F.concat_ws(" of ", F.col("filled_rows"), F.col("row_count")))
-        .alias("detail"),
-    )
+    found = F.concat_ws(" of ", F.col("filled_rows"), F.col("row_count"))
+    checks = [
+        F.struct(
+            F.lit("column_coverage").alias("check"),
+            F.lit(f"{title}.{selector}").alias("target"),
+            F.when(empty | unfilled, "error").otherwise("ok").alias("status"),
+            F.when(empty, "no rows").otherwise(found).alias("detail"),
+            F.lit(selector).alias("column"),
+        )
+        for title, selector in wanted
+    ]
+    for column, rows, held in written:
+        same = (F.col("row_count") == rows) & (F.col("filled_rows") == held)
+        absent = column not in df.columns
+        checks.append(
+            F.struct(
+                F.lit("as_written").alias("check"),
+                F.lit(f"{name}.{column}").alias("target"),
+                (F.lit("error") if absent else F.when(same, "ok").otherwise("error")).alias("status"),
+                (F.lit("not found") if absent else F.concat(found, F.lit(f", {held} of {rows} written"))).alias("detail"),
+                F.lit(present[0] if absent and present else column).alias("column"),
+            )
+        )
+    reports = coverage.select("column_name", F.explode(F.array(*checks)).alias("finding"))
+    return reports.where("column_name = finding.column").select("finding.check", "finding.target", "finding.status", "finding.detail")
 
 
 def live_check(panel_queries: Mapping[str, DataFrame]) -> DataFrame:

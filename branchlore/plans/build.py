@@ -114,15 +114,17 @@ def build(
         keep = name in ("commits", "commit_trailers", "trailer_field_catalog")
         stored[name] = df if keep else store_facts(df, f"{out}/tables/{name}")
 
-    paths = write_exports(stored, f"{out}/data", config.root_branch)
+    counts: dict[str, list] = {}
+    paths = write_exports(stored, f"{out}/data", config.root_branch, counts=counts)
     sections = document_sections(stored)
     paths["dashboard"] = f"{out}/data/dashboard"
-    external = write_dashboard(sections, doc.metadata(facts, config, as_of), paths, f"{out}/data", config.root_branch)
+    external = write_dashboard(sections, doc.metadata(facts, config, as_of), paths, f"{out}/data", config.root_branch, counts)
     paths["branches"] = f"{out}/data/branches"
     doc.write_document(doc.manifest(spark, config), paths["branches"])
 
     written = read_sections(spark, paths["dashboard"], {name: df.schema for name, df in sections.items()})
-    found = quality.gate(spark, written).unionByName(quality.live_check(panels.live_panels(commits, facts)))
+    beside = {name: counts[SECTION_EXPORTS.get(name, name)] for name in external}
+    found = quality.gate(spark, written, written=beside).unionByName(quality.live_check(panels.live_panels(commits, facts)))
     paths["report"] = f"{out}/data/report"
     found.write.mode("overwrite").json(paths["report"])
     report = spark.read.schema(quality.REPORT_SCHEMA).json(paths["report"])
@@ -131,19 +133,33 @@ def build(
 
 
 def write_exports(
-    stored: Mapping[str, DataFrame], folder: str, root: str, names: Iterable[str] = tuple(EXPORTS)
+    stored: Mapping[str, DataFrame],
+    folder: str,
+    root: str,
+    names: Iterable[str] = tuple(EXPORTS),
+    counts: dict[str, list] | None = None,
 ) -> dict[str, str]:
-    """Ordered JSON datasets; returns their paths by name."""
+    """Ordered JSON datasets; returns their paths by name.  ``counts`` gets what was counted while writing."""
     paths = {name: f"{folder}/{name}" for name in names}
     for name, path in paths.items():
-        write_dataset(stored[EXPORTS[name]], path, DATASET_ORDERS[name], root)
+        found = write_dataset(stored[EXPORTS[name]], path, DATASET_ORDERS[name], root)
+        if counts is not None:
+            counts[name] = found
     return paths
 
 
 def write_dashboard(
-    sections: Mapping[str, DataFrame], metadata: DataFrame, exports: Mapping[str, str], folder: str, root: str
+    sections: Mapping[str, DataFrame],
+    metadata: DataFrame,
+    exports: Mapping[str, str],
+    folder: str,
+    root: str,
+    counts: dict[str, list] | None = None,
 ) -> dict[str, str]:
-    """The document and the sections beside it that no export holds yet; returns the latter's paths."""
+    """The document and the sections beside it that no export holds yet; returns the latter's paths.
+
+    ``counts`` gets what was counted while the sections beside it were written.
+    """
     external = {}
     for name, section in sections.items():
         if name in doc.INLINE:
@@ -152,7 +168,9 @@ def write_dashboard(
             external[name] = exports[SECTION_EXPORTS[name]]
         else:
             external[name] = f"{folder}/dashboard_{name}"
-            write_dataset(section, external[name], doc.section_keys(section, name), root)
+            found = write_dataset(section, external[name], doc.section_keys(section, name), root)
+            if counts is not None:
+                counts[name] = found
     document = doc.dashboard_document(metadata.sparkSession, metadata, sections, external, root)
     doc.write_document(document, f"{folder}/dashboard")
     return external

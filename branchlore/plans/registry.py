@@ -779,6 +779,19 @@ def quality_gate(spark, sf_dir):
     return quality.gate(spark, document_sections(relations(spark, commits, commit_trailers(commits), activity)))
 
 
+@_register
+def quality_gate_observed(spark, sf_dir):
+    """The gate over written datasets; what was counted while writing is compared with what is read back."""
+    sections = document_sections(_build_tables(spark, sf_dir))
+    shown = {panel.datasets[0] for panel in quality.PANELS}
+    back, counts = {}, {}
+    for name in shown:
+        df, path = sections[name], staging_path(spark, f"observed-{name}")
+        counts[name] = write_dataset(df, path, doc.section_keys(df, name), CONFIG.root_branch)
+        back[name] = read_dataset(spark, path, df.schema)
+    return quality.gate(spark, back, written=counts)
+
+
 @_register
 def live_panel_check(spark, sf_dir):
     commits = commits_of(spark, sf_dir)

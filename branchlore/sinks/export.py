@@ -4,25 +4,28 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from branchlore.operators.ordering import order_by, rank_struct
+from branchlore.operators.quality import counted, counts_of
 from branchlore.staging import stage
 
 TIMESTAMP_FORMAT = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"
 JSON_OPTIONS = {"ignoreNullFields": "false", "timestampFormat": TIMESTAMP_FORMAT}
 
 
-def write_dataset(df: DataFrame, path: str, keys: Sequence[str], root: str) -> None:
-    """Replace a dataset by its rows in key order, as JSON lines.
+def write_dataset(df: DataFrame, path: str, keys: Sequence[str], root: str) -> list[tuple[str, int, int]]:
+    """Replace a dataset by its rows in key order, as JSON lines; returns what ``counts_of`` says was written.
 
     The sort is by ranges over the full key, so part files follow each other in order
     and a branch or value with many rows is spread over several.  The random last key
     does the same for rows that agree in all the others, such as copies.
     """
     ordered = df.orderBy(*order_by(*keys, root=root), F.rand(0))
-    ordered.write.mode("overwrite").options(**JSON_OPTIONS).json(path)
+    observation = Observation()
+    counted(ordered, observation).write.mode("overwrite").options(**JSON_OPTIONS).json(path)
+    return counts_of(df.columns, observation)
 
 
 def write_array(df: DataFrame, path: str, keys: Sequence[str], root: str, one_file: bool = True) -> None:

@@ -466,6 +466,35 @@ def _section(name: str, sql: str, order: str, *columns: str) -> str:
     return _lines(name, f"SELECT *, row_number() OVER (ORDER BY {order}) AS position FROM ({sql})", *columns, "position")
 
 
+_TOTALS = ("total_insertions", "total_deletions", "total_changed_files")
+_WRITTEN = {
+    "daily_activity": (
+        f"(SELECT branch, CAST(author_date AS DATE) AS commit_day, commit_day AS time, commit_day AS time_unix_ms, count(*) AS commit_count, {SUMS}"
+        " FROM commits GROUP BY branch, CAST(author_date AS DATE))",
+        ("branch", "commit_day", "time", "time_unix_ms", "commit_count", *_TOTALS),
+    ),
+    "branch_summary": ("branches", ("branch", "commit_count", "author_count", *_TOTALS, "first_commit_at", "last_commit_at")),
+    "author_summary": ("authors", ("branch", "author_name", "author_email", "commit_count", *_TOTALS, "last_commit_at")),
+    "recent_commits": (
+        f"({ORACLES['recent_commits']})",
+        (
+            "branch", "commit_id", "author_name", "author_email", "time", "time_unix_ms", "summary", *COLUMNS.values(),
+            "mentioned_people", "mentioned_urls", "insertions", "deletions", "changed_files",
+        ),
+    ),
+}
+ORACLES["quality_gate_observed"] = " UNION ALL ".join(
+    [
+        _gate(),
+        *[
+            f"SELECT 'as_written', '{name}.{c}', 'ok', {_filled(c)} || ' of ' || count(*) || ', ' || {_filled(c)} || ' of ' || count(*) || ' written'"
+            f" FROM {relation}"
+            for name, (relation, columns) in _WRITTEN.items()
+            for c in columns
+        ],
+    ]
+)
+
 ORACLES["document_sections"] = " UNION ALL ".join(
     [
         _section("trailer_fields", "SELECT * FROM catalog", "ordinality", "ordinality"),

@@ -3,6 +3,8 @@ from __future__ import annotations
 from branchlore.operators import panels, quality, rollups
 from branchlore.operators.enrich import commit_trailers
 from branchlore.plans.build import document_sections, relations
+from branchlore.sinks.export import write_dataset
+from branchlore.sources.datasets import read_dataset
 
 
 def report_of(df):
@@ -74,3 +76,33 @@ def test_live_check(spark, commits):
     got = report_of(report)
     assert got["live_rows", "daily"][0] == "ok" and "time=2024-01-01" in got["live_rows", "daily"][1]
     assert got["live_rows", "none"] == ("error", "rows=0")
+
+
+def test_what_was_counted_while_writing_is_compared_with_what_is_read(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1, None), ("b", None, None), (None, 3, None)], "branch string, n long, note string").repartition(3)
+    counts = write_dataset(rows, f"{tmp_path}/rows", ("branch",), "a")
+    assert counts == [("branch", 3, 2), ("n", 3, 2), ("note", 3, 0)]
+    back = read_dataset(spark, f"{tmp_path}/rows", rows.schema)
+    panel = quality.Panel("P", "table", ("rows",), (quality.Selector("n", "n", "number"),))
+    report = report_of(quality.gate(spark, {"rows": back}, [panel], ["P"], {"rows": counts}))
+    assert report["column_coverage", "P.n"] == ("ok", "2 of 3")
+    assert report["as_written", "rows.note"] == ("ok", "0 of 3, 0 of 3 written")
+    lost = {"rows": back.where("branch = 'a'").drop("note")}
+    report = report_of(quality.gate(spark, lost, [panel], ["P"], {"rows": counts, "gone": counts}))
+    assert report["as_written", "rows.n"] == ("error", "1 of 1, 2 of 3 written")
+    assert report["as_written", "rows.note"] == ("error", "not found")
+    assert report["as_written", "gone"] == ("error", "written, not found")
+
+
+def test_counts_of_empty_datasets(spark, tmp_path):
+    rows = spark.createDataFrame([], "branch string, tags array<string>")
+    assert write_dataset(rows, f"{tmp_path}/rows", ("branch",), "a") == [("branch", 0, 0), ("tags", 0, 0)]
+
+
+def test_the_gate_reads_a_written_dataset_once(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1)], "branch string, n long")
+    counts = write_dataset(rows, f"{tmp_path}/rows", ("branch",), "a")
+    panel = quality.Panel("P", "table", ("rows",), (quality.Selector("n", "n", "number"),))
+    back = read_dataset(spark, f"{tmp_path}/rows", rows.schema)
+    report = quality.gate(spark, {"rows": back}, [panel], ["P"], {"rows": counts})
+    assert report._jdf.queryExecution().executedPlan().toString().count("Scan json") == 1
