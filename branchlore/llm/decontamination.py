@@ -5,7 +5,8 @@ window knows its rarest terms.  Only those terms are ever looked up, so the stor
 their postings (term, document, positions) and no others.  A window's lists are fetched from
 the rarest term on and shifted by the term's place in the window; where the shifted positions
 agree, or lie within a slack, the document's words are compared: all ten in place are a phrase
-match, most of them nearby a proximity match.
+match, most of them nearby a proximity match.  A window whose words the corpus has in part is
+looked up by the rarest it has.
 
 Terms that tasks need to know are sent as a bitmap of fixed size over their CRC-32, whatever
 the size of the benchmark; terms let through by chance fall out at the join.
@@ -105,17 +106,15 @@ def _pairs(total: Counter) -> pa.RecordBatch:
 
 
 def rarest_terms(windows: DataFrame, texts: DataFrame, lists: int = LISTS) -> DataFrame:
-    """The rarest terms of every window that can occur: ``window``, ``rank`` (from 1), ``shift``, ``term``, ``of``.
+    """The rarest terms of every window: ``window``, ``rank`` (from 1), ``shift``, ``term``, ``of`` (how many there are).
 
-    A window with a word that the corpus lacks cannot occur and is left out.
+    Words that the corpus lacks have no postings; the rarest of the others are taken.  A window of
+    which the corpus has one word has one list, one of which it has none cannot occur.
     """
     spelled = windows.select("w", F.posexplode(F.split("w", " ")).alias("shift", "term"))
     counts = term_counts(texts, spelled.select("term").distinct())
-    known = spelled.join(counts, "term", "left")
-    ranked = known.groupBy("w").agg(
-        F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "shift", "term"))).alias("by_n")
-    )
-    ranked = ranked.where(F.col("by_n")[0]["n"] > 0).select("w", F.slice("by_n", 1, lists).alias("by_n"))
+    ranked = spelled.join(counts, "term").groupBy("w").agg(F.sort_array(F.collect_list(F.struct("n", "shift", "term"))).alias("by_n"))
+    ranked = ranked.select("w", F.slice("by_n", 1, lists).alias("by_n"))
     ranked = ranked.select(window_key().alias("window"), F.size("by_n").alias("of"), F.posexplode("by_n").alias("rank", "t"))
     return ranked.select("window", "of", (F.col("rank") + 1).alias("rank"), F.col("t.shift").alias("shift"), F.col("t.term").alias("term"))
 
@@ -177,6 +176,7 @@ def _judge(text: bytes, found: list[dict] | None, slack: int, near_words: int) -
     words = words_of(text)
     hit = bytearray(len(words))
     items: set[str] = set()
+    near: set[str] = set()
     spans = set()
     for c in found or ():
         window = c["w"].encode().split(b" ")
@@ -189,16 +189,22 @@ def _judge(text: bytes, found: list[dict] | None, slack: int, near_words: int) -
             low, high = max(0, start - slack), min(len(words), end + slack)
             around = Counter(words[low:high])
             if sum((around & Counter(window)).values()) >= near_words:
+                near.update(c["items"])
                 spans.add((low, high, "proximity"))
     spans = [{"start": s, "end": e, "kind": k} for s, e, k in sorted(spans)]
-    return len(words), sum(hit), sorted(items), spans
+    return len(words), sum(hit), sorted(items), sorted(near - items), spans
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK, near_words: int = NEAR_WORDS) -> DataFrame:
-    """Per document row: ``doc_id``, its row key, ``n_words``, ``n_hit``, ``items`` and ``spans`` (in words).
-
-    ``n_hit`` counts the words inside phrase matches and ``items`` the items these come from;
-    ``spans`` also has proximity matches.  Missing and empty texts have no words and no hits; an
+    """Per document row: ``doc_id``, its row key, ``n_words``, ``n_hit``, ``items``, ``near_items`` and ``spans`` (in words).
+
+    ``n_hit`` counts the words inside phrase matches and ``items`` the items these come from.
+    A proximity match is a place where the two rarest words of a window that the corpus has (one,
+    if it has one only) stand as far apart as in the window, give or take ``slack`` words, and at
+    least ``near_words`` of the window's words, repeats counted, stand from ``slack`` words before
+    the window's place to ``slack`` words behind it; the rarest word tells the place.  Words rank
+    by their count in the corpus, then by their place in the window.  ``near_items`` are the items
+    with such a match and no phrase match in the document, and ``spans`` has both kinds.  Missing and empty texts have no words and no hits; an
     item without words has no window, one without an id has the id ''; repeated rows stay, each
     with its result; empty tables give no rows or no hits; other columns are not looked at.
     """
@@ -213,15 +219,15 @@ def scan(docs: DataFrame, benchmark: DataFrame, slack: int = SLACK, near_words:
     return map_rows(
         texts.join(per_doc, KEY, "left"),
         lambda text, c: _judge(text, c, slack, near_words),
-        "n_words long, n_hit long, items array<string>, spans array<struct<start: int, end: int, kind: string>>",
+        "n_words long, n_hit long, items array<string>, near_items array<string>, spans array<struct<start: int, end: int, kind: string>>",
         "text",
         "found",
     )
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The digest per document: counts, the items found and whether any benchmark window occurs."""
-    items: Column = F.col("items")
+    """The digest per document: counts, the items found, whether any benchmark window occurs, and the items only near."""
+    items, near = F.col("items"), F.col("near_items")
     return scan(docs, benchmark).select(
         "doc_id",
         "n_words",
@@ -229,6 +235,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(items, ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
+        F.size(near).cast("long").alias("n_near"),
+        F.sha2(F.array_join(near, ","), 256).alias("near_items_sha256"),
     )
 
 

@@ -97,10 +97,37 @@ grams AS (
   FROM (SELECT rid, words, size, unnest(range(1, len(words) - size + 2)) AS i FROM w, (SELECT DISTINCT size FROM windows))),
 hits AS MATERIALIZED (SELECT DISTINCT rid, i, item, windows.size AS size FROM grams JOIN windows ON grams.said = windows.said AND grams.size = windows.size),
 per AS (SELECT rid, count(DISTINCT item) AS n_items, array_to_string(list_sort(list(DISTINCT item)), ',') AS items FROM hits GROUP BY rid),
-places AS (SELECT rid, count(DISTINCT spot) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS spot FROM hits) GROUP BY rid)
+places AS (SELECT rid, count(DISTINCT spot) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS spot FROM hits) GROUP BY rid),
+long_ones AS MATERIALIZED (SELECT said, list(item) AS items, row_number() OVER () AS win FROM windows WHERE size > 8 GROUP BY said),
+terms AS MATERIALIZED (SELECT win, word, shift FROM (
+  SELECT win, unnest(string_split(said, ' ')) AS word, unnest(range(0, len(string_split(said, ' ')))) AS shift FROM long_ones)),
+p AS MATERIALIZED (SELECT rid, unnest(words) AS word, unnest(range(0, len(words))) AS pos FROM w),
+b_words AS MATERIALIZED (SELECT p.* FROM p SEMI JOIN terms USING (word)),
+ranked AS (
+  SELECT win, word, shift, row_number() OVER (PARTITION BY win ORDER BY n, shift) AS r
+  FROM terms JOIN (SELECT word, count(*) AS n FROM b_words GROUP BY word) USING (word)),
+starts AS MATERIALIZED (
+  SELECT win, r, rid, pos - shift AS s FROM ranked JOIN b_words USING (word) WHERE r <= 2),
+two AS (SELECT win, count(*) AS lists FROM ranked WHERE r <= 2 GROUP BY win),
+agreed AS MATERIALIZED (
+  SELECT a.win, a.rid, a.s FROM starts a JOIN two USING (win) WHERE a.r = 1 AND lists = 1
+  UNION SELECT a.win, a.rid, a.s FROM starts a JOIN starts b ON a.win = b.win AND a.rid = b.rid AND b.s BETWEEN a.s - 4 AND a.s + 4
+    WHERE a.r = 1 AND b.r = 2),
+sizes AS (SELECT win, count(*) AS size FROM terms GROUP BY win),
+around AS (
+  SELECT g.win, g.rid, g.s, word, count(*) AS n FROM agreed g JOIN sizes USING (win)
+  JOIN b_words ON b_words.rid = g.rid AND b_words.pos >= g.s - 4 AND b_words.pos < g.s + size + 4 GROUP BY ALL),
+near AS (
+  SELECT DISTINCT win, rid FROM (
+    SELECT win, rid, s FROM around JOIN (SELECT win, word, count(*) AS has FROM terms GROUP BY ALL) USING (win, word)
+    GROUP BY win, rid, s HAVING sum(least(n, has)) >= 8)),
+near_items AS (
+  SELECT rid, item FROM (SELECT DISTINCT rid, unnest(items) AS item FROM near JOIN long_ones USING (win)) ANTI JOIN hits USING (rid, item)),
+nears AS (SELECT rid, count(*) AS n_near, array_to_string(list_sort(list(item)), ',') AS items FROM near_items GROUP BY rid)
 SELECT doc_id, len(words) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
-  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-FROM d JOIN w USING (rid) LEFT JOIN per USING (rid) LEFT JOIN places USING (rid)"""
+  sha256(coalesce(per.items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated,
+  coalesce(n_near, 0) AS n_near, sha256(coalesce(nears.items, '')) AS near_items_sha256
+FROM d JOIN w USING (rid) LEFT JOIN per USING (rid) LEFT JOIN places USING (rid) LEFT JOIN nears USING (rid)"""
 
 CHATS = """
 WITH said AS (
