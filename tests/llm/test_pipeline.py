@@ -39,7 +39,7 @@ def slow(rows, items):
     prints = {r[0]: t6.slow_fingerprint(r[1]) for r in rows}
     named = t6.slow_components(list(prints.items()))
     rows = [r for r in rows if named[prints[r[0]]] == r[0]]
-    clean = {r[0] for r in t3.slow([(r[0], r[1]) for r in rows], items) if not r[-1]}
+    clean = {r[0] for r in t3.slow([(r[0], r[1]) for r in rows], items) if not r[5]}
     rows = [r for r in rows if r[0] in clean]
     out = []
     for doc, text, lang, source in rows:
