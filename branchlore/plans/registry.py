@@ -815,11 +815,28 @@ FIRST_DAY, RUN_DAYS, RUN_SHIFTS = "2024-01-01", 4, 3
 LATENESS = "5 days"
 
 
-def _land(arrivals: DataFrame, run: Column, folder: str) -> None:
-    """One file per run, written in turn."""
-    numbered = stage(arrivals.select(*ARRIVAL_SCHEMA.fieldNames(), run.alias("run")), "arrivals")
-    for (number,) in sorted(numbered.select("run").distinct().collect()):
-        numbered.where(F.col("run") == number).drop("run").coalesce(1).write.mode("append").parquet(folder)
+LANDED_ROWS = 250_000  # of a run in one file
+
+
+def _land(arrivals: DataFrame, run: Column, folder: str) -> int:
+    """The runs in turn, each in the same number of files, which is returned: a batch of so many files is a run.
+
+    The largest run sets that number; one with fewer rows than files is filled up with empty files.
+    """
+    spark, schema = arrivals.sparkSession, T.StructType([*ARRIVAL_SCHEMA.fields, T.StructField("run", T.IntegerType())])
+    staged = staging_path(spark, "arrivals")
+    runs = arrivals.select(*ARRIVAL_SCHEMA.fieldNames(), run.alias("run"))
+    runs.hint("rebalance", "run").write.partitionBy("run").parquet(staged)
+    numbered = spark.read.schema(schema).parquet(staged)
+    sizes = dict(numbered.groupBy("run").count().collect())
+    files = max(1, -(-max(sizes.values(), default=0) // LANDED_ROWS))
+    nothing = spark.createDataFrame([], ARRIVAL_SCHEMA)
+    for nth, number in enumerate(sorted(sizes), start=1):
+        numbered.where(F.col("run") == number).drop("run").repartition(files).write.mode("append").parquet(folder)
+        landed = len(spark.read.schema(ARRIVAL_SCHEMA).parquet(folder).inputFiles())
+        for _ in range(landed, files * nth):
+            nothing.write.mode("append").parquet(folder)
+    return files
 
 
 def _shift() -> Column:
@@ -832,8 +849,8 @@ def stream_daily_windows(spark, sf_dir):
     arrivals = union_branches(tables_of(spark, sf_dir), CONFIG.branches)
     day = F.datediff(F.to_date("author_date"), F.lit(FIRST_DAY).cast("date"))
     landing, windows, sums = (staging_path(spark, name) for name in ("arrivals", "windows", "daily-sums"))
-    _land(arrivals, F.coalesce(F.floor(day / RUN_DAYS), F.lit(0)).cast("int") + _shift(), landing)
-    commits = lambda: enrich(read_commit_stream(spark, landing, 1))
+    files = _land(arrivals, F.coalesce(F.floor(day / RUN_DAYS), F.lit(0)).cast("int") + _shift(), landing)
+    commits = lambda: enrich(read_commit_stream(spark, landing, files))
     store_daily_windows(commits(), windows, staging_path(spark, "windows-log"), LATENESS).awaitTermination()
     store_daily_sums(commits(), sums, staging_path(spark, "sums-log")).awaitTermination()
     return daily_with_late(spark, windows, sums)
@@ -843,8 +860,8 @@ def stream_daily_windows(spark, sf_dir):
 def stream_reconciled(spark, sf_dir):
     """The unified relation after three batches that mix the branches."""
     landing, path = staging_path(spark, "arrivals"), staging_path(spark, "reconciled")
-    _land(union_branches(tables_of(spark, sf_dir), CONFIG.branches), _shift_by_branch(), landing)
-    stream = read_commit_stream(spark, landing, 1)
+    files = _land(union_branches(tables_of(spark, sf_dir), CONFIG.branches), _shift_by_branch(), landing)
+    stream = read_commit_stream(spark, landing, files)
     store_reconciled(stream, path, staging_path(spark, "reconciled-log"), CONFIG).awaitTermination()
     return as_text(read_reconciled(spark, path, CONFIG), *CHURN_COLUMNS)
 
