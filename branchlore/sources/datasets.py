@@ -59,16 +59,16 @@ def read_sections(
 def with_positions(dataset: DataFrame, position: str = "position") -> DataFrame:
     """A dataset read from files with each row's place in it, from 1, as part files follow each other.
 
-    Rows are numbered inside each part of a file; the parts' sizes alone are added up.
+    Rows of a part of a file follow each other where it is read, so a row's place in its part is how
+    far it is from the part's first row; only the parts' sizes and first rows are gathered, and no row moves.
     """
     part = F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"))
     read = dataset.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_id"))
-    nth = F.row_number().over(Window.partitionBy("_part").orderBy("_id"))
-    sizes = read.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"))
+    parts = read.groupBy("_part").agg(F.count(F.lit(1)).alias("_rows"), F.min("_id").alias("_first"))
     ahead = F.sum("_rows").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("_part", F.coalesce(ahead, F.lit(0)).alias("_ahead"))
-    numbered = read.withColumn("_nth", nth).join(sizes, "_part")
-    return numbered.select(*dataset.columns, (F.col("_ahead") + F.col("_nth")).alias(position))
+    parts = parts.select("_part", (F.coalesce(ahead, F.lit(0)) - F.col("_first")).alias("_ahead"))
+    numbered = read.join(F.broadcast(parts), "_part")
+    return numbered.select(*dataset.columns, (F.col("_ahead") + F.col("_id") + 1).alias(position))
 
 
 class Selector(NamedTuple):

@@ -169,3 +169,23 @@ def test_positions_follow_the_part_files(spark, tmp_path):
     spark.range(0, 1000, 1, 7).write.json(str(tmp_path / "d"))
     rows = with_positions(spark.read.schema("id long").json(str(tmp_path / "d"))).collect()
     assert sorted((r.position, r.id) for r in rows) == [(i + 1, i) for i in range(1000)]
+
+
+def test_positions_move_no_rows_and_hold_where_files_are_cut_and_packed(spark, tmp_path):
+    spark.range(0, 1000, 1, 7).selectExpr("id", "repeat('x', cast(id % 50 as int)) AS t").write.json(str(tmp_path / "d"))
+    spark.range(1000, 1001, 1, 1).selectExpr("id", "'' AS t").write.mode("append").json(str(tmp_path / "d"))
+    settings = {"spark.sql.files.maxPartitionBytes": "3000", "spark.sql.files.openCostInBytes": "100"}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        dataset = spark.read.schema("id long, t string").json(str(tmp_path / "d"))
+        numbered = with_positions(dataset)
+        assert "row_number" not in numbered._jdf.queryExecution().toString()
+        # part files follow each other by name
+        names = sorted({r[0] for r in dataset.select("_metadata.file_name").collect()})
+        ids = [json.loads(line)["id"] for name in names for line in (tmp_path / "d" / name).read_text().splitlines()]
+        assert sorted((r.position, r.id) for r in numbered.collect()) == list(enumerate(ids, start=1))
+        assert dataset.rdd.getNumPartitions() > len(names)
+    finally:
+        for name in settings:
+            spark.conf.unset(name)
