@@ -17,7 +17,7 @@ import os
 import unicodedata
 from array import array
 from collections import deque
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,10 +36,13 @@ LONG_STRETCH = 256  # tokens without a sentence end from which on cuts inside ar
 STRIDE = 64
 BLOCK_TOKENS = 1 << 20
 SEGMENT_BYTES = 1 << 20  # of a text that are split into words at once
-CACHED_WORDS = 1 << 20  # a worker forgets its words when it knows so many
+GROUP_BYTES = 1 << 23  # of texts whose words are looked up together
+CACHED_WORDS = 1 << 20  # a worker forgets its words and their parts when it knows so many
 CACHED_BYTES = 64  # longer words are not kept
-SENTENCE_SIGNS = tuple(sign.encode() for sign in (".", "!", "?", "…", '."', '!"', '?"', ".)"))
-SIGNS = b".,;:!?"  # at the end of a word they are one part for the tokenizer
+SIGNS = b".,;:!?#$%&*"  # at the end of a word they are one part for the tokenizer
+SPACES = b" \t\n\r\x0b\x0c"
+IS_SIGN, IS_STOP, IS_SPACE = (np.isin(np.arange(256), list(signs)) for signs in (SIGNS, b".!?", SPACES))  # by byte
+SMALL = np.frombuffer(bytes(range(256)).lower(), np.uint8)  # small letters for A-Z, by byte
 FOREIGN = "\u0130\u0149"  # letters whose small form is more than a letter, or that the tokenizer may split
 TASK_BITS = 33  # sequence numbers of a task
 PIECES = "array<struct<doc_id: long, start: long, length: long, offset: long, doc_tokens: long>>"
@@ -54,11 +57,12 @@ def word_tokenizer() -> str:
 
 
 class Encoder(dict):
-    """Token numbers and sentence ends of texts; as a dict, the place of every known word.
+    """Token numbers and sentence ends of texts; as a dict, the place of every known part of a word.
 
-    The tokenizer never joins what ASCII white space parts, so words are encoded once and then
-    looked up.  Words of plain letters, with signs at their end or not, are two parts for the
-    tokenizer at most and go straight to its model; all others take its whole way.
+    The tokenizer never joins what ASCII white space parts, so words are encoded by themselves.  Many
+    texts at a time are parted into words and each different word is looked at once.  Words of plain
+    letters, with signs at their end or not, are two parts for the tokenizer at most and go straight to
+    its model, each part once; all others take its whole way.
     """
 
     def __init__(self, path: str):
@@ -75,26 +79,21 @@ class Encoder(dict):
 
     def forget(self) -> None:
         self.clear()
-        self.parts: dict[str, list[int]] = {}
-        self.flat, self.starts, self.closes = array("I"), array("q", [0]), bytearray()
-
-    def __missing__(self, word: bytes) -> int:
-        place = len(self.closes)
-        self.flat.extend(self._ids(word))
-        self.starts.append(len(self.flat))
-        self.closes.append(word.endswith(SENTENCE_SIGNS))
-        if len(word) <= CACHED_BYTES:
-            self[word] = place
-        return place
-
-    def _ids(self, word: bytes) -> list[int]:
-        if len(word) <= CACHED_BYTES:
-            core = word.rstrip(SIGNS)
-            said = core.lower().decode() if core.isalpha() else self._letters(core)
-            if said is not None:
-                ids = self._part(said) if core else []
-                return ids if len(core) == len(word) else ids + self._part(word[len(core) :].decode())
-        return self.tokenizer.encode(word.decode(), add_special_tokens=False).ids
+        self.whole: dict[bytes, int] = {}  # places of words that take the whole way
+        self.flat, self.starts = array("I"), array("q", [0, 0])
+        self[b""] = 0
+
+    def _learn(self, parts: Iterable[bytes]) -> None:
+        """Give new parts, small letters or signs, their places; -1 if their words take the whole way."""
+        tokenize, flat, starts = self.model.tokenize, self.flat, self.starts
+        for part in parts:
+            said = part.decode() if part.isalpha() or not part.strip(SIGNS) else self._letters(part)
+            if said is None:
+                self[part] = -1
+            else:
+                flat.extend([token.id for token in tokenize(said)])
+                self[part] = len(starts) - 1
+                starts.append(len(flat))
 
     def _letters(self, core: bytes) -> str | None:
         try:
@@ -102,41 +101,134 @@ class Encoder(dict):
         except KeyError:
             return None
 
-    def _part(self, said: str) -> list[int]:
-        ids = self.parts.get(said)
-        if ids is None:
-            ids = self.parts[said] = [token.id for token in self.model.tokenize(said)]
-        return ids
-
-    def _segment(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        lines = [words for line in data.split(b"\n") if (words := line.split())]
-        numbers = np.array([place for words in lines for place in map(self.__getitem__, words)], np.int64)
-        flat, starts = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.starts, np.int64)
-        closed = np.frombuffer(self.closes, bool)[numbers]
-        begins = starts[numbers]
-        sizes = starts[numbers + 1] - begins
-        ends = np.cumsum(sizes)
-        ids = flat[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        closed[np.cumsum(np.array([len(words) for words in lines], np.int64)) - 1] = True
-        del flat, starts  # the arrays may grow again
-        if len(self.closes) > CACHED_WORDS:
+    def _whole(self, word: bytes) -> int:
+        place = self.whole.get(word)
+        if place is None:
+            place = len(self.starts) - 1
+            self.flat.extend(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids)
+            self.starts.append(len(self.flat))
+            if len(word) <= CACHED_BYTES:
+                self.whole[word] = place
+        return place
+
+    def _places(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Of different words the places of their two parts (the second one may be empty), and whether they close a sentence."""
+        starts, ends = (np.frombuffer(words.buffers()[1], np.int32)[words.offset + i :][: len(words)].astype(np.int64) for i in (0, 1))
+        data = np.frombuffer(words.buffers()[2], np.uint8)
+        short = ends - starts <= CACHED_BYTES
+        # a core is what signs at the end leave
+        upto = np.where(short, ends, starts)
+        signed = np.flatnonzero(upto > starts)
+        while len(signed := signed[IS_SIGN[data[upto[signed] - 1]]]):
+            upto[signed] -= 1
+            signed = signed[upto[signed] > starts[signed]]
+        cores = self._parts(_stretches(SMALL[data], starts, upto))
+        signs = self._parts(_stretches(data, upto, np.where(short, ends, upto)))
+        values = None
+        for i in np.flatnonzero((cores < 0) | ~short).tolist():
+            values = words.to_numpy(zero_copy_only=False) if values is None else values
+            cores[i], signs[i] = self._whole(values[i]), 0
+        last, before, first = (data[np.maximum(ends - i, 0)] for i in (1, 2, 3))
+        size = ends - starts
+        closes = IS_STOP[last] | (size > 1) & ((last == ord('"')) & IS_STOP[before] | (last == ord(")")) & (before == ord(".")))
+        closes |= (size > 2) & (first == 0xE2) & (before == 0x80) & (last == 0xA6)  # an ellipsis
+        return np.stack([cores, signs], 1), closes
+
+    def _parts(self, words: pa.Array) -> np.ndarray:
+        different = words.dictionary_encode()
+        parts = different.dictionary.to_numpy(zero_copy_only=False)
+        places = list(map(self.get, parts))
+        new = [i for i, place in enumerate(places) if place is None]
+        self._learn(parts[new])
+        for i in new:
+            places[i] = self[parts[i]]
+        return np.array(places, np.int64)[different.indices.to_numpy()]
+
+    def _group(self, segments: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Token numbers of segments and the places after their sentences; a line and a segment end a sentence."""
+        data = np.frombuffer(b"\n" + b"\n".join(segments) + b"\n", np.uint8)
+        blank = IS_SPACE[data]
+        edges = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+        starts, ends = edges[::2], edges[1::2]
+        different = _binary(data[~blank], ends - starts).dictionary_encode()
+        numbers = different.indices.to_numpy()
+        places, closes = self._places(different.dictionary)
+        flat, bounds = np.frombuffer(self.flat, np.uint32), np.frombuffer(self.starts, np.int64)
+        sizes = bounds[places + 1] - bounds[places]
+        found = _gathered(flat, bounds[places].ravel(), sizes.ravel())
+        sizes = sizes.sum(1)
+        begins = np.cumsum(sizes) - sizes
+        closed = closes[numbers]
+        line_ends = np.searchsorted(starts, np.flatnonzero(data == ord("\n"))) - 1
+        closed[line_ends[line_ends >= 0]] = True
+        first = np.searchsorted(starts, np.cumsum([1] + [len(s) + 1 for s in segments])).tolist()
+        del flat, bounds  # the arrays may grow again
+        if len(self) + len(self.whole) > CACHED_WORDS:
             self.forget()
-        return ids, ends[closed]
+        for low, high in zip(first, first[1:]):
+            words = numbers[low:high]
+            upto = sizes[words]
+            ids = _gathered(found, begins[words], upto)
+            yield ids, np.cumsum(upto)[closed[low:high]]
+
+    def encode_all(self, texts: Iterable[tuple[object, bytes]]) -> Iterator[tuple]:
+        """Of named texts (UTF-8) the name, the token numbers and the places after the sentences."""
+
+        def grouped() -> Iterator[tuple]:
+            held, size = [], 0
+            for name, data in texts:
+                for segment, last in _segments(data):
+                    held.append((name, last, segment))
+                    size += len(segment)
+                    if size >= GROUP_BYTES:
+                        yield from zip(held, self._group([s for _, _, s in held]), strict=True)
+                        held, size = [], 0
+            if held:
+                yield from zip(held, self._group([s for _, _, s in held]), strict=True)
+
+        ids, ends, done = [], [], 0
+        for (name, last, _), (found, closed) in grouped():
+            ids.append(found)
+            ends.append(closed + done)
+            done += len(found)
+            if last:
+                yield name, np.concatenate(ids), np.concatenate(ends)
+                ids, ends, done = [], [], 0
 
     def encode(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
         """Token numbers of a text (UTF-8) and the places after its sentences."""
-        ids, ends, done, at = [], [], 0, 0
-        while True:
-            stop = len(data)
-            if stop - at > SEGMENT_BYTES:
-                # white space near the border, else the whole rest
-                stop = next((p + 1 for p in range(at + SEGMENT_BYTES, len(data)) if data[p] in b" \t\n\r\x0b\x0c"), len(data))
-            found, closed = self._segment(data[at:stop])
-            ids.append(found)
-            ends.append(closed + done)
-            done, at = done + len(found), stop
-            if at >= len(data):
-                return np.concatenate(ids), np.concatenate(ends)
+        ((_, ids, ends),) = self.encode_all([(None, data)])
+        return ids, ends
+
+
+def _segments(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """A text in stretches of about ``SEGMENT_BYTES``, and whether each is the last one."""
+    at = 0
+    while True:
+        stop = len(data)
+        if stop - at > SEGMENT_BYTES:
+            # white space near the border, else the whole rest
+            stop = next((p + 1 for p in range(at + SEGMENT_BYTES, len(data)) if data[p] in SPACES), len(data))
+        yield data[at:stop], stop >= len(data)
+        at = stop
+        if at >= len(data):
+            return
+
+
+def _stretches(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The bytes between each two bounds."""
+    return _binary(_gathered(data, starts, ends - starts), ends - starts)
+
+
+def _binary(data: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
+def _gathered(values: np.ndarray, begins: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """So many values from each beginning on, in a row."""
+    ends = np.cumsum(sizes)
+    return values[np.repeat(begins - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
 
 
 _encoders: dict[str, Encoder] = {}
@@ -151,14 +243,15 @@ def encoder_of(path: str) -> Encoder:
 
 def cut_places(ends: np.ndarray, sentences: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Allowed cuts of a block and their costs: ``ends`` closes documents, the last one the block."""
-    places = np.union1d(ends, sentences)
+    costs = np.full(int(ends[-1]) + 1, -1, np.int64)  # by place, -1 where no cut is allowed
+    costs[sentences] = SENTENCE_COST
+    costs[ends] = 0
+    places = np.flatnonzero(costs >= 0)
     gaps = np.diff(places, prepend=0)
-    inside = [np.arange(at - gap + STRIDE, at, STRIDE) for at, gap in zip(places[gaps > LONG_STRETCH], gaps[gaps > LONG_STRETCH], strict=True)]
-    every = np.union1d(places, np.concatenate(inside)) if inside else places
-    costs = np.full(len(every), STRIDE_COST)
-    costs[np.isin(every, sentences)] = SENTENCE_COST
-    costs[np.isin(every, ends)] = 0
-    return every, costs
+    for at, gap in zip(places[gaps > LONG_STRETCH].tolist(), gaps[gaps > LONG_STRETCH].tolist(), strict=True):
+        costs[at - gap + STRIDE : at : STRIDE] = STRIDE_COST
+    every = np.flatnonzero(costs >= 0)
+    return every, costs[every]
 
 
 def padding(length: int, size: int) -> int:
@@ -256,14 +349,13 @@ def pack(docs: DataFrame, tokenizer: str | None = None, size: int = SEQUENCE_TOK
                     names=["sequence_id", "tokens", "pieces"],
                 )
 
-        for batch in batches:
-            for at in range(batch.num_rows):
-                ids, ends = encoder.encode(batch.column(1)[at].as_py())
-                held.append((batch.column(0)[at].as_py(), np.append(ids, np.uint32(end)), ends))
-                tokens += len(ids) + 1
-                if tokens >= block:
-                    yield from flush()
-                    held, tokens = [], 0
+        texts = ((batch.column(0)[at].as_py(), batch.column(1)[at].as_py()) for batch in batches for at in range(batch.num_rows))
+        for doc_id, ids, ends in encoder.encode_all(texts):
+            held.append((doc_id, np.append(ids, np.uint32(end)), ends))
+            tokens += len(ids) + 1
+            if tokens >= block:
+                yield from flush()
+                held, tokens = [], 0
         yield from flush()
 
     rows = kept_columns(docs, "doc_id", "text").select(F.col("doc_id").cast("long"), whole("text").cast("binary").alias("text"))

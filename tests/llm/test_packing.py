@@ -57,6 +57,31 @@ def test_forgetting_words_changes_nothing(monkeypatch):
         assert encoder.encode(text.encode())[0].tolist() == ids_of(text)[:-1]
 
 
+def test_texts_together_are_encoded_like_each_alone(monkeypatch):
+    rng = random.Random(9)
+    texts = [random_text(rng, rng.choice([0, 1, 30])) + rng.choice(["", "&&&", " a###", ' "so."', " …"]) for _ in range(60)]
+    want = [packing.Encoder(packing.word_tokenizer()).encode(text.encode()) for text in texts]
+    monkeypatch.setattr(packing, "SEGMENT_BYTES", 50)
+    for size in (1, 200, 1 << 20):
+        monkeypatch.setattr(packing, "GROUP_BYTES", size)
+        got = list(packing.Encoder(packing.word_tokenizer()).encode_all((i, text.encode()) for i, text in enumerate(texts)))
+        assert [i for i, _, _ in got] == list(range(len(texts)))
+        for text, (_, ids, ends), (ids_alone, ends_alone) in zip(texts, got, want, strict=True):
+            assert ids.tolist() == ids_alone.tolist() == ids_of(text)[:-1]
+            assert set(ends_alone.tolist()) <= set(ends.tolist())
+
+
+def test_a_word_with_signs_is_known_by_its_parts():
+    encoder = packing.Encoder(packing.word_tokenizer())
+    learnt = []
+    learn = encoder._learn
+    encoder._learn = lambda parts: learnt.extend(parts) or learn(parts)
+    encoder._whole = None  # no word here takes the tokenizer's whole way
+    text = "Straße&&& straße, STRASSE ### straße.&&& strasse!"
+    assert encoder.encode(text.encode())[0].tolist() == ids_of(text)[:-1]
+    assert len(learnt) == len(set(learnt)) and "straße".encode() in learnt
+
+
 def least_cost(places: list[int], costs: list[int], size: int) -> int:
     """The same program without a queue: every earlier place is tried."""
     at, best = [0, *places], [0]
