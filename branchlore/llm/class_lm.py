@@ -37,6 +37,7 @@ N_CLASSES = CLASSES + 2
 WORDS_AT_ONCE = 1024  # words for which a task seeks classes at a time
 SMALL_COUNT = 32  # up to which the gain of a count is looked up
 LISTED_AT_ONCE = 1 << 20  # neighbours that a task lists at a time
+READ_AT_ONCE = 1 << 19  # listed neighbours that a task looks at together, or those of one word
 FAN_IN = 256  # lists of one word that are merged at a time
 LISTS = "code long, others binary, ns binary"  # int32 and int64 values of a word
 LEAST_GAIN = 0.05  # of log likelihood for each token, below which a round counts as gaining nothing; 0 is the exact end
@@ -255,8 +256,8 @@ def merged(lists: DataFrame) -> DataFrame:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_ = None  # the last word may go on in the next batch
-        for batch in batches:
-            words, others, ns = _listed(batch)
+        for part in _slices(batches, 1 << 16):
+            words, others, ns = _listed(part)
             if open_ is not None:
                 words, others, ns = (np.concatenate(x) for x in zip(open_, (words, others, ns)))
             made = _word_lists(words, others, ns)
@@ -326,35 +327,34 @@ def class_counts(pairs: DataFrame, classes: DataFrame) -> DataFrame:
         met = pairs.join(classes.select(F.col("code").alias(known), "cls"), known)
         return met.select(F.col(word).alias("code"), cell, "n")
 
-    return _gathered(beside("left", "right", 0).unionByName(beside("right", "left", N_CLASSES)))
-
-
-def _gathered(counts: DataFrame) -> DataFrame:
-    """``cells`` and ``cell_ns`` per word: its cells, at most two for each class, and how often each."""
-
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield _word_lists(*(x.to_numpy().astype(np.int64) for x in batch.columns))
 
-    lists = merged(counts.select("code", "cell", "n").mapInArrow(listed, LISTS).repartition("code"))
-    return lists.withColumnsRenamed({"others": "cells", "ns": "cell_ns"})
+    counts = beside("left", "right", 0).unionByName(beside("right", "left", N_CLASSES))
+    return _gathered(counts.select("code", "cell", "n").mapInArrow(listed, LISTS))
+
+
+def _gathered(lists: DataFrame) -> DataFrame:
+    """``cells`` and ``cell_ns`` per word: its cells, at most two for each class, and how often each."""
+    return merged(lists.repartition("code")).withColumnsRenamed({"others": "cells", "ns": "cell_ns"})
 
 
 def rare_beside(rare: DataFrame) -> DataFrame:
     """Per word of the dictionary ``cells``: how often it stands beside words outside it, by their classes."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            word, other, n = _near(batch)
-            cls = batch.column("cls").to_numpy()
+        for part in _slices(batches):
+            word, other, n = _near(part)
+            cls = part.column("cls").to_numpy()
             # what precedes the rare word has it behind itself
             key = (other >> 1) * (2 * N_CLASSES) + cls[word] + N_CLASSES * (1 - (other & 1))
             found, at = np.unique(key, return_inverse=True)
             sums = np.bincount(at, weights=n, minlength=len(found)).astype(np.int64)
-            made = [found // (2 * N_CLASSES), (found % (2 * N_CLASSES)).astype(np.int32), sums]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["code", "cell", "n"])
+            # listed here: a second function in the stage would have its own workers, which stay
+            yield _word_lists(found // (2 * N_CLASSES), found % (2 * N_CLASSES), sums)
 
-    return _gathered(rare.select("cls", "others", "ns").mapInArrow(count, "code long, cell int, n long"))
+    return _gathered(rare.select("cls", "others", "ns").mapInArrow(count, LISTS))
 
 
 def _near(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -369,14 +369,21 @@ def _far(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def _cells(part: pa.RecordBatch, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Number of the row, cell and count, for all neighbours; ``of`` has the classes of the dictionary."""
-    word, other, n = _near(part)
-    far_word, far_cell, far_n = _far(part)
-    at = np.append(word * 2 * N_CLASSES + of[other >> 1] + N_CLASSES * (other & 1), far_word * 2 * N_CLASSES + far_cell)
-    sums = np.bincount(at, weights=np.append(n, far_n), minlength=part.num_rows * 2 * N_CLASSES)
+    sums = sum(_cell_counts(part, np.arange(part.num_rows), part.num_rows, of))
     at = np.flatnonzero(sums)
     return at // (2 * N_CLASSES), at % (2 * N_CLASSES), sums[at].astype(np.int64)
 
 
+def _cell_counts(part: pa.RecordBatch, groups: np.ndarray, n_groups: int, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How often each cell stands beside the words of each group, of the dictionary and outside it; a row is in one group."""
+    beside = (of[:, None] + [0, N_CLASSES]).ravel()  # the cell of every neighbour of the dictionary
+    word, other, n = _near(part)
+    first, size = groups * 2 * N_CLASSES, n_groups * 2 * N_CLASSES
+    near = np.bincount(first[word] + beside[other], n, size)
+    word, cell, n = _far(part)
+    return near, np.bincount(first[word] + cell, n, size)
+
+
 def _own(part: pa.RecordBatch, of: np.ndarray) -> np.ndarray:
     """The classes of the rows' own words; rows of the dictionary have no ``cls``."""
     return part.column("cls").to_numpy() if "cls" in part.schema.names else of[part.column("code").to_numpy()]
@@ -391,15 +398,11 @@ def class_pairs(rows: DataFrame, of: np.ndarray) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, k = sent.value, N_CLASSES
-        total = np.zeros(4 * k * k)
-        for batch in batches:
-            own = _own(batch, of)
-            word, other, n = _near(batch)
-            side, beside, me = other & 1, of[other >> 1], own[word]
-            total += np.bincount(side * k * k + np.where(side, me * k + beside, beside * k + me), n, 4 * k * k)
-            word, cell, n = _far(batch)
-            side, beside, me = cell // k, cell % k, own[word]
-            total += np.bincount((2 + side) * k * k + np.where(side, me * k + beside, beside * k + me), n, 4 * k * k)
+        cells = np.zeros((2, k * 2 * k))
+        for part in _slices(batches, 1 << 16):
+            cells += _cell_counts(part, _own(part, of), k, of)
+        preceding, following = np.moveaxis(cells.reshape(2, k, 2, k), 2, 0)  # by near or far, own class, class beside
+        total = np.stack([preceding.swapaxes(1, 2), following], 1).ravel()
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at].astype(np.int64))], names=["at", "n"])
 
@@ -429,10 +432,18 @@ def seen_once(rows: DataFrame, of: np.ndarray, end: int) -> np.ndarray:
     return once.reshape(2, N_CLASSES)
 
 
-def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], most: int = WORDS_AT_ONCE) -> Iterator[pa.RecordBatch]:
+    """So many words at most, and together ``READ_AT_ONCE`` neighbours or the last word alone has more."""
     for batch in batches:
-        for start in range(0, batch.num_rows, WORDS_AT_ONCE):
-            yield batch.slice(start, WORDS_AT_ONCE)
+        lists = batch.column("others")
+        upto = np.frombuffer(lists.buffers()[1], np.int32, len(lists) + 1, lists.offset * 4)[1:] if len(lists) else np.zeros(0, np.int32)
+        start = 0
+        while start < batch.num_rows:
+            before = int(upto[start - 1]) if start else int(upto[0]) - len(lists[0].as_buffer())
+            fit = int(np.searchsorted(upto, before + READ_AT_ONCE * np.dtype(np.int32).itemsize, "right"))
+            stop = min(max(fit, start + 1), start + most)
+            yield batch.slice(start, stop - start)
+            start = stop
 
 
 def _xlogx(n: np.ndarray) -> np.ndarray:

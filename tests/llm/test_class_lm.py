@@ -7,6 +7,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from llm_docs import make_docs  # noqa: F401
 from pyspark.sql import functions as F
@@ -242,3 +243,28 @@ def test_neighbour_lists_equal_plain_counts(spark, monkeypatch, at_once, fan_in)
             assert (r.code, o) not in got
             got[r.code, o] = n
     assert got == want
+
+
+def test_long_lists_are_looked_at_in_bounded_parts(monkeypatch):
+    def lists(first: int, sizes: list[int]) -> pa.RecordBatch:
+        codes = np.repeat(np.arange(first, first + len(sizes)), sizes)
+        return class_lm._word_lists(codes, np.concatenate([np.arange(n) for n in sizes]), np.ones(sum(sizes), dtype=np.int64))
+
+    monkeypatch.setattr(class_lm, "READ_AT_ONCE", 50)
+    batches = [lists(0, [30, 20, 1, 200, 7]), lists(9, [49, 2]).slice(1), lists(20, [3] * 40)]
+    parts = list(class_lm._slices(iter(batches), 10))
+    assert [p.column("code").to_pylist() for p in parts][:4] == [[0, 1], [2], [3], [4]]
+    for part in parts:
+        assert part.num_rows == 1 or part.num_rows <= 10 and len(class_lm._near(part)[0]) <= 50
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches(batches))
+    assert list(class_lm._slices(iter([batches[0].slice(0, 0)]))) == []
+
+
+def test_no_stage_has_the_workers_of_two_functions(make_docs):
+    """Each function has its own Python workers, which keep their memory from stage to stage."""
+    docs = make_docs((1, "a"))
+    codes = F.expr("X''")
+    rare = docs.select(F.lit(0).alias("cls"), codes.alias("others"), codes.alias("ns"))
+    plan = class_lm.rare_beside(rare)._jdf.queryExecution().executedPlan().toString()
+    stages = re.split(r"Exchange", plan)
+    assert [stage.count("MapInArrow") for stage in stages if "MapInArrow" in stage] == [1, 1]
