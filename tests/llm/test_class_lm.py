@@ -268,3 +268,69 @@ def test_no_stage_has_the_workers_of_two_functions(make_docs):
     plan = class_lm.rare_beside(rare)._jdf.queryExecution().executedPlan().toString()
     stages = re.split(r"Exchange", plan)
     assert [stage.count("MapInArrow") for stage in stages if "MapInArrow" in stage] == [1, 1]
+
+
+def test_words_and_their_codes_equal_plain_splitting(spark):
+    texts = ["", " ", "A  b\tC\x0b\x1cd \x85 É x\n", "b", "\nb A", "z" * 70]
+    words, at, sizes = class_lm.words_of(pa.array([t.encode() for t in texts], pa.binary()))
+    spelled = class_lm._spelled(words)
+    want = [[t.encode() for t in tokens(text) if t] for text in texts]
+    assert sizes.tolist() == [len(w) for w in want]
+    assert [spelled[i] for i in at] == [w for ws in want for w in ws]
+    found = spark.createDataFrame([(bytearray(w),) for w in spelled], "word binary").select(class_lm.rare_code(F.col("word"), 3)).collect()
+    assert class_lm.rare_codes(spelled, 3).tolist() == [r[0] for r in found]
+    assert class_lm._spelled(class_lm.words_of(pa.array([b""], pa.binary()))[0]) == []
+
+
+def test_lists_go_through_shuffles_in_a_row_for_each_part():
+    rng = np.random.default_rng(3)
+    words, others = rng.integers(-500, 500, 5000), rng.integers(0, 900, 5000)
+    made = class_lm._dealt(words, others, others + 1, 4)
+    assert made.num_rows == 8 == len(set(made.column("part").to_pylist()))
+    got = []
+    for at in range(made.num_rows):
+        code, other, n = class_lm._block(made.slice(at, 1))
+        assert len({(c % 4, c < 0) for c in code.tolist()}) == 1 and (n == other + 1).all()
+        got += zip(code.tolist(), other.tolist())
+    assert sorted(got) == sorted(zip(words.tolist(), others.tolist()))
+
+
+def test_what_a_half_changes_equals_counting_all_again(spark):
+    rng = np.random.default_rng(4)
+    k, end = class_lm.N_CLASSES, 40
+    seqs = [rng.integers(0, end, 30).tolist() + [end] for _ in range(20)]
+    train = spark.createDataFrame([(s, []) for s in seqs], "codes array<int>, rare array<bigint>")
+    cells = np.arange(2 * k, dtype=np.int32)
+    far = [(c, bytearray(cells.tobytes()), bytearray(rng.integers(0, 9, 2 * k).tobytes())) for c in range(end + 1)]
+    rows = class_lm.neighbour_lists(train, class_lm.Layout(np.full(end, 15))).join(
+        spark.createDataFrame(far, "code long, cells binary, cell_ns binary"), "code"
+    )
+    was = np.append(rng.integers(0, class_lm.CLASSES, end), class_lm.CLASSES)
+    of = was.copy()
+    of[:end:2] = rng.integers(0, class_lm.CLASSES, end // 2)
+    want = class_lm.class_pairs(rows, of) - class_lm.class_pairs(rows, was)
+    got = class_lm.changed_pairs(rows.where("code % 2 = 0"), was, of)
+    assert want[0].any() and (got[0] == want[0]).all() and (got[2:] == want[2:]).all()
+
+
+def test_words_that_only_held_out_texts_have_count_nothing(spark):
+    rows = [("a b a", False), ("b c c", True), ("B", False)]
+    counts = class_lm.count_words(spark.createDataFrame(rows, "text string, held_out boolean"))
+    assert {bytes(r.word): r.n for r in counts.collect()} == {b"a": 2, b"b": 2, b"c": 0}
+
+
+@pytest.mark.parametrize("rounds", [8, 11])
+def test_class_pairs_stay_right_over_rounds_of_all_words(make_docs, spark, monkeypatch, rounds):
+    monkeypatch.setattr(class_lm, "DICTIONARY", 40)
+    made = []
+    real = class_lm.exchange
+    monkeypatch.setattr(class_lm, "exchange", lambda *given: made.append((given[0], *real(*given))) or made[-1][1:])
+    class_lm.score(make_docs(*sample(4)), rounds=rounds, least_gain=0.0)
+    train, classes, pairs = made[0]
+    of = {r.code: r.cls for r in classes.table.collect()}
+    want = np.zeros_like(pairs)
+    for r in train.collect():
+        codes, rare = np.frombuffer(r.codes, np.int32).astype(np.int64), iter(np.frombuffer(r.rare, np.int64).tolist())
+        found = [of[c if c >= 0 else next(rare)] for c in codes.tolist()]
+        np.add.at(want, ([class_lm.CLASSES, *found[:-1]], found), 1)
+    assert (pairs == want).all()
